@@ -7,7 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from attestra.llm.common import read_table, shared_dir
+from attestra.llm.quality import quality_rules
 from attestra.llm.sharding import shard_documents
+from attestra.llm.token_counts import token_counts
+from attestra.llm.token_files import token_file_digest, write_token_files
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read_table(spark, sf_dir, "documents"))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark)
+    write_token_files(read_table(spark, sf_dir, "documents"), path)
+    return token_file_digest(spark, path)
+
+
+def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
 def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +33,9 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
+        "op4_token_files": op4_token_files,
+        "op6_quality_cascade": op6_quality_cascade,
         "op10_virtual_slots": op10_virtual_slots,
     }
 
