@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from attestra.llm.common import read_table, shared_dir
 from attestra.llm.licenses import license_scan
+from attestra.llm.minhash import near_duplicates
 from attestra.llm.quality import quality_rules
 from attestra.llm.sharding import shard_documents
 from attestra.llm.token_counts import token_counts
@@ -22,6 +23,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read_table(spark, sf_dir, "documents")).drop("places")
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), size=2)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     write_token_files(read_table(spark, sf_dir, "documents"), path)
@@ -40,6 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_license_scan": op2_license_scan,
+        "op3_minhash": op3_minhash,
         "op4_token_files": op4_token_files,
         "op6_quality_cascade": op6_quality_cascade,
         "op10_virtual_slots": op10_virtual_slots,
