@@ -43,14 +43,17 @@ def documents_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def arrow_schema(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
+#: Texts can be long, so Arrow batches are kept short; a lower setting of the session stays.
+BATCH_ROWS = 1_000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-    return to_arrow_schema(schema)
 
-
-def map_arrow(df: DataFrame, schema: str, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    return df.mapInArrow(function, T.StructType.fromDDL(schema))
+def map_arrow(df: DataFrame, schema: str | T.StructType, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``df.mapInArrow`` with a schema (DDL or a type) and short batches."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    return df.mapInArrow(function, T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

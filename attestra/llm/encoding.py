@@ -14,11 +14,10 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Stretches that a worker keeps before it starts anew.
-KEPT = 700_000
+#: Stretches that a worker keeps before it sets them aside; it holds twice as many at most.
+KEPT = 300_000
 #: Stretches encoded in one call.
 BLOCK = 2_000
-RUN = re.compile(r"\s\s|[^\S \n]")
 
 
 @lru_cache(maxsize=4)
@@ -41,14 +40,18 @@ class StretchEncoder:
         self.tokenizer, self.make, self.kept = load_tokenizer(file), make, kept
         #: By stretch, a leading space left out; what starts with a line break is named in full.
         self.known: dict[str, object] = {}
+        #: What was known before ``known`` was last full; words met again move over.
+        self.older: dict[str, object] = {}
         self.n_bytes = token_bytes(self.tokenizer) if _splits_at_spaces(self.tokenizer) else None
 
     def cut(self, text: str) -> tuple[str, list[str]]:
         """A first part, and the words after it."""
-        if self.n_bytes is None or RUN.search(text):
+        if self.n_bytes is None:
             return text, []
-        head, *rest = text.replace("\n", " \n").split(" ")
-        return head, rest
+        words = text.replace("\n", " \n").split(" ")
+        if len(text.split()) != len(words):  # a run of white space, or white space of another kind
+            return text, []
+        return words[0], words[1:]
 
     def encode(self, texts: list[str]) -> list[list]:
         """For each text a list whose items, in order, stand for all its ids."""
@@ -58,10 +61,12 @@ class StretchEncoder:
         short = [k for k, items in enumerate(found) if None in items]
         missing = {w for k in short for w, x in zip(parts[k][1], found[k]) if x is None}
         if len(self.known) + len(missing) > self.kept:
-            self.known = {}
+            self.known, self.older = {}, self.known
             short = list(range(len(parts)))
             missing = {w for _, rest in parts for w in rest}
-        self._learn(list(missing))
+        met = self.older.keys() & missing
+        self.known.update({w: self.older[w] for w in met})
+        self._learn(list(missing - met))
         for k in short:
             found[k] = list(map(self.known.__getitem__, parts[k][1]))
         return [[head, *items] for head, items in zip(heads, found)]
@@ -70,7 +75,7 @@ class StretchEncoder:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _whole(self, texts: list[str]) -> list:
-        return [self.make(x) for x in self._ids(texts)]
+        return [self.make(x.tobytes()) for x in self._ids(texts)]
 
     def _learn(self, words: list[str]) -> None:
         """Many stretches are encoded as one text, and the ids cut where their bytes end."""
@@ -82,9 +87,9 @@ class StretchEncoder:
             bounds = np.cumsum([len(stretches[k].encode()) for k in block])
             cuts = np.searchsorted(ends, bounds)
             if ends[-1] == bounds[-1] and (ends[cuts] == bounds).all():
-                at = 0
-                for k, to in zip(block, (cuts + 1).tolist()):
-                    self.known[words[k]] = self.make(ids[at:to])
+                at, data = 0, ids.tobytes()
+                for k, to in zip(block, (4 * (cuts + 1)).tolist()):
+                    self.known[words[k]] = self.make(data[at:to])
                     at = to
         alone = [k for k, w in enumerate(words) if w not in self.known]
         for k, item in zip(alone, self._whole([stretches[k] for k in alone])):
@@ -113,4 +118,4 @@ def _splits_at_spaces(tokenizer) -> bool:
 @lru_cache(maxsize=4)
 def encoder(file: str, kind: str) -> StretchEncoder:
     """The worker's encoder: ``count`` keeps numbers of ids, ``bytes`` the ids as little-endian uint32."""
-    return StretchEncoder(file, len if kind == "count" else np.ndarray.tobytes)
+    return StretchEncoder(file, (lambda data: len(data) // 4) if kind == "count" else bytes)

@@ -175,7 +175,7 @@ def cascade(df: DataFrame, rules: Sequence[Rule], text_col: str = "text") -> Dat
             said = pa.array([first_rejection(Text(x), rules) for x in texts], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, said], names=[*batch.schema.names, out])
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, schema, run)
 
 
 MEASURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string"
