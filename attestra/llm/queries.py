@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from attestra.llm.common import read_table, shared_dir
+from attestra.llm.decontaminate import contaminated
 from attestra.llm.licenses import license_scan
 from attestra.llm.minhash import near_duplicates
 from attestra.llm.quality import quality_rules
@@ -37,6 +38,10 @@ def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"), n_shards=24, map_path=shared_dir(spark))
 
@@ -48,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_minhash": op3_minhash,
         "op4_token_files": op4_token_files,
         "op6_quality_cascade": op6_quality_cascade,
+        "op9_decontaminate": op9_decontaminate,
         "op10_virtual_slots": op10_virtual_slots,
     }
 
