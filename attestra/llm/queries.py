@@ -12,6 +12,7 @@ from attestra.llm.licenses import license_scan
 from attestra.llm.minhash import near_duplicates
 from attestra.llm.quality import quality_rules
 from attestra.llm.sharding import shard_documents
+from attestra.llm.substring import repeated_passages
 from attestra.llm.token_counts import token_counts
 from attestra.llm.token_files import token_file_digest, write_token_files
 
@@ -38,6 +39,10 @@ def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -53,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_minhash": op3_minhash,
         "op4_token_files": op4_token_files,
         "op6_quality_cascade": op6_quality_cascade,
+        "op7_passages": op7_passages,
         "op9_decontaminate": op9_decontaminate,
         "op10_virtual_slots": op10_virtual_slots,
     }
