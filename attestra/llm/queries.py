@@ -11,6 +11,7 @@ from attestra.llm.decontaminate import contaminated
 from attestra.llm.licenses import license_scan
 from attestra.llm.minhash import near_duplicates
 from attestra.llm.quality import quality_rules
+from attestra.llm.sentencepiece import encode_documents
 from attestra.llm.sharding import shard_documents
 from attestra.llm.substring import repeated_passages
 from attestra.llm.token_counts import token_counts
@@ -43,6 +44,10 @@ def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(read_table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -59,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_files": op4_token_files,
         "op6_quality_cascade": op6_quality_cascade,
         "op7_passages": op7_passages,
+        "op8_sentencepiece": op8_sentencepiece,
         "op9_decontaminate": op9_decontaminate,
         "op10_virtual_slots": op10_virtual_slots,
     }
