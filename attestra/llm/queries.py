@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from attestra.llm.common import read_table, shared_dir
 from attestra.llm.decontaminate import contaminated
 from attestra.llm.licenses import license_scan
+from attestra.llm.lm import lm_scores
 from attestra.llm.minhash import near_duplicates
 from attestra.llm.quality import quality_rules
 from attestra.llm.sentencepiece import encode_documents
@@ -36,6 +38,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(spark, path)
 
 
+def op5_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
@@ -62,13 +68,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_license_scan": op2_license_scan,
         "op3_minhash": op3_minhash,
         "op4_token_files": op4_token_files,
+        "op5_gru_scores": op5_gru_scores,
         "op6_quality_cascade": op6_quality_cascade,
         "op7_passages": op7_passages,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_decontaminate": op9_decontaminate,
         "op10_virtual_slots": op10_virtual_slots,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
