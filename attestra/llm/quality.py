@@ -161,21 +161,15 @@ def first_rejection(text: Text, rules: Sequence[Rule]) -> str | None:
 
 
 def cascade(df: DataFrame, rules: Sequence[Rule], text_col: str = "text") -> DataFrame:
-    """``df`` with ``rejected_by``: null for kept rows, else a rule that rejects the text.
-
-    All columns of ``df`` stay. A null text is empty.
-    """
-    rules = list(rules)
-    out = "rejected_by"
-    schema = df.schema.add(out, "string")
+    """The rows of ``df`` that no rule rejects, with the columns of ``df``; a null text is empty."""
+    rules, at = list(rules), df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            said = pa.array([first_rejection(Text(x), rules) for x in texts], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, said], names=[*batch.schema.names, out])
+            keep = [first_rejection(Text(x), rules) is None for x in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return map_arrow(df, schema, run)
+    return map_arrow(df, df.schema, run)
 
 
 MEASURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string"
@@ -206,6 +200,5 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_quality(df: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of ``df`` that no rule rejects, with the columns of ``df``."""
-    rules = plan_cascade(df, RULES, sample_rows, text_col)
-    return cascade(df, rules, text_col).filter(F.col("rejected_by").isNull()).drop("rejected_by")
+    """``cascade`` with all rules, in the order that a sample of ``df`` gives."""
+    return cascade(df, plan_cascade(df, RULES, sample_rows, text_col), text_col)
