@@ -2,36 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from attestra.plans import retrieval_queries, table_queries, text_queries
+from attestra.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+REGISTRIES = (table_queries.R, text_queries.R, retrieval_queries.R)
 
-COVERAGE_SQL = """
-SELECT (SELECT count(*) FROM customer)::BIGINT AS n_requirements,
-       (SELECT count(*) FROM orders)::BIGINT AS n_stories,
-       (SELECT count(*) FROM lineitem)::BIGINT AS n_scenarios,
-       (SELECT count(*) FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders))::BIGINT AS requirements_covered,
-       (SELECT count(*) FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))::BIGINT AS stories_covered
-"""
 
-
-def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    customer, orders, lineitem = read("customer"), read("orders"), read("lineitem")
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    return (
-        count(customer, "n_requirements")
-        .crossJoin(count(orders, "n_stories"))
-        .crossJoin(count(lineitem, "n_scenarios"))
-        .crossJoin(count(customer.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_semi"), "requirements_covered"))
-        .crossJoin(count(orders.join(lineitem, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi"), "stories_covered"))
-    )
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"coverage": coverage}
+def queries() -> dict[str, Query]:
+    return {name: query for r in REGISTRIES for name, query in r.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"coverage": COVERAGE_SQL}
+    return {name: sql for r in REGISTRIES for name, sql in r.sql.items()}
