@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestra.functions.text import fold, slug
 
@@ -66,7 +67,7 @@ def canonical_checksum(value: object, drop: tuple[str, ...] = ("checksum", "gene
     return "sha256:" + hashlib.sha256(text.encode()).hexdigest()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def json_checksum(values: pd.Series) -> pd.Series:
     """``canonical_checksum`` of JSON texts; null for null."""
     return values.map(lambda x: None if x is None else canonical_checksum(json.loads(x)))

@@ -74,6 +74,6 @@ def last_json_object(text: str | None) -> str | None:
     return found
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def model_json(texts: pd.Series) -> pd.Series:
     return texts.map(last_json_object)

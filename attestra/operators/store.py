@@ -31,8 +31,8 @@ def insert_or_verify(base: DataFrame, new: DataFrame, keys: list[str], value: st
     """New keys are added; an existing key with another value fails the job that reads it."""
     old = base.select(*keys, F.col(value).alias("_old"))
     message = F.concat(F.lit("differs from the stored row: "), F.concat_ws("|", *(F.col(k).cast("string") for k in keys)))
-    joined = new.join(old, keys, "left").withColumn("_ok", F.when(F.col("_old").isNull() | (F.col("_old") == F.col(value)), True).otherwise(F.raise_error(message).cast("boolean")))
-    return base.unionByName(joined.filter("_ok AND _old IS NULL").drop("_ok", "_old"))
+    joined = new.join(old, keys, "left").withColumn("_ok", F.when(F.col("_old").isNull(), True).when(F.col("_old") == F.col(value), False).otherwise(F.raise_error(message).cast("boolean")))
+    return base.unionByName(joined.filter("_ok").drop("_ok", "_old"))
 
 
 def allocate_numbers(existing: DataFrame, new: DataFrame, key: str, low: int = 100_001, high: int = 999_999) -> DataFrame:
