@@ -1,26 +1,27 @@
-"""Schemas of the library's tables and the check at operator boundaries."""
+"""Schemas of the library's tables, as DDL, and the check at operator boundaries."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-BLOCKS = T.StructType.fromDDL("doc_key string, pos int, text string, start int, end int, kind string, section string, location string, paragraph int")
-ENTITIES = T.StructType.fromDDL("project string, entity_id string, name string, normalized_name string, entity_type string, aliases array<string>")
-MENTIONS = T.StructType.fromDDL("project string, chunk_id string, entity_id string")
-EDGES = T.StructType.fromDDL("project string, relationship_id string, chunk_id string, source_entity_id string, relationship_type string, target_entity_id string, confidence double")
-RECORDS = T.StructType.fromDDL("record_id string, record_type string, record_status string, enabled boolean, natural_key string, name string, payload string, source_sheet string, source_row int")
-BINDINGS = T.StructType.fromDDL("binding_id string, scenario_id string, execution_profile_id string, variant_id string, fixture_id string, action_sequence_id string, test_vector_ids array<string>, oracle_ids array<string>, cleanup_id string, selection_priority int, approval_status string")
-ISSUES = T.StructType.fromDDL("issue_code string, severity string, message string, record_id string, sheet string, row int, cell string")
-SYMBOLS = T.StructType.fromDDL("snapshot_id string, symbol_id string, fqn string, kind string, relative_path string, start_line int, end_line int, body_hash string")
-CODE_EDGES = T.StructType.fromDDL("snapshot_id string, edge_id string, source_symbol_id string, target_symbol_id string, relation string, confidence string")
+BLOCKS = "doc_key string, pos int, text string, start int, end int, kind string, section string, location string, paragraph int"
+ENTITIES = "project string, entity_id string, name string, normalized_name string, entity_type string, aliases array<string>"
+MENTIONS = "project string, chunk_id string, entity_id string"
+EDGES = "project string, relationship_id string, chunk_id string, source_entity_id string, relationship_type string, target_entity_id string, confidence double"
+RECORDS = "record_id string, record_type string, record_status string, enabled boolean, natural_key string, name string, payload string, source_sheet string, source_row int"
+BINDINGS = "binding_id string, scenario_id string, execution_profile_id string, variant_id string, fixture_id string, action_sequence_id string, test_vector_ids array<string>, oracle_ids array<string>, cleanup_id string, selection_priority int, approval_status string"
+ISSUES = "issue_code string, severity string, message string, record_id string, sheet string, row int, cell string"
+SYMBOLS = "snapshot_id string, symbol_id string, fqn string, kind string, relative_path string, start_line int, end_line int, body_hash string"
+CODE_EDGES = "snapshot_id string, edge_id string, source_symbol_id string, target_symbol_id string, relation string, confidence string"
 
 #: The relations of the semantic graph are given by the caller; these are the code graph's.
 CODE_RELATIONS = ("CALLS", "CONTAINS", "DECLARES", "IMPORTS", "INHERITS", "USES")
 
 
-def assert_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
+def assert_schema(df: DataFrame, ddl: str) -> DataFrame:
     """``df`` if it has the fields of ``schema`` with their types; extra fields are refused."""
+    schema = T.StructType.fromDDL(ddl)
     have = {f.name: f.dataType.simpleString() for f in df.schema}
     want = {f.name: f.dataType.simpleString() for f in schema}
     if have != want:
