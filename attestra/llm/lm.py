@@ -17,6 +17,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from attestra.llm import gru
 from attestra.llm.common import documents_of, map_arrow, materialize
 
-SHAPE = gru.Shape(hidden=8, classes=24, width=24)
+SHAPE = gru.Shape(hidden=8, classes=20, width=20)
 RARE, END = 0, 1
 #: Words whose counts are sent to every task, at some 100 bytes each.
 KNOWN_WORDS = 300_000
@@ -71,12 +72,14 @@ def _counts(counts: Counter) -> pa.RecordBatch:
 class Counts:
     n: int
     distinct: int
-    #: count and network id of the words known to every task
-    known: dict[bytes, tuple[int, int]]
+    #: words known to every task, by rank of frequency, and their counts
+    known: dict[bytes, int]
+    known_counts: np.ndarray
     #: of words that the network has only as ``RARE``
     rare_n: int
     rare_distinct: int
     network_counts: np.ndarray
+    n_end: int
 
     @property
     def base_log(self) -> float:
@@ -87,33 +90,48 @@ class Counts:
         return math.log10(self.rare_n + SMOOTHING * (self.rare_distinct + 1))
 
 
+def frequent(counted: DataFrame, most: int, column: str = "c") -> DataFrame:
+    """Rows with the greatest counts, ``most`` at most: all above a bound that a histogram of logarithms gives.
+
+    The histogram has a few hundred rows whatever the table's size, and nothing is sorted.
+    """
+    step = F.floor(F.log2(F.col(column)) * 16)
+    bins = sorted(((r["b"], r["n"]) for r in counted.groupBy(step.alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    total, least = 0, None
+    for b, n in bins:
+        total += n
+        if total > most:
+            break
+        least = b
+    return counted.filter(step >= least) if least is not None else counted.limit(0)
+
+
 def gather(counted: DataFrame, shape: gru.Shape, known_words: int) -> Counts:
-    """Totals, and the ``known_words`` most frequent words (ties by word)."""
+    """Totals, and up to ``known_words`` of the most frequent words (ties by word)."""
     n, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counted.filter(F.col("word") != END_WORD).orderBy(F.col("c").desc(), "word").limit(known_words)
-    rows = sorted(((bytes(r["word"]), r["c"]) for r in materialize(top).toLocalIterator()), key=lambda x: (-x[1], x[0]))
-    own = shape.vocabulary - 2
-    known = {w: (c, k + 2 if k < own else RARE) for k, (w, c) in enumerate(rows)}
     n_end = next((r["c"] for r in counted.filter(F.col("word") == END_WORD).collect()), 0)
+    top = frequent(counted.filter(F.col("word") != END_WORD), known_words)
+    rows = sorted(((bytes(r["word"]), r["c"]) for r in top.toLocalIterator()), key=lambda x: (-x[1], x[0]))
+    own = min(shape.vocabulary - 2, len(rows))
     network = np.zeros(shape.vocabulary)
     network[END] = n_end
-    network[2 : 2 + min(own, len(rows))] = [c for _, c in rows[:own]]
+    network[2 : 2 + own] = [c for _, c in rows[:own]]
     network[RARE] = n - network.sum()
-    if n_end:
-        known[END_WORD] = (n_end, END)
-    return Counts(n, distinct, known, int(network[RARE]), max(0, distinct - 1 - min(own, len(rows))), network)
+    counts = np.array([c for _, c in rows], dtype=np.float64)
+    return Counts(n, distinct, {w: k for k, (w, _) in enumerate(rows)}, counts, int(network[RARE]), max(0, distinct - 1 - own), network, n_end)
 
 
-def _packs(batches: Iterator[pa.RecordBatch], column: int, known: dict) -> Iterator[tuple[list, list]]:
-    """(rows, network ids of their texts) in packs of about ``PACK_TOKENS`` tokens; a row is (batch, place, words)."""
+def _packs(batches: Iterator[pa.RecordBatch], column: int, known: dict, own: int) -> Iterator[tuple[list, list]]:
+    """(rows, network ids of their texts) in packs of about ``PACK_TOKENS`` tokens; a row is (batch, place, words, ranks)."""
     rows, ids, size = [], [], 0
     for batch in batches:
         for k, text in enumerate(batch.column(column).to_pylist()):
             words = words_of(text)
-            got = [known[w][1] if w in known else RARE for w in words]
-            got.append(END)
-            rows.append((batch, k, words))
-            ids.append(np.array(got, dtype=np.int32))
+            ranks = np.fromiter(map(known.get, words, repeat(-1)), dtype=np.int32, count=len(words))
+            got = np.full(len(words) + 1, END, dtype=np.int32)
+            got[:-1] = np.where((ranks >= 0) & (ranks < own), ranks + 2, RARE)
+            rows.append((batch, k, words, ranks))
+            ids.append(got)
             size += len(got)
             if size >= PACK_TOKENS:
                 yield rows, ids
@@ -145,7 +163,7 @@ def train(texts: DataFrame, counts: Counts, shape: gru.Shape, rounds: int) -> np
     """The network after all rounds; ``texts`` has (text, round)."""
     spark = texts.sparkSession
     flat = gru.initial(shape, counts.network_counts)
-    known = spark.sparkContext.broadcast(counts.known)
+    known, own_words = spark.sparkContext.broadcast(counts.known), shape.vocabulary - 2
     n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
     for k in range(rounds):
         start = spark.sparkContext.broadcast(flat)
@@ -153,7 +171,7 @@ def train(texts: DataFrame, counts: Counts, shape: gru.Shape, rounds: int) -> np
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             own, tokens = start.value.copy(), 0
             squares = np.full_like(own, 1e-4)
-            for _, ids in _packs(batches, 0, known.value):
+            for _, ids in _packs(batches, 0, known.value, own_words):
                 gru.train(own, squares, shape, ids)
                 tokens += sum(map(len, ids))
             if tokens:
@@ -170,35 +188,30 @@ FIRST = "row_doc long, held_out boolean, n_tokens long, n_known long, base doubl
 def first_pass(docs: DataFrame, counts: Counts, flat: np.ndarray, shape: gru.Shape) -> DataFrame:
     """Sums of each text over the words known to every task, the network's log10 probability, and the other words with their numbers."""
     sc = docs.sparkSession.sparkContext
-    known, model = sc.broadcast(counts.known), sc.broadcast(flat)
-    kinds = pa.schema([("row_doc", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), *((x, pa.float64()) for x in ("base", "network", "rare")), ("n_rare", pa.int64()), ("others", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])))])
+    known, model, logs_of = sc.broadcast(counts.known), sc.broadcast(flat), sc.broadcast(np.log10(counts.known_counts + SMOOTHING))
+    own, end_log, end_known = shape.vocabulary - 2, math.log10(counts.n_end + SMOOTHING), int(counts.n_end > 0)
+    names = [x.split()[0] for x in FIRST.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = known.value
-        logs = {w: math.log10(c + SMOOTHING) for w, (c, _) in table.items()}
-        for rows, ids in _packs(batches, 1, table):
+        logs = logs_of.value
+        for rows, ids in _packs(batches, 1, known.value, own):
             network = gru.score(model.value, shape, ids) / math.log(10)
-            out = []
-            for k, (batch, place, words) in enumerate(rows):
-                base, rare, n_known, n_rare, others = 0.0, 0.0, 0, 0, {}
-                for w in (*words, END_WORD):
-                    x = logs.get(w)
-                    if x is None:
-                        others[w] = others.get(w, 0) + 1
-                        continue
-                    base += x
-                    n_known += 1
-                    if table[w][1] == RARE:
-                        rare += x
-                        n_rare += 1
-                out.append({
-                    "row_doc": batch.column(0)[place].as_py(), "held_out": batch.column(2)[place].as_py(), "n_tokens": len(words) + 1, "n_known": n_known,
-                    "base": base, "network": float(network[k]), "rare": rare, "n_rare": n_rare, "others": [{"word": w, "n": n} for w, n in others.items()],
-                })
-                if len(out) == 1000:
-                    yield pa.RecordBatch.from_pylist(out, schema=kinds)
-                    out = []
-            yield pa.RecordBatch.from_pylist(out, schema=kinds)
+            out, words_out, numbers, ends = [], [], [], [0]
+            for k, (batch, place, words, ranks) in enumerate(rows):
+                seen = ranks[ranks >= 0]
+                rare = seen[seen >= own]
+                others = Counter(map(words.__getitem__, np.flatnonzero(ranks < 0).tolist()))
+                words_out += others.keys()
+                numbers += others.values()
+                ends.append(len(words_out))
+                base = float(logs[seen].sum()) + end_log
+                out.append((batch.column(0)[place].as_py(), batch.column(2)[place].as_py(), len(words) + 1, len(seen) + end_known, base, float(network[k]), float(logs[rare].sum()), len(rare)))
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
+            columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]
+            pairs = pa.StructArray.from_arrays([pa.array(words_out, pa.binary()), pa.array(numbers, pa.int32())], names=["word", "n"])
+            whole = pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], names=names)
+            for at in range(0, whole.num_rows, 1000):
+                yield whole.slice(at, 1000)
 
     return map_arrow(docs, FIRST, run)
 
