@@ -33,7 +33,7 @@ RARE, END = 0, 1
 KNOWN_WORDS = 300_000
 #: Tokens that a task packs into lanes at once, about; and words it counts before it sends counts on.
 PACK_TOKENS = 1_000_000
-COUNTED = 200_000
+COUNTED = 400_000
 ROUNDS = 2
 SMOOTHING = 0.5
 END_WORD = b"\n"

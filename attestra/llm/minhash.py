@@ -7,9 +7,10 @@ each link is confirmed by the exact Jaccard similarity of the whole shingle sets
 
 Documents with equal sets are one representative from the start. In a bucket every
 member is compared with its least one. Members of one component need no more
-comparison; in a bucket that still holds several components, each member outside the
-largest of them is compared with all members of other components. So each pair in a
-bucket is either compared or already connected.
+comparison. In a bucket that holds several components, members outside the largest are
+compared with a few members of it, for some rounds; in the end each one still outside is
+compared with all members of other components. So each pair in a bucket is either
+compared or already connected.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from attestra.llm.components import connected_components
 BANDS, ROWS = 32, 4
 PERCENT = 80
 WORDS_KEPT = 1_000_000
+#: Rounds in which members outside a bucket's largest component meet up to ``GUIDES`` members of it, before all that are left are compared.
+GUIDED, GUIDES = 3, 4
 
 
 class WordHashes(dict):
@@ -160,16 +163,25 @@ def near_duplicates(df: DataFrame, size: int, percent: int = PERCENT, bands: int
     members = reps.select(F.explode("bands").alias("bucket"), "rep", "n")
 
     pivots = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("pivot"), F.count("*").alias("size")).filter("size > 1").select("bucket", "pivot")
+    shared = materialize(members.join(pivots, "bucket"))
+    texts = materialize(docs.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     fits = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * percent
-    stars = members.join(pivots, "bucket").filter((F.col("rep") != F.col("pivot.rep")) & fits(F.col("n"), F.col("pivot.n")))
+    stars = shared.filter((F.col("rep") != F.col("pivot.rep")) & fits(F.col("n"), F.col("pivot.n")))
     tried = materialize(stars.select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b")).distinct())
-    links = materialize(verify(tried, docs, size, percent).unionByName(_by_id(some, reps)))
+    links = materialize(verify(tried, texts, size, percent).unionByName(_by_id(some, reps)))
     components = materialize(connected_components(links))
 
-    rest = materialize(_between_components(members, components, fits).join(tried, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = materialize(verify(rest, docs, size, percent))
-        components = materialize(connected_components(links.unionByName(more)))
+    held = shared.select("bucket", "rep", "n")
+    for k in range(GUIDED + 1):
+        held = materialize(_mixed(held, components))
+        if held.isEmpty():
+            break
+        pairs = _guided(held, fits, k) if k < GUIDED else _between_components(held, fits)
+        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"))
+        links = links.unionByName(materialize(verify(pairs, texts, size, percent)))
+        tried = tried.unionByName(pairs)
+        components = materialize(connected_components(links))
+        held = held.select("bucket", "rep", "n")
 
     named = reps.join(components, reps["rep"] == components["node"], "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     linked = some.select("doc_id", "n_shingles", "set_id").join(named, "set_id").select("doc_id", "n_shingles", "component_id")
@@ -184,13 +196,24 @@ def _by_id(some: DataFrame, reps: DataFrame) -> DataFrame:
     return sets.join(several, "doc_id").select("a", F.col("rep").alias("b")).filter("a < b").distinct()
 
 
-def _between_components(members: DataFrame, components: DataFrame, fits) -> DataFrame:
+def _mixed(held: DataFrame, components: DataFrame) -> DataFrame:
+    """Members (bucket, rep, n, component, top) of the buckets that hold several components; ``top`` is the bucket's largest."""
+    labelled = held.join(components, held["rep"] == components["node"], "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    parts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    mixed = parts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("t"), F.count("*").alias("parts")).filter("parts > 1")
+    return labelled.join(mixed.select("bucket", F.col("t.component").alias("top")), "bucket")
+
+
+def _guided(held: DataFrame, fits, k: int) -> DataFrame:
+    """Each member outside the largest component with a few members of it, others in each round; what is linked so needs no comparison with the rest."""
+    chosen = held.filter(F.col("component") == F.col("top")).groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", "bucket", F.lit(k)).alias("h"), "rep", "n")).alias("g"))
+    met = held.filter(F.col("component") != F.col("top")).join(chosen, "bucket").filter(fits(F.col("n"), F.col("g.n")))
+    few = met.groupBy("rep").agg(F.slice(F.array_sort(F.collect_set(F.struct("g.h", F.col("g.rep").alias("x")))), 1, GUIDES).alias("gs"))
+    return few.select("rep", F.explode("gs").alias("g")).select(F.least("rep", "g.x").alias("a"), F.greatest("rep", "g.x").alias("b")).distinct()
+
+
+def _between_components(held: DataFrame, fits) -> DataFrame:
     """Distinct pairs of representatives that share a bucket and are in different components."""
-    labelled = members.join(components, members["rep"] == components["node"], "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-    held = materialize(labelled.join(mixed, "bucket", "left_semi"))
-    parts = held.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    largest = parts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top")).select("bucket", F.col("top.component").alias("top"))
-    outside = held.join(largest, "bucket").filter(F.col("component") != F.col("top")).select("bucket", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
+    outside = held.filter(F.col("component") != F.col("top")).select("bucket", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
     pairs = outside.join(held, "bucket").filter((F.col("cx") != F.col("component")) & fits(F.col("n"), F.col("nx")))
     return pairs.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()

@@ -1,10 +1,12 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 No piece goes on after a word's end into the next white space, so a text is a row of
-words (white space first) that are encoded one by one, and each distinct word only once:
-its substrings, up to the longest piece, are exploded and joined to the piece table; the
-edges found are grouped by word; and a fold over them, with higher-order functions, gives
-the word's pieces. For a unigram model the fold is Viterbi: the path of the best sum of
+words (white space first) that are encoded one by one. The frequent words are encoded
+once for all: their substrings, up to the longest piece, are exploded and joined to the
+piece table; the edges found are grouped by word; and a fold over them, with higher-order
+functions, gives the word's pieces. Other words, however many, would have to be joined
+back to the texts that have them; they go through the same lattice and fold where they
+are met, in the tasks that assemble the texts. For a unigram model the fold is Viterbi: the path of the best sum of
 scores. For a BPE model that path is not what the library gives, so there the fold merges:
 each step takes the best-scored edge that spans exactly two of the current symbols, the
 leftmost of equals. What no piece covers falls back to bytes, or to the unknown piece.
@@ -12,7 +14,9 @@ leftmost of equals. What no piece covers falls back to bytes, or to the unknown
 
 from __future__ import annotations
 
+import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -23,11 +27,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm.common import documents_of, map_arrow, materialize
+from attestra.llm.lm import frequent
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Words sent to every task, the most frequent ones; at some 100 bytes each. Other words reach their documents by a join.
-KNOWN_WORDS = 1_000_000
+#: Words encoded once and sent to every task, the most frequent ones; at some 100 bytes each.
+KNOWN_WORDS = 300_000
+#: Other words that a task remembers; it starts anew beyond.
+MET_WORDS = 300_000
+#: Characters beyond which a heap is worth its cost.
+SHORT_WORD = 64
 BPE, UNIGRAM = 2, 1
 
 
@@ -94,10 +103,11 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     spark = words.sparkSession
     table = F.broadcast(spark.createDataFrame(list(pieces.rows), "piece string, id int, score double"))
     size = F.length("word")
-    starts = words.select("word", size.alias("size"), F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
+    starts = words.select("word").repartition("word").select("word", size.alias("size"), F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
     ends = starts.select("word", "size", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("size"), F.col("start") + pieces.longest))).alias("end"))
     parts = ends.withColumn("piece", F.expr("substring(word, start + 1, end - start)"))
     edge = F.struct("start", "end", "score", "id")
+    # dealt by word before, so a word's edges are where the word was
     return parts.join(table, "piece", "left").groupBy("word").agg(F.first("size").alias("size"), F.collect_list(F.when(F.col("id").isNotNull(), edge)).alias("edges"))
 
 
@@ -178,27 +188,124 @@ def decode_ids(ids: list[int], texts: list[bytes]) -> str:
     return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
+class WordLattice:
+    """The lattice and folds of single words, in a task."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.table = {p: (score, i) for p, i, score in pieces.rows}
+        self.scores, self.numbers = {p: score for p, _, score in pieces.rows}, {p: i for p, i, _ in pieces.rows}
+        self.unknown_score = min(score for _, _, score in pieces.rows) - 10.0
+        #: Words met so far, and those met before ``met`` was last full.
+        self.met: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def ids(self, word: str) -> bytes:
+        got = self.met.get(word)
+        if got is None:
+            if len(self.met) >= MET_WORDS:
+                self.met, self.older = {}, self.met
+            got = self.met[word] = self.older.get(word) or self.encode(word)
+        return got
+
+    def encode(self, word: str) -> bytes:
+        if self.pieces.kind == UNIGRAM:
+            parts = self.viterbi(word)
+        else:
+            parts = self.merge(word) if len(word) <= SHORT_WORD else self.merge_long(word)
+        ids = list(map(self.numbers.get, parts))
+        if None in ids:
+            ids = [i for p in parts for i in self.of_piece(p)]
+        return array("i", ids).tobytes()
+
+    def of_piece(self, piece: str) -> list[int]:
+        if piece in self.numbers:
+            return [self.numbers[piece]]
+        first = self.pieces.first_byte
+        return [self.pieces.unknown] if first is None else [first + b for b in piece.encode("utf-8", "surrogatepass")]
+
+    def merge(self, word: str) -> list[str]:
+        """The best edge over two neighbours is merged, the leftmost of equals, until there is none."""
+        parts, get, none = list(word), self.scores.get, float("-inf")
+        scores = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while scores:
+            best = max(scores)
+            if best == none:
+                break
+            i = scores.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            if i < len(scores):
+                scores[i] = get(parts[i] + parts[i + 1], none)
+            if i:
+                scores[i - 1] = get(parts[i - 1] + parts[i], none)
+        return parts
+
+    def merge_long(self, word: str) -> list[str]:
+        """The same with a heap; an edge whose symbols have changed since is passed over."""
+        scores, parts = self.scores, list(word)
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        heap: list[tuple[float, int, str]] = []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < len(parts) and (joined := parts[i] + parts[j]) in scores:
+                heapq.heappush(heap, (-scores[joined], i, joined))
+
+        for i in range(len(parts) - 1):
+            offer(i)
+        while heap:
+            _, i, joined = heapq.heappop(heap)
+            j = after[i] if parts[i] else len(parts)
+            if j >= len(parts) or parts[i] + parts[j] != joined:
+                continue
+            parts[i], parts[j], after[i] = joined, "", after[j]
+            if after[i] < len(parts):
+                before[after[i]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return [p for p in parts if p]
+
+    def viterbi(self, word: str) -> list[str]:
+        best = [(0.0, 0)] + [(float("-inf"), 0)] * len(word)
+        for end in range(1, len(word) + 1):
+            for start in range(max(0, end - self.pieces.longest), end):
+                piece = word[start:end]
+                score = self.table[piece][0] if piece in self.table else self.unknown_score if end - start == 1 else None
+                if score is not None:
+                    best[end] = max(best[end], (best[start][0] + score, start))
+        cuts = [len(word)]
+        while cuts[-1]:
+            cuts.append(best[cuts[-1]][1])
+        return [word[a:b] for b, a in zip(cuts, cuts[1:])][::-1]
+
+
+@lru_cache(maxsize=2)
+def word_lattice(pieces: Pieces) -> WordLattice:
+    return WordLattice(pieces)
+
+
 ENCODED = "doc_id long, n_pieces long, ids array<int>, round_trip boolean"
 
 
-def assemble(docs: DataFrame, known: dict[str, bytes], pieces: Pieces, with_rest: bool) -> DataFrame:
-    """Documents (with ``rest``: the words beyond ``known`` and their ids) to their ids, decoded again as a check."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+def assemble(docs: DataFrame, known: dict[str, bytes], pieces: Pieces) -> DataFrame:
+    """Documents to their ids, decoded again as a check."""
+    sc = docs.sparkSession.sparkContext
+    shared, model = sc.broadcast(known), sc.broadcast(pieces)
     pattern, texts = word_pattern(pieces), piece_texts(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, table = re.compile(pattern).findall, shared.value
+        find, table, other = re.compile(pattern).findall, shared.value, word_lattice(model.value).ids
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                rest = part.column(2).to_pylist() if with_rest else [None] * part.num_rows
                 data, same = [], []
-                for text, more in zip(part.column(1).to_pylist(), rest):
+                for text in part.column(1).to_pylist():
                     words = find(SPACE + text.replace(" ", SPACE)) if text else []
                     got = list(map(table.get, words))
                     if None in got:
-                        own = {r["word"]: _as_bytes(r["ids"]) for r in more}
-                        got = [own[w] if x is None else x for w, x in zip(words, got)]
+                        got = [other(w) if x is None else x for w, x in zip(words, got)]
                     data.append(b"".join(got))
                     same.append(decode_ids(np.frombuffer(data[-1], dtype="<i4").tolist(), texts) == text.replace(SPACE, " "))
                 counts = np.array([len(x) // 4 for x in data], dtype=np.int64)
@@ -212,45 +319,11 @@ def assemble(docs: DataFrame, known: dict[str, bytes], pieces: Pieces, with_rest
 def encode_documents(df: DataFrame, model: str = MODEL, known_words: int = KNOWN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_pieces, ids, round_trip (decoding the ids gives the text, U+2581 read as a space) for each row.
 
-    Ids are the library's for the whole text. A null or empty text has none. Up to
-    ``known_words`` distinct words go to every task; beyond that, the most frequent ones
-    do, and each other word's ids are joined to the documents that have it.
+    Ids are the library's for the whole text, whatever ``known_words`` is. A null or
+    empty text has none. Rows with the same id stay apart.
     """
     pieces = load_pieces(model)
     docs = documents_of(df, id_col, text_col)
-    counted = materialize(distinct_words(docs, pieces))
-    encoded = materialize(encode_words(counted, pieces))
-    n_words = counted.count()
-    if n_words <= known_words:
-        known = encoded
-        rest = None
-    else:
-        order = counted.orderBy(F.col("n").desc(), "word").limit(known_words).select("word")
-        order = materialize(order)
-        known = encoded.join(order, "word", "left_semi")
-        rest = materialize(encoded.join(order, "word", "left_anti"))
-    table = {r["word"]: _as_bytes(r["ids"]) for r in known.toLocalIterator()}
-    if rest is None:
-        return assemble(docs, table, pieces, with_rest=False)
-    keyed = docs.withColumn("key", F.xxhash64("doc_id", "text")).withColumn("key2", F.crc32(F.col("text").cast("binary")))
-    found = missing_words(keyed, table, pieces).join(rest, "word").groupBy("key", "key2").agg(F.collect_list(F.struct("word", "ids")).alias("rest"))
-    held = keyed.join(found, ["key", "key2"], "left").select("doc_id", "text", "rest")
-    return assemble(held, table, pieces, with_rest=True)
-
-
-def missing_words(keyed: DataFrame, known: dict[str, bytes], pieces: Pieces) -> DataFrame:
-    """Distinct (key, key2, word) of words that are not in ``known``."""
-    shared = keyed.sparkSession.sparkContext.broadcast(frozenset(known))
-    pattern = word_pattern(pieces)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, table = re.compile(pattern).findall, shared.value
-        for batch in batches:
-            rows = []
-            for text, key, key2 in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if text:
-                    rows += [(key, key2, w) for w in set(find(SPACE + text.replace(" ", SPACE))) - table]
-            kinds = (pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["key", "key2", "word"])
-
-    return map_arrow(keyed.select("text", "key", "key2"), "key long, key2 long, word string", run).distinct()
+    top = materialize(frequent(materialize(distinct_words(docs, pieces)), known_words, "n"))
+    encoded = materialize(encode_words(top, pieces))
+    return assemble(docs, {r["word"]: _as_bytes(r["ids"]) for r in encoded.toLocalIterator()}, pieces)
