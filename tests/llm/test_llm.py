@@ -264,6 +264,16 @@ def test_chains_against_all_chains():
     assert substring.aligned([b"a", b"b", b"c"], [b"a", b"x", b"c"]) == 2
 
 
+def test_a_long_chain_hides_no_chain_after_it():
+    first = [(x, x) for x in range(0, 192, 8)]
+    second = [(x, x + 300) for x in (250, 258, 266, 275, 283)]
+    x, y = zip(*first, *second)
+    assert substring.chains(list(x), list(y), k=8) == [(0, 192, 0, 192), (250, 291, 550, 591)]
+    second = [(x, x) for x in (250, 258, 266, 275, 283)]
+    x, y = zip(*first, *second)
+    assert substring.chains(list(x), list(y), k=8) == [(0, 192, 0, 192), (250, 291, 250, 291)]
+
+
 def test_sentencepiece_matches_the_library(spark, docs, corpus, empty, odd):
     import public_tokenizers
     import sentencepiece as library
