@@ -243,6 +243,22 @@ def test_fuzzy_passage_is_found(spark, words):
     assert r["doc_id"] == 2 and r["source_ids"] == [1] and r["start_word"] <= 22 and r["end_word"] >= 138
 
 
+def test_passages_with_an_edit_every_few_words_are_found(spark):
+    rng = random.Random(21)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, shared = [], {}
+    for k in range(120):
+        p, step = text(60), 10 + k % 6
+        q = [w if (i + k) % step else "edit" for i, w in enumerate(p)]
+        rows += [(k, " ".join(text(40) + p + text(40))), (1000 + k, " ".join(text(40) + q + text(40)))]
+        shared[1000 + k] = {i for i, w in enumerate(q, 40) if w != "edit"}
+    found = defaultdict(set)
+    for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r["source_ids"] == [r["doc_id"] - 1000]
+        found[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    assert {k: len(s - found[k]) for k, s in shared.items() if len(s - found[k]) > 5} == {}
+
+
 def test_cut_passages_keeps_rows_columns_and_first_occurrences(docs, corpus, odd, empty):
     got = by_id(substring.cut_passages(docs))
     assert len(got) == len(corpus) and got[0]["text"] == corpus[0][1] and got[31]["text"] == ""
