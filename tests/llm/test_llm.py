@@ -259,6 +259,26 @@ def test_passages_with_an_edit_every_few_words_are_found(spark):
     assert {k: len(s - found[k]) for k, s in shared.items() if len(s - found[k]) > 5} == {}
 
 
+@pytest.mark.parametrize("partitions", [1, 40])
+def test_a_run_of_a_passage_in_an_earlier_text_hides_no_source(spark, partitions):
+    rng = random.Random(22)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(0, 300, 3):
+        ends = 1 + k % 8
+        p = text(49 + 2 * ends)
+        rows += [(k, " ".join(text(30) + p[ends:-ends] + text(30))), *((k + i, " ".join(text(30) + p + text(30))) for i in (1, 2))]
+    a, b = text(30), text(25)
+    rows += [(900, " ".join(text(20) + a + text(20))), (901, " ".join(text(20) + b + text(20))), (902, " ".join(text(20) + a + b + text(20)))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = by_id(substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(got) == list(range(2, 300, 3)) and all(r["source_ids"] == [k - 1] for k, r in got.items())
+
+
 def test_cut_passages_keeps_rows_columns_and_first_occurrences(docs, corpus, odd, empty):
     got = by_id(substring.cut_passages(docs))
     assert len(got) == len(corpus) and got[0]["text"] == corpus[0][1] and got[31]["text"] == ""
