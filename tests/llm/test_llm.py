@@ -288,6 +288,18 @@ def test_cut_passages_keeps_rows_columns_and_first_occurrences(docs, corpus, odd
     assert got[35]["text"] == corpus[35][1] and len(passage & set((got[36]["text"] or "").encode().lower().split())) < 30
 
 
+def test_rows_that_share_an_id_or_have_none_are_searched(spark):
+    rng = random.Random(23)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    a, b, end = text(70), text(70), text(20)
+    rows = [(5, a), (5, a), (9, f"{text(30)} {a} {end}"), (None, f"{b} {text(10)}"), (7, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["end_word"] - r["start_word"], r["source_ids"]) for r in substring.repeated_passages(df).collect()]
+    assert sorted(got, key=str) == [(5, 70, [5]), (9, 70, [5]), (None, 70, [7])]
+    left = sorted((r["doc_id"] or 0, len(r["text"].split())) for r in substring.cut_passages(df).collect())
+    assert left == [(0, 10), (5, 0), (5, 70), (7, 70), (9, 50)]
+
+
 def test_chains_against_all_chains():
     rng = random.Random(9)
     for _ in range(60):

@@ -37,6 +37,14 @@ def test_stages(spark, corpus, words, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == sizes[-1]
 
 
+def test_near_dedup_keeps_one_of_repeated_rows(spark):
+    rows = [(5, "a b c d e f g", "en"), (5, "a b c d e f g", "en"), (5, "q r s t u v w", "en"), (6, "h i j k l m n", "en"), (None, "x y", "en"), (None, "x y", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame(rows[1:], docs.schema).collect()))
+
+
 def test_each_operator_is_registered():
     names = __spark_entry__.queries()
     assert all(any(x.startswith(f"op{n}_") for x in names) for n in range(1, 11)) and "pipeline" in names
