@@ -68,21 +68,22 @@ def merged_neighbours(seeds: DataFrame, edges: DataFrame, relations: tuple[str,
     return grouped.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit).drop("n")
 
 
-def closure(roots: DataFrame, references: DataFrame, rounds: int = 50) -> DataFrame:
+def closure(roots: DataFrame, references: DataFrame) -> DataFrame:
     """(root, record_id, round): all records reached by (from_id, to_id), in rounds until nothing is new.
 
     Each round is checkpointed in the session's shared folder, so plans do not grow and a
-    lost executor costs one round.
+    lost executor costs one round. Each adds records to ``seen``, so the rounds end.
     """
     references = references.select(F.col("from_id").alias("record_id"), F.col("to_id").alias("next")).distinct()
-    seen = roots.select(F.col("root"), F.col("record_id"), F.lit(0).alias("round")).distinct()
-    front = seen
-    for k in range(1, rounds + 1):
+    seen = front = durable(roots.select(F.col("root"), F.col("record_id"), F.lit(0).alias("round")).distinct())
+    k = 0
+    while not front.isEmpty():
+        k += 1
         reached = front.join(references, "record_id").select("root", F.col("next").alias("record_id")).distinct()
         front = durable(reached.join(seen.select("root", "record_id"), ["root", "record_id"], "left_anti").withColumn("round", F.lit(k)))
-        if front.isEmpty():
-            break
         seen = seen.unionByName(front)
+        if k % 10 == 0:
+            seen = durable(seen)
     return seen
 
 

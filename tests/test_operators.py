@@ -103,6 +103,12 @@ def test_paths_need_an_allowed_edge_and_use_none_twice(spark):
     assert all(len(set(r["edges"])) == len(r["edges"]) for r in found.collect())
 
 
+def test_closure_of_a_long_chain(spark):
+    refs = spark.createDataFrame([(f"r{k}", f"r{k + 1}") for k in range(60)] + [("r60", "r0")], "from_id string, to_id string")
+    got = graph.closure(spark.createDataFrame([("r0", "r0")], "root string, record_id string"), refs)
+    assert {r["record_id"]: r["round"] for r in got.collect()} == {f"r{k}": k for k in range(61)}
+
+
 def test_closures_by_key_and_by_value(spark):
     records = spark.createDataFrame([(x,) for x in "abcd"], "record_id string")
     leaves = spark.createDataFrame([("a", "step_ids", "string", "b"), ("b", "note", "string", "c"), ("c", "next_id", "string", "a")], "record_id string, key string, kind string, value string")
