@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-LANES = 512
+LANES = 256
 WINDOW = 32
 RATE = 0.08
 CLIP = 5.0

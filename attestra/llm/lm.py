@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 from attestra.llm import gru
 from attestra.llm.common import documents_of, map_arrow, materialize
 
-SHAPE = gru.Shape(hidden=8, classes=20, width=20)
+SHAPE = gru.Shape(hidden=8, classes=24, width=24)
 RARE, END = 0, 1
 #: Words whose counts are sent to every task, at some 100 bytes each.
 KNOWN_WORDS = 300_000
 #: Tokens that a task packs into lanes at once, about; and words it counts before it sends counts on.
 PACK_TOKENS = 1_000_000
 COUNTED = 400_000
+#: Training tokens of a task and round, about, whatever the input's partitions: so many updates has each copy.
+TASK_TOKENS = 2_000_000
 ROUNDS = 2
 SMOOTHING = 0.5
 END_WORD = b"\n"
@@ -160,11 +162,13 @@ def average(models: DataFrame, start: np.ndarray, n_parts: int) -> np.ndarray:
 
 
 def train(texts: DataFrame, counts: Counts, shape: gru.Shape, rounds: int) -> np.ndarray:
-    """The network after all rounds; ``texts`` has (text, round)."""
+    """The network after all rounds; ``texts`` has (text, round, h). Its partitions play no part."""
     spark = texts.sparkSession
     flat = gru.initial(shape, counts.network_counts)
     known, own_words = spark.sparkContext.broadcast(counts.known), shape.vocabulary - 2
     n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    n_tasks = max(1, round(counts.n / rounds / TASK_TOKENS))
+    order = ("h", F.xxhash64("text"))
     for k in range(rounds):
         start = spark.sparkContext.broadcast(flat)
 
@@ -177,7 +181,7 @@ def train(texts: DataFrame, counts: Counts, shape: gru.Shape, rounds: int) -> np
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary()), pa.array([tokens], pa.int64())], names=["flat", "tokens"])
 
-        models = materialize(map_arrow(texts.filter(F.col("round") == k).select("text"), "flat binary, tokens long", run))
+        models = materialize(map_arrow(texts.filter(F.col("round") == k).repartition(n_tasks, *order).sortWithinPartitions(*order).select("text"), "flat binary, tokens long", run))
         flat = average(models, flat, n_parts)
     return flat
 
@@ -225,7 +229,7 @@ def lm_scores(df: DataFrame, shape: gru.Shape = SHAPE, known_words: int = KNOWN_
     those of the smoothing alone, and the network is as it begins.
     """
     docs = documents_of(df, id_col, text_col).withColumn("h", id_hash(F.col("doc_id"))).withColumn("held_out", F.col("h") % 5 == 1)
-    training = docs.filter(~F.col("held_out")).select("text", (F.floor(F.col("h") / 5) % rounds).cast("int").alias("round"))
+    training = docs.filter(~F.col("held_out")).select("text", "h", (F.floor(F.col("h") / 5) % rounds).cast("int").alias("round"))
     counted = materialize(count_words(training.select("text")))
     counts = gather(counted, shape, known_words)
     flat = train(training, counts, shape, rounds)

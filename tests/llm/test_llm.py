@@ -160,6 +160,11 @@ def test_recurrent_scores(docs, corpus, empty, odd):
     assert lm.lm_scores(odd).count() == 4
 
 
+def test_the_inputs_partitions_do_not_change_what_is_learned(docs):
+    one, many = (by_id(lm.lm_scores(docs.repartition(n), known_words=50)) for n in (1, 13))
+    assert all(one[k]["score"] == pytest.approx(many[k]["score"], rel=1e-6) for k in one)
+
+
 def test_the_network_learns_and_its_gradients_are_right():
     shape = gru.Shape(4, 3, 3)
     rng = np.random.default_rng(0)
