@@ -8,9 +8,12 @@ each link is confirmed by the exact Jaccard similarity of the whole shingle sets
 Documents with equal sets are one representative from the start. In a bucket every
 member is compared with its least one. Members of one component need no more
 comparison. In a bucket that holds several components, members outside the largest are
-compared with a few members of it, for some rounds; in the end each one still outside is
-compared with all members of other components. So each pair in a bucket is either
-compared or already connected.
+compared, for some rounds, with a few members of it and of the others. In the end each one
+still outside is compared with those members of other components that a prefix filter
+leaves: shingles are ordered from the rarest on, and two sets that are similar enough share
+one near enough to the front of both. A family whose members have the same text but for
+changes of their own shares none there, so its pairs are never made. So each similar pair
+in a bucket is either compared or already connected.
 """
 
 from __future__ import annotations
@@ -25,14 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm.common import documents_of, map_arrow, materialize
-from attestra.llm.components import connected_components
+from attestra.llm.components import joined_components
 
 #: 32 bands of 4: a pair at similarity 0.8 shares no band with probability (1 - 0.8**4)**32 < 5e-8.
 BANDS, ROWS = 32, 4
 PERCENT = 80
 WORDS_KEPT = 1_000_000
-#: Rounds in which members outside a bucket's largest component meet up to ``GUIDES`` members of it, before all that are left are compared.
-GUIDED, GUIDES = 3, 4
+#: Rounds in which members outside a bucket's largest component meet up to ``GUIDES`` other members, before the prefix filter.
+GUIDED, GUIDES = 2, 4
+#: Set sizes are classed by powers of this; a set looks for partners of one class at a time.
+SIZE_CLASS = 1.1
 
 
 class WordHashes(dict):
@@ -162,28 +167,29 @@ def near_duplicates(df: DataFrame, size: int, percent: int = PERCENT, bands: int
     reps = materialize(least.select("set_id", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands")))
     members = reps.select(F.explode("bands").alias("bucket"), "rep", "n")
 
-    pivots = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("pivot"), F.count("*").alias("size")).filter("size > 1").select("bucket", "pivot")
+    # written first, so that a frequent bucket can be split when members are joined to it
+    pivots = materialize(members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("pivot"), F.count("*").alias("size")).filter("size > 1").select("bucket", "pivot"))
     shared = materialize(members.join(pivots, "bucket"))
-    texts = materialize(docs.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    nodes = shared.select(F.col("rep").alias("node")).distinct()
+    texts = materialize(docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi"))
     fits = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * percent
     stars = shared.filter((F.col("rep") != F.col("pivot.rep")) & fits(F.col("n"), F.col("pivot.n")))
     tried = materialize(stars.select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b")).distinct())
-    links = materialize(verify(tried, texts, size, percent).unionByName(_by_id(some, reps)))
-    components = materialize(connected_components(links))
+    links = verify(tried, texts, size, percent).unionByName(_by_id(some, reps))
+    components = joined_components(reps.select(F.col("rep").alias("node"), F.col("rep").alias("component")), links)
 
     held = shared.select("bucket", "rep", "n")
     for k in range(GUIDED + 1):
         held = materialize(_mixed(held, components))
         if held.isEmpty():
             break
-        pairs = _guided(held, fits, k) if k < GUIDED else _between_components(held, fits)
+        pairs = _guided(held, fits, k) if k < GUIDED else _by_prefix(held, texts, size, percent)
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"))
-        links = links.unionByName(materialize(verify(pairs, texts, size, percent)))
+        components = joined_components(components, verify(pairs, texts, size, percent))
         tried = tried.unionByName(pairs)
-        components = materialize(connected_components(links))
         held = held.select("bucket", "rep", "n")
 
-    named = reps.join(components, reps["rep"] == components["node"], "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
+    named = reps.join(components, reps["rep"] == components["node"]).select("set_id", F.col("component").alias("component_id"))
     linked = some.select("doc_id", "n_shingles", "set_id").join(named, "set_id").select("doc_id", "n_shingles", "component_id")
     alone = sketched.filter((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -198,22 +204,60 @@ def _by_id(some: DataFrame, reps: DataFrame) -> DataFrame:
 
 def _mixed(held: DataFrame, components: DataFrame) -> DataFrame:
     """Members (bucket, rep, n, component, top) of the buckets that hold several components; ``top`` is the bucket's largest."""
-    labelled = held.join(components, held["rep"] == components["node"], "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    labelled = held.join(components, held["rep"] == components["node"]).select("bucket", "rep", "n", "component")
     parts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    mixed = parts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("t"), F.count("*").alias("parts")).filter("parts > 1")
-    return labelled.join(mixed.select("bucket", F.col("t.component").alias("top")), "bucket")
+    mixed = materialize(parts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("t"), F.count("*").alias("parts")).filter("parts > 1").select("bucket", F.col("t.component").alias("top")))
+    return labelled.join(mixed, "bucket")
 
 
 def _guided(held: DataFrame, fits, k: int) -> DataFrame:
-    """Each member outside the largest component with a few members of it, others in each round; what is linked so needs no comparison with the rest."""
-    chosen = held.filter(F.col("component") == F.col("top")).groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", "bucket", F.lit(k)).alias("h"), "rep", "n")).alias("g"))
-    met = held.filter(F.col("component") != F.col("top")).join(chosen, "bucket").filter(fits(F.col("n"), F.col("g.n")))
+    """Each member outside the largest component with one member of it and one outside it, others in each round, and few in all; what is linked so needs no comparison with the rest."""
+    outside = F.col("component") != F.col("top")
+    chosen = held.groupBy("bucket", outside.alias("out")).agg(F.min(F.struct(F.xxhash64("rep", "bucket", F.lit(k)).alias("h"), "rep", "n", "component")).alias("g"))
+    met = held.filter(outside).join(materialize(chosen), "bucket").filter((F.col("component") != F.col("g.component")) & fits(F.col("n"), F.col("g.n")))
     few = met.groupBy("rep").agg(F.slice(F.array_sort(F.collect_set(F.struct("g.h", F.col("g.rep").alias("x")))), 1, GUIDES).alias("gs"))
     return few.select("rep", F.explode("gs").alias("g")).select(F.least("rep", "g.x").alias("a"), F.greatest("rep", "g.x").alias("b")).distinct()
 
 
-def _between_components(held: DataFrame, fits) -> DataFrame:
-    """Distinct pairs of representatives that share a bucket and are in different components."""
-    outside = held.filter(F.col("component") != F.col("top")).select("bucket", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    pairs = outside.join(held, "bucket").filter((F.col("cx") != F.col("component")) & fits(F.col("n"), F.col("nx")))
+def shingles_by_rarity(members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """``members`` (rep, ...) with ``s``, the hashes of their shingles, those in the fewest members first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [shingle_hashes(shingle_words(x), size, hashes).view(np.int64) for x in batch.column(1).to_pylist()]
+            ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets) if sets else [], pa.int64())], names=["of", "shingle"])
+
+    own = texts.join(members.select(F.col("rep").alias("of")), texts["doc_id"] == F.col("of"), "left_semi").select("doc_id", "text")
+    # rows that share an id have one set here, so what is found is a candidate, whose texts decide
+    pairs = materialize(map_arrow(own, "of long, shingle long", run).distinct())
+    counts = materialize(pairs.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1"))
+    ranked = pairs.join(counts, "shingle", "left").groupBy("of").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "shingle"))).alias("s"))
+    return members.join(ranked.select("of", F.col("s.shingle").alias("s")), F.col("rep") == F.col("of")).drop("of")
+
+
+def _by_prefix(held: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Distinct pairs of different components, one of them outside its bucket's largest, that can be similar by their rarest shingles.
+
+    Sets of n and m shingles need ``need(n, m)`` in common. If the first they have in
+    common, in one order of all shingles, is at places p and q, they have n - p and m - q
+    at most. So a set with partners of ``low`` shingles or more need show only its first
+    n - need(n, low) + 1. Size classes make ``low`` near the partner's own size.
+    """
+    need = lambda n, m: F.ceil((n + m) * percent / (100 + percent))
+    of = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(SIZE_CLASS))).cast("int")
+    reach = int(np.ceil(np.log(100 / percent) / np.log(SIZE_CLASS))) + 1
+    members = materialize(held.groupBy("rep").agg(F.first("n").alias("n0"), F.first("component").alias("component"), F.max(F.col("component") != F.col("top")).alias("outside")))
+    sets = materialize(shingles_by_rarity(members, texts, size).withColumn("n", F.size("s").cast("long")))
+    classed = sets.select("rep", "n", "component", "outside", "s", of(F.col("n")).alias("own"), F.explode(F.sequence(of(F.col("n")) - reach, of(F.col("n")) + reach)).alias("other"))
+    # one less than the class begins with, as logarithms are rounded
+    low = F.greatest(F.ceil(F.pow(F.lit(SIZE_CLASS), F.col("other"))) - 1, F.ceil(F.col("n") * percent / 100), F.lit(1))
+    shown = (F.col("n") - need(F.col("n"), low) + 1).cast("int")
+    front = classed.withColumn("shown", shown).filter((F.col("shown") > 0) & (low * percent <= F.col("n") * 100))
+    front = materialize(front.select("rep", "n", "component", "outside", "own", "other", F.posexplode(F.slice("s", 1, F.col("shown"))).alias("p", "shingle")))
+    mine = front.filter("outside").select("shingle", F.col("own").alias("c"), F.col("other").alias("d"), F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("p").alias("px"), F.col("component").alias("cx"))
+    theirs = front.select("shingle", F.col("own").alias("d"), F.col("other").alias("c"), "rep", "n", "p", "component")
+    common = F.least(F.col("n") - F.col("p"), F.col("nx") - F.col("px"))
+    pairs = mine.join(theirs, ["shingle", "c", "d"]).filter((F.col("cx") != F.col("component")) & (common >= need(F.col("n"), F.col("nx"))))
     return pairs.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
