@@ -55,8 +55,10 @@ def is_placeholder(value: Column) -> Column:
     return (F.trim(value) == "") | F.upper(F.trim(value)).isin(*PLACEHOLDERS)
 
 
-def is_plain_secret(key: Column, value: Column) -> Column:
-    return key.rlike(SECRET_KEYS) & (F.trim(value) != "") & ~value.startswith(SECRET_PREFIX)
+def is_plain_secret(key: Column, value: Column, kind: Column | None = None) -> Column:
+    """A value under a secret's key that names no stored secret; an empty text or null is none, but a blank one, a number or a boolean is."""
+    plain = (value != "") & ~value.startswith(SECRET_PREFIX)
+    return key.rlike(SECRET_KEYS) & (plain if kind is None else F.when(kind == "null", False).when(kind == "string", plain).otherwise(True))
 
 
 def last_json_object(text: str | None) -> str | None:

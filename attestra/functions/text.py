@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STOP_WORDS = ("a", "an", "and", "as", "at", "be", "by", "for", "from", "in", "is", "of", "on", "or", "that", "the", "to", "with")
+#: Words that are no query terms.
+STOP_WORDS = ("and", "are", "for", "from", "into", "should", "that", "the", "then", "this", "when", "with")
+#: A sentence's end, with closing quotes and brackets; a numbered heading; an id and its text.
+SENTENCE_END = r"[.!?]+[\"')\]]*(?=\s|$)"
+HEADING = r"^[1-9]\d*(?:\.\d+)*\.?\s+\S"
+ID_ROW = r"^([A-Z]{2,}(?:-[A-Z0-9]+)+) (.+)$"
+#: Where a text has its lines cut.
+LINE_ENDS = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
+
+
+#: White space as Unicode has it, and the four separators of ASCII.
+SPACES = r"(?U)[\s\x1C-\x1F]+"
 
 
 def normalize_text(text: Column) -> Column:
@@ -17,7 +28,11 @@ def normalize_text(text: Column) -> Column:
 
 def collapse(text: Column) -> Column:
     """White space of any kind becomes one space; none at the ends."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, SPACES, " "))
+
+
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{SPACES}|{SPACES}$", "")
 
 
 def fold(text: Column) -> Column:
@@ -26,9 +41,9 @@ def fold(text: Column) -> Column:
 
 
 def slug(name: Column) -> Column:
-    """Lower-case letters and digits joined by hyphens; 'default' if nothing is left."""
+    """Lower-case letters and digits joined by hyphens; 'project' if nothing is left."""
     made = F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return F.when(made == "", F.lit("default")).otherwise(made)
+    return F.when(made == "", F.lit("project")).otherwise(made)
 
 
 def collection_name(prefix: str, project: Column, longest: int = 63) -> Column:
@@ -49,12 +64,16 @@ def pascal_title(title: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Pieces that end at . ! or ? before white space or the end, and what is left after the last."""
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"([^.!?]*[.!?]+(?=\s|$)|[^.!?]+$|[^.!?]*[.!?]+)"), 1), lambda s: F.trim(s)), lambda s: s != "")
+    """Pieces of the collapsed text that end a sentence, and what is left after the last."""
+    pieces = F.regexp_extract_all(collapse(text), F.lit(f"(.*?{SENTENCE_END}|.+$)"), 1)
+    return F.filter(F.transform(pieces, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def is_one_sentence(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(F.trim(text), F.lit(r"([.!?]+(?=\s|$))"), 1)) == 1
+    """Whether the only end of a sentence is the text's end."""
+    whole = collapse(text)
+    ends = F.regexp_extract_all(whole, F.lit(f"({SENTENCE_END})"), 1)
+    return (F.size(ends) == 1) & whole.rlike(f"(?:{SENTENCE_END})$")
 
 
 def count_words(text: Column) -> Column:
@@ -73,8 +92,8 @@ def count_quarters_up(json: Column) -> Column:
 
 
 def query_terms(text: Column, limit: int = 12, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
-    """The first distinct words of three letters or more that are no stop words, lower-cased."""
-    words = F.transform(F.regexp_extract_all(text, F.lit("([A-Za-z0-9_]{3,})"), 1), lambda w: F.lower(w))
+    """The first distinct words of three characters or more, a letter first, that are no stop words; lower-cased."""
+    words = F.transform(F.regexp_extract_all(text, F.lit("([A-Za-z][A-Za-z0-9_]{2,})"), 1), lambda w: F.lower(w))
     return F.slice(F.array_distinct(F.filter(words, lambda w: ~w.isin(*stop_words))), 1, limit)
 
 
@@ -84,20 +103,22 @@ def ipv4_literals(text: Column) -> Column:
 
 
 def is_heading(line: Column) -> Column:
-    """A short numbered line, or one that starts with #."""
-    return (F.length(line) <= 120) & (line.rlike(r"^\d+(\.\d+)*\.?\s+\S") | line.startswith("#"))
+    """A numbered line of 120 characters at most."""
+    return (F.length(line) <= 120) & line.rlike(HEADING)
 
 
 def is_safe_relative(path: Column) -> Column:
     return ~(path.rlike(r"^([/\\]|[A-Za-z]:)") | path.rlike(r"(^|[/\\])\.\.([/\\]|$)") | (F.trim(path) == ""))
 
 
-def explicit_rows(text: Column, pattern: str = r"^([A-Z]{2,}(?:-[A-Z0-9]+)+)\s+(.+)$") -> Column:
-    """Lines of an id and its text, as structs (id, text) in order."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x.rlike(pattern))
-    return F.transform(lines, lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("id"), F.regexp_extract(x, pattern, 2).alias("text")))
+def explicit_rows(text: Column, pattern: str = ID_ROW) -> Column:
+    """Lines of an id and its text, as structs (id, text): each id at its first place, with the text of its last line."""
+    lines = F.filter(F.transform(F.split(text, LINE_ENDS), collapse), lambda x: x.rlike(pattern))
+    rows = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("id"), F.regexp_extract(x, pattern, 2).alias("text")))
+    ids = F.array_distinct(F.transform(rows, lambda r: r["id"]))
+    return F.transform(ids, lambda i: F.element_at(F.filter(rows, lambda r: r["id"] == i), -1))
 
 
 def quote_candidates(text: Column) -> Column:
     """Texts of id rows, then sentences; each once, in that order."""
-    return F.array_distinct(F.concat(F.transform(explicit_rows(text), lambda r: r["text"]), sentences(text)))
+    return F.array_distinct(F.concat(F.transform(explicit_rows(text), lambda r: collapse(r["text"])), sentences(text)))

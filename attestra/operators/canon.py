@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions.ids import stable_id, stable_token
 from attestra.functions.text import fold
+from attestra.operators.graph import numbered
 
 
 def ordered_union(position: Column, items: Column) -> Column:
@@ -65,12 +66,12 @@ def merge_requirements(rows: DataFrame, prior: DataFrame, project: str) -> DataF
     earlier = prior.select(key.alias("canon_key"), F.col("requirement_id").alias("prior_id"), F.col("requirement_text").alias("prior_text"), F.col("requirement_type").alias("prior_type"), F.col("priority").alias("prior_priority"), (F.col("source_req_id_type") == "source").alias("prior_source"))
     out = merged.join(earlier, "canon_key", "left")
     made = F.concat(F.lit("REQ-"), stable_token(F.lit(project), F.col("canon_key")))
-    order = Window.orderBy("n")  # of an artifact's requirements, a few thousand
-    return out.select(
+    found = out.select(
         F.coalesce("prior_id", made).alias("requirement_id"), F.when(F.col("prior_source"), F.col("prior_text")).otherwise(F.col("lead.requirement_text")).alias("requirement_text"),
         F.coalesce("prior_type", "lead.requirement_type").alias("requirement_type"), F.coalesce("prior_priority", "lead.priority").alias("priority"), F.col("lead.source_req_id").alias("source_req_id"),
         F.col("lead.source_req_id_type").alias("source_req_id_type"), "confidence", "constraints", "entity_ids", "chunk_ids", "n",
-    ).withColumn("pos", F.row_number().over(order) - 1).drop("n")
+    )
+    return numbered(found, ["n"], "pos").drop("n")
 
 
 def merge_entities(rows: DataFrame) -> DataFrame:

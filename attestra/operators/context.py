@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from attestra.functions.text import count_quarters, count_quarters_up, fold
 from attestra.operators.retrieval import within_budget
 
+#: Fixed value: the group whose items are no symbols.
+EVIDENCE_GROUP = "evidence_chunks"
+
 
 def symbol_matches(terms: DataFrame, symbols: DataFrame, limit: int) -> DataFrame:
     """(anchor, term) and symbols to the symbols whose name has a term, most terms first: (anchor, symbol_id, fqn, n_terms, rank).
@@ -47,12 +50,12 @@ def assemble_manifest(items: DataFrame, budget: int) -> DataFrame:
 
 
 def apply_budget(items: DataFrame, budget: int, max_symbols: int) -> DataFrame:
-    """(anchor, tier, group, key, json): in or out by cost and by number of symbols, each with ``kept``."""
+    """(anchor, tier, group, key, json): in or out by cost and by number of symbols (what is no evidence chunk), each with ``kept``."""
     start = F.struct(F.lit(0).cast("long").alias("spent"), F.lit(0).alias("symbols"), F.array().cast("array<boolean>").alias("kept"))
 
     def step(acc: Column, item: Column) -> Column:
-        symbol = (item["group"] == "symbols").cast("int")
-        fits = (acc["spent"] + item["cost"] <= budget) & (acc["symbols"] + symbol <= max_symbols)
+        symbol = (item["group"] != EVIDENCE_GROUP).cast("int")
+        fits = (acc["spent"] + item["cost"] <= budget) & ((symbol == 0) | (acc["symbols"] < max_symbols))
         return F.struct((acc["spent"] + F.when(fits, item["cost"]).otherwise(F.lit(0).cast("long"))).alias("spent"), (acc["symbols"] + F.when(fits, symbol).otherwise(0)).alias("symbols"), F.concat(acc["kept"], F.array(fits)).alias("kept"))
 
     costed = items.withColumn("cost", count_quarters_up(F.col("json")).cast("long"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,12 +35,13 @@ def paths(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
 def graph_evidence(starts: DataFrame, edges: DataFrame, hops: int, limit: int) -> DataFrame:
     """Chunks of allowed edges on paths from each anchor: (anchor, chunk_id, score, pos), the score 1 / hops.
 
-    Order: score, then chunk_id; ``edges`` also has chunk_id.
+    Order: score, the chunk's place in its document, then chunk_id; ``edges`` also has
+    chunk_id and sequence_index.
     """
     on_path = paths(starts, edges, hops).select("anchor", F.explode("allowed_edges").alias("edge_id")).distinct()
-    chunks = on_path.join(edges.select("edge_id", "chunk_id"), "edge_id").groupBy("anchor", "chunk_id").agg(F.lit(1.0 / hops).alias("score"))
-    order = Window.partitionBy("anchor").orderBy(F.col("score").desc(), "chunk_id")
-    return chunks.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= limit)
+    chunks = on_path.join(edges.select("edge_id", "chunk_id", "sequence_index"), "edge_id").groupBy("anchor", "chunk_id").agg(F.lit(1.0 / hops).alias("score"), F.min("sequence_index").alias("sequence_index"))
+    order = Window.partitionBy("anchor").orderBy(F.col("score").desc(), "sequence_index", "chunk_id")
+    return chunks.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= limit).drop("sequence_index")
 
 
 def evidence_summary(edges: DataFrame) -> DataFrame:
@@ -88,20 +91,33 @@ def closure(roots: DataFrame, references: DataFrame) -> DataFrame:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` in the folder of spark.checkpoint.dir; one is set for the session where none is."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
+    """``checkpoint()`` in the folder of spark.checkpoint.dir.
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="attestra-"))
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    Where the setting is missing, a folder of this machine is taken if the master is local,
+    as in tests; on a cluster that is an error, as executors would not share it.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="attestra-"))
     return df.checkpoint()
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with its rows' places from 0 in ``order``, a total order: rows are sorted by ranges, and a range begins at the number of rows before it."""
+    ranged = durable(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    parts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a partition
+    before = parts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return ranged.join(F.broadcast(before), "_part").withColumn(name, own + F.col("_before")).drop("_part", "_before")
+
+
 def closure_by_key(records: DataFrame, roots: DataFrame, leaves: DataFrame) -> DataFrame:
     """Closure over payload values under keys that end in _id or _ids; ``leaves`` is (record_id, key, value)."""
-    refs = leaves.filter(F.col("key").rlike("_ids?$")).join(records.select(F.col("record_id").alias("value")), "value", "left_semi")
+    refs = leaves.filter(F.col("key").endswith("_id") | F.col("key").endswith("_ids")).join(records.select(F.col("record_id").alias("value")), "value", "left_semi")
     return closure(roots, refs.select(F.col("record_id").alias("from_id"), F.col("value").alias("to_id")))
 
 

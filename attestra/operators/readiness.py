@@ -5,35 +5,76 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Gates after the binding's, in order; the first that is not met decides.
-GATES = (
-    "scenario_exists", "requirement_linked", "framework_ready", "test_data_ready", "snapshot_active", "fixture_approved", "actions_approved", "vectors_approved",
-    "oracle_approved", "cleanup_approved", "timing_approved", "safety_approved", "capability_resolved", "context_sufficient", "destination_free", "provider_ready",
-)
-
-
-def decide_capability(candidates: DataFrame, authorized: DataFrame) -> DataFrame:
-    """(scenario_id, capability_id, decision): an exact match is reused, two partial ones composed, a compatible one wrapped; an authorized one is implemented, any other blocks."""
-    n = lambda kind: F.count_if(F.col("match_kind") == kind)
-    counts = candidates.groupBy("scenario_id", "capability_id").agg(n("exact").alias("exact"), n("partial").alias("partial"), n("compatible").alias("compatible"))
-    known = counts.join(authorized.select("capability_id").distinct().withColumn("may", F.lit(True)), "capability_id", "left")
-    decision = F.when(F.col("exact") > 0, "REUSE").when(F.col("partial") >= 2, "COMPOSE").when(F.col("compatible") > 0, "WRAP").when(F.col("may"), "IMPLEMENT").otherwise("BLOCK")
-    return known.select("scenario_id", "capability_id", decision.alias("decision"))
-
-
-def readiness(gates: DataFrame, names: tuple[str, ...] = GATES) -> DataFrame:
-    """``ready``, else the first failing gate; the binding's state comes before all."""
-    failing = F.lit("READY")
-    for name in reversed(names):
-        failing = F.when(~F.coalesce(F.col(name), F.lit(False)), F.lit(f"BLOCKED_{name.upper()}")).otherwise(failing)
-    state = F.when(F.col("binding_status") == "missing", "BLOCKED_NO_BINDING").when(F.col("binding_status") == "ambiguous", "BLOCKED_AMBIGUOUS_BINDING").otherwise(failing)
-    return gates.withColumn("readiness", state)
-
-
-def sufficiency(data_reasons: Column, blocked_capabilities: Column) -> Column:
-    """(status, reasons): reasons in the data hide gaps in capabilities."""
-    status = F.when(F.size(data_reasons) > 0, "INSUFFICIENT_DATA").when(F.size(blocked_capabilities) > 0, "CAPABILITY_GAP").otherwise("SUFFICIENT")
-    reasons = F.when(F.size(data_reasons) > 0, data_reasons).otherwise(blocked_capabilities)
+#: Gates after the binding's, in order, with the status of each; the first that is not met decides.
+GATES = {
+    "framework_snapshot_ready": "BLOCKED_FRAMEWORK_STALE",
+    "test_data_snapshot_ready": "BLOCKED_INVALID_TEST_DATA_DOCUMENT",
+    "schema_conforms": "BLOCKED_INVALID_TEST_DATA_DOCUMENT",
+    "bundle_available": "BLOCKED_MISSING_DATA",
+    "all_inputs_resolved": "BLOCKED_MISSING_DATA",
+    "oracles_present": "BLOCKED_MISSING_DATA",
+    "setup_and_cleanup_defined": "BLOCKED_MISSING_DATA",
+    "all_actions_mapped": "BLOCKED_MISSING_CAPABILITY",
+    "decisions_approved": "BLOCKED_AMBIGUOUS_SPEC",
+    "framework_modifications_authorized": "BLOCKED_AUTHORIZATION",
+    "dependencies_available": "BLOCKED_DEPENDENCY",
+    "worktree_matches_index": "BLOCKED_FRAMEWORK_STALE",
+    "safety_satisfied": "BLOCKED_AUTHORIZATION",
+    "scenario_approved": "BLOCKED_MISSING_DATA",
+    "traceability_valid": "BLOCKED_MISSING_DATA",
+    "execution_profile_selected": "BLOCKED_MISSING_DATA",
+}
+#: What binding resolution may say for the gates to be asked.
+BINDING_PASSES = ("READY", "NOT_APPLICABLE")
+BINDING_CHECK = "scenario_data_binding"
+NO_CAPABILITY = "BLOCKED_MISSING_CAPABILITY"
+
+
+def decide_capability(asked: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(scenario_id, capability_id, authorized) and candidates (..., pos, fqn, match_kind) to (..., decision, selected, blocker).
+
+    The first exact match is reused; of two partial ones or more the first is composed; the
+    first compatible one is wrapped; what is authorized is implemented; the rest is blocked,
+    an asked capability without candidates too.
+    """
+    keys = ["scenario_id", "capability_id"]
+    first = lambda kind: F.min(F.when(F.col("match_kind") == kind, F.struct("pos", "fqn")))["fqn"].alias(kind)
+    counts = candidates.groupBy(*keys).agg(first("exact"), first("compatible"), first("partial"), F.count_if(F.col("match_kind") == "partial").alias("n_partial"))
+    decision = F.when(F.col("exact").isNotNull(), "reuse").when(F.col("n_partial") >= 2, "compose").when(F.col("compatible").isNotNull(), "wrap").when(F.col("authorized"), "implement")
+    decided = asked.join(counts, keys, "left").withColumn("decision", decision)
+    selected = F.when(F.col("decision") == "reuse", F.col("exact")).when(F.col("decision") == "compose", F.col("partial")).when(F.col("decision") == "wrap", F.col("compatible"))
+    return decided.select(*keys, "decision", selected.alias("selected"), F.when(F.col("decision").isNull(), NO_CAPABILITY).alias("blocker"))
+
+
+def readiness(gates: DataFrame) -> DataFrame:
+    """``gates`` with ``readiness`` and ``failed_check``: the binding's status if that stops all, else the first gate not met, else READY.
+
+    A framework modification must be authorized only where ``framework_modification_required``.
+    A gate that is null is not met.
+    """
+    met = lambda name: F.coalesce(F.col(name), F.lit(False))
+    state, failed = F.lit("READY"), F.lit(None).cast("string")
+    for name, blocked in reversed(GATES.items()):
+        ok = met(name)
+        if name == "framework_modifications_authorized":
+            ok = ok | ~met("framework_modification_required")
+        state, failed = F.when(~ok, blocked).otherwise(state), F.when(~ok, name).otherwise(failed)
+    bound = F.coalesce(F.col("binding_status").isin(*BINDING_PASSES), F.lit(False))
+    return gates.withColumn("readiness", F.when(bound, state).otherwise(F.col("binding_status"))).withColumn("failed_check", F.when(bound, failed).otherwise(BINDING_CHECK))
+
+
+def sufficiency(worktree_matches: Column, bundle_resolved: Column, data_reasons: Column, actions_have_capability: Column, unresolved: Column) -> Column:
+    """(status, reasons): what the data lack hides what capabilities lack."""
+    data = F.concat(
+        F.when(worktree_matches, F.array().cast("array<string>")).otherwise(F.array(F.lit("worktree hashes do not match the indexed snapshot; reindex required"))),
+        F.when(bundle_resolved, F.array().cast("array<string>")).otherwise(F.array(F.lit("resolved test-data bundle is not available"))),
+        F.coalesce(data_reasons, F.array().cast("array<string>")),
+    )
+    gaps = F.transform(unresolved, lambda c: F.concat(F.lit("capability '"), c, F.lit("' is unmapped")))
+    gaps = F.when(F.coalesce(F.size(unresolved), F.lit(0)) > 0, gaps).otherwise(F.array(F.lit("one or more scenario actions have no mapped capability")))
+    lacks = F.size(data) > 0
+    status = F.when(lacks, "SPEC_DATA_MISSING").when(~actions_have_capability, "CAPABILITY_MISSING").otherwise("SUFFICIENT")
+    reasons = F.when(lacks, data).when(~actions_have_capability, gaps).otherwise(F.array().cast("array<string>"))
     return F.struct(status.alias("status"), reasons.alias("reasons"))
 
 

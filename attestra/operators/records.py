@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import datetime
+import hashlib
 import secrets
 from collections.abc import Iterator
 
@@ -12,23 +13,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.functions.ids import json_checksum, logical_case_key
-
-#: Where generated files may be.
-PATH_CLASSES = {"suite": r"^tests/.+\.robot$", "test": r"^tests/(.+/)?test_\w+\.py$", "helper": r"^(helpers|lib)/.+\.py$", "resource": r"^resources/.+\.(robot|resource)$", "data": r"^data/.+\.(json|yaml|csv)$", "config": r"^config/.+\.(json|yaml|toml)$"}
-
-
-def run_id(now: datetime.datetime | None = None) -> str:
-    """Time and a random token; not an identity of content."""
+from attestra.functions.text import is_safe_relative
+
+#: Where generated files may be; a helper's or wrapper's file is named after its module.
+_MODULE, _STEM = r"[a-z][a-z0-9_]*", r"Tc(\d{6})[A-Z][A-Za-z0-9]*"
+PATH_CLASSES = {
+    "test": rf"^tests/{_MODULE}/{_STEM}\.py$",
+    "init": rf"^(tests|test_lib)/{_MODULE}/__init__\.py$",
+    "robot": rf"^tests_robot/{_MODULE}/{_STEM}\.robot$",
+    "wrapper": rf"^test_lib/({_MODULE})/\1_wrappers\.py$",
+    "helper": rf"^test_lib/({_MODULE})/\1_helpers\.py$",
+}
+#: Files of these classes may be changed; others are only created.
+CHANGEABLE = ("wrapper", "helper")
+LEAST_CASE, GREATEST_CASE = 100001, 999999
+
+
+def run_id(project: str, now: datetime.datetime | None = None) -> str:
+    """Time and a token of the project and a random part; not an identity of content."""
     now = now or datetime.datetime.now(datetime.UTC)
-    return f"RUN-{now:%Y%m%dT%H%M%SZ}-{secrets.token_hex(3).upper()}"
+    token = hashlib.sha256(f"{project}|{secrets.token_hex(16)}".encode()).hexdigest()[:6].upper()
+    return f"RUN-{now:%Y%m%dT%H%M%SZ}-{token}"
 
 
 def path_class(path: Column) -> Column:
-    """The first class whose pattern the path has; null for none, and for paths that leave the folder."""
+    """The class whose pattern the path has; null for none, for paths that leave the folder, and for case numbers out of range."""
     out = F.lit(None).cast("string")
     for name, pattern in reversed(PATH_CLASSES.items()):
         out = F.when(path.rlike(pattern), name).otherwise(out)
-    return F.when(path.rlike(r"(^/)|(^|/)\.\.(/|$)"), F.lit(None)).otherwise(out)
+    number = F.regexp_extract(path, r"/Tc(\d{6})", 1)
+    in_range = (number == "") | number.try_cast("int").between(LEAST_CASE, GREATEST_CASE)
+    return F.when(is_safe_relative(path) & in_range & ~path.contains("\\") & ~path.rlike(r"(^|/)\.?/"), out)
 
 
 def classify_writes(new: DataFrame, existing: DataFrame, key: str, content: str) -> DataFrame:

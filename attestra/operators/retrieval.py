@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a query or allowlist table up to which it is broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 100_000
+#: Queries compared in one pass over the vectors, about.
+QUERY_BLOCK = 5_000
 PRIORITY = {"authoritative": 0, "graph": 1, "vector": 2}
 
 
@@ -37,17 +39,26 @@ def require_subset(values: DataFrame, allowed: DataFrame, key: str, label: str)
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
     """Exact nearest neighbours: (query_id, embedding) and (vec_id, embedding) to (query_id, vec_id, distance, rank).
 
-    Every vector is compared with every query, as an exact search must. The queries are
-    the stated small side: a bounded number of rows, sent to every task in one array, so
-    vectors are read once and not shuffled; each task keeps its k best of each query
-    before the k best of all are taken.
+    Every vector is compared with every query, as an exact search must; the queries are a
+    stated set, dealt into blocks of about ``QUERY_BLOCK``. One block is sent to every task.
+    More blocks are joined one at a time, so that no task holds more than one, and each
+    task keeps its k best of each query before the k best of all are taken.
     """
     if allowed is not None:
         vectors = vectors.join(small(allowed.select("vec_id").distinct()), "vec_id", "left_semi")
-    block = F.broadcast(queries.agg(F.collect_list(F.struct("query_id", F.col("embedding").alias("q"))).alias("queries")))
-    scored = vectors.join(block).select("vec_id", "embedding", F.explode("queries").alias("x")).select("x.query_id", "vec_id", squared_distance(F.col("embedding"), F.col("x.q")).alias("distance"))
-    best = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    asked = queries.select("query_id", F.col("embedding").alias("q"))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    out = None
+    for b in range(blocks):
+        block = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        held = F.broadcast(block.agg(F.collect_list(F.struct("query_id", "q")).alias("queries")))
+        pairs = vectors.join(held).select("vec_id", "embedding", F.explode("queries").alias("x"))
+        scored = pairs.select("x.query_id", "vec_id", squared_distance(F.col("embedding"), F.col("x.q")).alias("distance"))
+        near = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+        # Spark ranks within each task first, so a task sends k rows of a query at most
+        best = scored.withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def embedding_contract(vectors: DataFrame) -> DataFrame:
@@ -106,3 +117,33 @@ def within_budget(rows: DataFrame, anchor: str, order: list[str], cost: Column,
 def scenario_query(title: Column, statement: Column, criteria: Column) -> Column:
     """Text that a scenario is searched by: title, statement, and what each criterion expects."""
     return F.concat_ws(" ", title, statement, F.array_join(F.transform(criteria, lambda c: c["then"]), " "))
+
+
+def story_requirements(stories: DataFrame, requirements: DataFrame) -> DataFrame:
+    """(story_id, pos, requirement_id, ...) of each story's ``requirement_ids`` in order; one that is not there fails the job."""
+    asked = stories.select("story_id", F.posexplode("requirement_ids").alias("pos", "requirement_id"))
+    known = requirements.withColumn("_there", F.lit(True))
+    message = F.concat(F.lit("story requirement IDs are unresolved: "), F.col("requirement_id"))
+    return asked.join(known, "requirement_id", "left").filter(F.when(F.col("_there"), True).otherwise(F.raise_error(message).cast("boolean"))).drop("_there")
+
+
+def scenario_lineage(scenarios: DataFrame, stories: DataFrame, requirements: DataFrame) -> DataFrame:
+    """(scenario_id, story_ids, requirement_ids): a scenario's stories in order, and their requirements, each at its first place."""
+    of_story = scenarios.select("scenario_id", F.posexplode("story_ids").alias("story_pos", "story_id"))
+    known = stories.select("story_id").withColumn("_there", F.lit(True))
+    message = F.concat(F.lit("scenario story IDs are unresolved: "), F.col("story_id"))
+    of_story = of_story.join(known, "story_id", "left").filter(F.when(F.col("_there"), True).otherwise(F.raise_error(message).cast("boolean"))).drop("_there")
+    linked = of_story.join(story_requirements(stories, requirements).select("story_id", "pos", "requirement_id"), "story_id", "left")
+    once = linked.filter("requirement_id IS NOT NULL").groupBy("scenario_id", "requirement_id").agg(F.min(F.struct("story_pos", "pos")).alias("at"))
+    held = once.groupBy("scenario_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "requirement_id"))), lambda x: x["requirement_id"]).alias("requirement_ids"))
+    return scenarios.select("scenario_id", "story_ids").join(held, "scenario_id", "left").withColumn("requirement_ids", F.coalesce("requirement_ids", F.array().cast("array<string>")))
+
+
+def ordered_chunks(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The wanted chunks (project, chunk_id) in their documents' order."""
+    return allowed_only(chunks, wanted, ["project", "chunk_id"]).orderBy("project", "sequence_index", "chunk_id")
+
+
+def story_query(title: Column, as_a: Column, want: Column, so_that: Column, criteria: Column) -> Column:
+    """Text that a story is searched by: its parts, then what each criterion expects."""
+    return F.concat_ws(" ", title, as_a, want, so_that, F.array_join(F.transform(criteria, lambda c: c["then"]), " "))

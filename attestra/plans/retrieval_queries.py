@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestra.functions.json_text import explode_leaves
 from attestra.operators import context, graph, retrieval
 from attestra.plans.registry import Registry, table
 from attestra.ports import lexical_score
@@ -116,7 +117,7 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda prefix, column: F.concat(F.lit(prefix), F.col(column).cast("string"))
     up = s.select(name("sn", "s_suppkey").alias("edge_id"), name("s", "s_suppkey").alias("source"), name("n", "s_nationkey").alias("target"), F.lit(False).alias("allowed"), F.lit("IN").alias("relation"))
     out = up.unionByName(n.select(name("nr", "n_nationkey").alias("edge_id"), name("n", "n_nationkey").alias("source"), name("r", "n_regionkey").alias("target"), F.lit(True).alias("allowed"), F.lit("OF").alias("relation")))
-    return out.withColumn("chunk_id", F.col("edge_id"))
+    return out.withColumn("chunk_id", F.col("edge_id")).withColumn("sequence_index", F.substring("edge_id", 3, 9).cast("int") % 5)
 
 
 @R.query(_GRAPH + """,
@@ -124,11 +125,11 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
  p AS (SELECT x.a AS anchor, x.edge_id AS e1, x.allowed AS l1, y.edge_id AS e2, y.allowed AS l2, z.edge_id AS e3, z.allowed AS l3
        FROM u x LEFT JOIN u y ON y.a = x.b AND y.edge_id <> x.edge_id LEFT JOIN u z ON z.a = y.b AND z.edge_id <> x.edge_id AND z.edge_id <> y.edge_id WHERE x.a LIKE 's%'),
  c AS (SELECT anchor, e1 AS c FROM p WHERE l1 UNION SELECT anchor, e2 FROM p WHERE l2 UNION SELECT anchor, e3 FROM p WHERE l3),
- r AS (SELECT anchor, c, row_number() OVER (PARTITION BY anchor ORDER BY c) AS pos FROM c)
-SELECT anchor, c AS chunk_id, round(1.0 / 3, 6)::DOUBLE AS score, pos::INT AS pos FROM r WHERE pos <= 12""")
+ r AS (SELECT anchor, c, row_number() OVER (PARTITION BY anchor ORDER BY substr(c, 3)::INT % 5, c) AS pos FROM c)
+SELECT anchor, c AS chunk_id, round(1.0 / 3, 6)::DOUBLE AS score, pos::INT AS pos FROM r WHERE pos <= 2""")
 def graph_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("anchor")).withColumn("node", F.col("anchor"))
-    return graph.graph_evidence(starts, _edges(spark, sf_dir), 3, 12).select("anchor", "chunk_id", F.round("score", 6).alias("score"), "pos")
+    return graph.graph_evidence(starts, _edges(spark, sf_dir), 3, 2).select("anchor", "chunk_id", F.round("score", 6).alias("score"), "pos")
 
 
 @R.query(_GRAPH + """
@@ -151,9 +152,67 @@ WITH RECURSIVE e AS (SELECT 's' || s_suppkey AS a, 'n' || s_nationkey AS b FROM
      c AS (SELECT 's' || s_suppkey AS root, 's' || s_suppkey AS record_id, 0 AS round FROM supplier UNION ALL SELECT root, b, round + 1 FROM c JOIN e ON a = record_id)
 SELECT root, record_id, min(round)::INT AS round FROM c GROUP BY root, record_id""")
 def reference_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _edges(spark, sf_dir)
-    roots = edges.filter("NOT allowed").select(F.col("source").alias("root"), F.col("source").alias("record_id"))
-    return graph.closure(roots, edges.select(F.col("source").alias("from_id"), F.col("target").alias("to_id")))
+    """Suppliers name their nation, and nations their regions, in payloads; other fields name nothing."""
+    s, n, r = (table(spark, sf_dir, x) for x in ("supplier", "nation", "region"))
+    name = lambda prefix, column: F.concat(F.lit(prefix), F.col(column).cast("string"))
+    of = lambda df, key, prefix, payload: df.select(name(prefix, key).alias("record_id"), F.to_json(payload).alias("payload"))
+    records = of(s, "s_suppkey", "s", F.struct(name("n", "s_nationkey").alias("nation_id"), name("r", "s_suppkey").alias("note"))).unionByName(
+        of(n, "n_nationkey", "n", F.struct(F.array(name("r", "n_regionkey"), F.lit("none")).alias("region_ids")))).unionByName(of(r, "r_regionkey", "r", F.struct(F.lit("s1").alias("ids_of"))))
+    roots = s.select(name("s", "s_suppkey").alias("root"), name("s", "s_suppkey").alias("record_id"))
+    return graph.closure_by_key(records, roots, explode_leaves(records, "payload"))
+
+
+@R.query("""
+WITH RECURSIVE c AS (SELECT s_suppkey AS root, s_suppkey AS record_id, 0 AS round FROM supplier UNION ALL SELECT root, record_id - 3, round + 1 FROM c WHERE record_id - 3 IN (SELECT s_suppkey FROM supplier) AND record_id % 50 <> 0)
+SELECT 's' || root AS root, 's' || record_id AS record_id, round::INT AS round FROM c""")
+def value_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of many links: a supplier names the one three before it somewhere in its payload, every fiftieth none."""
+    key = F.col("s_suppkey")
+    named = F.when(key % 50 != 0, F.concat(F.lit("s"), (key - 3).cast("string")))
+    records = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), key.cast("string")).alias("record_id"), F.to_json(F.struct(F.struct(F.array(F.lit("x"), named).alias("b")).alias("a"))).alias("payload"))
+    return graph.closure_by_value(records, records.select(F.col("record_id").alias("root"), "record_id"), explode_leaves(records, "payload"))
+
+
+@R.query("""
+WITH l AS (SELECT l_orderkey AS s, l_partkey AS r, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS pos FROM lineitem)
+SELECT s AS story_id, pos::INT AS pos, r AS requirement_id, p_name AS name FROM l JOIN part ON p_partkey = r""")
+def story_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as stories of the parts of their lines."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("requirement_id"), F.col("p_name").alias("name"))
+    return retrieval.story_requirements(_stories(spark, sf_dir), parts).select("story_id", "pos", "requirement_id", "name")
+
+
+def _stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("l"))
+    return lines.select(F.col("l_orderkey").alias("story_id"), F.transform("l", lambda x: x["l_partkey"]).alias("requirement_ids"))
+
+
+@R.query("""
+WITH l AS (SELECT o_custkey AS c, l_partkey AS r, min((o_orderkey, l_linenumber)) AS at FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT c AS scenario_id, string_agg(r::VARCHAR, ',' ORDER BY at) AS requirement_ids FROM l GROUP BY c""")
+def scenario_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as scenarios of their orders, in the order of their keys."""
+    stories = _stories(spark, sf_dir)
+    own = table(spark, sf_dir, "orders").join(stories, F.col("o_orderkey") == F.col("story_id"), "left_semi")
+    scenarios = own.groupBy(F.col("o_custkey").alias("scenario_id")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("story_ids"))
+    found = retrieval.scenario_lineage(scenarios, stories, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("requirement_id")))
+    return found.select("scenario_id", F.array_join("requirement_ids", ",").alias("requirement_ids"))
+
+
+@R.query("""
+WITH RECURSIVE i AS (SELECT o_custkey AS anchor, CASE WHEN o_orderpriority = '1-URGENT' THEN 0 WHEN o_orderpriority = '2-HIGH' THEN 1 ELSE 2 END AS tier, CASE WHEN o_orderstatus = 'F' THEN 'evidence_chunks' ELSE 'matched_symbols' END AS grp,
+                            o_orderkey AS k, greatest(1, ceil(length(o_orderpriority || o_orderstatus) / 4.0))::BIGINT AS cost FROM orders),
+     o AS (SELECT *, grp <> 'evidence_chunks' AS sym, row_number() OVER (PARTITION BY anchor ORDER BY tier, grp, k) AS n FROM i),
+     f AS (SELECT anchor, k, n, grp, CASE WHEN cost <= 9 THEN cost ELSE 0 END AS spent, (cost <= 9 AND sym)::INT AS syms, cost <= 9 AS kept FROM o WHERE n = 1
+           UNION ALL SELECT o.anchor, o.k, o.n, o.grp, f.spent + CASE WHEN ok THEN o.cost ELSE 0 END, f.syms + (ok AND o.sym)::INT, ok
+                     FROM f JOIN o ON o.anchor = f.anchor AND o.n = f.n + 1, LATERAL (SELECT f.spent + o.cost <= 9 AND (NOT o.sym OR f.syms < 2) AS ok))
+SELECT anchor, grp AS "group", count(*)::BIGINT AS dropped FROM f WHERE NOT kept GROUP BY ALL""")
+def dropped_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a budget of 9 and a cap of two symbols leave out; evidence is no symbol."""
+    tier = F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(2)
+    group = F.when(F.col("o_orderstatus") == "F", "evidence_chunks").otherwise("matched_symbols")
+    items = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("anchor"), tier.alias("tier"), group.alias("group"), F.col("o_orderkey").alias("key"), F.concat("o_orderpriority", "o_orderstatus").alias("json"))
+    return context.dropped_counts(context.apply_budget(items, 9, 2))
 
 
 @R.query("""

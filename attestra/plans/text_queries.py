@@ -41,21 +41,46 @@ def normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT sha256({SQL_FOLD.format('text')}) AS key, min(doc_id) AS first_doc, count(*)::BIGINT AS n_docs FROM documents GROUP BY 1""")
 def texts_by_folded_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.fold(F.col("text")), 256).alias("key"))
-    return keyed.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n_docs"))
+    first = canon.first_per(keyed, ["key"], ["doc_id"]).select("key", F.col("doc_id").alias("first_doc"))
+    return first.join(keyed.groupBy("key").agg(F.count("*").alias("n_docs")), "key")
+
+
+@R.query("""
+WITH e AS (SELECT 'ENT-' || upper(substr(sha256(concat_ws('|', 'corpus', lower(p_name), p_type)), 1, 20)) AS entity_id, p_partkey AS k, p_name, p_type, p_brand FROM part),
+     a AS (SELECT entity_id, p_brand, min(k) AS k FROM e GROUP BY ALL)
+SELECT entity_id, min_by(p_name, k) AS name, any_value(p_type) AS entity_type, (SELECT string_agg(p_brand, ',' ORDER BY a.k) FROM a WHERE a.entity_id = e.entity_id) AS aliases, count(*)::BIGINT AS n_mentions FROM e GROUP BY entity_id""")
+def merged_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as mentions of entities: those of one name and type are one."""
+    rows = table(spark, sf_dir, "part").select(
+        ids.entity_id(F.lit("corpus"), F.col("p_name"), F.col("p_type")).alias("entity_id"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"), F.col("p_type").alias("entity_type"),
+        F.array("p_brand").alias("aliases"), F.col("p_partkey").alias("chunk_id"), F.lit(0).alias("start"), F.length("p_name").alias("end"),
+    )
+    return canon.merge_entities(rows).select("entity_id", "name", "entity_type", F.array_join("aliases", ",").alias("aliases"), F.size("mentions").cast("long").alias("n_mentions"))
+
+
+@R.query("SELECT p_brand AS source_req_id, count(DISTINCT p_name)::BIGINT AS n FROM part WHERE p_size > 25 GROUP BY 1 HAVING count(DISTINCT p_name) > 1")
+def source_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as requirements whose source id is the brand; a brand with several names is in conflict."""
+    parts = table(spark, sf_dir, "part").filter("p_size > 25")
+    rows = parts.select(F.col("p_brand").alias("source_req_id"), F.lit("source").alias("source_req_id_type"), F.col("p_name").alias("requirement_text"))
+    found = canon.source_conflicts(rows, rows.limit(0))
+    return found.select("source_req_id", F.col(found.columns[1]).alias("n"))
 
 
 @R.query(r"""
-WITH s AS (SELECT s_suppkey, regexp_replace(regexp_replace(lower(trim(s_name)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS x FROM supplier)
-SELECT s_suppkey, CASE WHEN x = '' THEN 'default' ELSE x END AS slug, substr('chunks-' || CASE WHEN x = '' THEN 'default' ELSE x END, 1, 63) AS collection FROM s""")
+WITH s AS (SELECT s_suppkey, regexp_replace(regexp_replace(lower(trim(CASE WHEN s_suppkey % 3 = 0 THEN ' #! ' ELSE s_name END)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS x FROM supplier)
+SELECT s_suppkey, CASE WHEN x = '' THEN 'project' ELSE x END AS slug, substr('chunks-' || CASE WHEN x = '' THEN 'project' ELSE x END, 1, 63) AS collection FROM s""")
 def project_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select("s_suppkey", text.slug(F.col("s_name")).alias("slug"), text.collection_name("chunks", F.col("s_name")).alias("collection"))
+    """Every third supplier has a name of which nothing is left."""
+    name = F.when(F.col("s_suppkey") % 3 == 0, " #! ").otherwise(F.col("s_name"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", text.slug(name).alias("slug"), text.collection_name("chunks", name).alias("collection"))
 
 
-_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+_STOP = "'and', 'are', 'for', 'from', 'into', 'should', 'that', 'the', 'then', 'this', 'when', 'with'"
 
 
 @R.query(f"""
-WITH w AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]{{3,}}'), lambda x: lower(x)), lambda x: x NOT IN ({_STOP})) AS l FROM documents),
+WITH w AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_]{{2,}}'), lambda x: lower(x)), lambda x: x NOT IN ({_STOP})) AS l FROM documents),
      e AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM w),
      f AS (SELECT doc_id, t, min(i) AS i FROM e GROUP BY doc_id, t),
      r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM f)
@@ -86,26 +111,59 @@ def payload_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaves.select("event_id", "path", "kind", "value", is_placeholder(F.col("value")).alias("placeholder"), is_plain_secret(F.col("key"), F.col("value")).alias("secret"))
 
 
-@R.query(r"""
-SELECT doc_id::VARCHAR AS doc_key, 0 AS pos, sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS text_hash, CASE WHEN text LIKE '#%' THEN 'heading' WHEN regexp_matches(text, '^[-*+]') THEN 'list_item' ELSE 'paragraph' END AS kind
-FROM documents WHERE trim(text) <> ''""")
+#: Lines as blocks of their own, some with a heading before them; the text that blocks and chunks are made of, and its blocks.
+_SQL_NORMAL = r"trim(regexp_replace(array_to_string(list_transform(string_split({0}, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\f\v]+', ' ', 'g'))), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
+_SQL_BLOCKS = r"""
+WITH RECURSIVE t AS (SELECT doc_id::VARCHAR AS doc_key, CASE doc_id % 3 WHEN 0 THEN '# ' WHEN 1 THEN '- ' ELSE '#' || chr(10) || chr(10) END || replace(text, chr(10), chr(10) || ' ' || chr(10) || '  ') AS text FROM documents),
+     l AS (SELECT doc_key, regexp_split_to_array(text, '\n\s*\n') AS parts, list_transform(regexp_extract_all(text, '\n\s*\n'), lambda x: length(x)) AS seps FROM t),
+     u AS (SELECT doc_key, unnest(parts) AS part, unnest(list_append(seps, 0)) AS sep, generate_subscripts(parts, 1) AS paragraph FROM l),
+     o AS (SELECT doc_key, part, paragraph, coalesce(sum(length(part) + sep) OVER (PARTITION BY doc_key ORDER BY paragraph ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS s, regexp_replace(part, '^\s+|\s+$', '', 'g') AS raw FROM u),
+     k AS (SELECT *, s + length(part) AS e, CASE WHEN raw LIKE '#%' THEN nullif(trim(ltrim(raw, '#')), '') END AS name FROM o WHERE raw <> ''),
+     blocks AS (SELECT doc_key, row_number() OVER (PARTITION BY doc_key ORDER BY paragraph) - 1 AS pos, """ + _SQL_NORMAL.format("raw") + r""" AS text, s, e::INT AS e,
+                       CASE WHEN raw LIKE '#%' THEN 'heading' WHEN regexp_matches(raw, '^[-*+]') THEN 'list_item' ELSE 'paragraph' END AS kind,
+                       last_value(name IGNORE NULLS) OVER (PARTITION BY doc_key ORDER BY paragraph ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section, 'char=' || s || ':' || e AS location FROM k)"""
+#: Blocks to chunks: pieces of long blocks one after another, then pieces into groups one after another.
+_SQL_CHUNKS = r"""
+     w AS (SELECT * FROM blocks WHERE text <> ''),
+     f AS (SELECT doc_key, pos, text, s, e, section, location, 0 AS a, CASE WHEN length(text) <= 2000 THEN length(text) ELSE 0 END AS b, length(text) AS n FROM w
+           UNION ALL SELECT doc_key, pos, text, s, e, section, location, nxt, CASE WHEN nxt + 2000 >= n THEN n WHEN strpos(back, ' ') > 0 THEN nxt + 2000 - strpos(back, ' ') ELSE nxt + 2000 END, n
+                     FROM (SELECT *, reverse(translate(substr(text, nxt + 1001, 1000), chr(10), ' ')) AS back FROM (SELECT *, CASE WHEN b = 0 THEN 0 ELSE greatest(a + 1, b - 150) END AS nxt FROM f WHERE b < n))),
+     c AS (SELECT doc_key, pos, section, location, a, CASE WHEN n <= 2000 THEN text ELSE trim(substr(text, a + 1, b - a), ' ' || chr(10)) END AS text, CASE WHEN n <= 2000 THEN s ELSE least(e, s + a) END AS s, CASE WHEN n <= 2000 THEN e ELSE least(e, s + b) END AS e FROM f WHERE b > 0),
+     p AS (SELECT *, row_number() OVER (PARTITION BY doc_key ORDER BY pos, a) AS i, length(text) AS n FROM c WHERE text <> ''),
+     g AS (SELECT doc_key, i, 0 AS g, n AS size, n >= 1200 AS full FROM p WHERE i = 1
+           UNION ALL SELECT p.doc_key, p.i, CASE WHEN g.full OR g.size + 2 + p.n > 1200 THEN g.g + 1 ELSE g.g END, CASE WHEN g.full OR g.size + 2 + p.n > 1200 THEN p.n ELSE g.size + 2 + p.n END, p.n >= 1200
+                     FROM g JOIN p ON p.doc_key = g.doc_key AND p.i = g.i + 1),
+     chunks AS (SELECT p.doc_key, g.g::INT AS sequence_index, string_agg(p.text, chr(10) || chr(10) ORDER BY p.i) AS chunk_text, min_by(p.s, p.i)::INT AS s, max_by(p.e, p.i)::INT AS e,
+                       arg_min_null(p.section, p.i) AS section, arg_min_null(p.location, p.i) AS location FROM p JOIN g ON p.doc_key = g.doc_key AND p.i = g.i GROUP BY ALL)"""
+
+
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_key, text) with empty lines between lines, and a heading, a list item, or a heading without a name at the front."""
+    front = F.when(F.col("doc_id") % 3 == 0, "# ").when(F.col("doc_id") % 3 == 1, "- ").otherwise("#\n\n")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_key"), F.concat(front, F.replace("text", F.lit("\n"), F.lit("\n \n  "))).alias("text"))
+
+
+@R.query(_SQL_BLOCKS + " SELECT doc_key, pos, sha256(text) AS text_hash, s AS start, e AS \"end\", kind, section, location FROM blocks")
 def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = text_blocks(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_key"), "text"))
-    return blocks.select("doc_key", "pos", F.sha2("text", 256).alias("text_hash"), "kind")
+    blocks = text_blocks(_marked(spark, sf_dir))
+    return blocks.select("doc_key", "pos", F.sha2("text", 256).alias("text_hash"), "start", "end", "kind", "section", "location")
 
 
-@R.query()
+@R.query(_SQL_BLOCKS + "," + _SQL_CHUNKS + """
+SELECT 'corpus' AS project, 'RUN-1' AS run_id, 'CHK-' || upper(substr(sha256(concat_ws('|', chunk_text, s::VARCHAR, e::VARCHAR, location)), 1, 20)) AS chunk_id, doc_key, sequence_index, chunk_text,
+       'sha256:' || sha256(chunk_text) AS content_hash, s AS start_char, e AS end_char, section, location AS source_location, 'pending' AS graph_status, 'pending' AS vector_status FROM chunks""")
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_key"), "text")
-    return manifest(chunk_blocks(text_blocks(docs)), "corpus", "RUN-1").drop("block_types")
+    return manifest(chunk_blocks(text_blocks(_marked(spark, sf_dir))), "corpus", "RUN-1").drop("block_types")
 
 
-@R.query()
+@R.query("WITH RECURSIVE x AS (SELECT doc_id::VARCHAR AS doc_key, string_split(text, chr(10)) AS l FROM documents), y AS (SELECT doc_key, unnest(l) AS raw, generate_subscripts(l, 1) AS pos FROM x),"
+         " blocks AS (SELECT doc_key, pos, " + _SQL_NORMAL.format("raw") + " AS text, 0 AS s, length(raw)::INT AS e, NULL::VARCHAR AS section, NULL::VARCHAR AS location FROM y WHERE raw <> '')," + _SQL_CHUNKS + """
+SELECT doc_key, sequence_index, s AS start_char, e AS end_char, length(chunk_text)::INT AS n_chars, sha256(chunk_text) AS chunk_hash FROM chunks""")
 def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as blocks, so that chunks are packed of many."""
+    """Lines as blocks; some are longer than a chunk may be."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_key"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     blocks = docs.filter("text <> ''").select("doc_key", "pos", "text", F.lit(0).alias("start"), F.length("text").alias("end"), F.lit("paragraph").alias("kind"), F.lit(None).cast("string").alias("section"), F.lit(None).cast("string").alias("location"))
-    return chunk_blocks(blocks).select("doc_key", "sequence_index", F.length("chunk_text").alias("n_chars"), F.sha2("chunk_text", 256).alias("chunk_hash"))
+    return chunk_blocks(blocks).select("doc_key", "sequence_index", "start_char", "end_char", F.length("chunk_text").alias("n_chars"), F.sha2("chunk_text", 256).alias("chunk_hash"))
 
 
 @R.query("SELECT doc_id::VARCHAR AS doc_key, 'NOT_PERSISTED' AS issue FROM documents WHERE trim(text) <> ''")

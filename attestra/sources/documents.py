@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attestra.functions.text import is_heading, normalize_text
+from attestra.functions.text import is_heading, normalize_text, strip
 
 BLOCK_COLUMNS = ("doc_key", "pos", "text", "start", "end", "kind", "section", "location", "paragraph")
 
@@ -17,30 +17,34 @@ BLOCK_COLUMNS = ("doc_key", "pos", "text", "start", "end", "kind", "section", "l
 def text_blocks(docs: DataFrame) -> DataFrame:
     """(doc_key, text) to blocks separated by empty lines, with spans, running section and kind.
 
-    Empty parts count as paragraphs. A part that starts with # is a heading, and the
-    section of what follows; one that starts with -, * or + is a list item.
+    A block's span is that of the part between the empty lines, its white space included,
+    and its text the part's normalized text. Empty parts count as paragraphs. A part that
+    starts with # is a heading, and, unless nothing follows the #, the section from there
+    on; one that starts with -, * or + is a list item.
     """
-    parts = F.split("text", r"\n\s*\n")
-    seps = F.regexp_extract_all("text", F.lit(r"(\n\s*\n)"), 1)
+    separator = r"(?U)\n[\s\x1C-\x1F]*\n"
+    parts = F.split("text", separator)
+    seps = F.regexp_extract_all("text", F.lit(f"({separator})"), 1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
     lengths = F.transform(parts, lambda p, i: F.length(p) + F.coalesce(F.length(F.get(seps, i)), F.lit(0)))
     offsets = F.aggregate(lengths, start, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")))["all"]
-    exploded = docs.select("doc_key", offsets.alias("offsets"), F.posexplode(parts).alias("paragraph", "part")).select("doc_key", "paragraph", "part", F.get("offsets", F.col("paragraph")).alias("offset"))
-    trimmed = exploded.select("doc_key", (F.col("paragraph") + 1).alias("paragraph"), F.regexp_replace("part", r"^\s+|\s+$", "").alias("text"), (F.col("offset") + F.length(F.regexp_extract("part", r"^(\s*)", 1))).alias("start"))
-    kept = trimmed.filter(F.col("text") != "")
-    kind = F.when(F.col("text").startswith("#"), "heading").when(F.col("text").rlike(r"^[-*+]"), "list_item").otherwise("paragraph")
+    exploded = docs.select("doc_key", offsets.alias("offsets"), F.posexplode(parts).alias("paragraph", "part")).select("doc_key", (F.col("paragraph") + 1).alias("paragraph"), "part", F.get("offsets", F.col("paragraph")).alias("start"))
+    kept = exploded.withColumn("raw", strip(F.col("part"))).filter(F.col("raw") != "")
+    kind = F.when(F.col("raw").startswith("#"), "heading").when(F.col("raw").rlike(r"^[-*+]"), "list_item").otherwise("paragraph")
     order = Window.partitionBy("doc_key").orderBy("paragraph")
-    own = F.when(F.col("text").startswith("#"), F.trim(F.regexp_replace("text", "^#+", "")))
+    name = strip(F.regexp_replace("raw", "^#+", ""))
+    own = F.when(F.col("raw").startswith("#") & (name != ""), name)
+    end = F.col("start") + F.length("part")
     return kept.select(
-        "doc_key", (F.row_number().over(order) - 1).alias("pos"), "text", "start", (F.col("start") + F.length("text")).alias("end"), kind.alias("kind"),
-        F.last(own, ignorenulls=True).over(order).alias("section"), F.concat(F.lit("paragraph "), F.col("paragraph")).alias("location"), "paragraph",
+        "doc_key", (F.row_number().over(order) - 1).alias("pos"), normalize_text(F.col("raw")).alias("text"), "start", end.alias("end"), kind.alias("kind"),
+        F.last(own, ignorenulls=True).over(order).alias("section"), F.concat(F.lit("char="), F.col("start"), F.lit(":"), end).alias("location"), "paragraph",
     )
 
 
 def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_key, text) of the .txt and .md files below ``path``; one row a file."""
     found = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md}").text(path)
-    return found.select(F.col("_metadata.file_path").alias("doc_key"), normalize_text(F.col("value")).alias("text"))
+    return found.select(F.col("_metadata.file_path").alias("doc_key"), F.col("value").alias("text"))
 
 
 def read_binary_documents(spark: SparkSession, path: str, glob: str, parser: Callable[[bytes], list[dict]]) -> DataFrame:

@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Fixed values.
-EXCLUDED_DIRS = (".git", ".venv", "__pycache__", ".pytest_cache", "node_modules")
-EXCLUDED_SUFFIXES = (".pyc", ".pyo")
+EXCLUDED_DIRS = (
+    ".git", ".global_cache", ".graphify_python", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".venv", ".vscode", "__pycache__",
+    "generated", "graphify-out", "logs", "node_modules", "runtime", "venv",
+)
+EXCLUDED_SUFFIXES = (".log", ".pyc", ".pyo", ".tmp")
+#: Files of an extraction, the first of which that has nodes counts.
+EXTRACTION_FILES = (".graphify_extract.json", ".graphify_ast.json", "graph.json")
 
 
 def tree_entries(spark: SparkSession, root: str) -> DataFrame:
@@ -24,7 +29,7 @@ def tree_entries(spark: SparkSession, root: str) -> DataFrame:
     rows = found.select(path.alias("path"), relative.alias("relative_path"), F.col("length").alias("size"), F.sha2("content", 256).alias("digest")).drop("path")
     inside = "|".join(x.replace(".", r"\.") for x in EXCLUDED_DIRS)
     suffix = "|".join(x.replace(".", r"\.") for x in EXCLUDED_SUFFIXES)
-    return rows.filter(~F.col("relative_path").rlike(f"(^|/)({inside})/") & ~F.col("relative_path").rlike(f"({suffix})$"))
+    return rows.filter(~F.col("relative_path").rlike(f"(^|/)({inside})/") & ~F.lower("relative_path").rlike(f"({suffix})$"))
 
 
 def case_collisions(entries: DataFrame) -> DataFrame:
@@ -56,6 +61,20 @@ def code_graph_tables(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return raw.select(F.explode("nodes").alias("n")).select("n.*"), raw.select(F.explode(links).alias("l")).select("l.*")
 
 
+def helper_files(files: DataFrame, modules: tuple[str, ...] = ()) -> DataFrame:
+    """Of (relative_path, content) the wrapper and helper files of test_lib, named after their folder; of ``modules`` only, in any case, if there are any."""
+    module = F.regexp_extract("relative_path", r"^test_lib/([^/]+)/\1_(?:wrappers|helpers)\.py$", 1)
+    found = files.filter(module != "")
+    return found.filter(F.lower(module).isin(*(m.lower() for m in modules))) if any(modules) else found
+
+
+def choose_extraction(texts: DataFrame) -> DataFrame:
+    """Of (folder, name, text) JSON files, the first of ``EXTRACTION_FILES`` in each folder that has nodes."""
+    order = F.array_position(F.array(*(F.lit(x) for x in EXTRACTION_FILES)), F.col("name"))
+    usable = texts.filter((order > 0) & F.get_json_object("text", "$.nodes").isNotNull()).withColumn("_at", order)
+    return usable.groupBy("folder").agg(F.min_by(F.struct("name", "text"), "_at").alias("x")).select("folder", "x.*")
+
+
 def functions_of(source: str) -> list[tuple[str, int, int, str]]:
     """(name, first line, last line, body digest) of functions at any depth; none if the source does not parse."""
     try:

@@ -20,13 +20,22 @@ def one(spark, column, **values):
         (text.collapse, " a  b\n c ", "a b c"),
         (text.fold, " Straße  X ", "strasse x"),
         (text.slug, "  My Project! (v2) ", "my-project-v2"),
-        (text.slug, "***", "default"),
+        (text.slug, "***", "project"),
         (text.singular, "entities", "entity"),
         (text.singular, "class", "class"),
         (text.singular, "sensors", "sensor"),
         (text.pascal_title, "check the door-lock 2x", "CheckTheDoorLock2x"),
         (text.is_one_sentence, "The lock shall open.", True),
         (text.is_one_sentence, "It opens. It shuts.", False),
+        (text.is_one_sentence, 'The lock says "open." ', True),
+        (text.is_one_sentence, "The lock says (open.)", True),
+        (text.is_one_sentence, "The lock opens in 2.5 s.", True),
+        (text.is_one_sentence, "It opens. And then", False),
+        (text.sentences, 'It says "Go!" Then\n it stops.', ['It says "Go!"', "Then it stops."]),
+        (text.is_heading, "0.1 Scope", False),
+        (text.is_heading, "# Scope", False),
+        (text.is_heading, "3. Scope", True),
+        (text.is_heading, "3 " + "x" * 120, False),
         (text.sentences, "One. Two! three", ["One.", "Two!", "three"]),
         (text.count_words, "  a b  c ", 3),
         (text.count_quarters, "abc", 1),
@@ -41,13 +50,19 @@ def test_text_functions(spark, made, value, expected):
 
 
 def test_query_terms_are_distinct_and_in_order(spark):
-    assert one(spark, text.query_terms(F.col("v"), 3), v="The Door opens the door and Motor runs") == ["door", "opens", "motor"]
+    assert one(spark, text.query_terms(F.col("v"), 3), v="The Door opens the door and 12ab Motor when is runs into") == ["door", "opens", "motor"]
 
 
 def test_explicit_rows_and_quotes(spark):
     t = "BR-COM-001 The lock shall open.\nother\nBR-COM-002 It shall shut."
     assert [tuple(r) for r in one(spark, text.explicit_rows(F.col("v")), v=t)] == [("BR-COM-001", "The lock shall open."), ("BR-COM-002", "It shall shut.")]
     assert one(spark, text.quote_candidates(F.col("v")), v=t)[:2] == ["The lock shall open.", "It shall shut."]
+    twice = "BR-1 A.\x0bBR-2  B.\u2028BR-1 C."
+    assert [tuple(r) for r in one(spark, text.explicit_rows(F.col("v")), v=twice)] == [("BR-1", "C."), ("BR-2", "B.")]
+
+
+def test_query_terms_leave_out_the_stop_words(spark):
+    assert one(spark, text.query_terms(F.col("v")), v="and are for from into should that the then this when with") == []
 
 
 def test_null_part_keeps_its_place(spark):
@@ -60,12 +75,12 @@ def test_checksum_ignores_key_order_and_time():
 
 
 def test_leaves_placeholders_and_secrets(spark):
-    df = spark.createDataFrame([("r", '{"a": {"b_ids": ["x", "TBD"]}, "password": "hunter", "api_token": "secret://k", "n": 1, "e": " "}')], "record_id string, payload string")
-    rows = json_text.explode_leaves(df, "payload").withColumn("p", json_text.is_placeholder(F.col("value"))).withColumn("s", json_text.is_plain_secret(F.col("key"), F.col("value"))).orderBy("pos").collect()
-    assert [r["path"] for r in rows] == ["a.b_ids[0]", "a.b_ids[1]", "password", "api_token", "n", "e"]
+    df = spark.createDataFrame([("r", '{"a": {"b_ids": ["x", "TBD"]}, "password": "hunter", "api_token": "secret://k", "n": 1, "e": " ", "pin_secret": 7, "Credential": " ", "token": "", "secret": null}')], "record_id string, payload string")
+    rows = json_text.explode_leaves(df, "payload").withColumn("p", json_text.is_placeholder(F.col("value"))).withColumn("s", json_text.is_plain_secret(F.col("key"), F.col("value"), F.col("kind"))).orderBy("pos").collect()
+    assert [r["path"] for r in rows] == ["a.b_ids[0]", "a.b_ids[1]", "password", "api_token", "n", "e", "pin_secret", "Credential", "token", "secret"]
     assert [r["key"] for r in rows][:2] == ["b_ids", "b_ids"]
-    assert [r["p"] for r in rows] == [False, True, False, False, False, True]
-    assert [r["s"] for r in rows] == [False, False, True, False, False, False]
+    assert [r["p"] for r in rows] == [False, True, False, False, False, True, False, True, True, False]
+    assert [r["s"] for r in rows] == [False, False, True, False, False, False, True, True, False, False]
 
 
 def test_last_json_object():

@@ -37,15 +37,37 @@ def test_pieces_are_bounded_and_cover_the_text(text, maximum, overlap):
     assert spans == sorted(spans)
 
 
+def test_pieces_of_a_long_block_are_stripped_and_never_empty():
+    text = "x" * 60 + " " + "y" * 30 + " " * 50 + "z"
+    got = list(chunking.pack([block(text, start=7)], chunking.Settings(20, 5, 40)))
+    assert all(c["text"] == c["text"].strip() != "" for c in got)
+    assert (got[0]["start"], got[0]["end"]) == (7, 47)
+    assert chunking.Settings().fingerprint == "block-pack-v4-structural-headings:size=1200:overlap=150:max=2000"
+
+
+def test_blocks_are_normalized_before_they_are_packed(spark):
+    rows_ = [("d", 0, " a \t b ", 0, 7, "paragraph", None, "char=0:7"), ("d", 1, " \n ", 9, 12, "paragraph", None, "char=9:12"), ("d", 2, "c", 14, 15, "paragraph", None, "char=14:15")]
+    blocks = spark.createDataFrame(rows_, "doc_key string, pos int, text string, start int, end int, kind string, section string, location string")
+    (c,) = chunking.chunk_blocks(blocks).collect()
+    assert (c["chunk_text"], c["start_char"], c["end_char"], c["source_location"]) == ("a b\n\nc", 0, 15, "char=0:7")
+
+
 def test_text_blocks_have_spans_sections_and_kinds(spark):
     t = "# Title\n\n  body one \n\n\n- item"
     df = spark.createDataFrame([("d", t)], "doc_key string, text string")
     got = rows(documents.text_blocks(df).select("text", "start", "kind", "section"), "start")
     assert [g[0] for g in got] == ["# Title", "body one", "- item"]
-    assert all(t[g[1] : g[1] + len(g[0])] == g[0] for g in got)
+    spans = rows(documents.text_blocks(df).select("start", "end", "location", "paragraph"), "start")
+    assert [t[a:b] for a, b, *_ in spans] == ["# Title", "  body one ", "- item"]
+    assert [(at, k) for *_, at, k in spans] == [("char=0:7", 1), ("char=9:20", 2), ("char=23:29", 3)]
     assert [g[2:] for g in got] == [("heading", "Title"), ("paragraph", "Title"), ("list_item", "Title")]
 
 
+def test_a_bare_heading_keeps_the_section(spark):
+    df = spark.createDataFrame([("d", "# A\n\nx\n\n##\n\ny")], "doc_key string, text string")
+    assert rows(documents.text_blocks(df).select("text", "kind", "section"), "start") == [("# A", "heading", "A"), ("x", "paragraph", "A"), ("##", "heading", "A"), ("y", "paragraph", "A")]
+
+
 def test_page_lines_without_noise(spark):
     words = [("d", p, 800.0, x, y, y + 8, w) for p in (1, 2) for x, y, w in ((10.0, 20.0, "Header"), (10.0, 100.0, f"body{p}"), (50.0, 101.0, "text"), (10.0, 780.0, f"{p}"), (20.0, 780.5, "/ 2"))]
     df = spark.createDataFrame(words, "doc_key string, page int, page_height double, x double, y0 double, y1 double, word string")
@@ -81,10 +103,11 @@ def test_tier_zero_is_free_and_mandatory(spark):
 
 
 def test_symbol_budget_counts_drops(spark):
-    df = spark.createDataFrame([("q", 0, "symbols", f"s{k}", "x" * 8) for k in range(4)], "anchor string, tier int, group string, key string, json string")
+    groups = ("matched_symbols", "test_lib_symbols", "neighbor_symbols", "neighbor_symbols", "evidence_chunks")
+    df = spark.createDataFrame([("q", k, g, f"s{k}", "x" * 8) for k, g in enumerate(groups)], "anchor string, tier int, group string, key string, json string")
     got = context.apply_budget(df, 100, 3)
-    assert got.filter("kept").count() == 3
-    assert rows(context.dropped_counts(got)) == [("q", "symbols", 1)]
+    assert got.filter("kept").count() == 4
+    assert rows(context.dropped_counts(got)) == [("q", "neighbor_symbols", 1)]
 
 
 def test_require_subset_fails_on_outsiders(spark):
@@ -95,10 +118,10 @@ def test_require_subset_fails_on_outsiders(spark):
 
 
 def test_paths_need_an_allowed_edge_and_use_none_twice(spark):
-    edges = spark.createDataFrame([("e1", "a", "b", False, "c1"), ("e2", "b", "c", True, "c2"), ("e3", "c", "a", True, "c3")], "edge_id string, source string, target string, allowed boolean, chunk_id string")
+    edges = spark.createDataFrame([("e1", "a", "b", False, "c1", 9), ("e2", "b", "c", True, "c2", 5), ("e3", "c", "a", True, "c3", 2)], "edge_id string, source string, target string, allowed boolean, chunk_id string, sequence_index int")
     start = spark.createDataFrame([("q", "a")], "anchor string, node string")
     assert rows(graph.graph_evidence(start, edges, 1, 9), "chunk_id") == [("q", "c3", 1.0, 1)]
-    assert [r[1] for r in rows(graph.graph_evidence(start, edges, 2, 9), "chunk_id")] == ["c2", "c3"]
+    assert [r[1] for r in rows(graph.graph_evidence(start, edges, 2, 9), "pos")] == ["c3", "c2"]
     found = graph.paths(start, edges, 4)
     assert all(len(set(r["edges"])) == len(r["edges"]) for r in found.collect())
 
@@ -190,25 +213,82 @@ def test_validate_reports_each_rule(spark):
     from attestra import schemas
 
     records = spark.createDataFrame(
-        [("R1", "Oracles", "approved", True, "k", "n", '{"x": "TBD", "password": "p"}', "Oracles", 2), ("R1", "Oracles", "draft", True, "k", "n", "{}", "Oracles", 3), ("F1", "Cleanup", "approved", True, "k", "n", "{}", "Cleanup", 2)], schemas.RECORDS
+        [
+            ("R1", "Oracle", "APPROVED", True, "k", "n", '{"x": "TBD", "password": 5}', "Oracle", 2), ("R1", "Oracle", "DRAFT", True, "k", "n", "{}", "Oracle", 3), ("C1", "Cleanup", "DRAFT", True, "k", "n", "{}", "Cleanup", 2),
+            ("P1", "ExecutionProfile", "APPROVED", True, "k", "n", "{}", "ExecutionProfile", 2),
+        ], schemas.RECORDS,
     )
-    bindings = spark.createDataFrame([("B1", "S1", "p", None, "F1", "A1", ["R9"], ["R1"], "F1", 1, "approved")], schemas.BINDINGS)
+    bindings = spark.createDataFrame([("B1", "S1", "P1", None, "C1", "A1", ["R9"], ["R1"], "C1", 1, "APPROVED")], schemas.BINDINGS)
     found = testdata.validate(records, bindings, spark.createDataFrame([("S1",), ("S2",)], "scenario_id string"))
-    codes = {r["issue_code"]: r["count"] for r in found.groupBy("issue_code").count().collect()}
-    assert codes == {"IDENTITY_DUPLICATE_RECORD_ID": 1, "SEMANTIC_PLACEHOLDER_VALUE": 1, "SEMANTIC_PLAINTEXT_SECRET": 1, "REFERENCE_MISSING_FK": 2, "REFERENCE_WRONG_TYPE": 1, "SEMANTIC_UNAPPROVED_RECORD": 1, "COVERAGE_NO_BINDING": 1}
+    got = {(r["issue_code"], r["record_id"], r["message"]) for r in found.collect()}
+    assert got == {
+        ("IDENTITY_DUPLICATE_RECORD_ID", "R1", "record_id 'R1' appears 2 times"), ("SEMANTIC_PLACEHOLDER_VALUE", "R1", "record 'R1' contains placeholder value 'TBD'"),
+        ("SEMANTIC_PLAINTEXT_SECRET", "R1", "record 'R1' field 'password' must contain a secret:// reference"), ("REFERENCE_MISSING_FK", "B1", "binding 'B1' references unknown record 'A1'"),
+        ("REFERENCE_MISSING_FK", "B1", "binding 'B1' references unknown record 'R9'"), ("REFERENCE_WRONG_TYPE", "B1", "binding 'B1' expects Fixture for 'C1' but found Cleanup"),
+        ("SEMANTIC_UNAPPROVED_RECORD", "B1", "binding 'B1' references non-APPROVED 'C1'"), ("COVERAGE_NO_BINDING", "S2", "scenario 'S2' has no approved binding"),
+    }
+    assert {r["severity"] for r in found.collect()} == {"ERROR"}
     assert testdata.gate(found).first()["status"] == "BLOCKED" and testdata.gate(found.limit(0)).first()["status"] == "READY"
 
 
+def test_record_types_of_references(spark):
+    names = ("execution_profile_id", "fixture_id", "action_sequence_id", "cleanup_id", "timing_policy_id", "oracle_ids", "test_vector_ids", "fault_profile_ids", "safety_rule_ids")
+    types = ("ExecutionProfile", "Fixture", "Action", "Cleanup", "TimingPolicy", "Oracle", "TestVector", "FaultProfile", "SafetyRule")
+    ddl = ", ".join(f"{n} {'array<string>' if n.endswith('_ids') else 'string'}" for n in names)
+    df = spark.createDataFrame([("B", *(["x"] if n.endswith("_ids") else "x" for n in names))], f"binding_id string, {ddl}")
+    assert {(r["field"], r["expected_type"]) for r in testdata.references(df).collect()} == set(zip(names, types))
+
+
+BOUND = "scenario_id string, execution_profile_id string, variant_id string, binding_id string, selection_priority int, approval_status string"
+
+
 def test_binding_priority_and_ambiguity(spark):
-    b = spark.createDataFrame([("S1", "b1", 1, "approved"), ("S1", "b2", 2, "approved"), ("S2", "b3", 1, "approved"), ("S2", "b4", 1, "approved"), ("S3", "b5", 1, "draft")], "scenario_id string, binding_id string, selection_priority int, approval_status string")
+    b = spark.createDataFrame([
+        ("S1", "P", None, "b1", 1, "APPROVED"), ("S1", "P", "default", "b2", 2, "APPROVED"), ("S1", "Q", None, "b9", 9, "APPROVED"), ("S1", "P", "v", "b8", 9, "APPROVED"),
+        ("S2", "P", None, "b4", 1, "APPROVED"), ("S2", "P", None, "b3", 1, "APPROVED"), ("S2", "P", None, "b0", 0, "APPROVED"), ("S3", "P", None, "b5", 1, "DRAFT"),
+    ], BOUND)
+    asked = spark.createDataFrame([("S1", "P", None), ("S2", "P", None), ("S3", "P", None)], "scenario_id string, execution_profile_id string, variant_id string")
+    got = {r["scenario_id"]: (r["status"], r["binding_id"], r["candidates"]) for r in testdata.resolve_bindings(asked, b).collect()}
+    assert got == {"S1": ("READY", "b2", []), "S2": ("BLOCKED_AMBIGUOUS_BINDING", None, ["b3", "b4"]), "S3": ("BLOCKED_MISSING_DATA", None, [])}
+    named = spark.createDataFrame([("S1", "P", None, "b1"), ("S1", "P", None, "b9"), ("S2", "P", None, "zz"), ("S3", "P", None, "b5"), ("S2", "P", None, None)], "scenario_id string, execution_profile_id string, variant_id string, binding_id string")
+    found = sorted((r["scenario_id"], r["binding_id"] or "", r["status"]) for r in testdata.select_binding(named, b).collect())
+    assert found == [("S1", "b1", "READY"), ("S1", "b9", "does_not_match"), ("S2", "", "BLOCKED_AMBIGUOUS_BINDING"), ("S2", "zz", "unavailable"), ("S3", "b5", "does_not_match")]
+
+
+def test_variants_are_those_of_approved_bindings(spark):
+    b = spark.createDataFrame([("S1", "P", None, "b1", 1, "APPROVED"), ("S1", "P", "x", "b2", 1, "DRAFT"), ("S1", "Q", "y", "b3", 1, "APPROVED"), ("S2", "P", "x", "b4", 1, "APPROVED"), ("S2", "P", "y", "b5", 1, "APPROVED")], BOUND)
     s = spark.createDataFrame([("S1",), ("S2",), ("S3",)], "scenario_id string")
-    assert [r[:3] for r in rows(testdata.resolve_bindings(s, b), "scenario_id")] == [("S1", "ready", "b2"), ("S2", "ambiguous", None), ("S3", "missing", None)]
+    assert rows(testdata.select_variant(b, "P", s), "scenario_id") == [("S1", "default", "selected"), ("S2", None, "several"), ("S3", None, "none")]
+    named = spark.createDataFrame([("S1", "y"), ("S2", "y")], "scenario_id string, variant_id string")
+    assert rows(testdata.select_variant(b, "P", s, named), "scenario_id") == [("S1", None, "unknown_variant"), ("S2", "y", "selected"), ("S3", None, "none")]
+
+
+def test_payload_references_of_any_id_field(spark):
+    from attestra.functions.json_text import explode_leaves
+
+    payload = '{"binding_id": "B", "scenario_id": "S", "execution_profile_id": "P", "endpoint_id": "E1", "step_ids": ["T1", "", "E1"], "nested": {"deep_id": "N"}, "n_id": 3, "none_ids": null}'
+    leaves = explode_leaves(spark.createDataFrame([("B", payload)], "binding_id string, payload string"), "payload")
+    assert rows(testdata.payload_references(leaves)) == [("B", ["E1", "T1"])]
 
 
 def test_capability_decisions(spark):
-    c = spark.createDataFrame([("s", k, m) for k, ms in {"a": ["exact", "partial"], "b": ["partial", "partial"], "c": ["compatible", "partial"], "d": ["partial"], "e": ["none"]}.items() for m in ms], "scenario_id string, capability_id string, match_kind string")
-    may = spark.createDataFrame([("d",)], "capability_id string")
-    assert [r[2] for r in rows(readiness.decide_capability(c, may), "capability_id")] == ["REUSE", "COMPOSE", "WRAP", "IMPLEMENT", "BLOCK"]
+    c = spark.createDataFrame([("s", k, i, f"{k}{i}", m) for k, ms in {"a": ["partial", "exact"], "b": ["partial", "partial"], "c": ["partial", "compatible"], "d": ["partial"], "e": ["none"]}.items() for i, m in enumerate(ms)], "scenario_id string, capability_id string, pos int, fqn string, match_kind string")
+    asked = spark.createDataFrame([("s", k, k in "df") for k in "abcdefg"], "scenario_id string, capability_id string, authorized boolean")
+    got = [r[2:] for r in rows(readiness.decide_capability(asked, c), "capability_id")]
+    blocked = (None, None, "BLOCKED_MISSING_CAPABILITY")
+    assert got == [("reuse", "a1", None), ("compose", "b0", None), ("wrap", "c1", None), ("implement", None, None), blocked, ("implement", None, None), blocked]
+
+
+def test_gates_are_asked_in_order(spark):
+    fails = [(), ("scenario_approved", "bundle_available"), ("worktree_matches_index", "safety_satisfied"), ("framework_modifications_authorized",), ("dependencies_available",), ("schema_conforms", "test_data_snapshot_ready")]
+    gates = spark.createDataFrame([(k, "READY", k == 3, *(g not in f for g in readiness.GATES)) for k, f in enumerate(fails)], "k int, binding_status string, framework_modification_required boolean, " + ", ".join(f"{g} boolean" for g in readiness.GATES))
+    got = [r[:] for r in rows(readiness.readiness(gates).select("k", "readiness", "failed_check"), "k")]
+    assert got == [
+        (0, "READY", None), (1, "BLOCKED_MISSING_DATA", "bundle_available"), (2, "BLOCKED_FRAMEWORK_STALE", "worktree_matches_index"), (3, "BLOCKED_AUTHORIZATION", "framework_modifications_authorized"),
+        (4, "BLOCKED_DEPENDENCY", "dependencies_available"), (5, "BLOCKED_INVALID_TEST_DATA_DOCUMENT", "test_data_snapshot_ready"),
+    ]
+    bound = gates.filter("k = 0").withColumn("binding_status", F.lit("BLOCKED_AMBIGUOUS_BINDING"))
+    assert rows(readiness.readiness(bound).select("readiness", "failed_check")) == [("BLOCKED_AMBIGUOUS_BINDING", "scenario_data_binding")]
 
 
 def test_two_phase_activation(spark):
@@ -221,12 +301,15 @@ def test_two_phase_activation(spark):
 
 
 def test_code_graph(spark):
-    nodes = spark.createDataFrame([("n1", "run()", "code", None, "a.py", "L3-L9", None), ("n2", "Motor", "code", None, "a.py", "L12", None), ("n3", "note", "doc", None, "r.md", None, None), ("p1", "lib", "package", None, None, None, "2.0")], "id string, label string, file_type string, type string, source_file string, source_location string, version string")
+    kinds = spark.createDataFrame([(x,) for x in ("run()", "Motor.run()", "MAX_RPM", "Motor", "rpm", "_x")], "x string").select("x", codegraph.symbol_kind(F.col("x")))
+    assert [r[1] for r in kinds.collect()] == ["Function", "Method", "Constant", "Class", "Variable", "Variable"]
+    assert codegraph.RELATIONS["uses"] == "REFERENCES" and codegraph.RELATIONS["method"] == "DECLARES" and len(codegraph.RELATIONS) == 13
+    nodes = spark.createDataFrame([("f1", "a.py", "code", None, "a.py", None, None), ("n4", "lost()", "code", None, "z.py", "L1", None), ("n1", "run()", "code", None, "a.py", "L3-L9", None), ("n2", "Motor", "code", None, "a.py", "L12", None), ("n3", "note", "doc", None, "r.md", None, None), ("p1", "lib", "package", None, None, None, "2.0")], "id string, label string, file_type string, type string, source_file string, source_location string, version string")
     links = spark.createDataFrame([("n1", "n2", "calls", "L4", None), ("n1", "n2", "calls", "L4", None), ("n1", "n3", "calls", None, None), ("n1", "n2", "likes", None, None), ("n1", "p1", "depends_on", None, None)], "source string, target string, relation string, source_location string, confidence string")
     syms = codegraph.symbols(nodes, "S")
     made = codegraph.edges(links, syms, "S")
-    assert rows(syms.select("fqn", "kind", "start_line", "end_line"), "start_line") == [("a.py::run", "function", 3, 9), ("a.py::Motor", "class", 12, 12)]
-    assert [r["relation"] for r in made.collect()] == ["CALLS"] and codegraph.extraction_problems(syms, made).isEmpty()
+    assert rows(syms.select("fqn", "kind", "start_line", "end_line"), "start_line") == [("a.py::run()", "Function", 3, 9), ("a.py::Motor", "Class", 12, 12)]
+    assert [(r["relation"], r["confidence"]) for r in made.collect()] == [("CALLS", "EXTRACTED")] and codegraph.extraction_problems(syms, made).isEmpty()
     assert rows(codegraph.package_dependencies(links, nodes)) == [("lib", "2.0")]
 
 
@@ -256,6 +339,9 @@ def test_source_slices_and_tree(spark, tmp_path):
     (tmp_path / "pkg").mkdir()
     (tmp_path / "pkg" / "a.py").write_text("x = 1\ndef f():\n    return 2\n")
     (tmp_path / "pkg" / "b.pyc").write_text("no")
+    (tmp_path / "pkg" / "c.LOG").write_text("no")
+    (tmp_path / "pkg" / "runtime").mkdir()
+    (tmp_path / "pkg" / "runtime" / "d.py").write_text("no")
     entries = files.tree_entries(spark, str(tmp_path))
     assert [r["relative_path"] for r in entries.collect()] == ["pkg/a.py"]
     assert files.tree_checksum(entries).first()["tree_checksum"].startswith("sha256:")
@@ -273,6 +359,10 @@ def test_ports(spark):
     assert [len(r["embedding"]) for r in df.collect()] == [64, 64]
     with pytest.raises(KeyError):
         ports.embedder("other")
+    other = type("RateLimitError", (Exception,), {})
+    coded = type("Odd", (Exception,), {"code": 503}), type("Odd", (Exception,), {"status": "unavailable"}), type("Odd", (Exception,), {"code": 429})
+    assert ports.is_transient(other()) and [ports.is_transient(x()) for x in coded] == [True, True, False]
+    assert not ports.is_transient(ValueError("429 rate limit, try again"))
     calls = []
 
     def flaky():
@@ -299,3 +389,90 @@ def test_streaming_ingest(spark, tmp_path):
     (src / "2.json").write_text('{"doc_key": "e", "text": "more"}\n')
     ingest.ingest_documents(ingest.stream_json(spark, str(src), schema), out, str(tmp_path / "cp"), "p").awaitTermination()
     assert spark.read.parquet(out).count() == 2
+
+
+def test_markers_and_framing(spark):
+    df = spark.createDataFrame([("It shall never stop while hot, up to 5 psi or 2.5 within 3 s.", "It shall stop.")], "a string, b string")
+    assert rows(df.select(discovery.lost_markers(F.col("a"), F.col("b")))) == [(["never", "while", "up to", "5 psi", "within", "3 s"],)]
+    framed = spark.createDataFrame([("Definition of Done: the feature is complete when: the door opens",)], "a string")
+    assert rows(framed.select(discovery.unframed(F.col("a")))) == [("the door opens",)]
+
+
+def test_lineage_keeps_order_and_fails_on_unknown_ids(spark):
+    stories = spark.createDataFrame([("s1", ["r2", "r1"]), ("s2", ["r1", "r3"])], "story_id string, requirement_ids array<string>")
+    reqs = spark.createDataFrame([("r1",), ("r2",), ("r3",)], "requirement_id string")
+    scen = spark.createDataFrame([("x", ["s2", "s1"])], "scenario_id string, story_ids array<string>")
+    assert rows(retrieval.scenario_lineage(scen, stories, reqs)) == [("x", ["s2", "s1"], ["r1", "r3", "r2"])]
+    with pytest.raises(Exception, match="unresolved"):
+        retrieval.story_requirements(stories, reqs.filter("requirement_id <> 'r3'")).collect()
+
+
+def test_blocks_of_queries_give_the_same_neighbours(spark, monkeypatch):
+    df = spark.createDataFrame([(k, [float(k % 7), float(k % 5)]) for k in range(60)], "vec_id long, embedding array<double>")
+    asked = df.filter("vec_id < 9").withColumnRenamed("vec_id", "query_id")
+    one = rows(retrieval.vector_top_k(asked, df, 3), "query_id", "rank")
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    assert rows(retrieval.vector_top_k(asked, df, 3), "query_id", "rank") == one and len(one) == 27
+
+
+def test_rows_are_numbered_over_ranges(spark):
+    df = spark.createDataFrame([(k * 7 % 100,) for k in range(100)], "k int").repartition(5)
+    assert rows(graph.numbered(df, ["k"], "n"), "k") == [(k, k) for k in range(100)]
+
+
+def test_sinks_refuse_what_the_store_must_not_hold(spark):
+    vectors = lambda *v: spark.createDataFrame([(k, list(x)) for k, x in enumerate(v)], "k int, embedding array<double>")
+    assert store.upsert_vectors(vectors(), vectors([1.0]), ["k"]).count() == 1
+    for bad in ([float("nan")], [float("inf"), 1.0], []):
+        with pytest.raises(Exception, match="finite"):
+            store.upsert_vectors(vectors(), vectors(bad), ["k"]).collect()
+    edges = spark.createDataFrame([("USES",), ("LIKES",)], "relationship_type string")
+    assert store.typed_edges(edges.limit(1)).count() == 1
+    with pytest.raises(Exception, match="unsupported relationship type"):
+        store.typed_edges(edges).collect()
+
+
+def test_upsert_replaces_the_children_of_its_parents(spark):
+    base = spark.createDataFrame([("a", 1), ("b", 1)], "id string, v int")
+    new = spark.createDataFrame([("a", 2, ["y", "z", "y"])], "id string, v int, items array<string>")
+    bridge = spark.createDataFrame([("a", "x"), ("b", "x")], "id string, item string")
+    parents, tables = store.upsert_with_children(base, new, ["id"], {"bridge": (bridge, "items", "item")})
+    assert rows(parents, "id") == [("a", 2), ("b", 1)] and rows(tables["bridge"], "id", "item") == [("a", "y"), ("a", "z"), ("b", "x")]
+
+
+def test_project_delete_takes_children_first(spark):
+    parents = spark.createDataFrame([("p", 1), ("q", 2)], "project string, id int")
+    steps = spark.createDataFrame([(1, "s"), (2, "t")], "id int, step string")
+    left = store.project_delete({"cases": parents, "steps": steps}, "p", {"steps": ("cases", "id")})
+    assert list(left) == ["steps", "cases"] and rows(left["steps"]) == [(2, "t")] and rows(left["cases"]) == [("q", 2)]
+
+
+def test_workbook_manifest_bindings_and_issues(spark):
+    cells = [("w", "Manifest", 1, 0, "Key"), ("w", "Manifest", 1, 1, "Value"), ("w", "Manifest", 2, 0, " project "), ("w", "Manifest", 2, 1, "p"), ("w", "Manifest", 3, 0, "schema_version"), ("w", "Manifest", 3, 1, "1")]
+    manifest = workbook.manifest_of(spark.createDataFrame(cells, "workbook string, sheet string, row int, col int, value string"))
+    assert {r["key"]: r["value"] for r in manifest.collect()} == {"project": "p", "schema_version": "1"}
+    assert [r["missing"] for r in workbook.manifest_problems(manifest).collect()] == ["workbook_checksum"]
+    fields = {"binding_id": "B1", "scenario_id": "S", "execution_profile_id": "P", "fixture_id": "F", "cleanup_id": "C", "approval_status": "APPROVED", "oracle_ids": "O1, O2 ,"}
+    cells = [("Bindings", k, c, v) for k, skip in ((2, ""), (3, "fixture_id"), (4, "oracle_ids")) for c, v in fields.items() if c != skip]
+    bound = workbook.bindings_of(workbook.sheet_rows(spark.createDataFrame(cells, "sheet string, row int, column string, value string")))
+    first = bound.filter("source_row = 2").first()
+    assert (first["oracle_ids"], first["variant_id"], first["selection_priority"]) == (["O1", "O2"], "default", 0)
+    found = sorted((r["issue_code"], r["message"]) for r in workbook.binding_issues(bound).collect())
+    assert found == [("STRUCT_BINDING_INVALID", "fixture_id: required"), ("STRUCT_BINDING_INVALID", "oracle_ids: at least one"), *[("STRUCT_DUPLICATE_BINDING_ID", "duplicate binding_id 'B1'")] * 2]
+
+
+def test_json_documents(spark):
+    text = '{"manifest": {"project": "p"}, "records": [{"record_id": "R"}, 5], "bindings": ["x"]}'
+    manifest, records, bindings = workbook.read_json_documents(spark.createDataFrame([("d", text)], "doc_key string, text string"))
+    assert rows(manifest) == [("d", "project", "p")]
+    assert [(r["issue_code"], r["row"]) for r in workbook.object_issues(records, "RECORD").collect()] == [("STRUCT_RECORD_NOT_OBJECT", 2)]
+    assert [r["message"] for r in workbook.object_issues(bindings, "BINDING").collect()] == ["binding at position 0 is not an object"]
+
+
+def test_helper_files_and_extractions(spark):
+    paths = ["test_lib/door/door_wrappers.py", "test_lib/door/door_helpers.py", "test_lib/door/lock_helpers.py", "test_lib/Pump/Pump_helpers.py", "lib/door/door_helpers.py"]
+    df = spark.createDataFrame([(p, "") for p in paths], "relative_path string, content string")
+    assert sorted(r[0] for r in files.helper_files(df).collect()) == sorted([paths[0], paths[1], paths[3]])
+    assert [r[0] for r in files.helper_files(df, ("pump",)).collect()] == [paths[3]]
+    found = spark.createDataFrame([("a", "graph.json", '{"nodes": []}'), ("a", ".graphify_ast.json", '{"nodes": [1]}'), ("a", ".graphify_extract.json", "{}"), ("b", "other.json", '{"nodes": []}')], "folder string, name string, text string")
+    assert rows(files.choose_extraction(found)) == [("a", ".graphify_ast.json", '{"nodes": [1]}')]

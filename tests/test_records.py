@@ -25,9 +25,19 @@ def test_accepted_rows_do_not_change(spark):
 
 
 def test_path_classes(spark):
-    paths = ["tests/a/test_x.py", "tests/s.robot", "lib/y.py", "../lib/y.py", "/lib/y.py", "setup.py"]
-    df = spark.createDataFrame([(p,) for p in paths], "p string")
-    assert [r["c"] for r in df.select(records.path_class(F.col("p")).alias("c")).collect()] == ["test", "suite", "helper", None, None, None]
+    classes = {
+        "tests/door/Tc100001Opens.py": "test", "tests/door/Tc000001Opens.py": None, "tests/door/Tc100001opens.py": None, "tests/door/__init__.py": "init", "test_lib/door/__init__.py": "init",
+        "tests_robot/door/Tc100002Opens.robot": "robot", "test_lib/door/door_wrappers.py": "wrapper", "test_lib/door/door_helpers.py": "helper", "test_lib/door/lock_helpers.py": None,
+        "../test_lib/door/door_helpers.py": None, "/tests/door/Tc100001Opens.py": None, "tests//Tc100001Opens.py": None, "setup.py": None,
+    }
+    df = spark.createDataFrame([(p,) for p in classes], "p string")
+    assert {r["p"]: r["c"] for r in df.select("p", records.path_class(F.col("p")).alias("c")).collect()} == classes
+
+
+def test_run_id_has_time_and_a_token():
+    import re
+
+    assert re.fullmatch(r"RUN-\d{8}T\d{6}Z-[0-9A-F]{6}", records.run_id("p"))
 
 
 def test_frozen_order(spark):
