@@ -3,7 +3,7 @@
 A space or line break that follows a character other than white space always starts a
 new match of the byte-level pre-tokenizer, so a text without runs of white space is its
 stretches between such points, encoded one by one. Stretches repeat; each Python worker
-keeps those it has met, up to a fixed number. Any other text is encoded as a whole.
+keeps those it has met, up to a fixed number of bytes. Any other text is encoded as a whole.
 """
 
 from __future__ import annotations
@@ -14,8 +14,12 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Stretches that a worker keeps before it sets them aside; it holds twice as many at most.
-KEPT = 300_000
+#: Bytes of stretches that a worker keeps before it sets them aside; it holds twice as many at most.
+KEPT_BYTES = 32 << 20
+#: What a stretch costs besides its characters: two objects and their place in a table.
+ENTRY_BYTES = 220
+#: A stretch that is longer is never kept.
+KEPT_CHARS = 200
 #: Stretches encoded in one call.
 BLOCK = 2_000
 
@@ -36,12 +40,13 @@ def load_tokenizer(file: str):
 class StretchEncoder:
     """Whole texts to the ids of their stretches, each kept as ``make`` gives it."""
 
-    def __init__(self, file: str, make, kept: int = KEPT):
+    def __init__(self, file: str, make, kept: int = KEPT_BYTES):
         self.tokenizer, self.make, self.kept = load_tokenizer(file), make, kept
         #: By stretch, a leading space left out; what starts with a line break is named in full.
         self.known: dict[str, object] = {}
         #: What was known before ``known`` was last full; words met again move over.
         self.older: dict[str, object] = {}
+        self.held = 0
         self.n_bytes = token_bytes(self.tokenizer) if _splits_at_spaces(self.tokenizer) else None
 
     def cut(self, text: str) -> tuple[str, list[str]]:
@@ -60,15 +65,21 @@ class StretchEncoder:
         found = [list(map(self.known.get, rest)) for _, rest in parts]
         short = [k for k, items in enumerate(found) if None in items]
         missing = {w for k in short for w, x in zip(parts[k][1], found[k]) if x is None}
-        if len(self.known) + len(missing) > self.kept:
-            self.known, self.older = {}, self.known
+        cost = sum(map(len, missing)) + ENTRY_BYTES * len(missing)
+        if self.held + cost > self.kept and self.known:
+            self.known, self.older, self.held = {}, self.known, 0
             short = list(range(len(parts)))
             missing = {w for _, rest in parts for w in rest}
+            cost = sum(map(len, missing)) + ENTRY_BYTES * len(missing)
+        self.held += cost
         met = self.older.keys() & missing
         self.known.update({w: self.older[w] for w in met})
         self._learn(list(missing - met))
         for k in short:
             found[k] = list(map(self.known.__getitem__, parts[k][1]))
+        long = [w for w in missing if len(w) > KEPT_CHARS]
+        for w in long:
+            del self.known[w]
         return [[head, *items] for head, items in zip(heads, found)]
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
