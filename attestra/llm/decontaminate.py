@@ -1,13 +1,21 @@
 """Benchmark decontamination with DataFrame functions only.
 
 Items and documents are lower-cased words. A window of a document has an item's number
-of words. A window that shares no shingle with any item has similarity 0, so windows are
-laid where a shared shingle aligns document and item; nothing that could match is left
-out by that. Each window and item gets a 64-bit SimHash of its shingles, each weighted
-by its occurrences. Fingerprints are cut into 8 blocks of 8 bits: two that differ in at
-most 23 bits differ in at most 2 of some block, so an index of the items' blocks with
-all changes of up to 2 bits finds every item within the radius. The exact similarity of
-the weighted shingle sets, sum of minima over sum of maxima, decides.
+of words; that of greatest similarity decides. Windows with a 64-bit SimHash of their
+shingles, each weighted by its occurrences, are looked up among the items. Fingerprints
+are cut into 8 blocks of 8 bits: two that differ in at most 23 bits differ in at most 2
+of some block, so an index of the items' blocks with all changes of up to 2 bits finds
+every item within that radius. The exact similarity of the weighted shingle sets, sum of
+minima over sum of maxima, decides.
+
+Not every window need be printed. One that has no shingle of an item is not similar to
+it. A shingle at place p of the document and q of the item lies on the diagonal p - q. A
+window that starts before all diagonals of its shared shingles has none of them at its
+start, and one that starts after all has none at its end, so it can be moved towards them
+and lose none. Two shingles of one window differ by less than twice its words in their
+diagonals. So it is enough to print, for each document and item, the windows that start
+from one diagonal to the next within that distance. Of what these windows hold nothing is
+lost but fingerprints beyond the radius; in simulations of edits none was.
 """
 
 from __future__ import annotations
@@ -74,76 +82,94 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def of_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text and ``key``, the id with a digest of the text: rows that differ in either are told apart, those without an id too."""
+    return documents_of(df, id_col, text_col).withColumn("key", row_key(F.col("doc_id"), F.col("text")))
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    return F.struct(F.coalesce(doc_id, F.lit(0).cast("long")).alias("id"), doc_id.isNull().alias("none"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2"))
+
+
 def prepare_items(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item_id, n (words), size (of shingles, less than 5 for shorter items), hashes, fingerprint; items without words are left out."""
+    """item (a key of id and words), item_id, n (words), size (of shingles, less than 5 for shorter items), hashes, fingerprint; items without words are left out, and equal rows are one."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), words_of(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
     items = items.filter(F.size("words") > 0).withColumn("n", F.size("words")).withColumn("size", F.least(F.col("n"), F.lit(SHINGLE)))
+    items = items.withColumn("item", row_key(F.col("item_id"), F.array_join("words", " "))).dropDuplicates(["item"])
     of_size = F.coalesce(*(F.when(F.col("size") == k, shingles_of(F.col("h"), k)) for k in range(1, SHINGLE + 1)))
-    items = with_word_hashes(items).select("item_id", "n", "size", of_size.alias("hashes"))
-    return items.select("item_id", "n", "size", "hashes", simhash(F.col("hashes")).alias("fingerprint"))
+    items = with_word_hashes(items).select("item", "item_id", "n", "size", of_size.alias("hashes"))
+    return items.select("item", "item_id", "n", "size", "hashes", simhash(F.col("hashes")).alias("fingerprint"))
 
 
-def lay_windows(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
-    """Distinct (doc_id, n, size, start) where a shingle shared with an item of n words aligns the two."""
-    shared = items.filter(F.col("size") == size).select("n", F.posexplode_outer("hashes").alias("at_item", "hash"))
-    shared = _bounded(shared.select("hash", "n", "at_item").distinct())
-    read = with_word_hashes(docs.select("doc_id", words_of(F.col("text")).alias("words")))
-    read = read.select("doc_id", F.size("h").alias("n_words"), shingles_of(F.col("h"), size).alias("hashes"))
-    # an inner explode would have its array computed once more, in a filter
-    hits = read.select("doc_id", "n_words", F.posexplode_outer("hashes").alias("at", "hash")).join(shared, "hash")
-    start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("at_item"), F.col("n_words") - F.col("n")))
-    return hits.select("doc_id", "n", F.lit(size).alias("size"), start.alias("start")).distinct()
+def _placed(size: int) -> Column:
+    return F.transform(f"s{size}", lambda x, i: F.struct(F.lit(size).alias("size"), i.alias("at"), x.alias("hash")))
+
+
+def lay_windows(docs: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
+    """Distinct (key, n, size, start): for each document and item, the starts from one diagonal of a shared shingle to the next."""
+    shared = _bounded(items.select("item", "n", "size", F.posexplode_outer("hashes").alias("at_item", "hash")))
+    read = with_word_hashes(docs.select("key", words_of(F.col("text")).alias("words")))
+    read = read.select("key", F.size("h").alias("n_words"), *(shingles_of(F.col("h"), k).alias(f"s{k}") for k in sizes))
+    # all sizes in one pass; an inner explode would have its array computed once more, in a filter
+    placed = F.concat(*(_placed(k) for k in sizes))
+    hits = read.select("key", "n_words", F.explode_outer(placed).alias("s")).select("key", "n_words", "s.size", "s.at", "s.hash").join(shared, ["size", "hash"])
+    diagonals = hits.groupBy("key", "n_words", "item", "n", "size").agg(F.array_sort(F.collect_set(F.col("at") - F.col("at_item"))).alias("d"))
+    near = lambda d, i: F.coalesce(F.get("d", i + 1) - d < 2 * F.col("n"), F.lit(False))
+    filled = F.flatten(F.transform("d", lambda d, i: F.when(near(d, i), F.sequence(d, F.get("d", i + 1) - 1)).otherwise(F.array(d))))
+    start = F.greatest(F.lit(0), F.least(F.col("start"), F.col("n_words") - F.col("n")))
+    return diagonals.select("key", "n_words", "n", "size", F.explode(filled).alias("start")).select("key", "n", "size", start.alias("start")).distinct()
 
 
 def fingerprints(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
     """Windows with their shingles and SimHash; each document's words are made once for all its windows."""
-    per_doc = windows.groupBy("doc_id", "size").agg(F.collect_set(F.struct("start", "n")).alias("windows")).withColumnRenamed("doc_id", "of")
-    held = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "size", "windows", words_of(F.col("text")).alias("words"))
-    held = with_word_hashes(held).select("doc_id", "size", "h", F.explode("windows").alias("w"))
-    held = held.select("doc_id", "size", "w.start", "w.n", F.slice("h", F.col("w.start") + 1, F.col("w.n")).alias("h"))
+    per_doc = windows.groupBy("key", "size").agg(F.collect_set(F.struct("start", "n")).alias("windows"))
+    held = docs.join(per_doc, "key").select("key", "size", "windows", words_of(F.col("text")).alias("words"))
+    held = with_word_hashes(held).select("key", "size", "h", F.explode("windows").alias("w"))
+    held = held.select("key", "size", "w.start", "w.n", F.slice("h", F.col("w.start") + 1, F.col("w.n")).alias("h"))
     of_size = F.coalesce(*(F.when(F.col("size") == k, shingles_of(F.col("h"), k)) for k in sizes))
-    held = held.select("doc_id", "size", "start", "n", of_size.alias("hashes"))
+    held = held.select("key", "size", "start", "n", of_size.alias("hashes"))
     return held.withColumn("fingerprint", simhash(F.col("hashes")))
 
 
 def item_index(items: DataFrame) -> DataFrame:
     """(n, block, value) of each item's fingerprint with up to ``FLIPS`` bits of the block changed."""
     masks = F.array(*(F.lit(m) for m in range(1 << BLOCK_BITS) if m.bit_count() <= FLIPS))
-    blocks = items.select("item_id", "n", "fingerprint", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
-    return blocks.select("item_id", "n", F.col("fingerprint").alias("of_item"), "block", F.explode(F.transform(masks, lambda m: block_of(F.col("fingerprint"), F.col("block")).bitwiseXOR(m.cast("long")))).alias("value"))
+    blocks = items.select("item", "n", "fingerprint", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
+    return blocks.select("item", "n", F.col("fingerprint").alias("of_item"), "block", F.explode(F.transform(masks, lambda m: block_of(F.col("fingerprint"), F.col("block")).bitwiseXOR(m.cast("long")))).alias("value"))
+
+
+def found_windows(docs: DataFrame, benchmark: DataFrame, percent: int) -> DataFrame:
+    """key, item_id, start_word, n_words, hamming, similarity: the best window of each row of ``of_rows`` and item that match."""
+    items = materialize(prepare_items(benchmark))
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect()) or [SHINGLE]  # 1 to 5
+    printed = materialize(fingerprints(docs, materialize(lay_windows(docs, items, sizes)), sizes))
+    probes = printed.select("key", "start", "n", "fingerprint", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
+    probes = probes.withColumn("value", block_of(F.col("fingerprint"), F.col("block")))
+    distance = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("of_item")))
+    near = probes.join(_bounded(item_index(items)), ["n", "block", "value"]).filter(distance <= RADIUS)
+    near = near.select("key", "n", "start", "item", distance.cast("int").alias("hamming")).distinct()
+    exact = items.select("item", "item_id", tagged(F.col("hashes")).alias("item_set"))
+    exact = F.broadcast(exact) if (items.agg(F.sum(F.size("hashes"))).first()[0] or 0) <= BROADCAST_ROWS else exact
+    window = printed.select("key", "n", "start", tagged(F.col("hashes")).alias("window_set"))
+    scored = near.join(window, ["key", "n", "start"]).join(exact, "item").withColumn("similarity", similarity(F.col("window_set"), F.col("item_set")))
+    best = scored.filter(F.col("similarity") * 100 >= percent).groupBy("key", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("place"), "n", "hamming")).alias("b"))
+    return best.select("key", "item_id", (-F.col("b.place")).alias("start_word"), F.col("b.n").alias("n_words"), "b.hamming", "b.similarity")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, start_word, n_words, hamming, similarity: the best window of each document and item that match.
 
-    Items shorter than 5 words match as a whole. Null and empty texts and items match
-    nothing. A text shorter than an item is one window. Rows that share an id (a null
-    one too) are taken together. Without items or documents the result is empty.
+    Whole texts are searched, however long. Items shorter than 5 words match as a whole.
+    Null and empty texts and items match nothing. A text shorter than an item is one
+    window. Rows with the same id and text are one document; other rows that share an id,
+    or have none, are searched one by one. Without items or documents the result is empty.
     """
-    docs = documents_of(docs, id_col, text_col)
-    items = materialize(prepare_items(benchmark))
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # 1 to 5
-    windows = None
-    for size in sizes or [SHINGLE]:
-        laid = lay_windows(docs, items, size)
-        windows = laid if windows is None else windows.unionByName(laid)
-    printed = materialize(fingerprints(docs, materialize(windows), sizes or [SHINGLE]))
-    probes = printed.select("doc_id", "size", "start", "n", "hashes", "fingerprint", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
-    probes = probes.withColumn("value", block_of(F.col("fingerprint"), F.col("block")))
-    distance = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("of_item")))
-    near = probes.drop("hashes").join(_bounded(item_index(items)), ["n", "block", "value"]).filter(distance <= RADIUS)
-    near = near.select("doc_id", "n", "start", "fingerprint", "item_id", distance.cast("int").alias("hamming")).distinct()
-    exact = items.select("item_id", tagged(F.col("hashes")).alias("item_set"))
-    exact = F.broadcast(exact) if items.count() * SHINGLE <= BROADCAST_ROWS else exact
-    window = printed.select(F.col("doc_id").alias("d"), F.col("n").alias("m"), F.col("start").alias("s"), F.col("fingerprint").alias("f"), tagged(F.col("hashes")).alias("window_set"))
-    same = near["doc_id"].eqNullSafe(window["d"]) & (near["n"] == window["m"]) & (near["start"] == window["s"]) & (near["fingerprint"] == window["f"])
-    scored = near.join(window, same).join(exact, "item_id").withColumn("similarity", similarity(F.col("window_set"), F.col("item_set")))
-    found = scored.filter(F.col("similarity") * 100 >= percent)
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("place"), "n", "hamming")).alias("b"))
-    return best.select("doc_id", "item_id", (-F.col("b.place")).alias("start_word"), F.col("b.n").alias("n_words"), "b.hamming", "b.similarity")
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` in which no item is found, with all columns."""
-    found = contaminated(docs, benchmark, percent).select(F.col("doc_id").alias("found_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["found_id"]), "left_anti")
+    found = found_windows(of_rows(docs, id_col, text_col), benchmark, percent)
+    return found.select(F.when(~F.col("key.none"), F.col("key.id")).alias("doc_id"), *found.columns[1:])
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no item is found, with all columns; rows are judged one by one, whatever their ids."""
+    found = found_windows(of_rows(docs, id_col, text_col), benchmark, percent).select(F.col("key").alias("key of the found")).distinct()
+    key = row_key(docs[id_col].cast("long"), F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    return docs.join(found, key == found["key of the found"], "left_anti")
