@@ -21,11 +21,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.llm import gru
-from attestra.llm.common import documents_of, map_arrow, materialize
+from attestra.llm.common import SharedDict, documents_of, map_arrow, materialize
 
 SHAPE = gru.Shape(hidden=8, classes=24, width=24)
 RARE, END = 0, 1
@@ -92,20 +92,37 @@ class Counts:
         return math.log10(self.rare_n + SMOOTHING * (self.rare_distinct + 1))
 
 
-def frequent(counted: DataFrame, most: int, column: str = "c") -> DataFrame:
-    """Rows with the greatest counts, ``most`` at most: all above a bound that a histogram of logarithms gives.
+def frequent(counted: DataFrame, most: int, column: str = "c", tie: str = "word") -> DataFrame:
+    """The ``most`` rows with the greatest counts, ties by the least hash of ``tie``.
 
-    The histogram has a few hundred rows whatever the table's size, and nothing is sorted.
+    Histograms of the logarithms of counts, then of the counts of one bin of it, then of the
+    hashes of one count, say where to cut: a few hundred rows each, or as many as a bin has
+    counts, and nothing is sorted.
     """
-    step = F.floor(F.log2(F.col(column)) * 16)
-    bins = sorted(((r["b"], r["n"]) for r in counted.groupBy(step.alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    total, least = 0, None
-    for b, n in bins:
-        total += n
-        if total > most:
-            break
-        least = b
-    return counted.filter(step >= least) if least is not None else counted.limit(0)
+    counts = F.col(column)
+    step = F.floor(F.log2(counts) * 16)
+    least_bin, left = _cut(counted, step, most)
+    if least_bin is None:
+        return counted
+    cut = counted.filter(step == least_bin)
+    least, left = _cut(cut, counts, left)
+    part = F.floor(F.pmod(F.xxhash64(tie), F.lit(TIE_PARTS)))
+    last, left = _cut(cut.filter(counts == least), -part, left)
+    return counted.filter((step > least_bin) | ((step == least_bin) & ((counts > least) | ((counts == least) & (-part > last)))))
+
+
+#: Parts into which rows of one count are dealt by their hash; the last part is left out whole, so up to a part's rows fewer are taken.
+TIE_PARTS = 1 << 12
+
+
+def _cut(rows: DataFrame, value: Column, most: int) -> tuple[int | None, int]:
+    """(the greatest value whose rows, with those of greater values, are more than ``most``, or none; how many of its rows still fit)."""
+    bins = sorted(((r["v"], r["n"]) for r in rows.groupBy(value.cast("long").alias("v")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    for v, n in bins:
+        if n > most:
+            return v, most
+        most -= n
+    return None, most
 
 
 def gather(counted: DataFrame, shape: gru.Shape, known_words: int) -> Counts:
@@ -142,6 +159,10 @@ def _packs(batches: Iterator[pa.RecordBatch], column: int, known: dict, own: int
         yield rows, ids
 
 
+def share(spark: SparkSession, known: dict[bytes, int]) -> SharedDict:
+    return SharedDict.of(spark, pa.array(list(known), pa.binary()), pa.array(list(known.values()), pa.int32()))
+
+
 def average(models: DataFrame, start: np.ndarray, n_parts: int) -> np.ndarray:
     """The mean of the copies, weighted by their tokens, summed by ``n_parts`` tasks and then by place."""
 
@@ -165,7 +186,7 @@ def train(texts: DataFrame, counts: Counts, shape: gru.Shape, rounds: int) -> np
     """The network after all rounds; ``texts`` has (text, round, h). Its partitions play no part."""
     spark = texts.sparkSession
     flat = gru.initial(shape, counts.network_counts)
-    known, own_words = spark.sparkContext.broadcast(counts.known), shape.vocabulary - 2
+    known, own_words = share(spark, counts.known), shape.vocabulary - 2
     n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
     n_tasks = max(1, round(counts.n / rounds / TASK_TOKENS))
     order = ("h", F.xxhash64("text"))
@@ -192,7 +213,7 @@ FIRST = "row_doc long, held_out boolean, n_tokens long, n_known long, base doubl
 def first_pass(docs: DataFrame, counts: Counts, flat: np.ndarray, shape: gru.Shape) -> DataFrame:
     """Sums of each text over the words known to every task, the network's log10 probability, and the other words with their numbers."""
     sc = docs.sparkSession.sparkContext
-    known, model, logs_of = sc.broadcast(counts.known), sc.broadcast(flat), sc.broadcast(np.log10(counts.known_counts + SMOOTHING))
+    known, model, logs_of = share(docs.sparkSession, counts.known), sc.broadcast(flat), sc.broadcast(np.log10(counts.known_counts + SMOOTHING))
     own, end_log, end_known = shape.vocabulary - 2, math.log10(counts.n_end + SMOOTHING), int(counts.n_end > 0)
     names = [x.split()[0] for x in FIRST.split(", ")]
 

@@ -1,22 +1,26 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 No piece goes on after a word's end into the next white space, so a text is a row of
-words (white space first) that are encoded one by one. The frequent words are encoded
-once for all: their substrings, up to the longest piece, are exploded and joined to the
-piece table; the edges found are grouped by word; and a fold over them, with higher-order
-functions, gives the word's pieces. Other words, however many, would have to be joined
-back to the texts that have them; they go through the same lattice and fold where they
-are met, in the tasks that assemble the texts. For a unigram model the fold is Viterbi: the path of the best sum of
+words (white space first) that are encoded one by one. Each distinct word is encoded once:
+its substrings, up to the longest piece, are exploded and joined to the piece table; the
+edges found are grouped by word; and a fold over them, with higher-order functions, gives
+the word's pieces. For a unigram model the fold is Viterbi: the path of the best sum of
 scores. For a BPE model that path is not what the library gives, so there the fold merges:
 each step takes the best-scored edge that spans exactly two of the current symbols, the
 leftmost of equals. What no piece covers falls back to bytes, or to the unknown piece.
+
+The words' ids come back to the texts in two ways: those of the most frequent words are
+sent to every task, up to a fixed number; those of other words are joined to the texts
+that have them. A fold's state is the bits of a long, so words beyond ``FOLD_CHARS``
+characters (a text without spaces is one) are merged with a heap instead, in time
+proportional to their length.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
-from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -26,17 +30,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import documents_of, map_arrow, materialize
+from attestra.llm.common import SharedDict, documents_of, map_arrow, materialize
 from attestra.llm.lm import frequent
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Words encoded once and sent to every task, the most frequent ones; at some 100 bytes each.
-KNOWN_WORDS = 300_000
-#: Other words that a task remembers; it starts anew beyond.
-MET_WORDS = 300_000
-#: Characters beyond which a heap is worth its cost.
-SHORT_WORD = 64
+#: Words whose ids are sent to every task, the most frequent ones; at some 150 bytes each.
+KNOWN_WORDS = 200_000
+#: Words that a task counts before it sends their counts on.
+COUNTED = 200_000
+#: Characters of a word up to which it is folded; its boundaries are bits of a long.
+FOLD_CHARS = 60
 BPE, UNIGRAM = 2, 1
 
 
@@ -88,14 +92,25 @@ def word_pattern(pieces: Pieces) -> str:
     return f"[{a}]|{SPACE}*[^{SPACE}{a}]+|{SPACE}+"
 
 
-def escaped(text: Column) -> Column:
-    return F.when(text == "", text).otherwise(F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE))))
-
-
 def distinct_words(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """(word, n)."""
-    words = F.regexp_extract_all(escaped(F.col("text")), F.lit(f"({word_pattern(pieces)})"), 1)
-    return docs.select(F.explode_outer(words).alias("word")).filter(F.col("word").isNotNull()).groupBy("word").agg(F.count("*").alias("n"))
+    pattern = word_pattern(pieces)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, find = Counter(), re.compile(pattern).findall
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                counts.update(find(escaped(text)))
+                if len(counts) > COUNTED:
+                    yield _counts(counts)
+                    counts = Counter()
+        yield _counts(counts)
+
+    return map_arrow(docs.select("text"), "word string, n long", run).groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _counts(counts: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
 
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -105,22 +120,38 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     size = F.length("word")
     starts = words.select("word").repartition("word").select("word", size.alias("size"), F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
     ends = starts.select("word", "size", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("size"), F.col("start") + pieces.longest))).alias("end"))
-    parts = ends.withColumn("piece", F.expr("substring(word, start + 1, end - start)"))
+    joined = ends.withColumn("piece", F.expr("substring(word, start + 1, end - start)")).join(table, "piece", "left")
+    # a word's first character stays, so that a word without an edge does
+    kept = joined.filter(F.col("id").isNotNull() | ((F.col("start") == 0) & (F.col("end") == 1)))
     edge = F.struct("start", "end", "score", "id")
     # dealt by word before, so a word's edges are where the word was
-    return parts.join(table, "piece", "left").groupBy("word").agg(F.first("size").alias("size"), F.collect_list(F.when(F.col("id").isNotNull(), edge)).alias("edges"))
+    return kept.groupBy("word").agg(F.first("size").alias("size"), F.collect_list(F.when(F.col("id").isNotNull(), edge)).alias("edges"))
+
+
+def _bit(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), k)
+
 
+def merges_in_order(edges: Column) -> Column:
+    """Edges of two characters or more, the best score first, the leftmost of equals, each as bits: its ends, and the boundaries between them."""
+    longer = F.filter(edges, lambda e: e["end"] - e["start"] > 1)
+    ends, between = lambda e: _bit(e["start"]).bitwiseOR(_bit(e["end"])), lambda e: _bit(e["end"]) - _bit(e["start"] + 1)
+    ordered = F.array_sort(F.transform(longer, lambda e: F.struct((-e["score"]).alias("cost"), e["start"].alias("start"), ends(e).alias("ends"), between(e).alias("between"))))
+    return F.transform(ordered, lambda e: F.struct(e["ends"].alias("ends"), e["between"].alias("between")))
 
-def merge_fold(edges: Column, size: Column) -> Column:
-    """Symbol boundaries after all merges: a fold whose state is the boundaries, 0 and ``size`` among them."""
 
-    def step(bounds: Column, _: Column) -> Column:
-        two = lambda e: (F.array_position(bounds, e["start"]) > 0) & (F.array_position(bounds, e["end"]) == F.array_position(bounds, e["start"]) + 2)
-        best = F.array_max(F.transform(F.filter(edges, two), lambda e: F.struct(e["score"].alias("score"), (-e["start"]).alias("left"), e["end"].alias("end"))))
-        merged = F.transform(F.array(best), lambda b: F.when(b.isNull(), bounds).otherwise(F.filter(bounds, lambda x: (x <= -b["left"]) | (x >= b["end"]))))
-        return F.element_at(merged, 1)
+def merge_fold(merges: Column, size: Column) -> Column:
+    """The boundaries left after all merges, as bits: each step takes the first merge both of whose ends are boundaries, with one more between them."""
 
-    return F.aggregate(F.sequence(F.lit(1), size), F.sequence(F.lit(0), size), step)
+    def step(mask: Column, _: Column) -> Column:
+        can = lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["between"])) == 1)
+        return F.coalesce(mask.bitwiseAND(F.bitwise_not(F.get(F.filter(merges, can), F.lit(0))["between"])), mask)
+
+    return F.aggregate(F.sequence(F.lit(1), size), _bit(size + 1) - 1, step)
+
+
+def set_bits(mask: Column, size: Column) -> Column:
+    return F.filter(F.sequence(F.lit(0), size), lambda k: F.call_function("shiftrightunsigned", mask, k).bitwiseAND(F.lit(1).cast("long")) == 1)
 
 
 def viterbi_fold(edges: Column, size: Column, unknown_score: float) -> Column:
@@ -141,14 +172,15 @@ def viterbi_fold(edges: Column, size: Column, unknown_score: float) -> Column:
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     """(word, ids) of distinct words."""
-    held = lattice(words.select("word"), pieces)
+    if pieces.kind not in (BPE, UNIGRAM):
+        raise ValueError("only unigram and BPE models are read")
+    whole = words.select("word")
+    held = lattice(whole.filter(F.length("word") <= FOLD_CHARS), pieces)
     if pieces.kind == BPE:
-        bounds = merge_fold(F.col("edges"), F.col("size"))
-    elif pieces.kind == UNIGRAM:
-        bounds = viterbi_fold(F.col("edges"), F.col("size"), min(s for _, _, s in pieces.rows) - 10.0)
+        # one column after the other, so that none is made again for each step
+        held = held.withColumn("merges", merges_in_order(F.col("edges"))).withColumn("mask", merge_fold(F.col("merges"), F.col("size"))).withColumn("bounds", set_bits(F.col("mask"), F.col("size")))
     else:
-        raise ValueError("only unigram and BPE models are read")
-    held = held.withColumn("bounds", bounds)
+        held = held.withColumn("bounds", viterbi_fold(F.col("edges"), F.col("size"), min(s for _, _, s in pieces.rows) - 10.0))
     symbols = F.transform(F.sequence(F.lit(1), F.size("bounds") - 1), lambda k: F.struct(F.get("bounds", k - 1).alias("a"), F.get("bounds", k).alias("b")))
     held = held.withColumn("symbols", symbols)
 
@@ -162,7 +194,16 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
             other = F.transform(F.sequence(F.lit(1), (F.length(code) / 2).cast("int")), pair)
         return F.when(F.size(found) > 0, F.transform(found, lambda e: e["id"])).otherwise(other)
 
-    return held.select("word", F.flatten(F.transform("symbols", ids_of)).alias("ids"))
+    folded = held.select("word", F.flatten(F.transform("symbols", ids_of)).alias("ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merger = LongWords(pieces)
+        for batch in batches:
+            ids = [merger.ids(w) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+
+    long = whole.filter(F.length("word") > FOLD_CHARS)
+    return folded.unionByName(map_arrow(long.repartition("word"), "word string, ids array<int>", run))
 
 
 def _as_bytes(ids: list[int]) -> bytes:
@@ -188,35 +229,17 @@ def decode_ids(ids: list[int], texts: list[bytes]) -> str:
     return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
-class WordLattice:
-    """The lattice and folds of single words, in a task."""
+class LongWords:
+    """Words beyond ``FOLD_CHARS``, one by one, with the results of the folds."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.table = {p: (score, i) for p, i, score in pieces.rows}
         self.scores, self.numbers = {p: score for p, _, score in pieces.rows}, {p: i for p, i, _ in pieces.rows}
         self.unknown_score = min(score for _, _, score in pieces.rows) - 10.0
-        #: Words met so far, and those met before ``met`` was last full.
-        self.met: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def ids(self, word: str) -> bytes:
-        got = self.met.get(word)
-        if got is None:
-            if len(self.met) >= MET_WORDS:
-                self.met, self.older = {}, self.met
-            got = self.met[word] = self.older.get(word) or self.encode(word)
-        return got
-
-    def encode(self, word: str) -> bytes:
-        if self.pieces.kind == UNIGRAM:
-            parts = self.viterbi(word)
-        else:
-            parts = self.merge(word) if len(word) <= SHORT_WORD else self.merge_long(word)
-        ids = list(map(self.numbers.get, parts))
-        if None in ids:
-            ids = [i for p in parts for i in self.of_piece(p)]
-        return array("i", ids).tobytes()
+
+    def ids(self, word: str) -> list[int]:
+        parts = self.viterbi(word) if self.pieces.kind == UNIGRAM else self.merge(word)
+        return [i for p in parts for i in self.of_piece(p)]
 
     def of_piece(self, piece: str) -> list[int]:
         if piece in self.numbers:
@@ -225,24 +248,7 @@ class WordLattice:
         return [self.pieces.unknown] if first is None else [first + b for b in piece.encode("utf-8", "surrogatepass")]
 
     def merge(self, word: str) -> list[str]:
-        """The best edge over two neighbours is merged, the leftmost of equals, until there is none."""
-        parts, get, none = list(word), self.scores.get, float("-inf")
-        scores = [get(a + b, none) for a, b in zip(parts, parts[1:])]
-        while scores:
-            best = max(scores)
-            if best == none:
-                break
-            i = scores.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del scores[i]
-            if i < len(scores):
-                scores[i] = get(parts[i] + parts[i + 1], none)
-            if i:
-                scores[i - 1] = get(parts[i - 1] + parts[i], none)
-        return parts
-
-    def merge_long(self, word: str) -> list[str]:
-        """The same with a heap; an edge whose symbols have changed since is passed over."""
+        """The best edge over two neighbours is merged, the leftmost of equals, until there is none; an edge whose symbols have changed since is passed over."""
         scores, parts = self.scores, list(word)
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         heap: list[tuple[float, int, str]] = []
@@ -272,7 +278,7 @@ class WordLattice:
         for end in range(1, len(word) + 1):
             for start in range(max(0, end - self.pieces.longest), end):
                 piece = word[start:end]
-                score = self.table[piece][0] if piece in self.table else self.unknown_score if end - start == 1 else None
+                score = self.scores.get(piece, self.unknown_score if end - start == 1 else None)
                 if score is not None:
                     best[end] = max(best[end], (best[start][0] + score, start))
         cuts = [len(word)]
@@ -281,31 +287,51 @@ class WordLattice:
         return [word[a:b] for b, a in zip(cuts, cuts[1:])][::-1]
 
 
-@lru_cache(maxsize=2)
-def word_lattice(pieces: Pieces) -> WordLattice:
-    return WordLattice(pieces)
+ENCODED = "doc_id long, n_pieces long, ids array<int>, round_trip boolean"
 
 
-ENCODED = "doc_id long, n_pieces long, ids array<int>, round_trip boolean"
+def escaped(text: str | None) -> str:
+    return SPACE + text.replace(" ", SPACE) if text else ""
+
+
+def rare_words(docs: DataFrame, known: SharedDict, pieces: Pieces) -> DataFrame:
+    """(key, word) for each document's words that are not sent to every task, each once."""
+    pattern = word_pattern(pieces)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, table = re.compile(pattern).findall, known.value
+        for batch in batches:
+            keys, words = batch.column(0).to_pylist(), []
+            others = [[w for w in set(find(escaped(text))) if w not in table] for text in batch.column(1).to_pylist()]
+            for x in others:
+                words += x
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(keys, dtype=np.int64), [len(x) for x in others])), pa.array(words, pa.string())], names=["key", "word"])
+
+    return map_arrow(docs.select("key", "text"), "key long, word string", run)
 
 
-def assemble(docs: DataFrame, known: dict[str, bytes], pieces: Pieces) -> DataFrame:
-    """Documents to their ids, decoded again as a check."""
-    sc = docs.sparkSession.sparkContext
-    shared, model = sc.broadcast(known), sc.broadcast(pieces)
+def assemble(docs: DataFrame, known: SharedDict, pieces: Pieces) -> DataFrame:
+    """Documents (doc_id, text, rare: their other words with ids) to their ids, decoded again as a check."""
     pattern, texts = word_pattern(pieces), piece_texts(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, table, other = re.compile(pattern).findall, shared.value, word_lattice(model.value).ids
+        find, table = re.compile(pattern).findall, known.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
                 data, same = [], []
-                for text in part.column(1).to_pylist():
-                    words = find(SPACE + text.replace(" ", SPACE)) if text else []
+                rare = part.column(2)
+                own_words, own_ids = rare.flatten().flatten()
+                flat, ends = own_ids.flatten().to_numpy().astype("<i4", copy=False).tobytes(), np.cumsum(own_ids.value_lengths().to_numpy(zero_copy_only=False) * 4).tolist()
+                own = list(zip(own_words.to_pylist(), (flat[a:b] for a, b in zip([0, *ends], ends))))
+                first = 0
+                for text, n_own in zip(part.column(1).to_pylist(), rare.value_lengths().fill_null(0).to_pylist()):
+                    others = dict(own[first : first + n_own])
+                    first += n_own
+                    words = find(escaped(text))
                     got = list(map(table.get, words))
                     if None in got:
-                        got = [other(w) if x is None else x for w, x in zip(words, got)]
+                        got = [others[w] if x is None else x for w, x in zip(words, got)]
                     data.append(b"".join(got))
                     same.append(decode_ids(np.frombuffer(data[-1], dtype="<i4").tolist(), texts) == text.replace(SPACE, " "))
                 counts = np.array([len(x) // 4 for x in data], dtype=np.int64)
@@ -313,17 +339,24 @@ def assemble(docs: DataFrame, known: dict[str, bytes], pieces: Pieces) -> DataFr
                 values = pa.Array.from_buffers(pa.int32(), int(bounds[-1]), [None, pa.py_buffer(b"".join(data))])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids", "round_trip"])
 
-    return map_arrow(docs, ENCODED, run)
+    return map_arrow(docs.select("doc_id", "text", "rare"), ENCODED, run)
 
 
 def encode_documents(df: DataFrame, model: str = MODEL, known_words: int = KNOWN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_pieces, ids, round_trip (decoding the ids gives the text, U+2581 read as a space) for each row.
 
-    Ids are the library's for the whole text, whatever ``known_words`` is. A null or
-    empty text has none. Rows with the same id stay apart.
+    Ids are the library's for the whole text, however long, whatever ``known_words`` is. A
+    null or empty text has none. Rows with the same id, or none, stay apart. Other columns
+    play no part.
     """
     pieces = load_pieces(model)
-    docs = documents_of(df, id_col, text_col)
-    top = materialize(frequent(materialize(distinct_words(docs, pieces)), known_words, "n"))
-    encoded = materialize(encode_words(top, pieces))
-    return assemble(docs, {r["word"]: _as_bytes(r["ids"]) for r in encoded.toLocalIterator()}, pieces)
+    # the key only brings words to texts; texts that share one get each other's words too
+    docs = documents_of(df, id_col, text_col).withColumn("key", F.xxhash64("doc_id", "text"))
+    counted = materialize(distinct_words(docs, pieces))
+    encoded = materialize(encode_words(counted, pieces))
+    top = encoded.join(frequent(counted, known_words, "n", "word").select("word"), "word", "left_semi")
+    rows = [(r["word"], _as_bytes(r["ids"])) for r in top.toLocalIterator()]
+    known = SharedDict.of(df.sparkSession, pa.array([w for w, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.binary()))
+    pairs = rare_words(docs, known, pieces)
+    rare = pairs.join(encoded, "word").groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("rare"))
+    return assemble(docs.join(rare, "key", "left"), known, pieces)
