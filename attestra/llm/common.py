@@ -51,13 +51,20 @@ def documents_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 #: Texts can be long, so functions get Arrow batches of this many rows.
 BATCH_ROWS = 1_000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def map_arrow(df: DataFrame, schema: str | T.StructType, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """``df.mapInArrow`` with a schema (DDL or a type) and short batches."""
+def short_batches(spark: SparkSession) -> None:
+    """For queries over texts: have Spark make batches of ``BATCH_ROWS`` too, unless the session asks for fewer; it saves memory, and changes no result."""
+    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+
+def map_arrow(df: DataFrame, schema: str | T.StructType, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = BATCH_ROWS) -> DataFrame:
+    """``df.mapInArrow`` with a schema (DDL or a type) and batches of ``rows`` at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return function(batch.slice(at, BATCH_ROWS) for batch in batches for at in range(0, max(1, batch.num_rows), BATCH_ROWS))
+        return function(batch.slice(at, rows) for batch in batches for at in range(0, max(1, batch.num_rows), rows))
 
     return df.mapInArrow(run, T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 

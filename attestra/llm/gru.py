@@ -15,6 +15,8 @@ import numpy as np
 
 LANES = 256
 WINDOW = 32
+#: Tokens of a lane that is trained on, at least: few texts make few lanes, and so more updates.
+LANE_TOKENS = 2048
 RATE = 0.08
 CLIP = 5.0
 #: Logits are held within this, so their exponentials are finite.
@@ -67,9 +69,9 @@ def lanes(texts: list[np.ndarray], n: int = LANES) -> list[list[int]]:
     return sorted((x for x in out if x), key=lambda x: -sum(len(texts[i]) for i in x))
 
 
-def lay(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
+def lay(texts: list[np.ndarray], most: int = LANES) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
     """(ids, begins, lengths of lanes, texts of lanes); ids and begins by time and lane."""
-    by = lanes(texts)
+    by = lanes(texts, most)
     sizes = np.array([sum(len(texts[i]) for i in x) for x in by])
     ids = np.zeros((int(sizes[0]), len(by)), dtype=np.int32)
     begins = np.zeros(ids.shape, dtype=bool)
@@ -167,7 +169,7 @@ def train(flat: np.ndarray, squares: np.ndarray, shape: Shape, texts: list[np.nd
     """One pass over the texts, window by window, changing ``flat`` (and Adagrad's ``squares``) in place."""
     p, grad = unpack(flat, shape), np.zeros_like(flat)
     g = unpack(grad, shape)
-    ids, begins, sizes, _ = lay(texts)
+    ids, begins, sizes, _ = lay(texts, min(LANES, max(1, sum(map(len, texts)) // LANE_TOKENS)))
     n = shape.hidden
     h = np.zeros((ids.shape[1], n), dtype=np.float32)
     for t in range(0, len(ids), WINDOW):

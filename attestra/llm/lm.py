@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from attestra.llm import gru
 from attestra.llm.common import SharedDict, documents_of, map_arrow, materialize
 
-SHAPE = gru.Shape(hidden=8, classes=24, width=24)
+SHAPE = gru.Shape(hidden=32, classes=64, width=64)
 RARE, END = 0, 1
 #: Words whose counts are sent to every task, at some 100 bytes each.
 KNOWN_WORDS = 300_000
@@ -35,8 +35,8 @@ KNOWN_WORDS = 300_000
 PACK_TOKENS = 1_000_000
 COUNTED = 400_000
 #: Training tokens of a task and round, about, whatever the input's partitions: so many updates has each copy.
-TASK_TOKENS = 2_000_000
-ROUNDS = 2
+TASK_TOKENS = 1_000_000
+ROUNDS = 4
 SMOOTHING = 0.5
 END_WORD = b"\n"
 
@@ -246,8 +246,10 @@ def lm_scores(df: DataFrame, shape: gru.Shape = SHAPE, known_words: int = KNOWN_
 
     Documents whose crc32 of the id, as text, leaves 1 modulo 5 are held out (a null id
     counts as empty text). A null or empty text is the end token alone. Rows with the
-    same id stay apart. Without training documents all counts are 0, the logarithms are
-    those of the smoothing alone, and the network is as it begins.
+    same id stay apart. Whole texts are scored, however long; other columns play no part.
+    Without training documents all counts are 0, the logarithms are those of the smoothing
+    alone, and the network is as it begins. What is learned depends on the texts and their
+    ids, not on the input's partitions.
     """
     docs = documents_of(df, id_col, text_col).withColumn("h", id_hash(F.col("doc_id"))).withColumn("held_out", F.col("h") % 5 == 1)
     training = docs.filter(~F.col("held_out")).select("text", "h", (F.floor(F.col("h") / 5) % rounds).cast("int").alias("round"))

@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule says whether it rejects a text. A rule's cost (seconds a text) and
-selectivity (share of texts rejected) are measured on a sample; the cascade then asks
-the rules in the order of rejections per cost and stops at the first that rejects. The
-order changes only the time taken: the verdict is the same in any order.
+Each rule says whether it rejects a text. A rule's cost (seconds a text) and the texts it
+rejects are measured on a sample, rows with the least hashes of all; the cascade then asks
+first the rule with the most rejections per cost, next the one with the most among the
+texts that the first leaves, and so on, and stops at the first that rejects. The order
+changes only the time taken: the verdict is the same in any order.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from attestra.llm.common import documents_of, map_arrow
 SPACES = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
-#: Rows, at most, on which rules are timed.
+#: Rows on which rules are timed, the whole input if it has fewer. Only the order depends on them.
 SAMPLE_ROWS = 400
 
 
@@ -129,31 +130,51 @@ RULES = BASE_RULES + OWN_RULES
 class Estimate:
     rule: str
     cost: float
-    selectivity: float
+    #: whether it rejects each text of the sample
+    rejects: tuple[bool, ...]
+
+    @property
+    def selectivity(self) -> float:
+        return sum(self.rejects) / max(1, len(self.rejects))
 
 
 def estimate(texts: Sequence[str | None], rules: Sequence[Rule] = RULES) -> list[Estimate]:
-    """Cost and selectivity of each rule alone, features included."""
+    """Cost and rejections of each rule alone, features included."""
     out = []
     for rule in rules:
-        began, rejected = time.perf_counter(), 0
-        for text in texts:
-            rejected += rule.rejects(Text(text))
-        n = max(1, len(texts))
-        out.append(Estimate(rule.name, max(time.perf_counter() - began, 1e-9) / n, rejected / n))
+        began = time.perf_counter()
+        rejects = tuple(bool(rule.rejects(Text(text))) for text in texts)
+        out.append(Estimate(rule.name, max(time.perf_counter() - began, 1e-9) / max(1, len(texts)), rejects))
     return out
 
 
 def ordered(rules: Sequence[Rule], estimates: Sequence[Estimate]) -> list[Rule]:
-    """Most rejections per second first; ties by name."""
+    """Again and again the rule with the most rejections per second among the texts left; ties, and rules that reject none, by cost and name."""
     by = {e.rule: e for e in estimates}
-    return sorted(rules, key=lambda r: (-by[r.name].selectivity / by[r.name].cost, r.name))
+    left, out = set(range(max((len(e.rejects) for e in estimates), default=0))), []
+    todo = list(rules)
+    while todo:
+        found = {r.name: {k for k in left if by[r.name].rejects[k]} for r in todo}
+        best = min(todo, key=lambda r: (-len(found[r.name]) / by[r.name].cost, by[r.name].cost, r.name))
+        out.append(best)
+        left -= found[best.name]
+        todo.remove(best)
+    return out
 
 
 def plan_cascade(df: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS, text_col: str = "text") -> list[Rule]:
-    """Order ``rules`` by a sample of at most ``sample_rows`` texts, of which only the first 20,000 characters are timed."""
-    sample = df.select(F.substring(F.col(text_col), 1, 20_000).alias("text")).limit(sample_rows)
-    return ordered(rules, estimate([r["text"] for r in sample.collect()], rules))
+    """Order ``rules`` by a sample of at most ``sample_rows`` whole texts, those with the least hashes; one task times them, and the driver gets a row a rule."""
+    text = F.col(text_col).cast("string")
+    sample = df.select(text.alias("text"), F.xxhash64(text, F.lit(6)).alias("h")).orderBy("h").limit(sample_rows).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = [x for batch in batches for x in batch.column(0).to_pylist()]
+        found = estimate(texts, rules)
+        yield pa.RecordBatch.from_arrays([pa.array([e.rule for e in found]), pa.array([e.cost for e in found]), pa.array([list(e.rejects) for e in found], pa.list_(pa.bool_()))], names=["rule", "cost", "rejects"])
+
+    rows = map_arrow(sample.repartition(1), "rule string, cost double, rejects array<boolean>", run).collect()
+    found = [Estimate(r["rule"], r["cost"], tuple(r["rejects"])) for r in rows]
+    return ordered(rules, found or [Estimate(r.name, 1.0, ()) for r in rules])
 
 
 def first_rejection(text: Text, rules: Sequence[Rule]) -> str | None:
@@ -172,27 +193,26 @@ def cascade(df: DataFrame, rules: Sequence[Rule], text_col: str = "text") -> Dat
     return map_arrow(df, df.schema, run)
 
 
-MEASURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string"
+MEASURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The base measures of each text, whether a base rule fails it, and the cascade's verdict.
+    """The base measures of each text, whether a base rule fails it, and the cascade's verdict over all rules.
 
     One row per input row, repeated ids included. A null or empty text has no words and
-    fails ``few_words``. ``rejected_by`` is the first rule in cascade order that rejects.
+    fails ``few_words``. Whole texts are measured, however long; other columns play no part.
     """
     docs = documents_of(df, id_col, text_col)
-    own = plan_cascade(docs, OWN_RULES, sample_rows)
+    rules = plan_cascade(docs, RULES, sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
                 t = Text(text)
-                failed = first_rejection(t, BASE_RULES)
-                by = failed or first_rejection(t, own)
-                rows.append((len(t.words), t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words, failed is not None, by is None, by))
-            kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string()]
+                kept = first_rejection(t, rules) is None
+                rows.append((len(t.words), t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words, first_rejection(t, BASE_RULES) is not None, kept))
+            kinds = [pa.int64()] * 5 + [pa.bool_()] * 2
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[x.split()[0] for x in MEASURES.split(", ")])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from attestra.llm.common import read_table, shared_dir
+from attestra.llm.common import read_table, shared_dir, short_batches
 from attestra.llm.decontaminate import contaminated
 from attestra.llm.licenses import license_scan
 from attestra.llm.lm import lm_scores
@@ -62,20 +62,21 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"), n_shards=24, map_path=shared_dir(spark))
 
 
+QUERIES = (
+    op1_token_counts, op2_license_scan, op3_minhash, op4_token_files, op5_gru_scores, op6_quality_cascade, op7_passages, op8_sentencepiece, op9_decontaminate, op10_virtual_slots,
+)
+
+
+def _with_short_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        short_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_token_counts": op1_token_counts,
-        "op2_license_scan": op2_license_scan,
-        "op3_minhash": op3_minhash,
-        "op4_token_files": op4_token_files,
-        "op5_gru_scores": op5_gru_scores,
-        "op6_quality_cascade": op6_quality_cascade,
-        "op7_passages": op7_passages,
-        "op8_sentencepiece": op8_sentencepiece,
-        "op9_decontaminate": op9_decontaminate,
-        "op10_virtual_slots": op10_virtual_slots,
-        "pipeline": corpus_pipeline.run,
-    }
+    return {q.__name__: _with_short_batches(q) for q in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
