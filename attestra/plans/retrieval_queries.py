@@ -163,18 +163,18 @@ def reference_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query("""
-WITH RECURSIVE c AS (SELECT s_suppkey AS root, s_suppkey AS record_id, 0 AS round FROM supplier UNION ALL SELECT root, record_id - 3, round + 1 FROM c WHERE record_id - 3 IN (SELECT s_suppkey FROM supplier) AND record_id % 50 <> 0)
+WITH RECURSIVE c AS (SELECT s_suppkey AS root, s_suppkey AS record_id, 0 AS round FROM supplier UNION ALL SELECT root, record_id - 9, round + 1 FROM c WHERE record_id - 9 IN (SELECT s_suppkey FROM supplier) AND record_id % 50 <> 0)
 SELECT 's' || root AS root, 's' || record_id AS record_id, round::INT AS round FROM c""")
 def value_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains of many links: a supplier names the one three before it somewhere in its payload, every fiftieth none."""
+    """Chains of many links: a supplier names the one nine before it somewhere in its payload, every fiftieth none."""
     key = F.col("s_suppkey")
-    named = F.when(key % 50 != 0, F.concat(F.lit("s"), (key - 3).cast("string")))
+    named = F.when(key % 50 != 0, F.concat(F.lit("s"), (key - 9).cast("string")))
     records = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), key.cast("string")).alias("record_id"), F.to_json(F.struct(F.struct(F.array(F.lit("x"), named).alias("b")).alias("a"))).alias("payload"))
     return graph.closure_by_value(records, records.select(F.col("record_id").alias("root"), "record_id"), explode_leaves(records, "payload"))
 
 
 @R.query("""
-WITH l AS (SELECT l_orderkey AS s, l_partkey AS r, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS pos FROM lineitem)
+WITH l AS (SELECT l_orderkey AS s, l_partkey AS r, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS pos FROM lineitem)
 SELECT s AS story_id, pos::INT AS pos, r AS requirement_id, p_name AS name FROM l JOIN part ON p_partkey = r""")
 def story_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as stories of the parts of their lines."""
@@ -188,8 +188,9 @@ def _stories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query("""
-WITH l AS (SELECT o_custkey AS c, l_partkey AS r, min((o_orderkey, l_linenumber)) AS at FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
-SELECT c AS scenario_id, string_agg(r::VARCHAR, ',' ORDER BY at) AS requirement_ids FROM l GROUP BY c""")
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS pos FROM lineitem),
+     l AS (SELECT o_custkey AS c, l_partkey AS r, min(o_orderkey * 1000 + pos) AS place FROM orders JOIN n ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT c AS scenario_id, string_agg(r::VARCHAR, ',' ORDER BY place) AS requirement_ids FROM l GROUP BY c""")
 def scenario_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as scenarios of their orders, in the order of their keys."""
     stories = _stories(spark, sf_dir)

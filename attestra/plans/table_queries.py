@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.operators import canon, coverage as cov, readiness, store, testdata
@@ -12,6 +12,11 @@ from attestra.sources.files import latest_per_key, tree_checksum
 R = Registry()
 
 
+def _carrier() -> Column:
+    """A few names, dealt by supplier."""
+    return F.when(F.col("l_suppkey") % 3 == 0, "AIR").when(F.col("l_suppkey") % 3 == 1, "SHIP").otherwise("RAIL")
+
+
 @R.query("""
 SELECT (SELECT count(*) FROM customer)::BIGINT AS n_requirements, (SELECT count(*) FROM orders)::BIGINT AS n_stories, (SELECT count(*) FROM lineitem)::BIGINT AS n_scenarios,
        (SELECT count(*) FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders))::BIGINT AS requirements_covered,
@@ -123,11 +128,11 @@ def replaced_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.replace_children(lines, new, parents, ["l_orderkey"]).drop("l_quantity")
 
 
-@R.query("SELECT o_orderkey AS tc_id, o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_shipmode = 'AIR')")
+@R.query("SELECT o_orderkey AS tc_id, o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey % 3 = 0)")
 def accepted_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as cases, finished ones accepted; lines by air as the cases of a run."""
     cases = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tc_id"), "o_custkey", F.when(F.col("o_orderstatus") == "F", "ACCEPTED").otherwise("OPEN").alias("status"))
-    runs = table(spark, sf_dir, "lineitem").select(F.lit("p").alias("project"), F.col("l_shipmode").alias("run_id"), F.col("l_orderkey").alias("tc_id"))
+    runs = table(spark, sf_dir, "lineitem").select(F.lit("p").alias("project"), _carrier().alias("run_id"), F.col("l_orderkey").alias("tc_id"))
     return store.accepted_cases(cases, runs, "p", "AIR").drop("status")
 
 
@@ -137,7 +142,7 @@ def mentioned_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.mentioned_entities(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_id")), mentions, "c")
 
 
-@R.query("SELECT l_orderkey AS sequence_id, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber) AS steps FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') GROUP BY 1")
+@R.query("SELECT l_orderkey AS sequence_id, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS steps FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') GROUP BY 1")
 def action_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sequence_id"), F.col("l_linenumber").alias("step"), F.col("l_partkey").alias("action_id"))
     wanted = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("sequence_id"))
@@ -162,21 +167,21 @@ def later_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BINDINGS = """
-WITH b AS (SELECT l_partkey AS s, l_orderkey || '-' || l_linenumber AS b, l_shipmode AS profile, CASE WHEN l_linestatus = 'F' THEN 'default' ELSE l_linestatus END AS v, l_quantity::INT // 10 AS p, l_discount AS d, l_tax AS t,
+WITH b AS (SELECT l_partkey AS s, l_orderkey || '-' || l_linenumber AS b, CASE l_suppkey % 3 WHEN 0 THEN 'AIR' WHEN 1 THEN 'SHIP' ELSE 'RAIL' END AS profile, CASE WHEN l_linestatus = 'F' THEN 'default' ELSE l_linestatus END AS v, l_quantity::INT // 10 AS p, l_discount AS d, l_tax AS t,
                   CASE WHEN l_tax > 0.05 THEN CASE WHEN l_suppkey % 2 = 0 THEN 'c' ELSE 'gone' END END AS cleanup FROM lineitem WHERE l_returnflag <> 'R')"""
 
 
 def _bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as bindings of their part: the ship mode is the profile; the variant is null, the default one, or the line's status."""
+    """Lines as bindings of their part: the carrier is the profile; the variant is null, the default one, or the line's status."""
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("scenario_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("binding_id"), F.floor(F.col("l_quantity") / 10).cast("int").alias("selection_priority"),
         F.when(F.col("l_returnflag") == "R", "REJECTED").otherwise("APPROVED").alias("approval_status"), F.when(F.col("l_discount") > 0.08, F.array(F.lit("o"))).otherwise(F.array().cast("array<string>")).alias("oracle_ids"),
-        F.when(F.col("l_tax") > 0.05, F.when(F.col("l_suppkey") % 2 == 0, "c").otherwise("gone")).alias("cleanup_id"), F.when(F.col("l_linestatus") != "F", F.col("l_linestatus")).alias("variant_id"), F.col("l_shipmode").alias("execution_profile_id"),
+        F.when(F.col("l_tax") > 0.05, F.when(F.col("l_suppkey") % 2 == 0, "c").otherwise("gone")).alias("cleanup_id"), F.when(F.col("l_linestatus") != "F", F.col("l_linestatus")).alias("variant_id"), _carrier().alias("execution_profile_id"),
     )
 
 
 @R.query(_BINDINGS + """,
-     a AS (SELECT p_partkey AS s, profile, v FROM part, (SELECT DISTINCT l_shipmode AS profile FROM lineitem WHERE l_shipmode IN ('AIR', 'SHIP')), (SELECT unnest(['default', 'O']) AS v)),
+     a AS (SELECT p_partkey AS s, profile, v FROM part, (SELECT unnest(['AIR', 'SHIP']) AS profile), (SELECT unnest(['default', 'O']) AS v)),
      m AS (SELECT s, profile, v, max(p) AS p FROM b GROUP BY ALL),
      g AS (SELECT s, profile, v, count(*) AS n, list_sort(list(b)) AS ids FROM b JOIN m USING (s, profile, v, p) GROUP BY ALL)
 SELECT s AS scenario_id, profile AS execution_profile_id, v AS variant_id, CASE WHEN n IS NULL THEN 'BLOCKED_MISSING_DATA' WHEN n = 1 THEN 'READY' ELSE 'BLOCKED_AMBIGUOUS_BINDING' END AS status,

@@ -26,9 +26,10 @@ def text_blocks(docs: DataFrame) -> DataFrame:
     parts = F.split("text", separator)
     seps = F.regexp_extract_all("text", F.lit(f"({separator})"), 1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
-    lengths = F.transform(parts, lambda p, i: F.length(p) + F.coalesce(F.length(F.get(seps, i)), F.lit(0)))
+    lengths = F.zip_with(parts, seps, lambda p, s: F.length(p) + F.coalesce(F.length(s), F.lit(0)))
     offsets = F.aggregate(lengths, start, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")))["all"]
-    exploded = docs.select("doc_key", offsets.alias("offsets"), F.posexplode(parts).alias("paragraph", "part")).select("doc_key", (F.col("paragraph") + 1).alias("paragraph"), "part", F.get("offsets", F.col("paragraph")).alias("start"))
+    placed = F.zip_with(parts, offsets, lambda p, at: F.struct(p.alias("part"), at.alias("start")))
+    exploded = docs.select("doc_key", F.posexplode(placed).alias("paragraph", "p")).select("doc_key", (F.col("paragraph") + 1).alias("paragraph"), "p.part", "p.start")
     kept = exploded.withColumn("raw", strip(F.col("part"))).filter(F.col("raw") != "")
     kind = F.when(F.col("raw").startswith("#"), "heading").when(F.col("raw").rlike(r"^[-*+]"), "list_item").otherwise("paragraph")
     order = Window.partitionBy("doc_key").orderBy("paragraph")
