@@ -82,7 +82,7 @@ NOTICE_TEMPLATES = (
         the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement
         in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with
         the software or the use or other dealings in the software
-        """, ("hereby granted free of charge to any person",), 0.12),
+        """, ("hereby granted free of charge to any person",), 0.08),
     Template("apache", """
         licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at
         http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis

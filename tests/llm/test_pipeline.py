@@ -45,6 +45,30 @@ def test_near_dedup_keeps_one_of_repeated_rows(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame(rows[1:], docs.schema).collect()))
 
 
+def test_pipeline_of_odd_and_empty_tables(spark, words, tmp_path):
+    import random
+
+    rng = random.Random(15)
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    a, b, item = text(60), text(60), text(30)
+    rows = [(None, a, 1, 60), (None, a, 2, 60), (3, b, 3, 60), (3, b, 4, 60), (4, None, 5, None), (5, "", 6, 0), (6, f"{text(20)} {item} {text(20)}", 7, 1), (None, f"{text(20)} {item}", 8, 1), (7, text(60), 9, 1)]
+    ddl = "doc_id long, text string, hashes int, n_chars int"
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, ddl)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == ["doc_id", "text", "hashes", "n_chars"], name
+    left = {r["hashes"]: r["text"] for r in docs.collect()}
+    # texts that are null or empty fail the rules; of equal rows one stays; of texts without an id both stay, the later one empty
+    assert set(left) == {1, 2, 3, 9} and sorted((left[1], left[2])) == sorted((a, "")) and left[3] == b
+    ids = {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()}
+    assert ids == {None, 3, 7}
+    none = spark.createDataFrame([], ddl)
+    for name, stage in corpus_pipeline.STAGES:
+        none = materialize(stage(spark, none, str(tmp_path)))
+        assert none.count() == 0, name
+
+
 def test_each_operator_is_registered():
     names = __spark_entry__.queries()
     assert all(any(x.startswith(f"op{n}_") for x in names) for n in range(1, 11)) and "pipeline" in names
