@@ -194,8 +194,9 @@ def resolved_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query(_BINDINGS + """,
-     n AS (SELECT p_partkey AS s, 'AIR' AS profile, min(l_orderkey || '-' || l_linenumber) AS id FROM part JOIN lineitem ON l_partkey = p_partkey WHERE p_size > 25 GROUP BY p_partkey)
-SELECT n.s AS scenario_id, n.id AS binding_id, CASE WHEN b.b IS NOT NULL AND b.profile = 'AIR' AND b.v = 'default' THEN 'READY' ELSE 'does_not_match' END AS status FROM n LEFT JOIN b ON b.b = n.id""")
+     w AS (SELECT l_orderkey || '-' || l_linenumber AS id, count(*) AS k, bool_and(l_returnflag <> 'R' AND l_suppkey % 3 = 0 AND l_linestatus = 'F') AS fits FROM lineitem GROUP BY 1),
+     n AS (SELECT p_partkey AS s, min(l_orderkey || '-' || l_linenumber) AS id FROM part JOIN lineitem ON l_partkey = p_partkey WHERE p_size > 25 GROUP BY p_partkey)
+SELECT s AS scenario_id, id AS binding_id, CASE WHEN k <> 1 THEN 'unavailable' WHEN fits THEN 'READY' ELSE 'does_not_match' END AS status FROM n JOIN w USING (id)""")
 def selected_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bindings named beforehand, whatever their profile, variant and state."""
     bindings = _bindings(spark, sf_dir)
