@@ -31,20 +31,18 @@ PAGE_BYTES = 256 << 10
 
 def encode_sorted(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Rows of a sorted partition to rows of its file; ``before`` counts on from batch to batch."""
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, total, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer, "bytes")
+        file, total, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                data = [b"".join(x) + end for x in enc.encode(part.column(1).to_pylist())]
-                counts = np.array([len(x) // 4 for x in data], dtype=np.int64)
-                bounds = np.concatenate([[0], np.cumsum(counts)])
-                values = pa.Array.from_buffers(pa.int32(), int(bounds[-1]), [None, pa.py_buffer(b"".join(data))])
-                ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
-                files = pa.array(np.full(len(data), file, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), files, pa.array(total + bounds[:-1]), pa.array(counts), ids], names=["doc_id", "file", "before", "n_tokens", "ids"])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                counts, ids = enc.encode(part.column(1))
+                ids = np.insert(ids, np.cumsum(counts), end_id)
+                bounds = np.concatenate([[0], np.cumsum(counts + 1)])
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view(np.int32)))
+                files = pa.array(np.full(len(counts), file, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0), files, pa.array(total + bounds[:-1]), pa.array(counts + 1), lists], names=["doc_id", "file", "before", "n_tokens", "ids"])
                 total += int(bounds[-1])
 
     return map_arrow(docs, FILE_SCHEMA, run)

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,14 +28,18 @@ def true_ids(text):
 ODD_TEXTS = ["a\tb c\n\nd  e \n f", " x y", "x <|endoftext|> y\n<|endoftext|>z", "\n", "", " ", "it's they'll 12 3", "a b　c", "é\x85 x", "x\x1c y", "日本 語\nテキスト", "🙂 🙂\n🙂"]
 
 
-def test_stretches_give_the_ids_of_whole_texts(words):
-    enc = encoder(BPE, "bytes")
-    enc.kept = 12_000  # so that what is known is set aside again and again
+@pytest.mark.parametrize("kept", [12_000, 1 << 20])
+def test_stretches_give_the_ids_of_whole_texts(words, kept):
+    enc = encoder(BPE)
+    enc.kept = kept  # few, so that what is known is set aside again and again
     rng = random.Random(1)
-    texts = ODD_TEXTS + [" ".join(rng.choices(words, k=60)).replace(" a", "\na") for _ in range(20)]
-    for text in texts:
-        got = np.frombuffer(b"".join(enc.encode([text])[0]), dtype="<u4").tolist()
-        assert got == true_ids(text), repr(text)
+    texts = ODD_TEXTS + [" ".join(rng.choices(words, k=60)).replace(" a", "\na") for _ in range(60)] + [" ".join(f"n{rng.random()}" for _ in range(3000)), "x" * 5000 + " y", "z"]
+    for at in (*range(0, len(texts), 7), *range(0, len(texts), 11)):
+        part = texts[at : at + 7]
+        counts, ids = enc.encode(pa.array(part, pa.string()))
+        got = np.split(ids, np.cumsum(counts)[:-1])
+        assert [x.tolist() for x in got] == [true_ids(t) for t in part]
+    assert [len(x) for x in enc.encode(pa.array([], pa.string()))] == [0, 0]
 
 
 def test_token_counts(docs, corpus):
