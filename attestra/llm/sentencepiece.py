@@ -21,7 +21,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -114,29 +114,37 @@ def _counts(counts: Counter) -> pa.RecordBatch:
 
 
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, size, edges) with an edge (start, end, score, id) for each substring that is a piece."""
+    """(word, size, edges) with an edge (start, end, score, id, ends, between) for each substring that is a piece; words of ``FOLD_CHARS`` at most."""
     spark = words.sparkSession
     table = F.broadcast(spark.createDataFrame(list(pieces.rows), "piece string, id int, score double"))
     size = F.length("word")
-    starts = words.select("word").repartition("word").select("word", size.alias("size"), F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
+    # a word is little to read and much to fold, so partitions are not joined by their size
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    starts = words.select("word").repartition(n_parts, "word").select("word", size.alias("size"), F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
     ends = starts.select("word", "size", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("size"), F.col("start") + pieces.longest))).alias("end"))
     joined = ends.withColumn("piece", F.expr("substring(word, start + 1, end - start)")).join(table, "piece", "left")
     # a word's first character stays, so that a word without an edge does
     kept = joined.filter(F.col("id").isNotNull() | ((F.col("start") == 0) & (F.col("end") == 1)))
-    edge = F.struct("start", "end", "score", "id")
+    # as bits of a long: the edge's ends, and the boundaries between them
+    ends, between = _bit(F.col("start")).bitwiseOR(_bit(F.col("end"))), _bit(F.col("end")) - _bit(F.col("start") + 1)
+    edge = F.struct("start", "end", "score", "id", ends.alias("ends"), between.alias("between"))
     # dealt by word before, so a word's edges are where the word was
     return kept.groupBy("word").agg(F.first("size").alias("size"), F.collect_list(F.when(F.col("id").isNotNull(), edge)).alias("edges"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is made once, however often a lambda in ``body`` reads it; a column would be made again there each time."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _bit(k: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), k)
 
 
 def merges_in_order(edges: Column) -> Column:
-    """Edges of two characters or more, the best score first, the leftmost of equals, each as bits: its ends, and the boundaries between them."""
+    """Edges of two characters or more, the best score first, the leftmost of equals."""
     longer = F.filter(edges, lambda e: e["end"] - e["start"] > 1)
-    ends, between = lambda e: _bit(e["start"]).bitwiseOR(_bit(e["end"])), lambda e: _bit(e["end"]) - _bit(e["start"] + 1)
-    ordered = F.array_sort(F.transform(longer, lambda e: F.struct((-e["score"]).alias("cost"), e["start"].alias("start"), ends(e).alias("ends"), between(e).alias("between"))))
+    ordered = F.array_sort(F.transform(longer, lambda e: F.struct((-e["score"]).alias("cost"), e["start"].alias("start"), e["ends"].alias("ends"), e["between"].alias("between"))))
     return F.transform(ordered, lambda e: F.struct(e["ends"].alias("ends"), e["between"].alias("between")))
 
 
@@ -164,10 +172,12 @@ def viterbi_fold(edges: Column, size: Column, unknown_score: float) -> Column:
         single = F.exists(edges, lambda e: (e["end"] == end) & (e["start"] == end - 1))
         return F.concat(best, F.array(F.array_max(F.concat(known, F.when(single, F.slice(skip, 1, 0)).otherwise(skip)))))
 
-    nodes = F.aggregate(F.sequence(F.lit(1), size), start, step)
-    # from the end back: each boundary names the one before it
-    trace = lambda bounds, _: F.when(F.element_at(bounds, 1) == 0, bounds).otherwise(F.concat(F.array(F.get(nodes, F.element_at(bounds, 1))["back"]), bounds))
-    return F.aggregate(F.sequence(F.lit(1), size), F.array(size), trace)
+    def traced(nodes: Column) -> Column:
+        # from the end back: each boundary names the one before it
+        trace = lambda bounds, _: F.when(F.element_at(bounds, 1) == 0, bounds).otherwise(F.concat(F.array(F.get(nodes, F.element_at(bounds, 1))["back"]), bounds))
+        return F.aggregate(F.sequence(F.lit(1), size), F.array(size), trace)
+
+    return let(F.aggregate(F.sequence(F.lit(1), size), start, step), traced)
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -176,13 +186,12 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
         raise ValueError("only unigram and BPE models are read")
     whole = words.select("word")
     held = lattice(whole.filter(F.length("word") <= FOLD_CHARS), pieces)
+    edges, size = F.col("edges"), F.col("size")
     if pieces.kind == BPE:
-        # one column after the other, so that none is made again for each step
-        held = held.withColumn("merges", merges_in_order(F.col("edges"))).withColumn("mask", merge_fold(F.col("merges"), F.col("size"))).withColumn("bounds", set_bits(F.col("mask"), F.col("size")))
+        mask = let(merges_in_order(edges), lambda m: merge_fold(m, size))
     else:
-        held = held.withColumn("bounds", viterbi_fold(F.col("edges"), F.col("size"), min(s for _, _, s in pieces.rows) - 10.0))
-    symbols = F.transform(F.sequence(F.lit(1), F.size("bounds") - 1), lambda k: F.struct(F.get("bounds", k - 1).alias("a"), F.get("bounds", k).alias("b")))
-    held = held.withColumn("symbols", symbols)
+        bounds = viterbi_fold(edges, size, min(s for _, _, s in pieces.rows) - 10.0)
+        mask = F.aggregate(bounds, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(_bit(k)))
 
     def ids_of(s: Column) -> Column:
         found = F.filter("edges", lambda e: (e["start"] == s["a"]) & (e["end"] == s["b"]))
@@ -194,7 +203,14 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
             other = F.transform(F.sequence(F.lit(1), (F.length(code) / 2).cast("int")), pair)
         return F.when(F.size(found) > 0, F.transform(found, lambda e: e["id"])).otherwise(other)
 
-    folded = held.select("word", F.flatten(F.transform("symbols", ids_of)).alias("ids"))
+    def ids_at(m: Column) -> Column:
+        """The ids of the edges from one boundary to the next; where some symbol has no edge, symbol by symbol."""
+        chosen = F.filter(edges, lambda e: (m.bitwiseAND(e["ends"]) == e["ends"]) & (m.bitwiseAND(e["between"]) == 0))
+        in_order = lambda c: F.transform(F.array_sort(F.transform(c, lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id")))), lambda e: e["id"])
+        symbols = let(set_bits(m, size), lambda b: F.transform(F.sequence(F.lit(1), F.size(b) - 1), lambda k: F.struct(F.get(b, k - 1).alias("a"), F.get(b, k).alias("b"))))
+        return let(chosen, lambda c: F.when(F.size(c) == F.bit_count(m) - 1, in_order(c)).otherwise(F.flatten(F.transform(symbols, ids_of))))
+
+    folded = held.select("word", let(mask, ids_at).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = LongWords(pieces)
