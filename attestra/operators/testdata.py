@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestra.functions.ids import json_checksum
 from attestra.functions.json_text import explode_leaves, is_placeholder, is_plain_secret
 
 ISSUE_COLUMNS = ("issue_code", "severity", "message", "record_id", "sheet", "row", "cell")
@@ -179,7 +180,21 @@ def secret_references(leaves: DataFrame) -> DataFrame:
 
 
 def bundles(bindings: DataFrame, records: DataFrame) -> DataFrame:
-    """(binding_id, refs): record ids of a binding by the type of the record, sorted."""
-    refs = references(bindings).join(records.select("record_id", "record_type"), "record_id")
+    """(binding_id, refs): record ids of an approved binding by the type of the record, sorted. A reference to no record, or to one that is not approved, fails the job."""
+    refs = _resolved(bindings, records)
     by_type = refs.groupBy("binding_id", "record_type").agg(F.array_sort(F.collect_set("record_id")).alias("ids"))
     return by_type.groupBy("binding_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("record_type", "ids")))).alias("refs"))
+
+
+def bundle_provenance(bindings: DataFrame, records: DataFrame) -> DataFrame:
+    """(binding_id, record_id, record_type, source_sheet, source_row, record_checksum): where each record of an approved binding's bundle comes from."""
+    checksum = json_checksum(F.concat(F.lit('{"payload": '), F.coalesce("payload", F.lit("{}")), F.lit("}")))
+    return _resolved(bindings, records).select("binding_id", "record_id", "record_type", "source_sheet", "source_row", checksum.alias("record_checksum")).distinct()
+
+
+def _resolved(bindings: DataFrame, records: DataFrame) -> DataFrame:
+    approved = bindings.filter(F.col("approval_status") == APPROVED)
+    joined = references(approved).join(records.withColumn("_there", F.lit(True)), "record_id", "left")
+    said = lambda what: F.concat(F.lit("binding '"), F.col("binding_id"), F.lit(f"' references {what} record '"), F.col("record_id"), F.lit("'"))
+    sound = F.when(F.col("_there").isNull(), F.raise_error(said("unknown")).cast("boolean")).when(F.col("record_status") != APPROVED, F.raise_error(said("non-APPROVED")).cast("boolean")).otherwise(True)
+    return joined.filter(sound).drop("_there")

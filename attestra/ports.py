@@ -42,6 +42,24 @@ def requests(costs: list[int], most_items: int = 2048, most_cost: int = 300_000,
     return [*out, (start, len(costs))] if costs else []
 
 
+def ordered_vectors(response: list[tuple[int, list[float]]], expected: int, dimension: int | None = None) -> tuple[list[list[float]], int]:
+    """Vectors of a response's (index, vector) items in the order of the inputs, and their dimension.
+
+    An index that is no number of an input, or comes twice, a missing one, vectors of other
+    dimensions than the first (or than ``dimension``) and values that are not finite are errors.
+    """
+    found: dict[int, list[float]] = {}
+    for index, vector in response:
+        if isinstance(index, bool) or not isinstance(index, int) or not 0 <= index < expected or index in found:
+            raise ValueError(f"unusable index in an embedding response: {index!r}")
+        if not vector or not np.isfinite(np.asarray(vector, dtype=float)).all() or len(vector) != (dimension := dimension or len(vector)):
+            raise ValueError(f"unusable vector in an embedding response at {index}")
+        found[index] = vector
+    if len(found) != expected or dimension is None:
+        raise ValueError(f"{len(found)} of {expected} vectors in an embedding response")
+    return [found[k] for k in range(expected)], dimension
+
+
 def embed_column(df: DataFrame, text_col: str, embedder: Embedder, out: str = "embedding", most_items: int = 2048) -> DataFrame:
     """``df`` with vectors, made batch by batch; wrong numbers or values that are not finite fail."""
 

@@ -60,17 +60,43 @@ def read_binary_documents(spark: SparkSession, path: str, glob: str, parser: Cal
     return found.mapInPandas(run, "doc_key string, pos int, text string, start int, end int, kind string, section string, location string, paragraph int")
 
 
+def styled_blocks(paragraphs: DataFrame) -> DataFrame:
+    """(doc_key, paragraph, text, style) of a word-processor document to blocks.
+
+    Empty paragraphs go, but count; a style whose name begins with "heading" makes a
+    heading and the section from there on; spans count the stripped texts, one character
+    apart.
+    """
+    kept = paragraphs.withColumn("raw", strip(F.col("text"))).filter("raw <> ''")
+    order = Window.partitionBy("doc_key").orderBy("paragraph")
+    head = F.coalesce(F.lower("style").startswith("heading"), F.lit(False))
+    end = (F.sum(F.length("raw") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int")
+    return kept.select(
+        "doc_key", (F.row_number().over(order) - 1).alias("pos"), normalize_text(F.col("raw")).alias("text"), (end - F.length("raw")).alias("start"), end.alias("end"),
+        F.when(head, "heading").otherwise("paragraph").alias("kind"), F.last(F.when(head, F.col("raw")), ignorenulls=True).over(order).alias("section"),
+        F.concat(F.lit("paragraph="), F.col("paragraph")).alias("location"), "paragraph",
+    )
+
+
 def page_lines(words: DataFrame, tolerance: float = 2.5) -> DataFrame:
-    """(doc_key, page, page_height, x, y0, y1, word) to visual lines (doc_key, page, line, y0, y1, text).
+    """(doc_key, page, page_height, x, y0, y1, word) to visual lines (doc_key, page, line, y0, y1, page_height, text).
 
-    A word whose top is within ``tolerance`` of the word before it, from top to bottom, is on its line.
+    From top to bottom, a word whose top is within ``tolerance`` of its line's first word is
+    on that line; a fold over the words of a page.
     """
-    down = Window.partitionBy("doc_key", "page").orderBy("y0", "x", "word")
-    new = F.coalesce((F.col("y0") - F.lag("y0").over(down) > tolerance).cast("int"), F.lit(0))
-    numbered = words.withColumn("new", new).withColumn("line", F.sum("new").over(down.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    held = F.array_sort(F.collect_list(F.struct("x", "y0", "word")))
-    lines = numbered.groupBy("doc_key", "page", "line").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.max("page_height").alias("page_height"), held.alias("w"))
-    return lines.select("doc_key", "page", "line", "y0", "y1", "page_height", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("text"))
+    held = F.array_sort(F.collect_list(F.struct("y0", "x", "word", "y1")))
+    pages = words.groupBy("doc_key", "page").agg(held.alias("w"), F.max("page_height").alias("page_height"))
+    start = F.struct(F.lit(None).cast("double").alias("top"), F.lit(-1).alias("line"), F.array().cast("array<int>").alias("lines"))
+
+    def step(acc, w):
+        new = F.coalesce(w["y0"] - acc["top"] > tolerance, F.lit(True))
+        line = F.when(new, acc["line"] + 1).otherwise(acc["line"])
+        return F.struct(F.when(new, w["y0"]).otherwise(acc["top"]).alias("top"), line.alias("line"), F.concat(acc["lines"], F.array(line)).alias("lines"))
+
+    numbered = F.zip_with("w", F.aggregate("w", start, step, lambda acc: acc["lines"]), lambda w, k: F.struct(k.alias("line"), w.alias("w")))
+    each = pages.select("doc_key", "page", "page_height", F.explode(numbered).alias("n")).select("doc_key", "page", "page_height", "n.line", "n.w.*")
+    lines = each.groupBy("doc_key", "page", "line").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.max("page_height").alias("page_height"), F.array_sort(F.collect_list(F.struct("x", "word"))).alias("w"))
+    return lines.select("doc_key", "page", "line", "y0", "y1", "page_height", F.trim(F.array_join(F.transform("w", lambda x: x["word"]), " ")).alias("text"))
 
 
 def without_page_noise(lines: DataFrame, top: float = 35.0, bottom: float = 55.0) -> DataFrame:

@@ -476,3 +476,36 @@ def test_helper_files_and_extractions(spark):
     assert [r[0] for r in files.helper_files(df, ("pump",)).collect()] == [paths[3]]
     found = spark.createDataFrame([("a", "graph.json", '{"nodes": []}'), ("a", ".graphify_ast.json", '{"nodes": [1]}'), ("a", ".graphify_extract.json", "{}"), ("b", "other.json", '{"nodes": []}')], "folder string, name string, text string")
     assert rows(files.choose_extraction(found)) == [("a", ".graphify_ast.json", '{"nodes": [1]}')]
+
+
+def test_a_line_is_measured_from_its_first_word(spark):
+    words = [("d", 1, 800.0, x, y, y + 8, w) for x, y, w in ((50.0, 100.0, "b"), (10.0, 102.0, "a"), (90.0, 104.0, "c"), (10.0, 105.0, "d"))]
+    df = spark.createDataFrame(words, "doc_key string, page int, page_height double, x double, y0 double, y1 double, word string")
+    assert [r["text"] for r in documents.page_lines(df).orderBy("line").collect()] == ["a b", "d c"]
+
+
+def test_styled_paragraphs(spark):
+    rows_ = [("d", 1, " Title ", "Heading 1"), ("d", 2, "  ", None), ("d", 3, "body  text", "Normal")]
+    got = documents.styled_blocks(spark.createDataFrame(rows_, "doc_key string, paragraph int, text string, style string"))
+    assert rows(got.select("text", "start", "end", "kind", "section", "location"), "start") == [("Title", 0, 5, "heading", "Title", "paragraph=1"), ("body text", 6, 16, "paragraph", "Title", "paragraph=3")]
+
+
+def test_embedding_responses_are_put_in_order():
+    assert ports.ordered_vectors([(1, [2.0]), (0, [1.0])], 2) == ([[1.0], [2.0]], 1)
+    for bad in ([(0, [1.0])], [(0, [1.0]), (0, [1.0])], [(0, [1.0]), (2, [1.0])], [(0, [1.0]), (1, [1.0, 2.0])], [(0, [1.0]), (1, [float("nan")])], [(0, [1.0]), (True, [1.0])]):
+        with pytest.raises(ValueError):
+            ports.ordered_vectors(bad, 2)
+
+
+def test_bundles_have_records_and_their_provenance(spark):
+    from attestra import schemas
+
+    records = spark.createDataFrame([(r, t, s, True, "k", "n", '{"a": 1}', t, 2) for r, t, s in (("P", "ExecutionProfile", "APPROVED"), ("F", "Fixture", "APPROVED"), ("C", "Cleanup", "APPROVED"), ("O2", "Oracle", "APPROVED"), ("O1", "Oracle", "APPROVED"), ("X", "Oracle", "DRAFT"))], schemas.RECORDS)
+    bound = lambda oracles, status: spark.createDataFrame([("B", "S", "P", None, "F", None, [], oracles, "C", 1, status)], schemas.BINDINGS)
+    assert testdata.bundles(bound(["O2", "O1"], "APPROVED"), records).first()["refs"] == {"Cleanup": ["C"], "ExecutionProfile": ["P"], "Fixture": ["F"], "Oracle": ["O1", "O2"]}
+    found = testdata.bundle_provenance(bound(["O1"], "APPROVED"), records).collect()
+    assert {r["record_id"] for r in found} == {"P", "F", "C", "O1"} and all(r["record_checksum"].startswith("sha256:") and r["source_row"] == 2 for r in found)
+    for oracles, what in ((["X"], "non-APPROVED"), (["Z"], "unknown")):
+        with pytest.raises(Exception, match=what):
+            testdata.bundles(bound(oracles, "APPROVED"), records).collect()
+    assert testdata.bundles(bound(["X"], "DRAFT"), records).count() == 0
