@@ -158,7 +158,8 @@ def near_duplicates(df: DataFrame, size: int, percent: int = PERCENT, bands: int
 
     Texts without words (null and empty ones too) link with nothing. Texts shorter than
     ``size`` words are one shingle. Rows that share an id are linked. Rows without an id
-    link with nothing and are kept, with a null component.
+    link with nothing and are kept, with a null component. A set is of the whole text,
+    however long; other columns play no part.
     """
     docs = documents_of(df, id_col, text_col)
     sketched = materialize(sketches(docs, size, bands, rows))

@@ -31,7 +31,7 @@ class SlotMap:
 def records(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
     """One narrow row per input row: doc_id, size, text_crc32, virtual_slot.
 
-    A null text is empty (size 8, crc 0). A null id hashes to one slot as any value does.
+    A null text is empty (size 8, crc 0). Rows without an id are dealt by their texts.
     Repeated rows stay, each a record of its own.
     """
     docs = documents_of(df, id_col, text_col)
@@ -39,7 +39,7 @@ def records(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_slo
         "doc_id",
         (F.octet_length("text").cast("long") + RECORD_OVERHEAD).alias("size"),
         F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(n_slots)).cast("int").alias("virtual_slot"),
+        F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(n_slots)).cast("int").alias("virtual_slot"),
     )
 
 

@@ -125,7 +125,8 @@ def token_counts(
     """doc_id, n_bytes, n_tokens, over_limit, n_chunks (1: read as a whole) for each row.
 
     Counts are those of the tokenizer for the whole text. A null or empty text has 0
-    tokens. Rows with the same id stay apart. Equal huge texts are encoded once.
+    tokens. Rows with the same id, or none, stay apart. Equal huge texts are encoded once.
+    Other columns play no part.
     """
     docs = documents_of(df, id_col, text_col)
     ordinary = count_ordinary(docs.filter(F.length("text") <= huge_chars), tokenizer).withColumn("n_chunks", F.lit(1).cast("long"))

@@ -55,7 +55,8 @@ def write_token_files(
     """Encode all texts (null: empty, so only ``end_id``) and write them in ascending doc_id order.
 
     Rows with the same id follow each other by a hash of the text; null ids come first.
-    A range of ids goes to a file, so many rows of one id are split by that hash too.
+    A range of ids goes to a file, so many rows of one id are split by that hash too. A text
+    is one row, however long; other columns play no part.
     """
     docs = documents_of(df, id_col, text_col).withColumn("tie", F.xxhash64("text"))
     n_files = n_files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
