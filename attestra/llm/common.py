@@ -54,10 +54,18 @@ BATCH_ROWS = 1_000
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def short_batches(spark: SparkSession) -> None:
-    """For queries over texts: have Spark make batches of ``BATCH_ROWS`` too, unless the session asks for fewer; it saves memory, and changes no result."""
+#: Spark then removes a statement's shuffle files when it ends; what is needed again is a table in the shared folder.
+CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Settings of a session for queries over texts; they save memory and disk, and change no result.
+
+    Spark makes batches of ``BATCH_ROWS`` too, unless the session asks for fewer.
+    """
     if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
         spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    spark.conf.set(CLEANUP_SETTING, "true")
 
 
 def map_arrow(df: DataFrame, schema: str | T.StructType, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = BATCH_ROWS) -> DataFrame:

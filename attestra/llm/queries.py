@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from attestra.llm.common import read_table, shared_dir, short_batches
+from attestra.llm.common import read_table, shared_dir, prepare
 from attestra.llm.decontaminate import contaminated
 from attestra.llm.licenses import license_scan
 from attestra.llm.lm import lm_scores
@@ -67,16 +67,16 @@ QUERIES = (
 )
 
 
-def _with_short_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+def _prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        short_batches(spark)
+        prepare(spark)
         return query(spark, sf_dir)
 
     return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: _with_short_batches(q) for q in QUERIES} | {"pipeline": corpus_pipeline.run}
+    return {q.__name__: _prepared(q) for q in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
