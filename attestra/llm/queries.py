@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from attestra.llm.common import read_table, shared_dir, prepare
+from attestra.llm.common import prepare, read_table, shared_dir
 from attestra.llm.decontaminate import contaminated
 from attestra.llm.licenses import license_scan
 from attestra.llm.lm import lm_scores
