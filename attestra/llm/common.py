@@ -40,6 +40,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Remove the files of a table made by ``materialize`` that nothing reads any more, so that a large one makes room before the end."""
+    sc = table.sparkSession.sparkContext
+    for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+        if folder.rpartition("/")[2].startswith("attestra-"):
+            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ascii_lower(column: Column) -> Column:
     return F.translate(column, UPPER, UPPER.lower())
 
