@@ -253,7 +253,7 @@ def test_very_long_texts(spark, words):
 
 
 def test_recurrent_scores(docs, corpus, empty, odd):
-    got = by_id(lm.lm_scores(docs, known_words=50))
+    got = by_id(lm.lm_scores(docs, gru.Shape(8, 8, 8), known_words=50))
     tokens = {k: (t or "").encode().lower().split() + [b"\n"] for k, t, *_ in corpus}
     held = {k: zlib.crc32(str(k).encode()) % 5 == 1 for k in tokens}
     c = Counter(w for k in tokens if not held[k] for w in tokens[k])
@@ -263,8 +263,8 @@ def test_recurrent_scores(docs, corpus, empty, odd):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[k], len(w), sum(c[x] > 0 for x in w), n)
         assert r["base_score"] == pytest.approx(sum(log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w))
         assert r["score"] < 0
-    assert lm.lm_scores(empty).count() == 0
-    rows = sorted(((r["doc_id"] or 0), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) for r in lm.lm_scores(odd).collect())
+    assert lm.lm_scores(empty, gru.Shape(8, 8, 8)).count() == 0
+    rows = sorted(((r["doc_id"] or 0), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) for r in lm.lm_scores(odd, gru.Shape(8, 8, 8)).collect())
     out = {k: zlib.crc32(x) % 5 == 1 for k, x in ((0, b""), (1, b"1"), (2, b"2"))}
     n = sum(0 if out[k] else t for k, t in ((0, 5), (1, 5), (1, 5), (2, 1)))
     known = {w for k, text in ((0, "same text here again"), (1, "same text here again"), (2, "")) if not out[k] for w in [*text.split(), "end"]}
@@ -288,7 +288,7 @@ def test_held_out_texts_are_told_better_than_by_counts(spark):
 
 
 def test_the_inputs_partitions_do_not_change_what_is_learned(docs):
-    one, many = (by_id(lm.lm_scores(docs.repartition(n), known_words=50)) for n in (1, 13))
+    one, many = (by_id(lm.lm_scores(docs.repartition(n), gru.Shape(8, 8, 8), known_words=50)) for n in (1, 13))
     assert all(one[k]["score"] == pytest.approx(many[k]["score"], rel=1e-6) for k in one)
 
 
