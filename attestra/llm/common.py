@@ -33,10 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/attestra-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so its lineage is files."""
+def materialize(df: DataFrame, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder (``options``: of the writer) and read it back, so its lineage is files."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

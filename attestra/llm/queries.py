@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from attestra.llm.alignment import alignments
 from attestra.llm.common import prepare, read_table, shared_dir
 from attestra.llm.decontaminate import contaminated
+from attestra.llm.langid import languages
 from attestra.llm.licenses import license_scan
 from attestra.llm.lm import lm_scores
 from attestra.llm.minhash import near_duplicates
@@ -18,6 +20,7 @@ from attestra.llm.sharding import shard_documents
 from attestra.llm.substring import repeated_passages
 from attestra.llm.token_counts import token_counts
 from attestra.llm.token_files import token_file_digest, write_token_files
+from attestra.llm.whitening import whiten
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +65,21 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"), n_shards=24, map_path=shared_dir(spark))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments(read_table(spark, sf_dir, "documents"))
+
+
+def op12_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(read_table(spark, sf_dir, "documents"))
+
+
+def op13_lobpcg_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = (
     op1_token_counts, op2_license_scan, op3_minhash, op4_token_files, op5_gru_scores, op6_quality_cascade, op7_passages, op8_sentencepiece, op9_decontaminate, op10_virtual_slots,
+    op11_token_alignment, op12_language_spans, op13_lobpcg_whitening,
 )
 
 
