@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from attestra.plans import retrieval_queries, table_queries, text_queries
+from attestra.plans import retrieval_queries, rule_queries, table_queries, text_queries
 from attestra.plans.registry import Query
 
-REGISTRIES = (table_queries.R, text_queries.R, retrieval_queries.R)
+REGISTRIES = (table_queries.R, text_queries.R, retrieval_queries.R, rule_queries.R)
 
 
 def queries() -> dict[str, Query]:

@@ -70,10 +70,9 @@ def sentences(text: Column) -> Column:
 
 
 def is_one_sentence(text: Column) -> Column:
-    """Whether the only end of a sentence is the text's end."""
-    whole = collapse(text)
-    ends = F.regexp_extract_all(whole, F.lit(f"({SENTENCE_END})"), 1)
-    return (F.size(ends) == 1) & whole.rlike(f"(?:{SENTENCE_END})$")
+    """Whether the text is normalized, and the only end of a sentence is the text's end."""
+    ends = F.regexp_extract_all(text, F.lit(f"({SENTENCE_END})"), 1)
+    return (text == collapse(text)) & (F.size(ends) == 1) & text.rlike(f"(?:{SENTENCE_END})$")
 
 
 def count_words(text: Column) -> Column:

@@ -16,13 +16,15 @@ def symbol_matches(terms: DataFrame, symbols: DataFrame, limit: int) -> DataFram
     """(anchor, term) and symbols to the symbols whose name has a term, most terms first: (anchor, symbol_id, fqn, n_terms, rank).
 
     Containment is found by equality: a term's first three characters are looked up
-    among the distinct three-character parts of names, then the term is searched in the
-    name. Terms of less than three characters match nothing (``query_terms`` makes none).
+    among the distinct parts of one, two and three characters of names (of one and two only
+    if a term is that short), then the term is searched in the name. Empty terms match nothing.
     """
     name = fold(F.col("fqn"))
-    parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - 2), lambda i: F.substring(F.col("name"), i, F.lit(3))))
-    keyed = symbols.select("symbol_id", "fqn", name.alias("name")).filter(F.length("name") >= 3).withColumn("part", F.explode(parts))
-    asked = terms.select("anchor", fold(F.col("term")).alias("term")).filter(F.length("term") >= 3).distinct().withColumn("part", F.substring("term", 1, 3))
+    asked = terms.select("anchor", fold(F.col("term")).alias("term")).filter("term <> ''").distinct().withColumn("part", F.substring("term", 1, 3))
+    sizes = sorted(r[0] for r in asked.select(F.length("part")).distinct().collect()) or [3]  # three at most
+    of_size = lambda n: F.when(F.length("name") >= n, F.transform(F.sequence(F.lit(1), F.length("name") - (n - 1)), lambda i: F.substring(F.col("name"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    parts = F.array_distinct(F.concat(*(of_size(n) for n in sizes)))
+    keyed = symbols.select("symbol_id", "fqn", name.alias("name")).withColumn("part", F.explode(parts))
     hits = asked.join(keyed, "part").filter(F.contains("name", "term"))
     counted = hits.groupBy("anchor", "symbol_id", "fqn").agg(F.countDistinct("term").alias("n_terms"))
     order = Window.partitionBy("anchor").orderBy(F.col("n_terms").desc(), fold(F.col("fqn")), "symbol_id")

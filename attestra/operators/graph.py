@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_HOPS = 4
@@ -32,14 +32,31 @@ def paths(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     return out
 
 
+def within(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """(anchor, node) of all nodes at most ``hops`` undirected edges from a start of ``starts`` (anchor, node), each once.
+
+    Each level joins only the nodes that the level before reached first.
+    """
+    both = edges.select(F.col("source").alias("node"), F.col("target").alias("to")).unionByName(edges.select(F.col("target").alias("node"), F.col("source").alias("to"))).distinct()
+    seen = front = starts.select("anchor", "node").distinct()
+    for _ in range(hops):
+        reached = front.join(both, "node").select("anchor", F.col("to").alias("node")).distinct()
+        front = reached.join(seen, ["anchor", "node"], "left_anti")
+        seen = seen.unionByName(front)
+    return seen
+
+
 def graph_evidence(starts: DataFrame, edges: DataFrame, hops: int, limit: int) -> DataFrame:
-    """Chunks of allowed edges on paths from each anchor: (anchor, chunk_id, score, pos), the score 1 / hops.
+    """Chunks of allowed edges on paths of 1 to ``hops`` edges from each anchor: (anchor, chunk_id, score, pos), the score 1 / hops.
 
-    Order: score, the chunk's place in its document, then chunk_id; ``edges`` also has
-    chunk_id and sequence_index.
+    An edge is on such a path exactly if one of its ends is at most ``hops - 1`` edges away:
+    a shortest way to the nearer end doesn't use the edge itself, and goes on with it. So
+    nodes are reached by levels and no path is built. Order: score, the chunk's place in its
+    document, then chunk_id; ``edges`` also has chunk_id and sequence_index.
     """
-    on_path = paths(starts, edges, hops).select("anchor", F.explode("allowed_edges").alias("edge_id")).distinct()
-    chunks = on_path.join(edges.select("edge_id", "chunk_id", "sequence_index"), "edge_id").groupBy("anchor", "chunk_id").agg(F.lit(1.0 / hops).alias("score"), F.min("sequence_index").alias("sequence_index"))
+    near = within(starts, edges, clamp_hops(hops) - 1)
+    ends = edges.filter("allowed").select(F.explode(F.array_distinct(F.array("source", "target"))).alias("node"), "chunk_id", "sequence_index")
+    chunks = near.join(ends, "node").groupBy("anchor", "chunk_id").agg(F.lit(1.0 / hops).alias("score"), F.min("sequence_index").alias("sequence_index"))
     order = Window.partitionBy("anchor").orderBy(F.col("score").desc(), "sequence_index", "chunk_id")
     return chunks.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= limit).drop("sequence_index")
 
@@ -63,6 +80,25 @@ def neighbours(seeds: DataFrame, edges: DataFrame, depth: int, relations: tuple[
     return seen.filter("depth > 0")
 
 
+def neighbours_in_order(seeds: DataFrame, edges: DataFrame, depth: int, place: str, relations: tuple[str, ...] | None = None) -> DataFrame:
+    """``neighbours`` with ``way``, by which they are in the order of a breadth-first search that takes a node's edges by ``place``.
+
+    A node's way is that of the node it was found from, then its edge's place. The search
+    finds nodes by depth, then by way; of several ways to a node the least is its own. So the
+    order needs no numbering of a level, and a hub's neighbours stay in many tasks.
+    """
+    if relations:
+        edges = edges.filter(F.col("relation").isin(*relations))
+    edges = edges.groupBy(F.col("source").alias("node"), F.col("target").alias("to")).agg(F.min(F.col(place).cast("long")).alias("_place"))
+    seen = front = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("way"))
+    for k in range(1, clamp_hops(depth) + 1):
+        reached = front.join(edges, "node").select("seed", F.col("to").alias("node"), F.concat("way", F.array("_place")).alias("way"))
+        first = reached.groupBy("seed", "node").agg(F.min("way").alias("way"))
+        front = first.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(k).alias("depth"), "way")
+        seen = seen.unionByName(front)
+    return seen.filter("depth > 0")
+
+
 def merged_neighbours(seeds: DataFrame, edges: DataFrame, relations: tuple[str, ...], limit: int) -> DataFrame:
     """Direct neighbours of each seed with the relations that lead there, the first ``limit`` by node."""
     found = edges.filter(F.col("relation").isin(*relations)).join(seeds, F.col("source") == F.col("seed")).filter("target <> seed")
@@ -90,19 +126,26 @@ def closure(roots: DataFrame, references: DataFrame) -> DataFrame:
     return seen
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` in the folder of spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir.
 
     Where the setting is missing, a folder of this machine is taken if the master is local,
     as in tests; on a cluster that is an error, as executors would not share it.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local["):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="attestra-"))
+        folder = tempfile.mkdtemp(prefix="attestra-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``checkpoint()`` in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -127,17 +170,6 @@ def closure_by_value(records: DataFrame, roots: DataFrame, leaves: DataFrame) ->
     return closure(roots, refs.select(F.col("record_id").alias("from_id"), F.col("value").alias("to_id")))
 
 
-def drop_orphans(entities: DataFrame, edges: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entities with evidence, and edges between such entities, until nothing more goes.
-
-    Edges do not support entities here, so one pass is the fixpoint.
-    """
-    kept = entities.join(evidence.select("entity_id").distinct(), "entity_id", "left_semi")
-    ids = kept.select("entity_id")
-    sound = edges.join(ids.withColumnRenamed("entity_id", "source"), "source", "left_semi").join(ids.withColumnRenamed("entity_id", "target"), "target", "left_semi")
-    return kept, sound
-
-
 def differences(expected: DataFrame, found: DataFrame) -> DataFrame:
     """Rows of either side that the other lacks, with their number: empty if both are equal as bags."""
     return expected.exceptAll(found).withColumn("side", F.lit("missing")).unionByName(found.exceptAll(expected).withColumn("side", F.lit("extra")))

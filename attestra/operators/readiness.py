@@ -82,11 +82,27 @@ def run_status(cases: DataFrame) -> DataFrame:
     return cases.groupBy("run_id").agg(F.when(F.every(F.col("status") == "ACCEPTED"), "COMPLETED").otherwise("PARTIAL_FAILED").alias("run_status"))
 
 
+def run_exit(frozen: DataFrame, results: DataFrame) -> DataFrame:
+    """(run_id, run_status) of runs whose results are those of the frozen scenarios, in their order; another id, place or number fails the job.
+
+    ``frozen`` is (run_id, pos, scenario_id), ``results`` (run_id, pos, scenario_id, status);
+    places count from the same number. They meet by run and place.
+    """
+    expected = frozen.select("run_id", "pos", F.col("scenario_id").alias("_expected"))
+    both = expected.join(results.select("run_id", "pos", F.col("scenario_id").alias("_found"), "status"), ["run_id", "pos"], "full")
+    message = F.concat(F.lit("run "), F.col("run_id").cast("string"), F.lit(" at "), F.col("pos").cast("string"), F.lit(": expected "), F.coalesce("_expected", F.lit("nothing")), F.lit(", received "), F.coalesce("_found", F.lit("nothing")))
+    return run_status(both.filter(F.when(F.col("_expected") == F.col("_found"), True).otherwise(F.raise_error(message).cast("boolean"))))
+
+
+#: States of a snapshot.
+BUILDING, READY, FAILED = "building", "ready", "failed"
+
+
 def latest_snapshot(snapshots: DataFrame, keys: list[str]) -> DataFrame:
-    """The READY snapshot of each key: an active one first, then the newest, then by id."""
+    """The ready snapshot of each key: an active one first, then the newest, then by id."""
     from attestra.operators.store import latest
 
-    return latest(snapshots.filter("status = 'READY'"), keys, [F.col("active").desc(), F.col("created_at").desc(), F.col("snapshot_id")])
+    return latest(snapshots.filter(F.col("status") == READY), keys, [F.col("active").desc(), F.col("created_at").desc(), F.col("snapshot_id")])
 
 
 def snapshot_problems(expected: DataFrame, files: DataFrame) -> DataFrame:
@@ -98,11 +114,28 @@ def snapshot_problems(expected: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def activate(snapshots: DataFrame, snapshot_id: str, problems: DataFrame) -> DataFrame:
-    """BUILDING becomes READY and active if there are no problems, and others of its repository inactive."""
-    sound = problems.agg((F.count("*") == 0).alias("sound"))
-    ours = snapshots.filter((F.col("snapshot_id") == snapshot_id) & (F.col("status") == "BUILDING")).select(F.col("repository_id").alias("r"))
-    joined = snapshots.join(F.broadcast(sound)).join(F.broadcast(ours), F.col("repository_id") == F.col("r"), "left")
-    own = (F.col("snapshot_id") == snapshot_id) & F.col("r").isNotNull()
-    status = F.when(own & F.col("sound"), "READY").when(own, "FAILED").otherwise(F.col("status"))
-    active = F.when(F.col("sound") & F.col("r").isNotNull(), own).otherwise(F.col("active"))
-    return joined.withColumn("new_status", status).withColumn("new_active", active).drop("status", "active", "r", "sound").withColumnsRenamed({"new_status": "status", "new_active": "active"})
+    """``snapshots`` with one that was building ready and active, and the others of its repository inactive.
+
+    One that is ready and active already stays as it is. An unknown id, another state and any
+    row of ``problems`` (``snapshot_problems``) are errors, and nothing is activated.
+    """
+    states = [(r["status"], r["active"]) for r in snapshots.filter(F.col("snapshot_id") == snapshot_id).select("status", "active").limit(2).collect()]
+    if not states:
+        raise ValueError(f"unknown snapshot: {snapshot_id}")
+    if (READY, True) in states:
+        return snapshots
+    if states[0][0] != BUILDING:
+        raise ValueError(f"snapshot {snapshot_id} is {states[0][0]}, expected {BUILDING}")
+    if found := problems.limit(20).collect():
+        raise ValueError(f"snapshot {snapshot_id} is not what was extracted: {[(r['relative_path'], r['problem']) for r in found]}")
+    own = F.col("snapshot_id") == snapshot_id
+    ours = snapshots.filter(own).select(F.col("repository_id").alias("_ours")).distinct()
+    joined = snapshots.join(F.broadcast(ours), F.col("repository_id") == F.col("_ours"), "left")  # one row
+    active = F.when(own, True).when(F.col("_ours").isNotNull(), False).otherwise(F.col("active"))
+    return joined.withColumn("status", F.when(own, READY).otherwise(F.col("status"))).withColumn("active", active).select(*snapshots.columns)
+
+
+def mark_failed(snapshots: DataFrame, snapshot_id: str) -> DataFrame:
+    """A snapshot that isn't ready becomes failed and inactive."""
+    own = (F.col("snapshot_id") == snapshot_id) & (F.col("status") != READY)
+    return snapshots.withColumn("active", F.when(own, False).otherwise(F.col("active"))).withColumn("status", F.when(own, FAILED).otherwise(F.col("status")))

@@ -58,6 +58,17 @@ def frozen_rows(scenarios: DataFrame, project: str, profile: str) -> DataFrame:
     return scenarios.select("pos", "scenario_id", "variant_id", key.alias("case_key"), json_checksum(F.to_json(F.struct(*scenarios.columns))).alias("checksum"))
 
 
+def input_fingerprint(scenario: Column, profile: Column, variant: Column, data_checksum: Column, provider: Column, policy: Column) -> Column:
+    """Checksum of all that decides what is made of a case: scenario and provider are JSON texts, the others strings; a null is JSON's null."""
+    text = lambda c: F.coalesce(F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", ""), F.lit("null"))
+    parts = {
+        "scenario": F.coalesce(scenario, F.lit("null")), "execution_profile_id": text(profile), "variant_id": text(variant), "test_data_checksum": text(data_checksum),
+        "provider_fingerprint": F.coalesce(provider, F.lit("null")), "generation_policy_version": text(policy),
+    }
+    fields = [F.concat(F.lit(f'"{name}":'), value) for name, value in parts.items()]
+    return json_checksum(F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")))
+
+
 def in_frozen_order(frozen: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Scenarios of a frozen run in its order; one that is missing fails the job."""
     known = scenarios.withColumn("_there", F.lit(True))

@@ -5,20 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a query or allowlist table up to which it is broadcast; beyond, joins shuffle.
-BROADCAST_ROWS = 100_000
-#: Queries compared in one pass over the vectors, about.
-QUERY_BLOCK = 5_000
-PRIORITY = {"authoritative": 0, "graph": 1, "vector": 2}
-
+from attestra.operators import vector_index
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """With a broadcast hint if it has few rows; the count stops beyond the bound."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: Rows and bytes of an allowlist up to which it is broadcast; beyond, joins shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
+PRIORITY = {"authoritative": 0, "graph": 1, "vector": 2}
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda acc, v: acc + v)
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """With a broadcast hint if it has few rows and few bytes (as JSON); what is read to see that stops beyond the bound of rows."""
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= most else df
 
 
 def similarity_score(distance: Column) -> Column:
@@ -39,26 +36,12 @@ def require_subset(values: DataFrame, allowed: DataFrame, key: str, label: str)
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
     """Exact nearest neighbours: (query_id, embedding) and (vec_id, embedding) to (query_id, vec_id, distance, rank).
 
-    Every vector is compared with every query, as an exact search must; the queries are a
-    stated set, dealt into blocks of about ``QUERY_BLOCK``. One block is sent to every task.
-    More blocks are joined one at a time, so that no task holds more than one, and each
-    task keeps its k best of each query before the k best of all are taken.
+    Every vector is compared with every query, as an exact search must; ``vector_index`` has
+    the blocks in which this is done, and an index that compares fewer.
     """
     if allowed is not None:
         vectors = vectors.join(small(allowed.select("vec_id").distinct()), "vec_id", "left_semi")
-    asked = queries.select("query_id", F.col("embedding").alias("q"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    out = None
-    for b in range(blocks):
-        block = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        held = F.broadcast(block.agg(F.collect_list(F.struct("query_id", "q")).alias("queries")))
-        pairs = vectors.join(held).select("vec_id", "embedding", F.explode("queries").alias("x"))
-        scored = pairs.select("x.query_id", "vec_id", squared_distance(F.col("embedding"), F.col("x.q")).alias("distance"))
-        near = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-        # Spark ranks within each task first, so a task sends k rows of a query at most
-        best = scored.withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
-    return out
+    return vector_index.nearest(queries.select("query_id", "embedding"), vectors.select("vec_id", "embedding"), k)
 
 
 def embedding_contract(vectors: DataFrame) -> DataFrame:

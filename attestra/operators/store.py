@@ -1,12 +1,11 @@
 """Keyed upserts, cascade deletes and set operations over tables without transactions.
 
-Each function returns the table as it should be. A writer puts it into a new path and
-then moves the pointer (``publish``); one writer at a time.
+Each function returns the table as it should be; ``commits`` writes it as a new version.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.operators.graph import numbered
@@ -58,14 +57,14 @@ def replace_children(rows: DataFrame, new: DataFrame, parents: DataFrame, keys:
 def upsert_with_children(base: DataFrame, new: DataFrame, keys: list[str], bridges: dict[str, tuple[DataFrame, str, str]]) -> tuple[DataFrame, dict[str, DataFrame]]:
     """(parents, bridge tables) after an upsert of parents whose array columns are the children.
 
-    ``bridges`` names each bridge table: (table, array column, child column). The children
-    of an upserted parent are deleted and written again, each once.
+    ``bridges`` names each bridge table: (table, array column, child column). Bridge rows
+    accumulate: those of earlier upserts stay, each row is there once. (Steps of a case are
+    replaced instead, by ``replace_children``.)
     """
     parent, *more = keys
     if more:
         raise ValueError("bridges have one parent key")
-    changed = new.select(parent).distinct()
-    tables = {name: replace_children(rows, children(new, parent, items, child), changed, [parent]) for name, (rows, items, child) in bridges.items()}
+    tables = {name: insert_absent(rows, children(new, parent, items, child).select(*rows.columns), [parent, child]) for name, (rows, items, child) in bridges.items()}
     return upsert(base, new.drop(*(items for _, items, _ in bridges.values())), keys), tables
 
 
@@ -167,14 +166,3 @@ def set_differences(expected: DataFrame, found: DataFrame, key: str) -> DataFram
     """(key, side): keys that only one side has."""
     a, b = expected.select(key).distinct(), found.select(key).distinct()
     return a.join(b, key, "left_anti").withColumn("side", F.lit("missing")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("extra")))
-
-
-def publish(df: DataFrame, root: str, version: str, partition_by: tuple[str, ...] = ()) -> None:
-    """Write a new version, then its pointer: readers see the old table or the new one."""
-    df.write.partitionBy(*partition_by).parquet(f"{root}/{version}")
-    df.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
-
-
-def read_published(spark: SparkSession, root: str) -> DataFrame:
-    version = spark.read.schema("version string").json(f"{root}/current").first()["version"]
-    return spark.read.parquet(f"{root}/{version}")

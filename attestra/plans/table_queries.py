@@ -52,11 +52,15 @@ def bridge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.insert_absent(store.insert_absent(rows.limit(0), rows, ["story_id", "chunk_id"]), rows, ["story_id", "chunk_id"])
 
 
-@R.query("SELECT c_custkey, (100001 + row_number() OVER (ORDER BY c_custkey) - 1)::INT AS number FROM customer")
+@R.query("""
+WITH old AS (SELECT c_custkey, (100001 + c_custkey * 2)::INT AS number FROM customer WHERE c_custkey % 5 = 0)
+SELECT c_custkey, number FROM old
+UNION ALL SELECT c_custkey, ((SELECT max(number) FROM old) + row_number() OVER (ORDER BY c_custkey))::INT FROM customer WHERE c_custkey % 5 <> 0""")
 def case_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth customer has a number already, with gaps between them; the others get the next ones."""
     keys = table(spark, sf_dir, "customer").select("c_custkey")
-    none = spark.createDataFrame([], "c_custkey long, number int")
-    return store.allocate_numbers(none, keys, "c_custkey")
+    old = keys.filter("c_custkey % 5 = 0").withColumn("number", (F.col("c_custkey") * 2 + 100_001).cast("int"))
+    return store.allocate_numbers(old, keys, "c_custkey")
 
 
 @R.query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
@@ -195,12 +199,12 @@ def resolved_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(_BINDINGS + """,
      w AS (SELECT l_orderkey || '-' || l_linenumber AS id, count(*) AS k, bool_and(l_returnflag <> 'R' AND l_suppkey % 3 = 0 AND l_linestatus = 'F') AS fits FROM lineitem GROUP BY 1),
-     n AS (SELECT p_partkey AS s, min(l_orderkey || '-' || l_linenumber) AS id FROM part JOIN lineitem ON l_partkey = p_partkey WHERE p_size > 25 GROUP BY p_partkey)
+     n AS (SELECT p_partkey AS s, min(l_orderkey || '-' || l_linenumber) AS id FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey)
 SELECT s AS scenario_id, id AS binding_id, CASE WHEN k <> 1 THEN 'unavailable' WHEN fits THEN 'READY' ELSE 'does_not_match' END AS status FROM n JOIN w USING (id)""")
 def selected_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bindings named beforehand, whatever their profile, variant and state."""
     bindings = _bindings(spark, sf_dir)
-    parts = table(spark, sf_dir, "part").filter("p_size > 25").select(F.col("p_partkey").alias("scenario_id"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("scenario_id"))
     named = bindings.groupBy("scenario_id").agg(F.min("binding_id").alias("binding_id")).join(parts, "scenario_id", "left_semi")
     asked = named.select("scenario_id", F.lit("AIR").alias("execution_profile_id"), F.lit(None).cast("string").alias("variant_id"), "binding_id")
     return testdata.select_binding(asked, bindings).select("scenario_id", "binding_id", "status")
@@ -311,5 +315,5 @@ def tree_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query("""
 SELECT o_custkey AS snapshot_group, o_orderkey AS snapshot_id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderpriority = '1-URGENT') DESC, o_orderdate DESC, o_orderkey) AS n FROM orders WHERE o_orderstatus = 'F') WHERE n = 1""")
 def latest_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("snapshot_group"), F.col("o_orderkey").alias("snapshot_id"), (F.col("o_orderpriority") == "1-URGENT").alias("active"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") == "F", "READY").otherwise("BUILDING").alias("status"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("snapshot_group"), F.col("o_orderkey").alias("snapshot_id"), (F.col("o_orderpriority") == "1-URGENT").alias("active"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") == "F", "ready").otherwise("building").alias("status"))
     return readiness.latest_snapshot(rows, ["snapshot_group"]).select("snapshot_group", "snapshot_id")

@@ -58,12 +58,14 @@ def merged_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canon.merge_entities(rows).select("entity_id", "name", "entity_type", F.array_join("aliases", ",").alias("aliases"), F.size("mentions").cast("long").alias("n_mentions"))
 
 
-@R.query("SELECT p_brand AS source_req_id, count(DISTINCT p_name)::BIGINT AS n FROM part WHERE p_size > 25 GROUP BY 1 HAVING count(DISTINCT p_name) > 1")
+@R.query("""
+WITH r AS (SELECT p_partkey % 5000 AS id, p_name AS text FROM part UNION ALL SELECT s_suppkey, 'small ring' FROM supplier)
+SELECT 'S' || id AS source_req_id, count(DISTINCT text)::BIGINT AS n FROM r GROUP BY 1 HAVING count(DISTINCT text) > 1""")
 def source_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as requirements whose source id is the brand; a brand with several names is in conflict."""
-    parts = table(spark, sf_dir, "part").filter("p_size > 25")
-    rows = parts.select(F.col("p_brand").alias("source_req_id"), F.lit("source").alias("source_req_id_type"), F.col("p_name").alias("requirement_text"))
-    found = canon.source_conflicts(rows, rows.limit(0))
+    """Parts as requirements of source ids, and suppliers as the rows of an earlier run; an id with several texts is in conflict."""
+    of = lambda df, key, said: df.select(F.concat(F.lit("S"), key).alias("source_req_id"), F.lit("source").alias("source_req_id_type"), said.alias("requirement_text"))
+    rows = of(table(spark, sf_dir, "part"), F.col("p_partkey") % 5000, F.col("p_name"))
+    found = canon.source_conflicts(rows, of(table(spark, sf_dir, "supplier"), F.col("s_suppkey"), F.lit("small ring")))
     return found.select("source_req_id", F.col(found.columns[1]).alias("n"))
 
 
@@ -105,9 +107,17 @@ def pascal_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query(r"""
-SELECT event_id, 'k' AS path, 'number' AS kind, json_extract_string(props, '$.k') AS value, false AS placeholder, false AS secret FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL""")
+SELECT event_id, 'props.k' AS path, 'number' AS kind, json_extract_string(props, '$.k') AS value, false AS placeholder, false AS secret FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL
+UNION ALL SELECT event_id, 'steps[0].note', 'string', CASE WHEN event_id % 3 = 0 THEN ' tbd ' ELSE event_type END, event_id % 3 = 0, false FROM events
+UNION ALL SELECT event_id, 'steps[0].api_key', 'string', CASE WHEN event_id % 2 = 0 THEN 'secret://' ELSE '' END || event_type, false, event_id % 2 <> 0 FROM events
+UNION ALL SELECT event_id, 'steps[1]', 'boolean', CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END, false, false FROM events""")
 def payload_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaves = explode_leaves(table(spark, sf_dir, "events").select("event_id", "props"), "props")
+    """Payloads with objects in lists: every third has a placeholder, every other one a secret in plain text."""
+    events = table(spark, sf_dir, "events")
+    note, key = F.when(F.col("event_id") % 3 == 0, " tbd ").otherwise(F.col("event_type")), F.concat(F.when(F.col("event_id") % 2 == 0, "secret://").otherwise(""), "event_type")
+    step = F.to_json(F.struct(note.alias("note"), key.alias("api_key")))
+    payload = F.concat(F.lit('{"props":'), "props", F.lit(',"steps":['), step, F.lit(","), (F.col("user_id") % 2 == 0).cast("string"), F.lit("]}"))
+    leaves = explode_leaves(events.select("event_id", payload.alias("props")), "props")
     return leaves.select("event_id", "path", "kind", "value", is_placeholder(F.col("value")).alias("placeholder"), is_plain_secret(F.col("key"), F.col("value")).alias("secret"))
 
 
@@ -166,22 +176,34 @@ def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_blocks(blocks).select("doc_key", "sequence_index", "start_char", "end_char", F.length("chunk_text").alias("n_chars"), F.sha2("chunk_text", 256).alias("chunk_hash"))
 
 
-@R.query("SELECT doc_id::VARCHAR AS doc_key, 'NOT_PERSISTED' AS issue FROM documents WHERE trim(text) <> ''")
+@R.query("""
+WITH d AS (SELECT doc_id, doc_id::VARCHAR AS doc_key FROM documents WHERE trim(text) <> '')
+SELECT doc_key, 'NOT_PERSISTED' AS issue FROM d WHERE doc_id % 2 = 0 UNION ALL SELECT doc_key, 'INDEX_NOT_CONTIGUOUS' FROM d WHERE doc_id % 3 = 0
+UNION ALL SELECT doc_key, 'HASH_MISMATCH' FROM d WHERE doc_id % 5 = 0 UNION ALL SELECT doc_key, 'SPAN_REVERSED' FROM d WHERE doc_id % 7 = 0""")
 def unpublished_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests of documents, of which every second isn't stored, and others have places, hashes or spans that are wrong."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_key"), "text")
-    return manifest_issues(manifest(chunk_blocks(text_blocks(docs)), "corpus", "RUN-1"))
+    made, each = manifest(chunk_blocks(text_blocks(docs)), "corpus", "RUN-1"), lambda n: F.col("doc_key").cast("long") % n == 0
+    state = F.when(each(2), "pending").otherwise("persisted")
+    return manifest_issues(
+        made.withColumn("graph_status", F.lit("persisted")).withColumn("vector_status", state)
+        .withColumn("sequence_index", F.col("sequence_index") + F.when(each(3), 1).otherwise(0))
+        .withColumn("content_hash", F.when(each(5), "sha256:0").otherwise(F.col("content_hash")))
+        .withColumn("end_char", F.when(each(7), -1).otherwise(F.col("end_char")))
+    )
 
 
 @R.query(f"""
 WITH k AS (SELECT {SQL_FOLD.format('text')} AS key, conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) AS pos FROM conversations),
      f AS (SELECT key, conv_id, min(pos) AS p FROM k GROUP BY key, conv_id)
-SELECT 'US-' || upper(substr(sha256(concat_ws('|', 'corpus', '', 'generated', key)), 1, 20)) AS id, string_agg(conv_id::VARCHAR, ',' ORDER BY p) AS parents, count(*)::BIGINT AS n_parents FROM f GROUP BY key""")
+SELECT CASE WHEN key LIKE '%a' THEN 'OLD-' || sha256(key) ELSE 'US-' || upper(substr(sha256(concat_ws('|', 'corpus', '', 'generated', key)), 1, 20)) END AS id, string_agg(conv_id::VARCHAR, ',' ORDER BY p) AS parents, count(*)::BIGINT AS n_parents FROM f GROUP BY key""")
 def merged_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     rows = turns.select(
         F.lit(None).cast("string").alias("source_req_id"), F.lit("generated").alias("source_req_id_type"), "text", F.col("conv_id").cast("string").alias("parent"),
         F.struct("conv_id", "turn").alias("pos"), F.lit(1.0).alias("confidence"),
     )
-    none = rows.select("source_req_id", "source_req_id_type", F.col("text").alias("key"), F.col("text").alias("id")).limit(0)
-    merged = canon.merge_candidates(rows, text.fold(F.col("text")), none, "US", "corpus", "parent", [])
+    key = text.fold(F.col("text"))
+    earlier = rows.filter(key.endswith("a")).select("source_req_id", "source_req_id_type", key.alias("key"), F.concat(F.lit("OLD-"), F.sha2(key, 256)).alias("id")).distinct()
+    merged = canon.merge_candidates(rows, key, earlier, "US", "corpus", "parent", [])
     return merged.select("id", F.array_join("parents", ",").alias("parents"), F.size("parents").cast("long").alias("n_parents"))

@@ -1,15 +1,14 @@
-"""Documents to blocks: text natively, page words by a scan per document, other formats by a port."""
+"""Documents to blocks: text natively, other formats by a port; words of pages are in ``pages``."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attestra.functions.text import is_heading, normalize_text, strip
+from attestra.functions.text import normalize_text, strip
 
 BLOCK_COLUMNS = ("doc_key", "pos", "text", "start", "end", "kind", "section", "location", "paragraph")
 
@@ -48,16 +47,42 @@ def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
     return found.select(F.col("_metadata.file_path").alias("doc_key"), F.col("value").alias("text"))
 
 
+#: Suffixes of texts; other formats need a parser port.
+TEXT_SUFFIXES = (".txt", ".md")
+
+
+def read_documents(spark: SparkSession, path: str, parsers: dict[str, Callable[[bytes], list[dict]]] | None = None) -> DataFrame:
+    """Blocks of all documents below ``path``, by the suffix of each in any case.
+
+    Texts are cut into blocks here; ``parsers`` (suffix to port) makes those of other formats.
+    A file of any other suffix fails the job that reads the blocks. Blocks of texts hold
+    no columns of pages.
+    """
+    parsers = {k.lower(): v for k, v in (parsers or {}).items()}
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)?$", 0))
+    message = F.concat(F.lit("unsupported document type: "), suffix, F.lit(" of "), F.col("path"))
+    known = suffix.isin(*TEXT_SUFFIXES, *parsers)
+    checked = found.select("path", "content", F.when(known, suffix).otherwise(F.raise_error(message)).alias("suffix"))
+    own = checked.filter(~F.col("suffix").isin(*parsers)) if parsers else checked
+    out = text_blocks(own.filter("suffix IS NOT NULL").select(F.col("path").alias("doc_key"), F.decode("content", "UTF-8").alias("text"))).select(*BLOCK_COLUMNS)
+    for kind, parser in parsers.items():
+        out = out.unionByName(_parsed(checked.filter(F.col("suffix") == kind), parser).select(*BLOCK_COLUMNS))
+    return out
+
+
 def read_binary_documents(spark: SparkSession, path: str, glob: str, parser: Callable[[bytes], list[dict]]) -> DataFrame:
     """Blocks that ``parser`` (a port to a library for DOCX or PDF files) makes of each file."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "content")
+    return _parsed(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path), parser)
 
+
+def _parsed(found: DataFrame, parser: Callable[[bytes], list[dict]]) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = [{"doc_key": path, "pos": k, **b} for path, content in zip(frame["path"], frame["content"]) for k, b in enumerate(parser(content))]
             yield pd.DataFrame(rows, columns=list(BLOCK_COLUMNS))
 
-    return found.mapInPandas(run, "doc_key string, pos int, text string, start int, end int, kind string, section string, location string, paragraph int")
+    return found.select("path", "content").mapInPandas(run, "doc_key string, pos int, text string, start int, end int, kind string, section string, location string, paragraph int")
 
 
 def styled_blocks(paragraphs: DataFrame) -> DataFrame:
@@ -76,84 +101,3 @@ def styled_blocks(paragraphs: DataFrame) -> DataFrame:
         F.when(head, "heading").otherwise("paragraph").alias("kind"), F.last(F.when(head, F.col("raw")), ignorenulls=True).over(order).alias("section"),
         F.concat(F.lit("paragraph="), F.col("paragraph")).alias("location"), "paragraph",
     )
-
-
-def page_lines(words: DataFrame, tolerance: float = 2.5) -> DataFrame:
-    """(doc_key, page, page_height, x, y0, y1, word) to visual lines (doc_key, page, line, y0, y1, page_height, text).
-
-    From top to bottom, a word whose top is within ``tolerance`` of its line's first word is
-    on that line; a fold over the words of a page.
-    """
-    held = F.array_sort(F.collect_list(F.struct("y0", "x", "word", "y1")))
-    pages = words.groupBy("doc_key", "page").agg(held.alias("w"), F.max("page_height").alias("page_height"))
-    start = F.struct(F.lit(None).cast("double").alias("top"), F.lit(-1).alias("line"), F.array().cast("array<int>").alias("lines"))
-
-    def step(acc, w):
-        new = F.coalesce(w["y0"] - acc["top"] > tolerance, F.lit(True))
-        line = F.when(new, acc["line"] + 1).otherwise(acc["line"])
-        return F.struct(F.when(new, w["y0"]).otherwise(acc["top"]).alias("top"), line.alias("line"), F.concat(acc["lines"], F.array(line)).alias("lines"))
-
-    numbered = F.zip_with("w", F.aggregate("w", start, step, lambda acc: acc["lines"]), lambda w, k: F.struct(k.alias("line"), w.alias("w")))
-    each = pages.select("doc_key", "page", "page_height", F.explode(numbered).alias("n")).select("doc_key", "page", "page_height", "n.line", "n.w.*")
-    lines = each.groupBy("doc_key", "page", "line").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.max("page_height").alias("page_height"), F.array_sort(F.collect_list(F.struct("x", "word"))).alias("w"))
-    return lines.select("doc_key", "page", "line", "y0", "y1", "page_height", F.trim(F.array_join(F.transform("w", lambda x: x["word"]), " ")).alias("text"))
-
-
-def without_page_noise(lines: DataFrame, top: float = 35.0, bottom: float = 55.0) -> DataFrame:
-    """Lines without header and footer texts found on two pages or more, and without page numbers in the footer."""
-    edge = (F.col("y0") < top) | (F.col("y1") > F.col("page_height") - bottom)
-    noise = lines.filter(edge).groupBy("doc_key", "text").agg(F.countDistinct("page").alias("n")).filter("n >= 2").select("doc_key", "text")
-    number = F.col("text").rlike(r"^\d+\s*/\s*\d+$") & (F.col("y1") > F.col("page_height") - bottom)
-    repeated = lines.filter(edge).join(noise, ["doc_key", "text"], "left_semi")
-    return lines.filter(~number).join(repeated.select("doc_key", "page", "line"), ["doc_key", "page", "line"], "left_anti")
-
-
-def line_blocks(lines: DataFrame, gap: float = 12.0) -> DataFrame:
-    """Visual lines to heading and paragraph blocks: a heading stands alone, a gap of more than ``gap`` starts a paragraph."""
-    down = Window.partitionBy("doc_key").orderBy("page", "line")
-    head = is_heading(F.col("text"))
-    fresh = F.lag("page").over(down).isNull() | (F.lag("page").over(down) != F.col("page")) | (F.col("y0") - F.lag("y1").over(down) > gap) | head | F.lag(head).over(down)
-    grouped = lines.withColumn("head", head).withColumn("b", F.sum(fresh.cast("int")).over(down.rowsBetween(Window.unboundedPreceding, 0)))
-    held = F.array_sort(F.collect_list(F.struct("page", "line", "text")))
-    blocks = grouped.groupBy("doc_key", "b").agg(held.alias("h"), F.bool_or("head").alias("head"), F.min("page").alias("page"))
-    joined = blocks.select("doc_key", F.col("b").cast("int").alias("pos"), F.array_join(F.transform("h", lambda x: x["text"]), " ").alias("text"), F.when(F.col("head"), "heading").otherwise("paragraph").alias("kind"), "page")
-    order = Window.partitionBy("doc_key").orderBy("pos")
-    end = F.sum(F.length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
-    section = F.last(F.when(F.col("kind") == "heading", F.col("text")), ignorenulls=True).over(order)
-    return joined.select("doc_key", "pos", "text", (end - F.length("text")).cast("int").alias("start"), end.cast("int").alias("end"), "kind", section.alias("section"), F.concat(F.lit("page "), F.col("page")).alias("location"), F.col("pos").alias("paragraph"))
-
-
-ID_PREFIX = re.compile(r"^([A-Z]{2,}(?:-[A-Z0-9]+)*-)$")
-ID_WHOLE = re.compile(r"^([A-Z]{2,}(?:-[A-Z0-9]+)*-\d+)\s*(.*)$")
-
-
-def table_rows(lines: list[str]) -> list[tuple[str, str]]:
-    """(id, text) rows of a two-column table from its lines; an id may be split over two lines."""
-    rows: list[tuple[str, str]] = []
-    prefix = ""
-    for line in lines:
-        word, _, rest = line.partition(" ")
-        if ID_PREFIX.match(word) and not prefix:
-            prefix = word
-            rows.append((word, rest.strip()))
-        elif prefix and re.match(r"^\d+\b", line):
-            number, _, more = line.partition(" ")
-            rows[-1] = (prefix + number, " ".join(x for x in (rows[-1][1], more.strip()) if x))
-            prefix = ""
-        elif m := ID_WHOLE.match(line):
-            rows.append((m[1], m[2]))
-        elif rows:
-            rows[-1] = (rows[-1][0], " ".join(x for x in (rows[-1][1], line.strip()) if x))
-    return rows
-
-
-def explicit_id_rows(lines: DataFrame) -> DataFrame:
-    """(doc_key, page, line, text) to (doc_key, pos, row_id, text); the scan is per document."""
-    per_doc = lines.groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct("page", "line", "text"))).alias("lines"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(key, k, *r) for key, held in zip(frame["doc_key"], frame["lines"]) for k, r in enumerate(table_rows([x["text"] for x in held]))]
-            yield pd.DataFrame(rows, columns=["doc_key", "pos", "row_id", "text"])
-
-    return per_doc.mapInPandas(run, "doc_key string, pos int, row_id string, text string")

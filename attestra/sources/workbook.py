@@ -43,6 +43,17 @@ def records_of(rows: DataFrame) -> DataFrame:
     )
 
 
+def iso_cell(value: Column, kind: str) -> Column:
+    """A date cell (``kind``: date, timestamp or timestamp_ntz) as ISO text: a date's day; a time's day and time, with six decimals if it has any. Other kinds as text."""
+    if kind == "date":
+        return F.date_format(value, "yyyy-MM-dd")
+    if kind.startswith("timestamp"):
+        whole = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
+        part = F.date_format(value, ".SSSSSS")
+        return F.when(part == ".000000", whole).otherwise(F.concat(whole, part))
+    return value.cast("string")
+
+
 def record_issues(records: DataFrame) -> DataFrame:
     """Rows that are no records: an issue each, never an error."""
     why = F.when(F.col("has_formula"), "formula cell").when(F.col("record_id").isNull(), "no record_id").when(F.col("enabled").isNull(), "enabled is no boolean").when(F.col("name").isNull(), "no name")

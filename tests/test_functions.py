@@ -27,7 +27,9 @@ def one(spark, column, **values):
         (text.pascal_title, "check the door-lock 2x", "CheckTheDoorLock2x"),
         (text.is_one_sentence, "The lock shall open.", True),
         (text.is_one_sentence, "It opens. It shuts.", False),
-        (text.is_one_sentence, 'The lock says "open." ', True),
+        (text.is_one_sentence, 'The lock says "open."', True),
+        (text.is_one_sentence, 'The lock says "open." ', False),
+        (text.is_one_sentence, "The  lock opens.", False),
         (text.is_one_sentence, "The lock says (open.)", True),
         (text.is_one_sentence, "The lock opens in 2.5 s.", True),
         (text.is_one_sentence, "It opens. And then", False),

@@ -6,8 +6,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from attestra import ports
-from attestra.operators import canon, chunking, codegraph, context, discovery, graph, readiness, retrieval, store, testdata
-from attestra.sources import documents, files, workbook
+from attestra.operators import canon, chunking, codegraph, context, discovery, graph, readiness, retrieval, store, testdata, vector_index
+from attestra.sources import documents, files, pages, workbook
 
 
 def rows(df, *order):
@@ -71,11 +71,7 @@ def test_a_bare_heading_keeps_the_section(spark):
 def test_page_lines_without_noise(spark):
     words = [("d", p, 800.0, x, y, y + 8, w) for p in (1, 2) for x, y, w in ((10.0, 20.0, "Header"), (10.0, 100.0, f"body{p}"), (50.0, 101.0, "text"), (10.0, 780.0, f"{p}"), (20.0, 780.5, "/ 2"))]
     df = spark.createDataFrame(words, "doc_key string, page int, page_height double, x double, y0 double, y1 double, word string")
-    assert [r["text"] for r in documents.without_page_noise(documents.page_lines(df)).orderBy("page").collect()] == ["body1 text", "body2 text"]
-
-
-def test_split_ids_are_joined():
-    assert documents.table_rows(["BR-COM- The lock", "002 shall open", "BR-COM-003 It shuts"]) == [("BR-COM-002", "The lock shall open"), ("BR-COM-003", "It shuts")]
+    assert [r["text"] for r in pages.without_page_noise(pages.page_lines(df)).orderBy("page").collect()] == ["body1 text", "body2 text"]
 
 
 def test_sheet_rows_and_issues(spark):
@@ -202,13 +198,6 @@ def test_reset_of_a_run_drops_orphans(spark):
     assert {r["entity_id"] for r in left["entities"].collect()} == {"e2", "e4"} and left["edges"].count() == 1
 
 
-def test_publish_moves_the_pointer(spark, tmp_path):
-    df = spark.range(3)
-    store.publish(df, str(tmp_path), "v1")
-    store.publish(df.filter("id > 0"), str(tmp_path), "v2")
-    assert store.read_published(spark, str(tmp_path)).count() == 2
-
-
 def test_validate_reports_each_rule(spark):
     from attestra import schemas
 
@@ -292,12 +281,17 @@ def test_gates_are_asked_in_order(spark):
 
 
 def test_two_phase_activation(spark):
-    snaps = spark.createDataFrame([("s1", "r", "READY", True), ("s2", "r", "BUILDING", False), ("s3", "q", "READY", True)], "snapshot_id string, repository_id string, status string, active boolean")
+    snaps = spark.createDataFrame([("s1", "r", "ready", True), ("s2", "r", "building", False), ("s3", "q", "ready", True), ("s4", "r", "failed", False)], "snapshot_id string, repository_id string, status string, active boolean")
     none = spark.createDataFrame([], "relative_path string, problem string")
-    got = {r["snapshot_id"]: (r["status"], r["active"]) for r in readiness.activate(snaps, "s2", none).collect()}
-    assert got == {"s1": ("READY", False), "s2": ("READY", True), "s3": ("READY", True)}
-    bad = {r["snapshot_id"]: (r["status"], r["active"]) for r in readiness.activate(snaps, "s2", none.union(spark.createDataFrame([("f", "missing")], none.schema))).collect()}
-    assert bad == {"s1": ("READY", True), "s2": ("FAILED", False), "s3": ("READY", True)}
+    state = lambda df: {r["snapshot_id"]: (r["status"], r["active"]) for r in df.collect()}
+    assert state(readiness.activate(snaps, "s2", none)) == {"s1": ("ready", False), "s2": ("ready", True), "s3": ("ready", True), "s4": ("failed", False)}
+    assert state(readiness.activate(snaps, "s1", none)) == state(snaps)
+    for wrong, why in (("s9", "unknown snapshot"), ("s4", "is failed, expected building")):
+        with pytest.raises(ValueError, match=why):
+            readiness.activate(snaps, wrong, none)
+    with pytest.raises(ValueError, match="missing"):
+        readiness.activate(snaps, "s2", none.union(spark.createDataFrame([("f", "missing")], none.schema)))
+    assert state(readiness.mark_failed(snaps, "s2"))["s2"] == ("failed", False) and state(readiness.mark_failed(snaps, "s1")) == state(snaps)
 
 
 def test_code_graph(spark):
@@ -313,15 +307,7 @@ def test_code_graph(spark):
     assert rows(codegraph.package_dependencies(links, nodes)) == [("lib", "2.0")]
 
 
-def test_discovery_pruning_and_issues(spark):
-    ents = spark.createDataFrame([("c", "e1", "Door Locks", [], ["The door lock opens.", "Nothing."]), ("c", "e2", "Pump", [], ["Nothing."])], "chunk_id string, entity_ref string, name string, aliases array<string>, evidence_quotes array<string>")
-    kept = discovery.prune_entities(ents)
-    assert [(r["entity_ref"], r["evidence_quotes"]) for r in kept.collect()] == [("e1", ["The door lock opens."])]
-    chunks = spark.createDataFrame([("c", "BR-COM-001 The lock shall open within 5 s.", 0)], "chunk_id string, chunk_text string, start_char int")
-    reqs = spark.createDataFrame([("c", "r1", "BR-COM-002", "x", [], ["nowhere"], ["e1"]), ("c", "r2", None, "The lock opens. Fast.", ["k"], ["The lock shall open within 5 s."], ["e1"])], "chunk_id string, requirement_ref string, source_req_id string, requirement_text string, relationship_refs array<string>, evidence_quotes array<string>, entity_refs array<string>")
-    rels = spark.createDataFrame([("c", "k", "e1", "USES", "e9", 0.5, "q"), ("c", "l", "e1", "USES", "e1", 0.5, "q")], "chunk_id string, relationship_ref string, source_entity_ref string, relationship_type string, target_entity_ref string, confidence double, evidence_quote string")
-    found = {r["issue"] for r in discovery.response_issues(reqs, ents, rels, chunks).collect()}
-    assert found == {"MISSING_SOURCE_ROW", "EXTRA_SOURCE_ROW", "QUOTE_NOT_FOUND", "NOT_ONE_SENTENCE", "MARKER_LOST", "NO_OWNER", "UNKNOWN_ENTITY", "SELF_EDGE"}
+def test_quote_spans():
     assert discovery.quote_span("a  b\nc", "b c") == (3, 6) and discovery.quote_span("abc", "x") is None
 
 
@@ -407,14 +393,6 @@ def test_lineage_keeps_order_and_fails_on_unknown_ids(spark):
         retrieval.story_requirements(stories, reqs.filter("requirement_id <> 'r3'")).collect()
 
 
-def test_blocks_of_queries_give_the_same_neighbours(spark, monkeypatch):
-    df = spark.createDataFrame([(k, [float(k % 7), float(k % 5)]) for k in range(60)], "vec_id long, embedding array<double>")
-    asked = df.filter("vec_id < 9").withColumnRenamed("vec_id", "query_id")
-    one = rows(retrieval.vector_top_k(asked, df, 3), "query_id", "rank")
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
-    assert rows(retrieval.vector_top_k(asked, df, 3), "query_id", "rank") == one and len(one) == 27
-
-
 def test_rows_are_numbered_over_ranges(spark):
     df = spark.createDataFrame([(k * 7 % 100,) for k in range(100)], "k int").repartition(5)
     assert rows(graph.numbered(df, ["k"], "n"), "k") == [(k, k) for k in range(100)]
@@ -432,12 +410,12 @@ def test_sinks_refuse_what_the_store_must_not_hold(spark):
         store.typed_edges(edges).collect()
 
 
-def test_upsert_replaces_the_children_of_its_parents(spark):
+def test_bridges_accumulate(spark):
     base = spark.createDataFrame([("a", 1), ("b", 1)], "id string, v int")
     new = spark.createDataFrame([("a", 2, ["y", "z", "y"])], "id string, v int, items array<string>")
     bridge = spark.createDataFrame([("a", "x"), ("b", "x")], "id string, item string")
     parents, tables = store.upsert_with_children(base, new, ["id"], {"bridge": (bridge, "items", "item")})
-    assert rows(parents, "id") == [("a", 2), ("b", 1)] and rows(tables["bridge"], "id", "item") == [("a", "y"), ("a", "z"), ("b", "x")]
+    assert rows(parents, "id") == [("a", 2), ("b", 1)] and rows(tables["bridge"], "id", "item") == [("a", "x"), ("a", "y"), ("a", "z"), ("b", "x")]
 
 
 def test_project_delete_takes_children_first(spark):
@@ -481,7 +459,7 @@ def test_helper_files_and_extractions(spark):
 def test_a_line_is_measured_from_its_first_word(spark):
     words = [("d", 1, 800.0, x, y, y + 8, w) for x, y, w in ((50.0, 100.0, "b"), (10.0, 102.0, "a"), (90.0, 104.0, "c"), (10.0, 105.0, "d"))]
     df = spark.createDataFrame(words, "doc_key string, page int, page_height double, x double, y0 double, y1 double, word string")
-    assert [r["text"] for r in documents.page_lines(df).orderBy("line").collect()] == ["a b", "d c"]
+    assert [r["text"] for r in pages.page_lines(df).orderBy("line").collect()] == ["a b", "d c"]
 
 
 def test_styled_paragraphs(spark):
