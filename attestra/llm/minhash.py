@@ -101,8 +101,11 @@ def band_hashes(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nda
     return out.view(np.int64)
 
 
-def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (a digest of the whole set), bands."""
+SKETCH = "doc_id long, n_shingles long, set_id binary, bands array<long>"
+
+
+def sketches(docs: DataFrame, size: int, bands: int, rows: int, with_text: bool = False) -> DataFrame:
+    """doc_id, n_shingles, set_id (a digest of the whole set), bands, and the text if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -119,9 +122,10 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                     ends.append(ends[-1] + bands * (len(s) > 0))
                 values = np.concatenate(all_bands) if all_bands else np.empty(0, dtype=np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), lists], names=["doc_id", "n_shingles", "set_id", "bands"])
+                columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), lists, *([part.column(1)] if with_text else [])]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_id", "bands", *(["text"] if with_text else [])])
 
-    return map_arrow(docs, "doc_id long, n_shingles long, set_id binary, bands array<long>", run)
+    return map_arrow(docs, SKETCH + ", text string" * with_text, run)
 
 
 def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -172,7 +176,7 @@ def near_duplicates(df: DataFrame, size: int, percent: int = PERCENT, bands: int
     pivots = materialize(members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("pivot"), F.count("*").alias("size")).filter("size > 1").select("bucket", "pivot"))
     shared = materialize(members.join(pivots, "bucket"))
     nodes = shared.select(F.col("rep").alias("node")).distinct()
-    texts = materialize(docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi"))
+    texts = materialize(_one_text(docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi"), some, reps, size, bands, rows))
     fits = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * percent
     stars = shared.filter((F.col("rep") != F.col("pivot.rep")) & fits(F.col("n"), F.col("pivot.n")))
     tried = materialize(stars.select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b")).distinct())
@@ -196,6 +200,17 @@ def near_duplicates(df: DataFrame, size: int, percent: int = PERCENT, bands: int
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _one_text(docs: DataFrame, some: DataFrame, reps: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
+    """``docs`` (doc_id, text) with one row for each id and each set that it stands for, so that pairs don't meet as often as rows repeat."""
+    several = materialize(some.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if several.isEmpty():
+        return docs
+    once, repeated = docs.join(several, "doc_id", "left_anti"), docs.join(several, "doc_id", "left_semi").distinct()
+    sets = sketches(repeated, size, bands, rows, with_text=True).select("doc_id", "set_id", "text")
+    own = sets.join(reps.select("set_id", F.col("rep").alias("doc_id")), ["set_id", "doc_id"], "left_semi")
+    return once.unionByName(own.groupBy("doc_id", "set_id").agg(F.min("text").alias("text")).select("doc_id", "text"))
+
+
 def _by_id(some: DataFrame, reps: DataFrame) -> DataFrame:
     """Links between the sets of rows that share an id."""
     sets = some.select("doc_id", "set_id").join(reps.select("set_id", "rep"), "set_id").select("doc_id", "rep")

@@ -374,5 +374,6 @@ def encode_documents(df: DataFrame, model: str = MODEL, known_words: int = KNOWN
     rows = [(r["word"], _as_bytes(r["ids"])) for r in top.toLocalIterator()]
     known = SharedDict.of(df.sparkSession, pa.array([w for w, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.binary()))
     pairs = rare_words(docs, known, pieces)
-    rare = pairs.join(encoded, "word").groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("rare"))
+    # a set: equal rows send the same words, which are kept once
+    rare = pairs.join(encoded, "word").groupBy("key").agg(F.collect_set(F.struct("word", "ids")).alias("rare"))
     return assemble(docs.join(rare, "key", "left"), known, pieces)

@@ -367,16 +367,15 @@ def test_passages_against_brute_force(docs, corpus, empty, odd):
     words, seen, want = {k: (t or "").encode().lower().split() for k, t, *_ in corpus}, {}, defaultdict(set)
     for k in sorted(words):
         w = words[k]
-        for i in range(len(w) - 50):
-            first = seen.setdefault(tuple(w[i : i + 51]), (k, i))
+        for i in range(len(w) - 49):
+            first = seen.setdefault(tuple(w[i : i + 50]), (k, i))
             if first != (k, i):
-                want[k].update(range(i, i + 51))
+                want[k].update(range(i, i + 50))
     got = defaultdict(set)
     for r in substring.repeated_passages(docs).collect():
         got[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
         assert all(s <= r["doc_id"] for s in r["source_ids"])
-    for k in want:
-        assert len(want[k] - got[k]) <= 3
+    assert all(want[k] <= got[k] for k in want)
     clean = [k for k in words if k not in want and k not in (34,)]
     assert not any(got[k] for k in clean)
     assert substring.repeated_passages(empty).count() == 0 and substring.repeated_passages(odd).count() == 0
@@ -459,7 +458,7 @@ def test_seed_matches_against_brute_force(spark, partitions):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         found = spark.createDataFrame([(*k, s) for k, s in seeds.items()], "doc_id long, at int, seed long")
-        got = sorted(tuple(r) for r in substring.seed_matches(found).select("doc_id", "source_id", "x", "y").collect())
+        got = sorted(tuple(r) for r in substring.seed_matches(found).filter(f"kind = {substring.MATCH}").select("doc_id", "source_id", "x", "y").collect())
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before[0])
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
