@@ -8,9 +8,10 @@ of some block, so an index of the items' blocks with all changes of up to 2 bits
 every item within that radius. The exact similarity of the weighted shingle sets, sum of
 minima over sum of maxima, decides.
 
-Not every window need be printed. One that has no shingle of an item is not similar to
-it. A shingle at place p of the document and q of the item lies on the diagonal p - q. A
-window that starts before all diagonals of its shared shingles has none of them at its
+A document and an item meet by a shingle of those that tell the item from others; blocks
+are probed for the windows and the item that met, and for no other pair. Nor need every
+window be printed. One that has no shingle of an item is not similar to it. A shingle at
+place p of the document and q of the item lies on the diagonal p - q. A window that starts before all diagonals of its shared shingles has none of them at its
 start, and one that starts after all has none at its end, so it can be moved towards them
 and lose none. Two shingles of one window differ by less than twice its words in their
 diagonals. So it is enough to print, for each document and item, the windows that start
@@ -20,7 +21,7 @@ lost but fingerprints beyond the radius; in simulations of edits none was.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.llm.common import documents_of, materialize
@@ -105,19 +106,40 @@ def _placed(size: int) -> Column:
     return F.transform(f"s{size}", lambda x, i: F.struct(F.lit(size).alias("size"), i.alias("at"), x.alias("hash")))
 
 
-def lay_windows(docs: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
-    """Distinct (key, n, size, start): for each document and item, the starts from one diagonal of a shared shingle to the next."""
-    shared = _bounded(items.select("item", "n", "size", F.posexplode_outer("hashes").alias("at_item", "hash")))
+def telling(items: DataFrame, percent: int) -> DataFrame:
+    """(item, hash) of the shingles by which an item meets documents: its rarest ones among the items, of more than ``100 - percent`` hundredths of its weight.
+
+    A window that has none of them has less than ``percent`` hundredths of the item's
+    weight in common with it, so it isn't similar enough. What many items share is asked
+    only where an item has nothing rarer.
+    """
+    weights = items.select("item", "size", F.size("hashes").alias("m"), F.explode("hashes").alias("hash")).groupBy("item", "size", "m", "hash").agg(F.count("*").alias("w"))
+    rarity = weights.groupBy("hash", "size").agg(F.count("*").alias("c"))
+    order = Window.partitionBy("item").orderBy("c", "hash").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("w").over(order), F.lit(0))
+    return weights.join(rarity, ["hash", "size"]).withColumn("before", before).filter(F.col("before") * 100 <= (100 - percent) * F.col("m")).select("item", "size", "hash")
+
+
+def placed_shingles(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """(key, n_words, size, at, hash) of documents (key, text); all sizes in one pass."""
     read = with_word_hashes(docs.select("key", words_of(F.col("text")).alias("words")))
     read = read.select("key", F.size("h").alias("n_words"), *(shingles_of(F.col("h"), k).alias(f"s{k}") for k in sizes))
-    # all sizes in one pass; an inner explode would have its array computed once more, in a filter
-    placed = F.concat(*(_placed(k) for k in sizes))
-    hits = read.select("key", "n_words", F.explode_outer(placed).alias("s")).select("key", "n_words", "s.size", "s.at", "s.hash").join(shared, ["size", "hash"])
+    # an inner explode would have its array computed once more, in a filter
+    return read.select("key", "n_words", F.explode_outer(F.concat(*(_placed(k) for k in sizes))).alias("s")).select("key", "n_words", "s.size", "s.at", "s.hash")
+
+
+def lay_windows(docs: DataFrame, items: DataFrame, sizes: list[int], percent: int) -> DataFrame:
+    """Distinct (key, item, n, size, start): for each document and item that meet by a telling shingle, the starts from one diagonal of a shared shingle to the next."""
+    met = materialize(placed_shingles(docs, sizes).join(_bounded(materialize(telling(items, percent))), ["size", "hash"]).select("key", "item").distinct())
+    own = items.select("item", "n", "size", F.posexplode("hashes").alias("at_item", "hash"))
+    asked = met.join(_bounded(own), "item")
+    held = docs.join(met.select("key").distinct(), "key", "left_semi")
+    hits = placed_shingles(held, sizes).join(asked, ["key", "size", "hash"])
     diagonals = hits.groupBy("key", "n_words", "item", "n", "size").agg(F.array_sort(F.collect_set(F.col("at") - F.col("at_item"))).alias("d"))
     near = lambda d, i: F.coalesce(F.get("d", i + 1) - d < 2 * F.col("n"), F.lit(False))
     filled = F.flatten(F.transform("d", lambda d, i: F.when(near(d, i), F.sequence(d, F.get("d", i + 1) - 1)).otherwise(F.array(d))))
     start = F.greatest(F.lit(0), F.least(F.col("start"), F.col("n_words") - F.col("n")))
-    return diagonals.select("key", "n_words", "n", "size", F.explode(filled).alias("start")).select("key", "n", "size", start.alias("start")).distinct()
+    return diagonals.select("key", "n_words", "item", "n", "size", F.explode(filled).alias("start")).select("key", "item", "n", "size", start.alias("start")).distinct()
 
 
 def fingerprints(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
@@ -132,22 +154,29 @@ def fingerprints(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataF
 
 
 def item_index(items: DataFrame) -> DataFrame:
-    """(n, block, value) of each item's fingerprint with up to ``FLIPS`` bits of the block changed."""
+    """(item, block, value) of each item's fingerprint with up to ``FLIPS`` bits of the block changed."""
     masks = F.array(*(F.lit(m) for m in range(1 << BLOCK_BITS) if m.bit_count() <= FLIPS))
-    blocks = items.select("item", "n", "fingerprint", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
-    return blocks.select("item", "n", F.col("fingerprint").alias("of_item"), "block", F.explode(F.transform(masks, lambda m: block_of(F.col("fingerprint"), F.col("block")).bitwiseXOR(m.cast("long")))).alias("value"))
+    blocks = items.select("item", "fingerprint", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
+    return blocks.select("item", F.col("fingerprint").alias("of_item"), "block", F.explode(F.transform(masks, lambda m: block_of(F.col("fingerprint"), F.col("block")).bitwiseXOR(m.cast("long")))).alias("value"))
+
+
+def probed_pairs(laid: DataFrame, printed: DataFrame, items: DataFrame) -> DataFrame:
+    """(key, n, start, item, hamming): those of the windows laid for an item whose fingerprint is within the radius, by the blocks of the item's index."""
+    windows = laid.select("key", "n", "start", "item").join(printed.select("key", "n", "start", "fingerprint"), ["key", "n", "start"])
+    probes = windows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    probes = probes.withColumn("value", block_of(F.col("fingerprint"), F.col("block")))
+    distance = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("of_item")))
+    near = probes.join(_bounded(item_index(items)), ["item", "block", "value"]).filter(distance <= RADIUS)
+    return near.select("key", "n", "start", "item", distance.cast("int").alias("hamming")).distinct()
 
 
 def found_windows(docs: DataFrame, benchmark: DataFrame, percent: int) -> DataFrame:
     """key, item_id, start_word, n_words, hamming, similarity: the best window of each row of ``of_rows`` and item that match."""
     items = materialize(prepare_items(benchmark))
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect()) or [SHINGLE]  # 1 to 5
-    printed = materialize(fingerprints(docs, materialize(lay_windows(docs, items, sizes)), sizes))
-    probes = printed.select("key", "start", "n", "fingerprint", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
-    probes = probes.withColumn("value", block_of(F.col("fingerprint"), F.col("block")))
-    distance = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("of_item")))
-    near = probes.join(_bounded(item_index(items)), ["n", "block", "value"]).filter(distance <= RADIUS)
-    near = near.select("key", "n", "start", "item", distance.cast("int").alias("hamming")).distinct()
+    laid = materialize(lay_windows(docs, items, sizes, percent))
+    printed = materialize(fingerprints(docs, laid.select("key", "n", "size", "start").distinct(), sizes))
+    near = probed_pairs(laid, printed, items)
     exact = items.select("item", "item_id", tagged(F.col("hashes")).alias("item_set"))
     exact = F.broadcast(exact) if (items.agg(F.sum(F.size("hashes"))).first()[0] or 0) <= BROADCAST_ROWS else exact
     window = printed.select("key", "n", "start", tagged(F.col("hashes")).alias("window_set"))
