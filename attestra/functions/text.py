@@ -15,8 +15,9 @@ ID_ROW = r"^([A-Z]{2,}(?:-[A-Z0-9]+)+) (.+)$"
 LINE_ENDS = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 
 
-#: White space as Unicode has it, and the four separators of ASCII.
-SPACES = r"(?U)[\s\x1C-\x1F]+"
+#: White space other than the space: Unicode's, and the four separators of ASCII.
+OTHER_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+SPACES = f"[ {OTHER_SPACES}]+"
 
 
 def normalize_text(text: Column) -> Column:
@@ -28,7 +29,7 @@ def normalize_text(text: Column) -> Column:
 
 def collapse(text: Column) -> Column:
     """White space of any kind becomes one space; none at the ends."""
-    return F.trim(F.regexp_replace(text, SPACES, " "))
+    return F.trim(F.regexp_replace(F.translate(text, OTHER_SPACES, " " * len(OTHER_SPACES)), "  +", " "))
 
 
 def strip(text: Column) -> Column:
