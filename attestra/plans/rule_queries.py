@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attestra.operators import discovery, graph, projection, pruning, readiness, store, vector_index
+from attestra.functions import ids, text
+from attestra.operators import canon, discovery, graph, projection, pruning, readiness, store, vector_index
 from attestra.operators.commits import Table
 from attestra.plans.registry import Registry, table
 from attestra.sources import pages, workbook
@@ -184,3 +185,75 @@ def vector_index_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     index = vector_index.InvertedFile.build(vectors, _scratch(spark), 32)
     return index.search(vectors.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 12, 16).select("query_id", "vec_id", "rank", F.round("distance", 6).alias("distance"))
+
+
+@R.query("SELECT o_orderkey, o_orderstatus FROM orders")
+def verified_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the orders are there already; all are offered, the others are added, and none differs."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return store.insert_or_verify(orders.filter("o_orderkey % 2 = 0"), orders, ["o_orderkey"], "o_orderstatus")
+
+
+@R.query("SELECT o_orderkey AS snapshot_id FROM orders WHERE o_orderpriority <> '1-URGENT' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def removable_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as snapshots, urgent ones active, lines as what refers to them."""
+    snapshots = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("snapshot_id"), (F.col("o_orderpriority") == "1-URGENT").alias("active"))
+    return store.removable_snapshots(snapshots, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("snapshot_id"))).select("snapshot_id")
+
+
+@R.query("""
+SELECT p_partkey, 'sha256:' || sha256('{"a":{"size":' || p_size || '},"name":"' || p_name || '","tags":["' || p_brand || '",null,' || CASE WHEN p_size > 25 THEN 'true' ELSE 'false' END || ']}') AS checksum FROM part""")
+def json_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of JSON with its keys in another order, a list, and a time that doesn't count."""
+    quoted = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    payload = F.concat(
+        F.lit('{ "tags": ['), quoted("p_brand"), F.lit(", null, "), (F.col("p_size") > 25).cast("string"), F.lit('], "name": '), quoted("p_name"),
+        F.lit(', "generated_at": '), F.col("p_partkey").cast("string"), F.lit(', "a": {"size": '), F.col("p_size").cast("string"), F.lit("}}"),
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", ids.json_checksum(payload).alias("checksum"))
+
+
+@R.query("""
+SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 0 WHEN 2 THEN 3 ELSE -1 END::INT AS start, CASE s_suppkey % 4 WHEN 0 THEN 3 + length(s_name) WHEN 1 THEN 3 + length(s_name) WHEN 2 THEN 5 + length(s_name) ELSE -1 END::INT AS "end" FROM supplier""")
+def quote_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes that stand in their source, with other white space before or after, or not at all (-1)."""
+    kind, name = F.col("s_suppkey") % 4, F.col("s_name")
+    source = F.concat(F.lit("a \n"), name, F.lit("\tb"))
+    quote = F.when(kind == 0, name).when(kind == 1, F.concat(F.lit("a "), name)).when(kind == 2, F.concat(name, F.lit("  b"))).otherwise(F.concat(F.lit("b "), name))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", discovery.quote_spans(source, quote).alias("s")).select("s_suppkey", *(F.coalesce(f"s.{x}", F.lit(-1)).alias(x) for x in ("start", "end")))
+
+
+@R.query("""
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'never' WHEN 2 THEN 'within,' || p_size || ' s' ELSE 'shall,never,within,' || p_size || ' s' END AS lost FROM part""")
+def lost_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as requirements, restated whole, without a word of refusal, without their time, or without all of these."""
+    kind, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    source = F.concat(F.lit("Rule 2.1: it shall never close within "), size, F.lit(" s"))
+    said = F.when(kind == 0, F.concat(F.lit("It  SHALL never close WITHIN "), size, F.lit(" s."))).when(kind == 1, F.concat(F.lit("It shall close within "), size, F.lit(" s."))).when(kind == 2, F.lit("It shall never close.")).otherwise(F.lit("It closes."))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(discovery.lost_markers(source, said), ",").alias("lost"))
+
+
+@R.query("""
+WITH l AS (SELECT o_orderkey AS k, 'BR-' || l_linenumber AS id, 'part ' || l_partkey AS text, n FROM orders JOIN (""" + _NUMBERED + """) ON l_orderkey = o_orderkey),
+     f AS (SELECT k, id, max_by(text, n) AS text, min(n) AS first FROM l GROUP BY k, id)
+SELECT k AS o_orderkey, string_agg(id || '=' || text, ';' ORDER BY first) AS rows FROM f GROUP BY k""")
+def id_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as texts of their lines, an id and a part each, between other lines; of an id that repeats the last text counts, at the first place."""
+    line = F.struct("n", F.concat(F.lit("  BR-"), "l_linenumber", F.lit(" \t part "), "l_partkey", F.lit("\r\nother BR-1 line\n")).alias("t"))
+    texts = _numbered_lines(spark, sf_dir).join(table(spark, sf_dir, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey").agg(F.array_sort(F.collect_list(line)).alias("l"))
+    found = text.explicit_rows(F.array_join(F.transform("l", lambda x: x["t"]), ""))
+    return texts.select("o_orderkey", F.array_join(F.transform(found, lambda r: F.concat_ws("=", r["id"], r["text"])), ";").alias("rows"))
+
+
+@R.query("""
+WITH c AS (SELECT o_custkey AS s, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS ordinal, lower(o_orderpriority) || '|' || o_orderkey || '|' || lower(o_orderstatus) || '|' AS content FROM orders)
+SELECT k AS o_orderkey, CASE WHEN k % 3 = 0 THEN 'OLD-' || k ELSE 'AC-' || upper(substr(sha256(s || '|' || ordinal || '|' || content), 1, 18)) END AS criterion_id FROM c""")
+def criterion_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as criteria of their customers' stories: every third was there before, and keeps its id."""
+    ordinal = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    criteria = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("story_id"), ordinal.alias("ordinal"), F.concat(F.lit(" "), "o_orderpriority").alias("title"), F.col("o_orderkey").cast("string").alias("given"), F.col("o_orderstatus").alias("when"),
+        F.lit(None).cast("string").alias("then"), "o_orderkey")
+    content = F.concat(F.lower(F.trim("title")), F.lit("|"), F.col("given"), F.lit("|"), F.lower("when"), F.lit("|"))
+    prior = criteria.filter("o_orderkey % 3 = 0").select("story_id", content.alias("content"), F.concat(F.lit("OLD-"), F.col("o_orderkey").cast("string")).alias("criterion_id"))
+    return canon.criterion_ids(criteria, prior).select("o_orderkey", "criterion_id")
