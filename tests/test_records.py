@@ -66,3 +66,16 @@ def test_schema_is_checked(spark):
     assert schemas.assert_schema(df.select("entity_id", "project", "chunk_id"), schemas.MENTIONS).columns == ["project", "chunk_id", "entity_id"]
     with pytest.raises(ValueError, match="extra"):
         schemas.assert_schema(df.withColumn("x", F.lit(1)), schemas.MENTIONS)
+
+
+def test_settings_of_sections_kinds_and_limits(tmp_path):
+    file = tmp_path / "c.json"
+    file.write_text(json.dumps({"chunking": {"maximum_chunk_size": 900, "other": 1}, "retrieval": {"top_k": 3, "max_hops": ""}, "stage4": {"retain_referenced_snapshots": False, "framework_allowed_roots": ["a", "b"]}, "postgres": {"mode": "x"}}))
+    (tmp_path / ".env").write_text("# no\nATTESTRA_LOG_LEVEL = 'DEBUG'\nATTESTRA_VECTOR_K=4\nnothing\n")
+    got = settings.load(str(file), {"ATTESTRA_VECTOR_K": "9", "ATTESTRA_CONCURRENCY": "3"}, env_file=str(tmp_path / ".env"))
+    assert (got.chunk_maximum, got.retrieval_top_k, got.max_hops, got.vector_k, got.concurrency, got.log_level) == (900, 3, 2, 9, 3, "DEBUG")
+    assert got.retain_referenced_snapshots is False and got.framework_allowed_roots == ("a", "b")
+    assert settings.load(None, {"ATTESTRA_FRAMEWORK_ALLOWED_ROOTS": "x, y", "ATTESTRA_RETAIN_REFERENCED_SNAPSHOTS": "off"}).framework_allowed_roots == ("x", "y")
+    for bad in ({"MAX_HOPS": "5"}, {"TOKEN_BUDGET": "100"}, {"VECTOR_K": "many"}, {"RETAIN_REFERENCED_SNAPSHOTS": "perhaps"}, {"CHUNK_OVERLAP": "2000"}):
+        with pytest.raises(ValueError):
+            settings.load(None, {f"ATTESTRA_{k}": v for k, v in bad.items()})
