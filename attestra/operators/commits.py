@@ -99,14 +99,10 @@ class Table:
         if df.filter(F.col(self.key).isNull()).limit(1).count():
             raise ValueError(f"rows without {self.key} are in no part")
         tagged = df.withColumn("_part", F.hex(F.encode(F.col(self.key).cast("string"), "UTF-8")))
-        tagged.repartition(F.col("_part"), F.pmod(F.xxhash64(*df.columns), F.lit(self._spread()))).write.partitionBy("_part").parquet(path)
+        tagged.hint("rebalance", "_part").write.partitionBy("_part").parquet(path)  # splits large parts, and keeps small ones in few files
         found = [n for n in self._names("data", folder) if n.startswith("_part=")]
         return {bytes.fromhex(n.removeprefix("_part=")).decode(): [f"data/{folder}/{n}"] for n in found}
 
-    def _spread(self) -> int:
-        """Tasks among which the rows of one part are dealt."""
-        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-
     def overwrite(self, df: DataFrame, base: Version | None = None, only: bool = False) -> Version:
         """A version in which ``df`` replaces the parts that it has rows of; with ``only``, or without parts, all."""
         base = base or self.version()
@@ -122,7 +118,7 @@ class Table:
     def upsert(self, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> Version:
         """A version in which ``new`` replaces rows of the same keys; only parts that it has rows of are read and written."""
         base = self.version()
-        touched = [str(r[0]) for r in new.select(self.key).distinct().collect()] if self.key else [WHOLE]
+        touched = [r[0] for r in new.select(F.col(self.key).cast("string")).distinct().collect()] if self.key else [WHOLE]
         old = self.read(touched, base) if base.schema else new.limit(0)
         return self.overwrite(upsert(old.select(*new.columns), new, keys, order), base)
 

@@ -177,11 +177,8 @@ class InvertedFile:
     centroids: np.ndarray
 
     @staticmethod
-    def build(vectors: DataFrame, path: str, n_lists: int, sample_rows: int = SAMPLE_ROWS, files_of_list: int = 1) -> InvertedFile:
-        """Every vector goes to the list of its nearest centroid; null vectors to none.
-
-        Lists are written as folders; ``files_of_list`` tasks share the rows of each, for lists that are long.
-        """
+    def build(vectors: DataFrame, path: str, n_lists: int, sample_rows: int = SAMPLE_ROWS) -> InvertedFile:
+        """Every vector goes to the list of its nearest centroid; null vectors to none. Lists are written as folders; long ones by several tasks."""
         spark = vectors.sparkSession
         centroids = fit_centroids(vectors, n_lists, sample_rows)
         sent = spark.sparkContext.broadcast(centroids)
@@ -195,8 +192,7 @@ class InvertedFile:
                     kept = batch.take(pa.array(places))
                     yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(closest(rows, sent.value, 1)[:, 0], pa.int32())], names=schema.names)
 
-        dealt = source.mapInArrow(run, schema).repartition("list", F.pmod(F.xxhash64("vec_id"), F.lit(files_of_list)))
-        dealt.write.partitionBy("list").parquet(path)
+        source.mapInArrow(run, schema).hint("rebalance", "list").write.partitionBy("list").parquet(path)
         return InvertedFile(spark, path, centroids)
 
     def read(self, lists: list[int] | None = None) -> DataFrame:

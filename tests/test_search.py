@@ -49,7 +49,7 @@ def test_many_candidates_are_settled_on_the_way(spark, monkeypatch):
 def test_recall_of_the_inverted_file(spark, tmp_path):
     rows = clustered(4_000, 16, 2)
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)] + [(9_999, None)], VEC)
-    index = InvertedFile.build(df, str(tmp_path / "ivf"), 32, sample_rows=1_000, files_of_list=2)
+    index = InvertedFile.build(df, str(tmp_path / "ivf"), 32, sample_rows=1_000)
     assert index.read().count() == 4_000 and index.centroids.shape == (32, 16)
     asked = df.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
     exact = nearest(asked, df, 10)
