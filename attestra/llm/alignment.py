@@ -161,58 +161,82 @@ def _place(file: str) -> str:
 
 
 class Aligned:
-    """Aligned stretches by number: ids of A, of B, groups, links, the groups as text, and the distinct linked pairs with their numbers of links.
+    """Aligned stretches by number: ids of A, of B, groups, links, the groups as text, and the linked pairs, one for each link.
 
     Number 0 has no alignment.
     """
 
-    def __init__(self):
+    def __init__(self, b_size: int):
+        self.b_size = b_size
         self.names = pa.array([""], pa.string())
         self.spelled = pa.array([""], pa.string())
         self.sizes = np.zeros((1, 4), dtype=np.int64)
-        self.starts, self.counts = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
-        self.pairs, self.links = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        self.starts, self.pairs = np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.int64)
 
     @property
     def held(self) -> int:
-        return self.names.nbytes + self.spelled.nbytes + 48 * len(self.sizes) + 16 * len(self.pairs)
-
-    def add(self, names: list[str], rows: list[tuple]) -> None:
-        """Rows as ``align`` gives them; none of those without an alignment may be among them."""
-        counts = np.array([len(r[5]) for r in rows], dtype=np.int64)
+        return self.names.nbytes + self.spelled.nbytes + 40 * len(self.sizes) + 8 * len(self.pairs)
+
+    def add(self, names: list[str], a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, cuts: np.ndarray) -> None:
+        """Stretches whose ids follow each other in ``a`` and ``b``: groups end at ``ends_a`` and ``ends_b``, stretches at ``cuts`` of ``a``."""
+        if not names:
+            return
+        of_a, of_b = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
+        last = np.searchsorted(ends_a, cuts) + 1  # groups up to each stretch's end
+        links = of_a * of_b
+        pairs = _ranges(np.zeros(len(links), dtype=np.int64), links)
+        width = np.repeat(of_b, links)
+        pairs = a[np.repeat(ends_a - of_a, links) + pairs // width] * self.b_size + b[np.repeat(ends_b - of_b, links) + pairs % width]
+        n_links = np.diff(np.concatenate([[0], np.cumsum(links)])[last], prepend=0)
+        sizes = np.stack([np.diff(cuts, prepend=0), np.diff(ends_b[last - 1], prepend=0), np.diff(last, prepend=0), n_links], axis=1)
+        spell = lambda ids, ends: _joined(pa.array(ids).cast(pa.string()), ends, ",")
+        groups = pc.binary_join_element_wise(spell(a, ends_a), spell(b, ends_b), "|")
         self.names = pa.concat_arrays([self.names, pa.array(names, pa.string())])
-        self.spelled = pa.concat_arrays([self.spelled, pa.array([r[4] for r in rows], pa.string())])
-        self.sizes = np.concatenate([self.sizes, np.array([r[:4] for r in rows], dtype=np.int64).reshape(-1, 4)])
-        self.starts = np.concatenate([self.starts, len(self.pairs) + np.cumsum(counts) - counts])
-        self.counts = np.concatenate([self.counts, counts])
-        self.pairs = np.concatenate([self.pairs, np.fromiter((p for r in rows for p in r[5]), dtype=np.int64, count=int(counts.sum()))])
-        self.links = np.concatenate([self.links, np.fromiter((n for r in rows for n in r[5].values()), dtype=np.int64, count=int(counts.sum()))])
+        self.spelled = pa.concat_arrays([self.spelled, _joined(groups, last, ";")])
+        self.starts = np.concatenate([self.starts, len(self.pairs) + np.cumsum(n_links) - n_links])
+        self.sizes, self.pairs = np.concatenate([self.sizes, sizes]), np.concatenate([self.pairs, pairs])
 
     def find(self, names: pa.StringArray) -> np.ndarray:
         """Numbers of the names, -1 of those not here; the name of number 0 is no stretch's."""
         return pc.index_in(names, value_set=self.names).fill_null(-1).to_numpy().astype(np.int64)
 
 
-def align(sides: Sides, a: list[int], b: list[int], ends: tuple[list[int], list[int]]) -> tuple:
-    """(ids of A, of B, groups, links, the groups as text, number of links by pair) of tokens whose groups end at ``ends``."""
-    size, links, spelled, n_links, i, j = sides.b_size, {}, [], 0, 0, 0
-    for to_i, to_j in zip(*ends):
-        of_a, of_b = a[i:to_i], b[j:to_j]
-        spelled.append(f"{','.join(map(str, of_a))}|{','.join(map(str, of_b))}")
-        for x in of_a:
-            for y in of_b:
-                pair = x * size + y
-                links[pair] = links.get(pair, 0) + 1
-        n_links += len(of_a) * len(of_b)
-        i, j = to_i, to_j
-    return len(a), len(b), len(spelled), n_links, ";".join(spelled), links
+def _joined(parts: pa.StringArray, ends: np.ndarray, by: str) -> pa.StringArray:
+    """Strings of parts up to each of the ends."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), parts), by)
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... ``counts[0]`` of them, and so on."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Gathered:
+    """Aligned stretches, one after another, until they are added to a table at once."""
+
+    def __init__(self):
+        self.names, self.a, self.b, self.ends_a, self.ends_b, self.cuts = ([] for _ in range(6))
+
+    def put(self, names: list[str], a: list[int], b: list[int], ends: tuple[list[int], list[int]], cuts: list[int]) -> None:
+        n_a, n_b = len(self.a), len(self.b)
+        self.names += names
+        self.ends_a += [n_a + x for x in ends[0]]
+        self.ends_b += [n_b + x for x in ends[1]]
+        self.cuts += [n_a + x for x in cuts]
+        self.a += a
+        self.b += b
+
+    def into(self, table: Aligned) -> None:
+        table.add(self.names, *(np.array(x, dtype=np.int64) for x in (self.a, self.b, self.ends_a, self.ends_b, self.cuts)))
 
 
 class Aligner:
     """Whole texts to their alignments, by way of their stretches."""
 
     def __init__(self, a_file: str, b_file: str, kept: int = KEPT_BYTES):
-        self.sides, self.kept, self.known = Sides(a_file, b_file), kept, Aligned()
+        self.sides, self.kept = Sides(a_file, b_file), kept
+        self.known = Aligned(self.sides.b_size)
 
     def of_texts(self, texts: pa.StringArray) -> tuple[Aligned, np.ndarray, np.ndarray]:
         """(stretches, how many of them each text has, their numbers one after another); no text is null. A text without tokens has none."""
@@ -228,17 +252,20 @@ class Aligner:
         cut[np.flatnonzero(cut)[bad]] = False
         numbers, sizes = numbers[np.repeat(~bad, sizes)], sizes[~bad]
         alone = np.flatnonzero(some & ~cut)
-        table, rows = Aligned(), []
+        table, whole, found = Aligned(self.sides.b_size), Gathered(), []
         for text in texts.take(pa.array(alone)).to_pylist():
             a, b, ends = self.sides.whole(text)
-            rows.append((0, 0, 0, 0, "", {}) if ends is None else align(self.sides, a, b, ends))
-        table.add([""] * len(rows), rows)
+            found.append(ends is not None)
+            if ends is not None:
+                whole.put([""], a, b, ends, [len(a)])
+        whole.into(table)
+        found = np.array(found, dtype=np.int64)
         items = np.zeros(n, dtype=np.int64)
         items[cut], items[alone] = sizes, 1
         of_cut = np.repeat(cut, items)
         order = np.empty(int(items.sum()), dtype=np.int64)
         order[of_cut] = numbers
-        order[~of_cut] = len(self.known.sizes) + np.arange(1, len(rows) + 1)
+        order[~of_cut] = np.where(found > 0, len(self.known.sizes) + np.cumsum(found), 0)
         return _both(self.known, table), items, order
 
     def _numbers(self, names: pa.StringArray) -> np.ndarray:
@@ -246,45 +273,42 @@ class Aligner:
         if len(names) and numbers.min() < 0:
             missing = names.filter(pa.array(numbers < 0))
             if self.known.held > self.kept:
-                self.known, missing = Aligned(), names
+                self.known, missing = Aligned(self.sides.b_size), names
             self._learn(missing.to_pylist())
             numbers = self.known.find(names)
         return np.maximum(numbers, 0)  # what was not learned has no alignment
 
     def _learn(self, words: list[str]) -> None:
-        names, rows = [], []
-        block, size = [], 0
+        found, block, size = Gathered(), [], 0
         for word in words:
             block.append(word)
             size += len(word) + 1
             if size >= BLOCK_CHARS:
-                names, rows = self._block(block, names, rows)
+                self._block(block, found)
                 block, size = [], 0
         if block:
-            names, rows = self._block(block, names, rows)
-        self.known.add(names, rows)
-
-    def _block(self, block: list[str], names: list[str], rows: list[tuple]) -> tuple[list[str], list[tuple]]:
-        """Stretches encoded as one text and cut where their bytes end; one by one, if that isn't where tokens end."""
-        text = "".join(w if w[:1] == "\n" else " " + w for w in block)
-        first = text[:1] == " "
-        a = self.sides.a.encode(text, add_special_tokens=False).ids
-        b = self.sides.b.encode(text[1:] if first else text)[0 if first else 1 :]
-        bounds = np.cumsum([len(w.encode()) + (w[:1] != "\n") for w in block])
+            self._block(block, found)
+        found.into(self.known)
+
+    def _block(self, block: list[str], found: Gathered) -> None:
+        """Stretches encoded as one text and aligned at once, if tokens of both sides end where each of them does; else one by one."""
+        said = [w if w[:1] == "\n" else " " + w for w in block]
+        text, bounds = "".join(said), np.cumsum([len(w.encode()) for w in said])
+        a, b = self._ids(text)
         cuts_a, cuts_b = _cuts(a, self.sides.a_bytes, bounds), _cuts(b, self.sides.b_bytes, bounds)
-        i = j = 0
-        for k, word in enumerate(block):
-            if cuts_a is None or cuts_b is None:
-                of_a = self.sides.a.encode(word if word[:1] == "\n" else " " + word, add_special_tokens=False).ids
-                of_b = self.sides.b.encode(word)[1 if word[:1] == "\n" else 0 :]
-            else:
-                of_a, of_b = a[i : cuts_a[k]], b[j : cuts_b[k]]
-                i, j = cuts_a[k], cuts_b[k]
-            ends = self.sides.transducer.groups(of_a, of_b)
-            if ends is not None and self.sides.spells(of_a, word if word[:1] == "\n" else " " + word):
-                names.append(word)
-                rows.append(align(self.sides, of_a, of_b, ends))
-        return names, rows
+        if cuts_a is not None and cuts_b is not None and self.sides.spells(a, text) and (ends := self.sides.transducer.groups(a, b)) is not None:
+            found.put(block, a, b, ends, cuts_a)
+            return
+        for word, text in zip(block, said):
+            a, b = self._ids(text)
+            ends = self.sides.transducer.groups(a, b)
+            if ends is not None and self.sides.spells(a, text):
+                found.put([word], a, b, ends, [len(a)])
+
+    def _ids(self, text: str) -> tuple[list[int], list[int]]:
+        """Ids of a text that begins with a space or line break, within a text."""
+        a = self.sides.a.encode(text, add_special_tokens=False).ids
+        return a, self.sides.b.encode(text[1:]) if text[:1] == " " else self.sides.b.encode(text)[1:]
 
 
 def _cuts(ids: list[int], spelled: list[bytes], bounds: np.ndarray) -> list[int] | None:
@@ -298,11 +322,10 @@ def _both(known: Aligned, alone: Aligned) -> Aligned:
     """Stretches of ``known``, then those of ``alone``."""
     if len(alone.sizes) == 1:
         return known
-    both = Aligned()
+    both = Aligned(known.b_size)
     both.spelled, both.names = pa.concat_arrays([known.spelled, alone.spelled]), known.names
-    both.sizes, both.counts = np.concatenate([known.sizes, alone.sizes]), np.concatenate([known.counts, alone.counts])
+    both.sizes, both.pairs = np.concatenate([known.sizes, alone.sizes]), np.concatenate([known.pairs, alone.pairs])
     both.starts = np.concatenate([known.starts, len(known.pairs) + alone.starts])
-    both.pairs, both.links = np.concatenate([known.pairs, alone.pairs]), np.concatenate([known.links, alone.links])
     return both
 
 
@@ -330,12 +353,6 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
-def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, ... ``counts[0]`` of them, and so on."""
-    ends = np.cumsum(counts)
-    return np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
-
-
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, links array<long>"
 
 
@@ -363,9 +380,8 @@ def _distinct(table: Aligned, items: np.ndarray, order: np.ndarray) -> tuple[np.
     # equal stretches of a text are one, with its number of times
     both, times = np.unique(text * len(table.sizes) + order, return_counts=True)
     text, stretch = np.divmod(both, len(table.sizes))
-    counts = table.counts[stretch]
-    at = _ranges(table.starts[stretch], counts)
-    text, links, pairs = np.repeat(text, counts), np.repeat(times, counts) * table.links[at], table.pairs[at]
+    counts = table.sizes[stretch, 3]
+    text, links, pairs = np.repeat(text, counts), np.repeat(times, counts), table.pairs[_ranges(table.starts[stretch], counts)]
     by = np.lexsort((pairs, text))
     text, links, pairs = text[by], links[by], pairs[by]
     new = np.ones(len(by), dtype=bool)
