@@ -88,6 +88,19 @@ def test_a_hub_makes_as_many_rows_as_it_has_edges(spark):
     assert got.count() == 200 and "array<string>" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_first_chunks_of_anchors_need_no_pairs_of_them(spark):
+    rng = random.Random(8)
+    edges = [(f"e{k}", rng.choice("abcdefgh"), rng.choice("abcdefgh"), rng.random() < 0.5, f"c{k % 9}", rng.randint(0, 4)) for k in range(18)]
+    df, starts = spark.createDataFrame(edges, EDGE), spark.createDataFrame([(x, x) for x in "abcz"], "anchor string, node string")
+    for hops in (1, 2, 3):
+        whole = graph.paths(starts, df, hops).select("anchor", F.explode("allowed_edges").alias("edge_id")).distinct().join(df, "edge_id").groupBy("anchor", "chunk_id").agg(F.min("sequence_index").alias("s")).collect()
+        want = {(a, r["chunk_id"], k + 1) for a in "abcz" for k, r in enumerate(sorted((r for r in whole if r["anchor"] == a), key=lambda r: (r["s"], r["chunk_id"]))[:2])}
+        got = graph.graph_evidence(starts, df, hops, 2)
+        assert {(r["anchor"], r["chunk_id"], r["pos"]) for r in got.collect()} == want
+        joins = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+        assert len(joins) == hops and sum("LeftAnti" in line for line in joins) == 0  # anchors meet nodes once, at the end
+
+
 def search(edges, seed, depth):
     """Breadth-first with a queue."""
     found, seen, queue = [], {seed}, deque([(seed, 0)])
