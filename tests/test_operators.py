@@ -487,3 +487,13 @@ def test_bundles_have_records_and_their_provenance(spark):
         with pytest.raises(Exception, match=what):
             testdata.bundles(bound(oracles, "APPROVED"), records).collect()
     assert testdata.bundles(bound(["X"], "DRAFT"), records).count() == 0
+
+
+def test_case_numbers_of_more_customers_than_six_digits_have(spark, tmp_path):
+    from attestra.plans.table_queries import case_numbers
+
+    spark.createDataFrame([(k,) for k in (500_000, 500_001, 500_002)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    assert {tuple(r) for r in case_numbers(spark, str(tmp_path)).collect()} == {(500_000, 1_100_001), (500_001, 1_100_002), (500_002, 1_100_003)}
+    some = spark.createDataFrame([("a", 999_999)], "k string, number int")
+    with pytest.raises(Exception, match="used up"):
+        store.allocate_numbers(some, spark.createDataFrame([("b",)], "k string"), "k").collect()
