@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Queries sent to the tasks at once, and vectors multiplied with them at once.
-QUERY_BLOCK, ROWS = 4_096, 512
+#: Queries sent to the tasks at once; vectors, and queries of these, that are multiplied at once.
+QUERY_BLOCK, ROWS, QUERIES = 4_096, 512, 256
 #: Vectors, those with the least hashes of their ids, on which centroids are fitted.
 SAMPLE_ROWS = 50_000
 FIT_ROUNDS = 12
+#: Pairs that a task holds at least before it forgets those beyond the k nearest.
+HELD = 100_000
 #: How far products may be off, as a share of the squared lengths.
 SLACK = 1e-9
 
@@ -42,11 +44,11 @@ def matrix(vectors: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return places[whole], rows[whole]
 
 
-def exact_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances of rows to rows, summed from the first entry to the last."""
-    out = np.zeros(len(a))
+def exact_distances(a: np.ndarray, b: np.ndarray, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows of ``a`` numbered ``rows`` to those of ``b`` numbered ``others``, summed from the first entry to the last, an entry at a time."""
+    out = np.zeros(len(rows))
     for j in range(a.shape[1]):
-        out += np.square(a[:, j] - b[:, j])
+        out += np.square(a[rows, j] - b[others, j])
     return out
 
 
@@ -58,21 +60,30 @@ class Nearest:
         self.squares = np.square(queries).sum(axis=1)
         self.bound = np.full(len(queries), np.inf)
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.n_held = 0
+        self.n_held, self.most = 0, max(HELD, 2 * k * len(queries))
 
     def add(self, ids: np.ndarray, rows: np.ndarray, which: np.ndarray | None = None) -> None:
         """Compare vectors with all queries, or with those numbered ``which``."""
         which = np.arange(len(self.queries)) if which is None else which
-        queries, squares = self.queries[which], self.squares[which]
         for at in range(0, len(rows), ROWS):
-            part = rows[at : at + ROWS]
-            lengths = np.square(part).sum(axis=1)
-            about = lengths[:, None] + squares[None, :] - 2 * (part @ queries.T)
-            row, query = np.nonzero(about <= (self.bound[which] + SLACK * (squares + lengths.max(initial=0)))[None, :])
-            self.held.append((which[query], exact_distances(part[row], queries[query]), ids[at + row]))
-            self.n_held += len(row)
-            if self.n_held > 4 * self.k * len(self.queries) + 100_000:
-                self.settle()
+            part, numbers = rows[at : at + ROWS], ids[at : at + ROWS]
+            for q in range(0, len(which), QUERIES):
+                self._compare(numbers, part, which[q : q + QUERIES])
+
+    def _compare(self, ids: np.ndarray, rows: np.ndarray, which: np.ndarray) -> None:
+        """A block of vectors with a block of queries; the k-th nearest of the block bounds what is held of it from the start."""
+        queries, squares = self.queries[which], self.squares[which]
+        lengths = np.square(rows).sum(axis=1)
+        about = lengths[:, None] + squares[None, :] - 2 * (rows @ queries.T)
+        slack = SLACK * (squares + lengths.max(initial=0))
+        if len(rows) >= self.k:
+            self.bound[which] = np.fmin(self.bound[which], np.partition(about, self.k - 1, axis=0)[self.k - 1] + slack)
+        row, query = np.nonzero(about <= (self.bound[which] + slack)[None, :])
+        self.held.append((which[query], exact_distances(rows, queries, row, query), ids[row]))
+        self.n_held += len(row)
+        if self.n_held > self.most:
+            self.settle()
+            self.most = max(HELD, 2 * self.n_held)
 
     def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query numbers, distances, ids) of the k nearest, ties by id; others are forgotten."""

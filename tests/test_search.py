@@ -61,6 +61,19 @@ def test_recall_of_the_inverted_file(spark, tmp_path):
     assert "list" in index.read([3]).select("list").distinct().columns and {r["list"] for r in index.read([3]).select("list").distinct().collect()} == {3}
 
 
+def test_the_first_block_holds_few_pairs():
+    rng = np.random.default_rng(4)
+    queries, rows = rng.random((1_000, 16)), rng.random((2_000, 16))
+    best, most = vector_index.Nearest(queries, 12), 0
+    for at in range(0, len(rows), 500):
+        best.add(np.arange(at, at + 500), rows[at : at + 500])
+        most = max(most, best.n_held)
+    assert most < 130_000  # of 500,000 pairs a part
+    query, distance, ids = best.settle()
+    true = np.square(queries[:, None, :] - rows[None, :, :]).sum(axis=2)
+    assert (ids.reshape(1_000, 12) == np.argsort(true, axis=1, kind="stable")[:, :12]).all()
+
+
 def test_an_index_of_nothing(spark, tmp_path):
     index = InvertedFile.build(spark.createDataFrame([(1, [1.0, 2.0])], VEC), str(tmp_path / "one"), 8)
     assert index.search(spark.createDataFrame([(5, [0.0, 0.0])], "query_id long, embedding array<float>"), 3, 2).collect()[0]["vec_id"] == 1
