@@ -115,8 +115,9 @@ def explicit_rows(text: Column, pattern: str = ID_ROW) -> Column:
     """Lines of an id and its text, as structs (id, text): each id at its first place, with the text of its last line."""
     lines = F.filter(F.transform(F.split(text, LINE_ENDS), collapse), lambda x: x.rlike(pattern))
     rows = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("id"), F.regexp_extract(x, pattern, 2).alias("text")))
-    ids = F.array_distinct(F.transform(rows, lambda r: r["id"]))
-    return F.transform(ids, lambda i: F.element_at(F.filter(rows, lambda r: r["id"] == i), -1))
+    both = F.transform(F.array(rows), lambda r: F.struct(F.reverse(r).alias("rows"), F.reverse(F.transform(r, lambda x: x["id"])).alias("ids")))
+    last = lambda b: F.transform(F.array_distinct(F.reverse(b["ids"])), lambda i: F.element_at(b["rows"], F.array_position(b["ids"], i).cast("int")))
+    return F.element_at(F.transform(both, last), 1)  # as elements of an array of one, lines are read once and not once an id
 
 
 def quote_candidates(text: Column) -> Column:

@@ -88,3 +88,11 @@ def test_leaves_placeholders_and_secrets(spark):
 def test_last_json_object():
     assert json_text.last_json_object('<think>{"x": 0}</think> ```json\n{"a": {"b": 1}} and {"c": 2}\n``` {') == '{"c": 2}'
     assert json_text.last_json_object("none {") is None
+
+
+def test_lines_are_read_once_and_not_once_an_id(spark):
+    lines = [f"BR-{k % 300} text {k}." for k in range(400)]
+    frame = spark.createDataFrame([("\n".join(lines),), (None,), ("no rows",)], "v string").select(text.explicit_rows(F.col("v")).alias("x"))
+    assert frame._jdf.queryExecution().analyzed().toString().count("split(") == 1
+    found, none, empty = [r["x"] for r in frame.collect()]
+    assert [tuple(r) for r in found] == [(f"BR-{k}", f"text {k + 300 if k < 100 else k}.") for k in range(300)] and none is None and empty == []
