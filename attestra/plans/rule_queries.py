@@ -15,6 +15,9 @@ from attestra.sources import pages, workbook
 
 R = Registry()
 
+#: Order lines whose words a task holds and sorts, about: some 700,000 words.
+LINES_OF_TASK = 100_000
+
 
 def _scratch(spark: SparkSession) -> str:
     return f"{graph.shared_folder(spark)}/attestra-{uuid.uuid4().hex}"
@@ -33,19 +36,31 @@ def _word(x: float, y: Column | float, text: Column | str) -> Column:
 
 
 def _page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as documents, their orders as pages: a note, a heading, a table of the order's lines (every other id is parted), a footer, a page number."""
-    number = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("doc_key"), number.alias("page"), "o_orderkey", "o_orderstatus")
+    """Customers as documents, their orders as pages: a note, a heading, a table of the order's lines (every other id is parted), a footer, a page number.
+
+    Orders with their lines are dealt by document before they become words, which are many
+    times as much; so partitions are not joined by their size, and there are as many as
+    leave a task ``LINES_OF_TASK`` lines or fewer on average.
+    """
+    of_order = F.collect_list(F.struct("n", "l_partkey")).alias("held")
+    lines = _numbered_lines(spark, sf_dir).groupBy("l_orderkey").agg(of_order)
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table(spark, sf_dir, "lineitem").count() // LINES_OF_TASK))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("doc_key"), "o_orderkey", "o_orderstatus")
+    dealt = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").repartition(n_parts, "doc_key")
+    pages_of = dealt.withColumn("page", F.row_number().over(Window.partitionBy("doc_key").orderBy("o_orderkey")))
     fixed = F.array(
         _word(40, 60, "Note"), _word(70, 60, "for"), _word(100, 60, F.col("o_orderstatus")), _word(40, 80, "1"), _word(60, 80, "Order"), _word(100, 80, F.col("o_orderkey")),
         _word(40, 100, "ID"), _word(120, 100, "Requirement"), _word(300, 780, "Draft "), _word(330, 780.5, "copy"), _word(40, 795, F.col("page")), _word(50, 795, "/"), _word(60, 795, "9"),
     )
-    y, whole = 112 + F.col("n") * 20, F.col("n") % 2 == 0
-    digits = F.lpad(F.col("n").cast("string"), 3, "0")
-    plain = F.array(_word(40, y, F.concat(F.lit("BR-"), digits)), _word(120, y, "part"), _word(150, y, F.col("l_partkey")))
-    parted = F.array(_word(40, y, "BR-"), _word(120, y, "part"), _word(150, y, F.col("l_partkey")), _word(40, y + 9, digits), _word(120, y + 9, "more"))
-    of_lines = orders.join(_numbered_lines(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey")).select("doc_key", "page", F.explode(F.when(whole, plain).otherwise(parted)).alias("w"))
-    words = orders.select("doc_key", "page", F.explode(fixed).alias("w")).unionByName(of_lines)
+
+    def of_line(line: Column) -> Column:
+        y, digits = 112 + line["n"] * 20, F.lpad(line["n"].cast("string"), 3, "0")
+        plain = F.array(_word(40, y, F.concat(F.lit("BR-"), digits)), _word(120, y, "part"), _word(150, y, line["l_partkey"]))
+        parted = F.array(_word(40, y, "BR-"), _word(120, y, "part"), _word(150, y, line["l_partkey"]), _word(40, y + 9, digits), _word(120, y + 9, "more"))
+        return F.when(line["n"] % 2 == 0, plain).otherwise(parted)
+
+    of_lines = F.flatten(F.transform(F.coalesce("held", F.array()), of_line))
+    words = pages_of.select("doc_key", "page", F.explode(F.concat(fixed, of_lines)).alias("w"))
     return words.select("doc_key", "page", F.lit(842.0).alias("page_height"), "w.x", "w.y0", (F.col("w.y0") + 8).alias("y1"), "w.word")
 
 

@@ -30,33 +30,45 @@ def page_lines(words: DataFrame, tolerance: float = 2.5) -> DataFrame:
     """(doc_key, page, page_height, x, y0, y1, word) to visual lines (doc_key, page, line, y0, y1, page_height, text, words).
 
     From top to bottom, a word whose top is within ``tolerance`` of its line's first word is
-    on that line; a fold over the words of a page. ``words`` holds (x, word) from left to right.
+    on that line; a fold over the words of a page, whose lines are runs of its words.
+    ``words`` holds (x, word) from left to right. Words that were dealt by ``doc_key``
+    before are not dealt again, here or by ``without_page_noise``.
     """
     held = F.array_sort(F.collect_list(F.struct("y0", "x", "word", "y1")))
     pages = words.groupBy("doc_key", "page").agg(held.alias("w"), F.max("page_height").alias("page_height"))
-    start = F.struct(F.lit(None).cast("double").alias("top"), F.lit(-1).alias("line"), F.array().cast("array<int>").alias("lines"))
+    start = F.struct(F.lit(None).cast("double").alias("top"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins"))
 
     def step(acc, w):
-        new = F.coalesce(w["y0"] - acc["top"] > tolerance, F.lit(True))
-        line = F.when(new, acc["line"] + 1).otherwise(acc["line"])
-        return F.struct(F.when(new, w["y0"]).otherwise(acc["top"]).alias("top"), line.alias("line"), F.concat(acc["lines"], F.array(line)).alias("lines"))
-
-    numbered = F.zip_with("w", F.aggregate("w", start, step, lambda acc: acc["lines"]), lambda w, k: F.struct(k.alias("line"), w.alias("w")))
-    each = pages.select("doc_key", "page", "page_height", F.explode(numbered).alias("n")).select("doc_key", "page", "page_height", "n.line", "n.w.*")
-    words_of = F.array_sort(F.collect_list(F.struct(F.col("x").cast("double").alias("x"), "word"))).alias("words")
-    lines = each.groupBy("doc_key", "page", "line").agg(F.min("y0").cast("double").alias("y0"), F.max("y1").cast("double").alias("y1"), F.max("page_height").alias("page_height"), words_of)
+        new, at = F.coalesce(w["y0"] - acc["top"] > tolerance, F.lit(True)), acc["at"] + 1
+        begins = F.when(new, F.concat(acc["begins"], F.array(at))).otherwise(acc["begins"])
+        return F.struct(F.when(new, w["y0"]).otherwise(acc["top"]).alias("top"), at.alias("at"), begins.alias("begins"))
+
+    # places from 1 on, and one after the last
+    begins = F.aggregate("w", start, step, lambda acc: F.concat(acc["begins"], F.array(acc["at"] + 1)))
+    begun = pages.select("doc_key", "page", "page_height", "w", begins.alias("begins"))
+    runs = F.transform(F.sequence(F.lit(0), F.size("begins") - 2), lambda k: F.slice("w", F.get("begins", k), F.get("begins", k + 1) - F.get("begins", k)))
+    each = begun.select("doc_key", "page", "page_height", F.posexplode(runs).alias("line", "run"))
+    y0 = F.array_min(F.transform("run", lambda w: w["y0"])).cast("double").alias("y0")
+    y1 = F.array_max(F.transform("run", lambda w: w["y1"])).cast("double").alias("y1")
+    words_of = F.array_sort(F.transform("run", lambda w: F.struct(w["x"].cast("double").alias("x"), w["word"].alias("word")))).alias("words")
+    lines = each.select("doc_key", "page", "line", y0, y1, "page_height", words_of)
     text = F.trim(F.array_join(F.transform("words", lambda x: x["word"]), " "))
     return lines.select("doc_key", "page", "line", "y0", "y1", "page_height", text.alias("text"), "words")
 
 
 def without_page_noise(lines: DataFrame, top: float = 35.0, bottom: float = 55.0) -> DataFrame:
-    """Lines without header and footer texts found on two pages or more, page numbers in the footer, and empty lines; texts are compared normalized."""
+    """Lines without header and footer texts found on two pages or more, page numbers in the footer, and empty lines; texts are compared normalized.
+
+    Lines are made and read once: a text is on two pages or more if the first and the last
+    page that has it at an edge differ.
+    """
     lines = lines.withColumn("_text", normalize_text(F.col("text"))).filter("_text <> ''")
     low = F.col("y1") > F.col("page_height") - bottom
-    edge = (F.col("y0") < top) | low
-    noise = lines.filter(edge).groupBy("doc_key", "_text").agg(F.countDistinct("page").alias("n")).filter("n >= 2").select("doc_key", "_text")
-    repeated = lines.filter(edge).join(noise, ["doc_key", "_text"], "left_semi").select("doc_key", "page", "line")
-    return lines.filter(~(F.col("_text").rlike(r"^\d+\s*/\s*\d+$") & low)).join(repeated, ["doc_key", "page", "line"], "left_anti").drop("_text")
+    edge = F.coalesce((F.col("y0") < top) | low, F.lit(False))
+    at_edge, of_text = F.when(edge, F.col("page")), Window.partitionBy("doc_key", "_text")
+    repeated = edge & F.col("doc_key").isNotNull() & F.col("page").isNotNull() & (F.min(at_edge).over(of_text) < F.max(at_edge).over(of_text))
+    left = lines.withColumn("_repeated", F.coalesce(repeated, F.lit(False))).filter("not _repeated")
+    return left.filter(~(F.col("_text").rlike(r"^\d+\s*/\s*\d+$") & low)).drop("_text", "_repeated")
 
 
 @dataclass(frozen=True)

@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import Row
+
 from attestra.sources import pages
 from attestra.sources.pages import Line, page_items
 
@@ -146,3 +148,17 @@ def test_noise_is_compared_normalized(spark):
 
 def test_no_words(spark):
     assert pages.page_blocks(pages.without_page_noise(pages.page_lines(spark.createDataFrame([], WORD)))).count() == 0
+
+
+def test_words_dealt_by_document_are_dealt_no_more_and_read_once(spark):
+    words = [("d", p, HEIGHT, 40.0, y, y + 8, w) for p in (1, 2) for y, w in ((20.0, "Draft"), (100.0, f"body{p}"))]
+    dealt = spark.createDataFrame(words, WORD).repartition(3, "doc_key")
+    plan = pages.without_page_noise(pages.page_lines(dealt))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Scan ") == 1
+
+
+def test_page_numbers_count_as_texts_of_edges(spark):
+    at = [(1, 20.0, "3 / 9"), (2, 800.0, "3 / 9"), (3, 100.0, "3 / 9"), (None, 20.0, "3 / 9")]
+    words = spark.createDataFrame([(d, p, HEIGHT, 40.0, y, y + 8, w) for d in ("d", None) for p, y, w in at], WORD)
+    got = pages.without_page_noise(pages.page_lines(words)).select("doc_key", "page", "y0").collect()
+    assert sorted(map(str, got)) == sorted(map(str, [Row(doc_key="d", page=3, y0=100.0), Row(doc_key="d", page=None, y0=20.0), *(Row(doc_key=None, page=p, y0=y) for p, y in ((1, 20.0), (3, 100.0), (None, 20.0)))]))
