@@ -163,22 +163,28 @@ def share(spark: SparkSession, known: dict[bytes, int]) -> SharedDict:
     return SharedDict.of(spark, pa.array(list(known), pa.binary()), pa.array(list(known.values()), pa.int32()))
 
 
+#: Bytes of a network that meet those of its other copies, and go to the driver, as one row; of whole 4-byte numbers.
+BLOCK_BYTES = 1 << 14
+
+
 def average(models: DataFrame, start: np.ndarray, n_parts: int) -> np.ndarray:
-    """The mean of the copies, weighted by their tokens, summed by ``n_parts`` tasks and then by place."""
+    """The mean of the copies (flat, tokens), weighted by their tokens, summed block by block in ``n_parts`` tasks; the driver gets a row for each block."""
+    places = F.sequence(F.lit(0), F.lit(-(-start.nbytes // BLOCK_BYTES) - 1))
+    cut = F.transform(places, lambda k: F.substring("flat", k * BLOCK_BYTES + 1, F.lit(BLOCK_BYTES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, tokens = np.zeros(len(start)), 0
+        held: dict[int, tuple[np.ndarray, int]] = {}
         for batch in batches:
-            for flat, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total += n * np.frombuffer(flat, dtype=np.float32)
-                tokens += n
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([tokens], pa.int64())], names=["total", "tokens"])
-
-    summed = map_arrow(models.repartition(n_parts), "total array<double>, tokens long", run).filter("tokens > 0")
-    places = summed.select("tokens", F.posexplode("total").alias("at", "value")).groupBy("at").agg(F.sum("value").alias("value"), F.sum("tokens").alias("tokens"))
-    out = start.copy()
-    for r in places.collect():
-        out[r["at"]] = r["value"] / r["tokens"]
+            for k, data, n in zip(*(c.to_pylist() for c in batch.columns)):
+                total, tokens = held.get(k, (0.0, 0))
+                held[k] = total + n * np.frombuffer(data, dtype=np.float32).astype(np.float64), tokens + n
+        means = [(total / tokens).astype(np.float32).tobytes() for total, tokens in held.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(means, pa.binary())], names=["block", "mean"])
+
+    blocks = models.select(F.posexplode(cut).alias("block", "data"), "tokens").repartition(n_parts, "block")
+    out, step = start.copy(), BLOCK_BYTES // 4
+    for r in map_arrow(blocks, "block int, mean binary", run).collect():
+        out[r["block"] * step : (r["block"] + 1) * step] = np.frombuffer(r["mean"], dtype=np.float32)
     return out
 
 
@@ -202,7 +208,7 @@ def train(texts: DataFrame, counts: Counts, shape: gru.Shape, rounds: int) -> np
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary()), pa.array([tokens], pa.int64())], names=["flat", "tokens"])
 
-        models = materialize(map_arrow(texts.filter(F.col("round") == k).repartition(n_tasks, *order).sortWithinPartitions(*order).select("text"), "flat binary, tokens long", run))
+        models = map_arrow(texts.filter(F.col("round") == k).repartition(n_tasks, *order).sortWithinPartitions(*order).select("text"), "flat binary, tokens long", run)
         flat = average(models, flat, n_parts)
     return flat
 

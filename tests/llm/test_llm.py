@@ -292,6 +292,17 @@ def test_the_inputs_partitions_do_not_change_what_is_learned(docs):
     assert all(one[k]["score"] == pytest.approx(many[k]["score"], rel=1e-6) for k in one)
 
 
+def test_the_driver_gets_the_mean_of_networks_in_blocks(spark, monkeypatch):
+    rng, got = np.random.default_rng(4), []
+    copies = [(rng.normal(size=10_000).astype(np.float32), n) for n in (3, 5, 11)]
+    models = spark.createDataFrame([(bytearray(flat.tobytes()), n) for flat, n in copies], "flat binary, tokens long").repartition(3)
+    collect = type(models).collect
+    monkeypatch.setattr(type(models), "collect", lambda self: got.append(collect(self)) or got[-1])
+    mean = lm.average(models, np.zeros(10_000, dtype=np.float32), 2)
+    assert mean == pytest.approx(sum(n * flat for flat, n in copies) / 19, abs=1e-5) and sum(map(len, got)) <= 10
+    assert (lm.average(models.limit(0), copies[0][0], 2) == copies[0][0]).all()
+
+
 def test_the_network_learns_and_its_gradients_are_right():
     shape = gru.Shape(4, 3, 3)
     rng = np.random.default_rng(0)
