@@ -11,7 +11,8 @@ leftmost of equals. What no piece covers falls back to bytes, or to the unknown
 
 The words' ids come back to the texts in two ways: those of the most frequent words are
 sent to every task, up to a fixed number; those of other words are joined to the texts
-that have them. A fold's state is the bits of a long, so words beyond ``FOLD_CHARS``
+that have them. What comes back is packed: ids as bytes, without the word if the ids tell
+it, and texts compressed. A fold's state is the bits of a long, so words beyond ``FOLD_CHARS``
 characters (a text without spaces is one) are merged with a heap instead, in time
 proportional to their length.
 """
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import SharedDict, documents_of, map_arrow, materialize
+from attestra.llm.common import SharedDict, discard, documents_of, map_arrow, materialize
 from attestra.llm.lm import frequent
 
 MODEL = "piece_bpe_32k.model"
@@ -38,7 +39,11 @@ SPACE = "▁"
 #: Words whose ids are sent to every task, the most frequent ones; at some 150 bytes each.
 KNOWN_WORDS = 200_000
 #: Words that a task counts before it sends their counts on.
-COUNTED = 200_000
+COUNTED = 100_000
+#: Rows of counts that go to the JVM at once.
+SENT_ROWS = 10_000
+#: How texts are compressed on their way to their words.
+TEXT_CODEC = "zstd"
 #: Characters of a word up to which it is folded; its boundaries are bits of a long.
 FOLD_CHARS = 60
 BPE, UNIGRAM = 2, 1
@@ -102,15 +107,17 @@ def distinct_words(docs: DataFrame, pieces: Pieces) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 counts.update(find(escaped(text)))
                 if len(counts) > COUNTED:
-                    yield _counts(counts)
+                    yield from _counts(counts)
                     counts = Counter()
-        yield _counts(counts)
+        yield from _counts(counts)
 
     return map_arrow(docs.select("text"), "word string, n long", run).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _counts(counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+def _counts(counts: Counter) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+    for at in range(0, whole.num_rows, SENT_ROWS):
+        yield whole.slice(at, SENT_ROWS)
 
 
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -222,16 +229,36 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     return folded.unionByName(map_arrow(long.repartition("word"), "word string, ids array<int>", run))
 
 
-def _as_bytes(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<i4").tobytes()
+def id_type(pieces: Pieces) -> str:
+    """What packed ids are, as numpy has it."""
+    return "<u2" if len(piece_texts(pieces)) <= 1 << 16 else "<i4"
 
 
-def piece_texts(pieces: Pieces) -> list[bytes]:
-    """What each id stands for when decoded."""
+def packed(encoded: DataFrame, pieces: Pieces) -> DataFrame:
+    """(word, ids) with the ids as bytes."""
+    kind = np.dtype(id_type(pieces))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(1)
+            ends = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]) * kind.itemsize
+            data = ids.flatten().to_numpy().astype(kind).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])], names=["word", "ids"])
+
+    return map_arrow(encoded.select("word", "ids"), "word string, ids binary", run)
+
+
+def _as_bytes(ids: bytes, kind: str) -> bytes:
+    """Packed ids as those of 4 bytes that a text's are made of."""
+    return np.frombuffer(ids, dtype=kind).astype("<i4").tobytes()
+
+
+def piece_texts(pieces: Pieces, space: str = " ") -> list[bytes]:
+    """What each id stands for when decoded; ``SPACE`` becomes ``space``."""
     n = max([i for _, i, _ in pieces.rows] + [pieces.unknown, (pieces.first_byte or 0) + 255]) + 1
     out = [b""] * n
     for p, i, _ in pieces.rows:
-        out[i] = p.replace(SPACE, " ").encode()
+        out[i] = p.replace(SPACE, space).encode()
     if pieces.first_byte is not None:
         for b in range(256):
             out[pieces.first_byte + b] = bytes([b])
@@ -326,28 +353,45 @@ def rare_words(docs: DataFrame, known: SharedDict, pieces: Pieces) -> DataFrame:
     return map_arrow(docs.select("key", "text"), "key long, word string", run)
 
 
+def compressed(docs: DataFrame) -> DataFrame:
+    """doc_id, key, size, data: the text's bytes, and the text compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec(TEXT_CODEC)
+        for batch in batches:
+            texts = [x.encode() for x in batch.column(2).to_pylist()]
+            data = pa.array([codec.compress(x, asbytes=True) for x in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(len, texts)), pa.int32()), data], names=["doc_id", "key", "size", "data"])
+
+    return map_arrow(docs.select("doc_id", "key", "text"), "doc_id long, key long, size int, data binary", run)
+
+
 def assemble(docs: DataFrame, known: SharedDict, pieces: Pieces) -> DataFrame:
-    """Documents (doc_id, text, rare: their other words with ids) to their ids, decoded again as a check."""
-    pattern, texts = word_pattern(pieces), piece_texts(pieces)
+    """Documents (doc_id, size, data: their text compressed, rare: the ids of their other words, with the word where ids don't tell it) to their ids, decoded again as a check."""
+    pattern, texts, kind = word_pattern(pieces), piece_texts(pieces), id_type(pieces)
+    whole = piece_texts(pieces, SPACE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, table = re.compile(pattern).findall, known.value
+        find, table, codec = re.compile(pattern).findall, known.value, pa.Codec(TEXT_CODEC)
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
                 part = batch.slice(at, 250)
                 data, same = [], []
-                rare = part.column(2)
-                own_words, own_ids = rare.flatten().flatten()
-                flat, ends = own_ids.flatten().to_numpy().astype("<i4", copy=False).tobytes(), np.cumsum(own_ids.value_lengths().to_numpy(zero_copy_only=False) * 4).tolist()
-                own = list(zip(own_words.to_pylist(), (flat[a:b] for a, b in zip([0, *ends], ends))))
+                rare = part.column(3)
+                own_ids, own_words = (x.to_pylist() for x in rare.flatten().flatten())
                 first = 0
-                for text, n_own in zip(part.column(1).to_pylist(), rare.value_lengths().fill_null(0).to_pylist()):
-                    others = dict(own[first : first + n_own])
+                for size, held, n_own in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), rare.value_lengths().fill_null(0).to_pylist()):
+                    text = codec.decompress(held, size, asbytes=True).decode()
+                    others = {}
+                    for ids, word in zip(own_ids[first : first + n_own], own_words[first : first + n_own]):
+                        if word is None:
+                            word = b"".join([whole[i] for i in np.frombuffer(ids, dtype=kind).tolist()]).decode()
+                        others[word] = ids
                     first += n_own
                     words = find(escaped(text))
                     got = list(map(table.get, words))
                     if None in got:
-                        got = [others[w] if x is None else x for w, x in zip(words, got)]
+                        got = [_as_bytes(others[w], kind) if x is None else x for w, x in zip(words, got)]
                     data.append(b"".join(got))
                     same.append(decode_ids(np.frombuffer(data[-1], dtype="<i4").tolist(), texts) == text.replace(SPACE, " "))
                 counts = np.array([len(x) // 4 for x in data], dtype=np.int64)
@@ -355,7 +399,7 @@ def assemble(docs: DataFrame, known: SharedDict, pieces: Pieces) -> DataFrame:
                 values = pa.Array.from_buffers(pa.int32(), int(bounds[-1]), [None, pa.py_buffer(b"".join(data))])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids", "round_trip"])
 
-    return map_arrow(docs.select("doc_id", "text", "rare"), ENCODED, run)
+    return map_arrow(docs.select("doc_id", "size", "data", "rare"), ENCODED, run)
 
 
 def encode_documents(df: DataFrame, model: str = MODEL, known_words: int = KNOWN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -369,11 +413,17 @@ def encode_documents(df: DataFrame, model: str = MODEL, known_words: int = KNOWN
     # the key only brings words to texts; texts that share one get each other's words too
     docs = documents_of(df, id_col, text_col).withColumn("key", F.xxhash64("doc_id", "text"))
     counted = materialize(distinct_words(docs, pieces))
-    encoded = materialize(encode_words(counted, pieces))
+    encoded = materialize(packed(encode_words(counted, pieces), pieces))
     top = encoded.join(frequent(counted, known_words, "n", "word").select("word"), "word", "left_semi")
-    rows = [(r["word"], _as_bytes(r["ids"])) for r in top.toLocalIterator()]
+    kind = id_type(pieces)
+    rows = [(r["word"], _as_bytes(r["ids"], kind)) for r in top.toLocalIterator()]
     known = SharedDict.of(df.sparkSession, pa.array([w for w, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.binary()))
-    pairs = rare_words(docs, known, pieces)
+    # with bytes for what no piece covers, the ids tell the word
+    word = F.when(F.lit(pieces.first_byte is None), F.col("word")).alias("word")
+    # a statement of its own, so that its shuffle files and the words' tables are gone when the texts are dealt
+    pairs = materialize(rare_words(docs, known, pieces).join(encoded, "word").select("key", "ids", word))
+    for table in (counted, encoded):
+        discard(table)
     # a set: equal rows send the same words, which are kept once
-    rare = pairs.join(encoded, "word").groupBy("key").agg(F.collect_set(F.struct("word", "ids")).alias("rare"))
-    return assemble(docs.join(rare, "key", "left"), known, pieces)
+    rare = pairs.groupBy("key").agg(F.collect_set(F.struct("ids", "word")).alias("rare"))
+    return assemble(compressed(docs).join(rare, "key", "left"), known, pieces)

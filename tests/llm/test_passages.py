@@ -163,3 +163,24 @@ def test_repeated_rows_make_pairs_and_words_in_proportion(spark, words):
     finally:
         sentencepiece.assemble = kept
     assert len(got) == 1_000 and all(r["round_trip"] for r in got) and seen[0] <= 6_000
+
+
+def test_texts_meet_their_words_compressed_and_as_ids_alone(spark, monkeypatch):
+    kept, seen = sentencepiece.assemble, []
+
+    def watch(docs, *rest):
+        seen.append((docs.columns, docs.selectExpr("sum(length(data))", "sum(size(rare))", "sum(size(filter(rare, x -> x.word is not null)))").first()))
+        return kept(docs, *rest)
+
+    monkeypatch.setattr(sentencepiece, "assemble", watch)
+    text = "zq xk 日本 🙂\t▁vj " * 200
+    got = sentencepiece.encode_documents(spark.createDataFrame([(1, text), (2, text)], SCHEMA), known_words=0).collect()
+    assert len(got) == 2 and all(r["round_trip"] for r in got)
+    columns, (n_bytes, n_words, n_told) = seen[0]
+    assert "text" not in columns and n_bytes < len(text) / 10 and n_words > 4 and n_told == 0
+
+
+def test_counts_go_to_the_jvm_in_slices():
+    counts = {f"w{k}": k for k in range(25_000)}
+    sizes = [batch.num_rows for batch in sentencepiece._counts(counts)]
+    assert sum(sizes) == 25_000 and max(sizes) <= 10_000
