@@ -1,13 +1,14 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-No piece goes on after a word's end into the next white space, so a text is a row of
-words (white space first) that are encoded one by one. Each distinct word is encoded once:
+No piece goes on after a word's end into the next white space, nor from a letter to a sign
+if no piece has both, so a text is a row of words (white space first; of characters that
+pieces can join) that are encoded one by one. Each distinct word is encoded once:
 its substrings, up to the longest piece, are exploded and joined to the piece table; the
-edges found are grouped by word; and a fold over them, with higher-order functions, gives
-the word's pieces. For a unigram model the fold is Viterbi: the path of the best sum of
-scores. For a BPE model that path is not what the library gives, so there the fold merges:
-each step takes the best-scored edge that spans exactly two of the current symbols, the
-leftmost of equals. What no piece covers falls back to bytes, or to the unknown piece.
+edges found are grouped by word; and a fold over them gives the word's pieces. For a unigram
+model the fold is Viterbi, with higher-order functions: the path of the best sum of
+scores. For a BPE model that path is not what the library gives, so there the fold merges,
+the words of an Arrow batch at once: each step takes the best-scored edge that spans exactly
+two of the current symbols, the leftmost of equals. What no piece covers falls back to bytes, or to the unknown piece.
 
 The words' ids come back to the texts in two ways: those of the most frequent words are
 sent to every task, up to a fixed number; those of other words are joined to the texts
@@ -46,6 +47,10 @@ SENT_ROWS = 10_000
 TEXT_CODEC = "zstd"
 #: Characters of a word up to which it is folded; its boundaries are bits of a long.
 FOLD_CHARS = 60
+#: Bits of an edge's id (and of its score's rank), and of its start (and length).
+ID_BITS, PLACE_BITS = 20, 6
+#: Bits of an edge; those above tell the word of a batch.
+EDGE_BITS = 2 * ID_BITS + 2 * PLACE_BITS
 BPE, UNIGRAM = 2, 1
 
 
@@ -89,12 +94,20 @@ def load_pieces(file: str) -> Pieces:
     return Pieces(model.trainer_spec.model_type, rows, bytes_at[0] if len(bytes_at) == 256 else None, unknown, alone, max(len(p) for p, _, _ in rows))
 
 
+def joined_characters(pieces: Pieces) -> list[str]:
+    """Characters by group: no piece has characters of two groups, or another character than white space besides one that is in none."""
+    groups: list[set[str]] = []
+    for chars in {frozenset(p.lstrip(SPACE)) for p, _, _ in pieces.rows if len(p.lstrip(SPACE)) > 1}:
+        met = [g for g in groups if g & chars]
+        groups = [g for g in groups if not g & chars] + [set(chars).union(*met)]
+    return sorted("".join(sorted(g)) for g in groups)
+
+
 def word_pattern(pieces: Pieces) -> str:
-    """White space and what follows it, or a control character that no longer piece has."""
-    if not pieces.alone:
-        return f"{SPACE}*[^{SPACE}]+|{SPACE}+"
-    a = "".join({"\n": "\\n", "\r": "\\r", "\t": "\\t"}[c] for c in pieces.alone)
-    return f"[{a}]|{SPACE}*[^{SPACE}{a}]+|{SPACE}+"
+    """White space and the run of characters after it that pieces can join, or the one character that none joins; or a control character that no longer piece has."""
+    runs = [f"{SPACE}*[{re.escape(g)}]+" for g in joined_characters(pieces)]
+    alone = [f"[{re.escape(pieces.alone)}]"] if pieces.alone else []
+    return "|".join([*sorted(runs, key=len, reverse=True), *alone, f"{SPACE}*[^{SPACE}{re.escape(pieces.alone)}]", f"{SPACE}+"])
 
 
 def distinct_words(docs: DataFrame, pieces: Pieces) -> DataFrame:
@@ -121,22 +134,34 @@ def _counts(counts: Counter) -> Iterator[pa.RecordBatch]:
 
 
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, size, edges) with an edge (start, end, score, id, ends, between) for each substring that is a piece; words of ``FOLD_CHARS`` at most."""
+    """(word, size, edges) with an edge for each substring that is a piece; words of ``FOLD_CHARS`` at most.
+
+    An edge is (start, end, score, id), or for a BPE model one long, whose order is that of
+    merges: the rank of the score, the best first; the start; the length; the id.
+    """
     spark = words.sparkSession
-    table = F.broadcast(spark.createDataFrame(list(pieces.rows), "piece string, id int, score double"))
+    if pieces.kind == BPE:
+        if len(pieces.rows) > 1 << ID_BITS or max(i for _, i, _ in pieces.rows) >= 1 << ID_BITS:
+            raise ValueError(f"models of more than {1 << ID_BITS} pieces are not read")
+        rank = {score: k for k, score in enumerate(sorted({score for _, _, score in pieces.rows}, reverse=True))}
+        rows, schema = [(p, (rank[score] << ID_BITS + 2 * PLACE_BITS) + i) for p, i, score in pieces.rows], "piece string, code long"
+        place = lambda x, bits: F.shiftleft(x.cast("long"), bits)
+        edge = F.col("code") + place(F.col("start"), ID_BITS + PLACE_BITS) + place(F.col("end") - F.col("start"), ID_BITS)
+        found = F.col("code").isNotNull()
+    else:
+        rows, schema, edge, found = list(pieces.rows), "piece string, id int, score double", F.struct("start", "end", "score", "id"), F.col("id").isNotNull()
+    table = F.broadcast(spark.createDataFrame(rows, schema))
     size = F.length("word")
     # a word is little to read and much to fold, so partitions are not joined by their size
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    starts = words.select("word").repartition(n_parts, "word").select("word", size.alias("size"), F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
-    ends = starts.select("word", "size", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("size"), F.col("start") + pieces.longest))).alias("end"))
+    dealt = words.select("word").repartition(n_parts, "word").select("word", size.alias("size"), F.monotonically_increasing_id().alias("row"))
+    starts = dealt.select("word", "size", "row", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
+    ends = starts.select("word", "size", "row", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("size"), F.col("start") + pieces.longest))).alias("end"))
     joined = ends.withColumn("piece", F.expr("substring(word, start + 1, end - start)")).join(table, "piece", "left")
     # a word's first character stays, so that a word without an edge does
-    kept = joined.filter(F.col("id").isNotNull() | ((F.col("start") == 0) & (F.col("end") == 1)))
-    # as bits of a long: the edge's ends, and the boundaries between them
-    ends, between = _bit(F.col("start")).bitwiseOR(_bit(F.col("end"))), _bit(F.col("end")) - _bit(F.col("start") + 1)
-    edge = F.struct("start", "end", "score", "id", ends.alias("ends"), between.alias("between"))
-    # dealt by word before, so a word's edges are where the word was
-    return kept.groupBy("word").agg(F.first("size").alias("size"), F.collect_list(F.when(F.col("id").isNotNull(), edge)).alias("edges"))
+    kept = joined.filter(found | ((F.col("start") == 0) & (F.col("end") == 1)))
+    # dealt by word before, so a word's edges are where the word was; in the order of ``row``, so they need little sorting
+    return kept.groupBy("row", "word").agg(F.collect_list(F.when(found, edge)).alias("edges")).select("word", F.length("word").alias("size"), "edges")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -144,29 +169,34 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _bit(k: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), k)
-
-
-def merges_in_order(edges: Column) -> Column:
-    """Edges of two characters or more, the best score first, the leftmost of equals."""
-    longer = F.filter(edges, lambda e: e["end"] - e["start"] > 1)
-    ordered = F.array_sort(F.transform(longer, lambda e: F.struct((-e["score"]).alias("cost"), e["start"].alias("start"), e["ends"].alias("ends"), e["between"].alias("between"))))
-    return F.transform(ordered, lambda e: F.struct(e["ends"].alias("ends"), e["between"].alias("between")))
-
-
-def merge_fold(merges: Column, size: Column) -> Column:
-    """The boundaries left after all merges, as bits: each step takes the first merge both of whose ends are boundaries, with one more between them."""
+def merge_edges(edges: np.ndarray, of: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """BPE merges of all words of a batch at once, by their edges (longs, each with its word's place ``of``).
 
-    def step(mask: Column, _: Column) -> Column:
-        can = lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["between"])) == 1)
-        return F.coalesce(mask.bitwiseAND(F.bitwise_not(F.get(F.filter(merges, can), F.lit(0))["between"])), mask)
-
-    return F.aggregate(F.sequence(F.lit(1), size), _bit(size + 1) - 1, step)
-
-
-def set_bits(mask: Column, size: Column) -> Column:
-    return F.filter(F.sequence(F.lit(0), size), lambda k: F.call_function("shiftrightunsigned", mask, k).bitwiseAND(F.lit(1).cast("long")) == 1)
+    Each step takes of each word the first edge, in the order of merges, both of whose ends
+    are boundaries, with one more between them. Boundaries are bits of a long, and only go,
+    so an edge that lost an end, or has none between its ends, is not looked at again.
+    Returns the boundaries left, and the ids of the edges from one to the next with their words, in order.
+    """
+    edges = np.sort((of.astype(np.int64) << EDGE_BITS) | edges)
+    of, number = edges >> EDGE_BITS, edges & ((1 << ID_BITS) - 1)
+    start, size = (edges >> ID_BITS + PLACE_BITS) & ((1 << PLACE_BITS) - 1), (edges >> ID_BITS) & ((1 << PLACE_BITS) - 1)
+    bit = np.int64(1)
+    ends, between = (bit << start) | (bit << start + size), (bit << start + size) - (bit << start + 1)
+    mask = (bit << sizes.astype(np.int64) + 1) - 1
+    left = np.flatnonzero(size > 1)
+    while len(left):
+        now = mask[of[left]]
+        keep = ((now & ends[left]) == ends[left]) & ((now & between[left]) != 0)
+        left, inner = left[keep], (now & between[left])[keep]
+        can = left[(inner & (inner - 1)) == 0]
+        first = can[np.diff(of[can], prepend=-1) != 0]
+        mask[of[first]] &= ~between[first]
+        if not len(first):
+            break
+    now = mask[of]
+    chosen = np.flatnonzero(((now & ends) == ends) & ((now & between) == 0))
+    chosen = chosen[np.lexsort((start[chosen], of[chosen]))]
+    return mask, number[chosen], of[chosen]
 
 
 def viterbi_fold(edges: Column, size: Column, unknown_score: float) -> Column:
@@ -193,12 +223,48 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
         raise ValueError("only unigram and BPE models are read")
     whole = words.select("word")
     held = lattice(whole.filter(F.length("word") <= FOLD_CHARS), pieces)
-    edges, size = F.col("edges"), F.col("size")
+    long = whole.filter(F.length("word") > FOLD_CHARS).repartition("word")
     if pieces.kind == BPE:
-        mask = let(merges_in_order(edges), lambda m: merge_fold(m, size))
-    else:
-        bounds = viterbi_fold(edges, size, min(s for _, _, s in pieces.rows) - 10.0)
-        mask = F.aggregate(bounds, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(_bit(k)))
+        return merged_words(held.unionByName(long, allowMissingColumns=True), pieces)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merger = LongWords(pieces)
+        for batch in batches:
+            ids = [merger.ids(w) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+
+    return best_paths(held, pieces).unionByName(map_arrow(long, "word string, ids array<int>", run))
+
+
+def merged_words(held: DataFrame, pieces: Pieces) -> DataFrame:
+    """(word, ids) of words with their edges; of words without any, which are too long for bits of a long, by a heap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merger = LongWords(pieces)
+        for batch in batches:
+            words, edges = batch.column(0), batch.column(2)
+            sizes = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False)
+            counts = edges.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            mask, ids, of = merge_edges(edges.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(words)), counts), sizes)
+            got = np.bincount(of, minlength=len(words))
+            bounds = np.concatenate([[0], np.cumsum(got)])
+            parts = [ids[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+            # where some symbol has no edge, symbol by symbol
+            for k in np.flatnonzero((got != np.bitwise_count(mask) - 1) | (sizes == 0)).tolist():
+                word = words[k].as_py()
+                parts[k] = np.array(merger.ids(word) if not sizes[k] else merger.ids_between(word, int(mask[k])), dtype=np.int64)
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+            values = pa.array(np.concatenate([ids[:0], *parts]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([words, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["word", "ids"])
+
+    return map_arrow(held.select("word", "size", "edges"), "word string, ids array<int>", run)
+
+
+def best_paths(held: DataFrame, pieces: Pieces) -> DataFrame:
+    """(word, ids) of the best path through a unigram model's edges."""
+    size = F.col("size")
+    bounds = viterbi_fold(F.col("edges"), size, min(s for _, _, s in pieces.rows) - 10.0)
+    symbols = let(bounds, lambda b: F.transform(F.sequence(F.lit(1), F.size(b) - 1), lambda k: F.struct(F.get(b, k - 1).alias("a"), F.get(b, k).alias("b"))))
 
     def ids_of(s: Column) -> Column:
         found = F.filter("edges", lambda e: (e["start"] == s["a"]) & (e["end"] == s["b"]))
@@ -210,23 +276,7 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
             other = F.transform(F.sequence(F.lit(1), (F.length(code) / 2).cast("int")), pair)
         return F.when(F.size(found) > 0, F.transform(found, lambda e: e["id"])).otherwise(other)
 
-    def ids_at(m: Column) -> Column:
-        """The ids of the edges from one boundary to the next; where some symbol has no edge, symbol by symbol."""
-        chosen = F.filter(edges, lambda e: (m.bitwiseAND(e["ends"]) == e["ends"]) & (m.bitwiseAND(e["between"]) == 0))
-        in_order = lambda c: F.transform(F.array_sort(F.transform(c, lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id")))), lambda e: e["id"])
-        symbols = let(set_bits(m, size), lambda b: F.transform(F.sequence(F.lit(1), F.size(b) - 1), lambda k: F.struct(F.get(b, k - 1).alias("a"), F.get(b, k).alias("b"))))
-        return let(chosen, lambda c: F.when(F.size(c) == F.bit_count(m) - 1, in_order(c)).otherwise(F.flatten(F.transform(symbols, ids_of))))
-
-    folded = held.select("word", let(mask, ids_at).alias("ids"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger = LongWords(pieces)
-        for batch in batches:
-            ids = [merger.ids(w) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
-
-    long = whole.filter(F.length("word") > FOLD_CHARS)
-    return folded.unionByName(map_arrow(long.repartition("word"), "word string, ids array<int>", run))
+    return held.select("word", F.flatten(F.transform(symbols, ids_of)).alias("ids"))
 
 
 def id_type(pieces: Pieces) -> str:
@@ -266,6 +316,12 @@ def piece_texts(pieces: Pieces, space: str = " ") -> list[bytes]:
     return out
 
 
+def spells(ids: np.ndarray, spelled: pa.Array, texts: list[bytes], text: str) -> bool:
+    """Whether the ids decode to the text; ``spelled`` has ``texts`` as Arrow takes them."""
+    data = spelled.take(pa.array(ids)).buffers()[2] if len(ids) else None
+    return (data is not None and data.to_pybytes() == f" {text}".encode()) or decode_ids(ids.tolist(), texts) == text
+
+
 def decode_ids(ids: list[int], texts: list[bytes]) -> str:
     """The text of the ids, without the space that encoding puts first."""
     data = b"".join([texts[i] for i in ids])
@@ -284,6 +340,11 @@ class LongWords:
         parts = self.viterbi(word) if self.pieces.kind == UNIGRAM else self.merge(word)
         return [i for p in parts for i in self.of_piece(p)]
 
+    def ids_between(self, word: str, mask: int) -> list[int]:
+        """Ids of what lies from one boundary (a bit of ``mask``) to the next."""
+        cuts = [k for k in range(len(word) + 1) if mask >> k & 1]
+        return [i for a, b in zip(cuts, cuts[1:]) for i in self.of_piece(word[a:b])]
+
     def of_piece(self, piece: str) -> list[int]:
         if piece in self.numbers:
             return [self.numbers[piece]]
@@ -373,6 +434,7 @@ def assemble(docs: DataFrame, known: SharedDict, pieces: Pieces) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, table, codec = re.compile(pattern).findall, known.value, pa.Codec(TEXT_CODEC)
+        spelled = pa.array(texts, pa.binary())
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
                 part = batch.slice(at, 250)
@@ -393,7 +455,7 @@ def assemble(docs: DataFrame, known: SharedDict, pieces: Pieces) -> DataFrame:
                     if None in got:
                         got = [_as_bytes(others[w], kind) if x is None else x for w, x in zip(words, got)]
                     data.append(b"".join(got))
-                    same.append(decode_ids(np.frombuffer(data[-1], dtype="<i4").tolist(), texts) == text.replace(SPACE, " "))
+                    same.append(spells(np.frombuffer(data[-1], dtype="<i4"), spelled, texts, text.replace(SPACE, " ")))
                 counts = np.array([len(x) // 4 for x in data], dtype=np.int64)
                 bounds = np.concatenate([[0], np.cumsum(counts)])
                 values = pa.Array.from_buffers(pa.int32(), int(bounds[-1]), [None, pa.py_buffer(b"".join(data))])

@@ -562,6 +562,23 @@ def test_folds_and_long_words_give_the_library_ids(spark, monkeypatch):
             assert r["ids"] == sp.encode(r["word"][1:]), r["word"]
 
 
+def test_words_end_where_no_piece_goes_on(spark):
+    import public_tokenizers
+    import sentencepiece as library
+
+    sp = library.SentencePieceProcessor(model_file=public_tokenizers.path(sentencepiece.MODEL))
+    pieces = sentencepiece.load_pieces(sentencepiece.MODEL)
+    texts = ["these, these. these! these$$$ these%%% (these)", "these1 these22 日本語日本語 theseñ", "x" * 70 + "," + "y" * 70 + "\r\n\t  these"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["word"] for r in sentencepiece.distinct_words(df, pieces).collect()}
+    assert {w for w in found if "these" in w} <= {"▁these", "▁(these", "these", "▁theseñ", "▁▁these"} and "日" in found and max(map(len, found)) <= 71
+    together = [set(p.lstrip("▁")) for p, _, _ in pieces.rows]
+    groups = sentencepiece.joined_characters(pieces)
+    assert all(len(t) < 2 or any(t <= set(g) for g in groups) for t in together)
+    for known in (0, 1_000):
+        assert [list(r["ids"]) for r in sentencepiece.encode_documents(df, known_words=known).orderBy("doc_id").collect()] == [sp.encode(t) for t in texts]
+
+
 def test_frequent_words_are_cut_within_a_count(spark):
     df = spark.createDataFrame([(f"w{k}", 7 if k else 9) for k in range(5000)], "word string, c long")
     got = lm.frequent(df, 1000).collect()
