@@ -29,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -217,15 +218,15 @@ def viterbi_fold(edges: Column, size: Column, unknown_score: float) -> Column:
     return let(F.aggregate(F.sequence(F.lit(1), size), start, step), traced)
 
 
-def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, ids) of distinct words."""
+def encode_words(words: DataFrame, pieces: Pieces, as_bytes: bool = False) -> DataFrame:
+    """(word, ids) of distinct words; ``as_bytes``: the ids packed, in the pass that makes them."""
     if pieces.kind not in (BPE, UNIGRAM):
         raise ValueError("only unigram and BPE models are read")
     whole = words.select("word")
     held = lattice(whole.filter(F.length("word") <= FOLD_CHARS), pieces)
     long = whole.filter(F.length("word") > FOLD_CHARS).repartition("word")
     if pieces.kind == BPE:
-        return merged_words(held.unionByName(long, allowMissingColumns=True), pieces)
+        return merged_words(held.unionByName(long, allowMissingColumns=True), pieces, as_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = LongWords(pieces)
@@ -233,11 +234,13 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
             ids = [merger.ids(w) for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
 
-    return best_paths(held, pieces).unionByName(map_arrow(long, "word string, ids array<int>", run))
+    encoded = best_paths(held, pieces).unionByName(map_arrow(long, "word string, ids array<int>", run))
+    return packed(encoded, pieces) if as_bytes else encoded
 
 
-def merged_words(held: DataFrame, pieces: Pieces) -> DataFrame:
+def merged_words(held: DataFrame, pieces: Pieces, as_bytes: bool = False) -> DataFrame:
     """(word, ids) of words with their edges; of words without any, which are too long for bits of a long, by a heap."""
+    kind = np.dtype(id_type(pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = LongWords(pieces)
@@ -253,11 +256,11 @@ def merged_words(held: DataFrame, pieces: Pieces) -> DataFrame:
             for k in np.flatnonzero((got != np.bitwise_count(mask) - 1) | (sizes == 0)).tolist():
                 word = words[k].as_py()
                 parts[k] = np.array(merger.ids(word) if not sizes[k] else merger.ids_between(word, int(mask[k])), dtype=np.int64)
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
-            values = pa.array(np.concatenate([ids[:0], *parts]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([words, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["word", "ids"])
+            ends, values = np.concatenate([[0], np.cumsum([len(x) for x in parts])]), np.concatenate([ids[:0], *parts])
+            listed = _packed(ends, values, kind) if as_bytes else pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([words, listed], names=["word", "ids"])
 
-    return map_arrow(held.select("word", "size", "edges"), "word string, ids array<int>", run)
+    return map_arrow(held.select("word", "size", "edges"), f"word string, ids {'binary' if as_bytes else 'array<int>'}", run)
 
 
 def best_paths(held: DataFrame, pieces: Pieces) -> DataFrame:
@@ -291,13 +294,17 @@ def packed(encoded: DataFrame, pieces: Pieces) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(1)
-            ends = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]) * kind.itemsize
-            data = ids.flatten().to_numpy().astype(kind).tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])], names=["word", "ids"])
+            ends = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _packed(ends, ids.flatten().to_numpy(), kind)], names=["word", "ids"])
 
     return map_arrow(encoded.select("word", "ids"), "word string, ids binary", run)
 
 
+def _packed(ends: np.ndarray, ids: np.ndarray, kind: np.dtype) -> pa.Array:
+    """Lists of ids, which end at ``ends``, as bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * kind.itemsize).astype(np.int32)), pa.py_buffer(ids.astype(kind).tobytes())])
+
+
 def _as_bytes(ids: bytes, kind: str) -> bytes:
     """Packed ids as those of 4 bytes that a text's are made of."""
     return np.frombuffer(ids, dtype=kind).astype("<i4").tobytes()
@@ -316,10 +323,14 @@ def piece_texts(pieces: Pieces, space: str = " ") -> list[bytes]:
     return out
 
 
-def spells(ids: np.ndarray, spelled: pa.Array, texts: list[bytes], text: str) -> bool:
-    """Whether the ids decode to the text; ``spelled`` has ``texts`` as Arrow takes them."""
-    data = spelled.take(pa.array(ids)).buffers()[2] if len(ids) else None
-    return (data is not None and data.to_pybytes() == f" {text}".encode()) or decode_ids(ids.tolist(), texts) == text
+def spelled_ids(ids: np.ndarray, ends: np.ndarray, spelled: pa.Array) -> list[bytes]:
+    """What the ids from each of ``ends`` to the next decode to, with the space that encoding puts first; ``spelled`` has what each id stands for."""
+    if not len(ids):
+        return [b""] * (len(ends) - 1)
+    _, places, data = spelled.take(pa.array(ids)).buffers()
+    cuts = np.frombuffer(places, dtype=np.int32)[ends].tolist()
+    whole = data.to_pybytes() if data is not None else b""
+    return [whole[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def decode_ids(ids: list[int], texts: list[bytes]) -> str:
@@ -406,12 +417,12 @@ def rare_words(docs: DataFrame, known: SharedDict, pieces: Pieces) -> DataFrame:
         find, table = re.compile(pattern).findall, known.value
         for batch in batches:
             keys, words = batch.column(0).to_pylist(), []
-            others = [[w for w in set(find(escaped(text))) if w not in table] for text in batch.column(1).to_pylist()]
+            others = [set(find(escaped(text))).difference(table) for text in batch.column(1).to_pylist()]
             for x in others:
                 words += x
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(keys, dtype=np.int64), [len(x) for x in others])), pa.array(words, pa.string())], names=["key", "word"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(keys, dtype=np.int32), [len(x) for x in others])), pa.array(words, pa.string())], names=["key", "word"])
 
-    return map_arrow(docs.select("key", "text"), "key long, word string", run)
+    return map_arrow(docs.select("key", "text"), "key int, word string", run)
 
 
 def compressed(docs: DataFrame) -> DataFrame:
@@ -424,7 +435,7 @@ def compressed(docs: DataFrame) -> DataFrame:
             data = pa.array([codec.compress(x, asbytes=True) for x in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(len, texts)), pa.int32()), data], names=["doc_id", "key", "size", "data"])
 
-    return map_arrow(docs.select("doc_id", "key", "text"), "doc_id long, key long, size int, data binary", run)
+    return map_arrow(docs.select("doc_id", "key", "text"), "doc_id long, key int, size int, data binary", run)
 
 
 def assemble(docs: DataFrame, known: SharedDict, pieces: Pieces) -> DataFrame:
@@ -434,32 +445,37 @@ def assemble(docs: DataFrame, known: SharedDict, pieces: Pieces) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, table, codec = re.compile(pattern).findall, known.value, pa.Codec(TEXT_CODEC)
-        spelled = pa.array(texts, pa.binary())
+        spelled, spelled_whole = pa.array(texts, pa.binary()), pa.array(whole, pa.binary())
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
                 part = batch.slice(at, 250)
-                data, same = [], []
+                data, read = [], []
                 rare = part.column(3)
-                own_ids, own_words = (x.to_pylist() for x in rare.flatten().flatten())
+                own, own_words = rare.flatten().flatten()
+                ends = np.concatenate([[0], np.cumsum(pc.binary_length(own).to_numpy(zero_copy_only=False))]) // np.dtype(kind).itemsize
+                own_ids = np.frombuffer(b"".join(own.to_pylist()), dtype=kind).astype("<i4")
+                flat, cuts = own_ids.tobytes(), (4 * ends).tolist()
+                own_data = [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+                own_words = [x.decode() for x in spelled_ids(own_ids, ends, spelled_whole)] if own_words.null_count else own_words.to_pylist()
                 first = 0
                 for size, held, n_own in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), rare.value_lengths().fill_null(0).to_pylist()):
                     text = codec.decompress(held, size, asbytes=True).decode()
-                    others = {}
-                    for ids, word in zip(own_ids[first : first + n_own], own_words[first : first + n_own]):
-                        if word is None:
-                            word = b"".join([whole[i] for i in np.frombuffer(ids, dtype=kind).tolist()]).decode()
-                        others[word] = ids
-                    first += n_own
                     words = find(escaped(text))
                     got = list(map(table.get, words))
-                    if None in got:
-                        got = [_as_bytes(others[w], kind) if x is None else x for w, x in zip(words, got)]
+                    if n_own:
+                        others = dict(zip(own_words[first : first + n_own], own_data[first : first + n_own]))
+                        got = [others[w] if x is None else x for w, x in zip(words, got)]
+                    first += n_own
                     data.append(b"".join(got))
-                    same.append(spells(np.frombuffer(data[-1], dtype="<i4"), spelled, texts, text.replace(SPACE, " ")))
-                counts = np.array([len(x) // 4 for x in data], dtype=np.int64)
-                bounds = np.concatenate([[0], np.cumsum(counts)])
-                values = pa.Array.from_buffers(pa.int32(), int(bounds[-1]), [None, pa.py_buffer(b"".join(data))])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids", "round_trip"])
+                    read.append(text)
+                bounds = np.concatenate([[0], np.cumsum([len(x) // 4 for x in data])])
+                ids = np.frombuffer(b"".join(data), dtype="<i4")
+                plain = [text.replace(SPACE, " ") for text in read]
+                same = [got == f" {text}".encode() for got, text in zip(spelled_ids(ids, bounds, spelled), plain)]
+                for k in np.flatnonzero(~np.array(same)).tolist():
+                    same[k] = decode_ids(ids[bounds[k] : bounds[k + 1]].tolist(), texts) == plain[k]
+                values = pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids", "round_trip"])
 
     return map_arrow(docs.select("doc_id", "size", "data", "rare"), ENCODED, run)
 
@@ -472,20 +488,22 @@ def encode_documents(df: DataFrame, model: str = MODEL, known_words: int = KNOWN
     play no part.
     """
     pieces = load_pieces(model)
-    # the key only brings words to texts; texts that share one get each other's words too
-    docs = documents_of(df, id_col, text_col).withColumn("key", F.xxhash64("doc_id", "text"))
+    # the key only brings words to texts; texts that share one get each other's words too, so few bits do
+    docs = documents_of(df, id_col, text_col).withColumn("key", F.shiftright(F.xxhash64("doc_id", "text"), 32).cast("int"))
     counted = materialize(distinct_words(docs, pieces))
-    encoded = materialize(packed(encode_words(counted, pieces), pieces))
+    encoded = materialize(encode_words(counted, pieces, as_bytes=True))
     top = encoded.join(frequent(counted, known_words, "n", "word").select("word"), "word", "left_semi")
     kind = id_type(pieces)
     rows = [(r["word"], _as_bytes(r["ids"], kind)) for r in top.toLocalIterator()]
     known = SharedDict.of(df.sparkSession, pa.array([w for w, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.binary()))
     # with bytes for what no piece covers, the ids tell the word
-    word = F.when(F.lit(pieces.first_byte is None), F.col("word")).alias("word")
+    told = pieces.first_byte is not None
     # a statement of its own, so that its shuffle files and the words' tables are gone when the texts are dealt
-    pairs = materialize(rare_words(docs, known, pieces).join(encoded, "word").select("key", "ids", word))
+    pairs = materialize(rare_words(docs, known, pieces).join(encoded, "word").select("key", "ids", *([] if told else ["word"])), compression="zstd")
     for table in (counted, encoded):
         discard(table)
-    # a set: equal rows send the same words, which are kept once
-    rare = pairs.groupBy("key").agg(F.collect_set(F.struct("ids", "word")).alias("rare"))
+    # a set: equal rows send the same words, which are kept once; dealt first, as few pairs of a task share a key before
+    dealt = pairs.repartition("key")
+    word = F.lit(None).cast("string").alias("word") if told else F.col("word")
+    rare = dealt.groupBy("key").agg(F.collect_set(F.struct("ids", word)).alias("rare"))
     return assemble(compressed(docs).join(rare, "key", "left"), known, pieces)

@@ -690,3 +690,25 @@ def test_bytes_are_near_equal(spark):
     df = spark.createDataFrame([(k, "x" * rng.randint(10, 400)) for k in range(3000)], "doc_id long, text string")
     sums = [r["s"] for r in sharding.shard_documents(df, 24).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
     assert len(sums) == 24 and max(sums) - min(sums) < 0.02 * max(sums)
+
+
+def test_words_are_merged_and_packed_in_one_pass(spark):
+    pieces = sentencepiece.load_pieces(sentencepiece.MODEL)
+    words = spark.createDataFrame([(sentencepiece.SPACE + "merged",), ("x" * 100,), ("\U0001f98a",)], "word string")
+    listed = {r["word"]: r["ids"] for r in sentencepiece.encode_words(words, pieces).collect()}
+    got = sentencepiece.encode_words(words, pieces, as_bytes=True)
+    # each more pass holds one more Python worker for every core
+    assert got._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("MapInArrow") == 1
+    assert {r["word"]: np.frombuffer(r["ids"], dtype=sentencepiece.id_type(pieces)).tolist() for r in got.collect()} == listed
+
+
+def test_texts_that_share_a_key_get_their_own_words(spark, monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import sentencepiece as library
+
+    sp = library.SentencePieceProcessor(model_file=public_tokenizers.path(sentencepiece.MODEL))
+    texts = ["one xqzzv more", "two wvkkj ▁ less", "", None, "one xqzzv more"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(sentencepiece.F, "xxhash64", lambda *x: sentencepiece.F.lit(7 << 32))
+    got = {r["doc_id"]: r for r in sentencepiece.encode_documents(df, known_words=0).collect()}
+    assert [list(got[k]["ids"]) for k in range(5)] == [sp.encode(t or "") for t in texts] and all(r["round_trip"] for r in got.values())
