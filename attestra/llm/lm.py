@@ -140,22 +140,25 @@ def gather(counted: DataFrame, shape: gru.Shape, known_words: int) -> Counts:
     return Counts(n, distinct, {w: k for k, (w, _) in enumerate(rows)}, counts, int(network[RARE]), max(0, distinct - 1 - own), network, n_end)
 
 
-def _packs(batches: Iterator[pa.RecordBatch], column: int, known: dict, own: int) -> Iterator[tuple[list, list]]:
-    """(rows, network ids of their texts) in packs of about ``PACK_TOKENS`` tokens; a row is (batch, place, words, ranks)."""
+def _packs(batches: Iterator[pa.RecordBatch], column: int, known: dict, own: int, scored: bool = True) -> Iterator[tuple[list, list]]:
+    """(rows, network ids of their texts) in packs of about ``PACK_TOKENS`` tokens; a row, if ``scored``, is (batch without its texts, place, number of words, known ranks, unknown words with their numbers)."""
     rows, ids, size = [], [], 0
     for batch in batches:
-        for k, text in enumerate(batch.column(column).to_pylist()):
+        texts = batch.column(column).to_pylist()
+        batch = batch.drop_columns(batch.schema.names[column]) if scored else None
+        for k, text in enumerate(texts):
             words = words_of(text)
             ranks = np.fromiter(map(known.get, words, repeat(-1)), dtype=np.int32, count=len(words))
             got = np.full(len(words) + 1, END, dtype=np.int32)
             got[:-1] = np.where((ranks >= 0) & (ranks < own), ranks + 2, RARE)
-            rows.append((batch, k, words, ranks))
+            if scored:
+                rows.append((batch, k, len(words), ranks[ranks >= 0], Counter(map(words.__getitem__, np.flatnonzero(ranks < 0).tolist()))))
             ids.append(got)
             size += len(got)
             if size >= PACK_TOKENS:
                 yield rows, ids
                 rows, ids, size = [], [], 0
-    if rows:
+    if ids:
         yield rows, ids
 
 
@@ -168,9 +171,27 @@ BLOCK_BYTES = 1 << 14
 
 
 def average(models: DataFrame, start: np.ndarray, n_parts: int) -> np.ndarray:
-    """The mean of the copies (flat, tokens), weighted by their tokens, summed block by block in ``n_parts`` tasks; the driver gets a row for each block."""
+    """The mean of the copies (flat, tokens), weighted by their tokens."""
     places = F.sequence(F.lit(0), F.lit(-(-start.nbytes // BLOCK_BYTES) - 1))
     cut = F.transform(places, lambda k: F.substring("flat", k * BLOCK_BYTES + 1, F.lit(BLOCK_BYTES)))
+    return average_blocks(models.select(F.posexplode(cut).alias("block", "data"), "tokens"), start, n_parts)
+
+
+BLOCKS = "block int, data binary, tokens long"
+#: Blocks that go to the JVM, or come from it, at once.
+BLOCK_ROWS = 64
+
+
+def blocks_of(flat: np.ndarray, tokens: int) -> Iterator[pa.RecordBatch]:
+    """A copy as rows of ``BLOCKS``; whole, it would be a large object in each place that it passes."""
+    data = [flat[at : at + BLOCK_BYTES // 4].tobytes() for at in range(0, len(flat), BLOCK_BYTES // 4)]
+    for at in range(0, len(data), BLOCK_ROWS):
+        part = data[at : at + BLOCK_ROWS]
+        yield pa.RecordBatch.from_arrays([pa.array(range(at, at + len(part)), pa.int32()), pa.array(part, pa.binary()), pa.array([tokens] * len(part), pa.int64())], names=["block", "data", "tokens"])
+
+
+def average_blocks(blocks: DataFrame, start: np.ndarray, n_parts: int) -> np.ndarray:
+    """The mean of the copies, summed block by block in ``n_parts`` tasks; the driver gets a row for each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, int]] = {}
@@ -181,18 +202,17 @@ def average(models: DataFrame, start: np.ndarray, n_parts: int) -> np.ndarray:
         means = [(total / tokens).astype(np.float32).tobytes() for total, tokens in held.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(means, pa.binary())], names=["block", "mean"])
 
-    blocks = models.select(F.posexplode(cut).alias("block", "data"), "tokens").repartition(n_parts, "block")
     out, step = start.copy(), BLOCK_BYTES // 4
-    for r in map_arrow(blocks, "block int, mean binary", run).collect():
+    for r in map_arrow(blocks.repartition(n_parts, "block"), "block int, mean binary", run, BLOCK_ROWS).collect():
         out[r["block"] * step : (r["block"] + 1) * step] = np.frombuffer(r["mean"], dtype=np.float32)
     return out
 
 
-def train(texts: DataFrame, counts: Counts, shape: gru.Shape, rounds: int) -> np.ndarray:
+def train(texts: DataFrame, counts: Counts, known: SharedDict, shape: gru.Shape, rounds: int) -> np.ndarray:
     """The network after all rounds; ``texts`` has (text, round, h). Its partitions play no part."""
     spark = texts.sparkSession
     flat = gru.initial(shape, counts.network_counts)
-    known, own_words = share(spark, counts.known), shape.vocabulary - 2
+    own_words = shape.vocabulary - 2
     n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
     n_tasks = max(1, round(counts.n / rounds / TASK_TOKENS))
     order = ("h", F.xxhash64("text"))
@@ -202,24 +222,25 @@ def train(texts: DataFrame, counts: Counts, shape: gru.Shape, rounds: int) -> np
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             own, tokens = start.value.copy(), 0
             squares = np.full_like(own, 1e-4)
-            for _, ids in _packs(batches, 0, known.value, own_words):
+            for _, ids in _packs(batches, 0, known.value, own_words, scored=False):
                 gru.train(own, squares, shape, ids)
                 tokens += sum(map(len, ids))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary()), pa.array([tokens], pa.int64())], names=["flat", "tokens"])
+                yield from blocks_of(own, tokens)
 
-        models = map_arrow(texts.filter(F.col("round") == k).repartition(n_tasks, *order).sortWithinPartitions(*order).select("text"), "flat binary, tokens long", run)
-        flat = average(models, flat, n_parts)
+        models = map_arrow(texts.filter(F.col("round") == k).repartition(n_tasks, *order).sortWithinPartitions(*order).select("text"), BLOCKS, run)
+        flat = average_blocks(models, flat, n_parts)
+        start.destroy()
     return flat
 
 
 FIRST = "row_doc long, held_out boolean, n_tokens long, n_known long, base double, network double, rare double, n_rare long, others array<struct<word:binary,n:int>>"
 
 
-def first_pass(docs: DataFrame, counts: Counts, flat: np.ndarray, shape: gru.Shape) -> DataFrame:
+def first_pass(docs: DataFrame, counts: Counts, known: SharedDict, flat: np.ndarray, shape: gru.Shape) -> DataFrame:
     """Sums of each text over the words known to every task, the network's log10 probability, and the other words with their numbers."""
     sc = docs.sparkSession.sparkContext
-    known, model, logs_of = share(docs.sparkSession, counts.known), sc.broadcast(flat), sc.broadcast(np.log10(counts.known_counts + SMOOTHING))
+    model, logs_of = sc.broadcast(flat), sc.broadcast(np.log10(counts.known_counts + SMOOTHING))
     own, end_log, end_known = shape.vocabulary - 2, math.log10(counts.n_end + SMOOTHING), int(counts.n_end > 0)
     names = [x.split()[0] for x in FIRST.split(", ")]
 
@@ -228,15 +249,13 @@ def first_pass(docs: DataFrame, counts: Counts, flat: np.ndarray, shape: gru.Sha
         for rows, ids in _packs(batches, 1, known.value, own):
             network = gru.score(model.value, shape, ids) / math.log(10)
             out, words_out, numbers, ends = [], [], [], [0]
-            for k, (batch, place, words, ranks) in enumerate(rows):
-                seen = ranks[ranks >= 0]
+            for k, (batch, place, n_words, seen, others) in enumerate(rows):
                 rare = seen[seen >= own]
-                others = Counter(map(words.__getitem__, np.flatnonzero(ranks < 0).tolist()))
                 words_out += others.keys()
                 numbers += others.values()
                 ends.append(len(words_out))
                 base = float(logs[seen].sum()) + end_log
-                out.append((batch.column(0)[place].as_py(), batch.column(2)[place].as_py(), len(words) + 1, len(seen) + end_known, base, float(network[k]), float(logs[rare].sum()), len(rare)))
+                out.append((batch.column(0)[place].as_py(), batch.column(1)[place].as_py(), n_words + 1, len(seen) + end_known, base, float(network[k]), float(logs[rare].sum()), len(rare)))
             kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
             columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]
             pairs = pa.StructArray.from_arrays([pa.array(words_out, pa.binary()), pa.array(numbers, pa.int32())], names=["word", "n"])
@@ -261,8 +280,10 @@ def lm_scores(df: DataFrame, shape: gru.Shape = SHAPE, known_words: int = KNOWN_
     training = docs.filter(~F.col("held_out")).select("text", "h", (F.floor(F.col("h") / 5) % rounds).cast("int").alias("round"))
     counted = materialize(count_words(training.select("text")))
     counts = gather(counted, shape, known_words)
-    flat = train(training, counts, shape, rounds)
-    first = first_pass(docs.select("doc_id", "text", "held_out"), counts, flat, shape)
+    # one for both, as a worker would hold two while it changes from one to the other
+    known = share(df.sparkSession, counts.known)
+    flat = train(training, counts, known, shape, rounds)
+    first = first_pass(docs.select("doc_id", "text", "held_out"), counts, known, flat, shape)
     rows = materialize(first.withColumn("row", F.monotonically_increasing_id()))
     others = rows.select("row", F.explode("others").alias("o")).select("row", "o.word", "o.n")
     log = F.log10(F.coalesce("c", F.lit(0)) + SMOOTHING)

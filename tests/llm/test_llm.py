@@ -712,3 +712,33 @@ def test_texts_that_share_a_key_get_their_own_words(spark, monkeypatch):
     monkeypatch.setattr(sentencepiece.F, "xxhash64", lambda *x: sentencepiece.F.lit(7 << 32))
     got = {r["doc_id"]: r for r in sentencepiece.encode_documents(df, known_words=0).collect()}
     assert [list(got[k]["ids"]) for k in range(5)] == [sp.encode(t or "") for t in texts] and all(r["round_trip"] for r in got.values())
+
+
+def test_packs_keep_no_words_that_counts_tell():
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a b a", "c c"], "held_out": [True, False]})
+    known = {b"a": 0, b"b": 1}
+    ((rows, ids),) = lm._packs(iter([batch]), 1, known, 1)
+    assert [(k, n, seen.tolist(), dict(others)) for _, k, n, seen, others in rows] == [(0, 3, [0, 1, 0], {}), (1, 2, [], {b"c": 2})]
+    assert all("text" not in held.schema.names for held, *_ in rows)
+    assert [x.tolist() for x in ids] == [[2, 0, 2, 1], [0, 0, 1]]
+    ((rows, again),) = lm._packs(iter([batch]), 1, known, 1, scored=False)
+    assert rows == [] and all((x == y).all() for x, y in zip(ids, again))
+
+
+def test_copies_leave_a_task_in_blocks(spark):
+    flat = np.arange(2.5 * lm.BLOCK_BYTES // 4, dtype=np.float32)
+    batches = list(lm.blocks_of(flat, 3))
+    assert b"".join(x for b in batches for x in b.column(1).to_pylist()) == flat.tobytes() and max(len(x) for b in batches for x in b.column(1).to_pylist()) == lm.BLOCK_BYTES
+    rows = [(r["block"], r["data"], r["tokens"]) for b in batches for r in b.to_pylist()]
+    assert (lm.average_blocks(spark.createDataFrame(rows, lm.BLOCKS), flat * 0, 2) == flat).all()
+
+
+def test_large_logits_are_held_and_steps_do_not_depend_on_unused_words():
+    shape, rng = gru.Shape(4, 3, 3), np.random.default_rng(3)
+    flat = gru.initial(shape, np.ones(9))
+    p = gru.unpack(flat, shape)
+    p["wb"][0, 0] = 500.0
+    assert np.isfinite(gru.score(flat, shape, [np.array([0, 1, 2])])).all()
+    unused, own = p["x"][8].copy(), flat.copy()
+    gru.train(own, np.full_like(own, 1e-4), shape, [rng.integers(0, 8, 50).astype(np.int32)])
+    assert (gru.unpack(own, shape)["x"][8] == unused).all() and np.isfinite(own).all()
