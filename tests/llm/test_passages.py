@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from attestra.llm import minhash, sentencepiece, substring
@@ -184,3 +185,46 @@ def test_counts_go_to_the_jvm_in_slices():
     counts = {f"w{k}": k for k in range(25_000)}
     sizes = [batch.num_rows for batch in sentencepiece._counts(counts)]
     assert sum(sizes) == 25_000 and max(sizes) <= 10_000
+
+
+@pytest.mark.parametrize("way", ["changed", "parted"])
+def test_frequent_seeds_hide_no_changed_passage(spark, way):
+    """Each piece of a passage occurs in six earlier texts, that lie before and after the one that holds the passage; a text that has it with words changed, or one more, is found."""
+    rng, rows, held = random.Random(11), [], {}
+    for k in range(0, 200, 10):
+        p = fresh(rng, 66)
+        cuts = [p[i : i + 11] for i in range(0, 66, 11)]
+        for i in (0, 1, 2, 4, 5, 6):
+            rng.shuffle(cuts)
+            rows.append((k + i, " ".join(w for c in cuts for w in c + fresh(rng, 40))))
+        rows.append((k + 3, " ".join(fresh(rng, 20) + p + fresh(rng, 20))))
+        q = [w if i % 11 else "edit" for i, w in enumerate(p)] if way == "changed" else p[:33] + ["more"] + p[33:]
+        rows.append((k + 7, " ".join(fresh(rng, 30) + q + fresh(rng, 30))))
+        held[k + 7] = set(range(31, 96))
+    got = {r["doc_id"]: r for r in substring.repeated_passages(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    assert set(got) == set(held)
+    assert all(r["source_ids"] == [k - 4] and held[k] <= set(range(r["start_word"], r["end_word"])) for k, r in got.items())
+
+
+def test_the_longest_common_subsequence_is_that_of_a_table():
+    rng = random.Random(12)
+    for _ in range(200):
+        x, y = ([rng.randrange(6) for _ in range(rng.randrange(40))] for _ in range(2))
+        row = [0] * (len(y) + 1)
+        for w in x:
+            last = row[:]
+            for j, v in enumerate(y):
+                row[j + 1] = last[j] + 1 if v == w else max(row[j], last[j + 1])
+        assert substring.aligned(x, y) == row[-1]
+
+
+def test_occurrences_meet_by_what_lies_beyond_a_difference():
+    """Rows meet exactly if they have a witness in common with something else between, and the later one is open."""
+    rng = np.random.default_rng(13)
+    for _ in range(50):
+        n = 40
+        of, key, between = np.sort(rng.integers(0, n, 150)), rng.integers(0, 20, 150).astype(np.uint32), rng.integers(0, 3, 150).astype(np.uint32)
+        group, asks = np.sort(rng.integers(0, 3, n)).astype(np.uint64), rng.random(n) < 0.7
+        want = {(i, j) for i, k, b in zip(of, key, between) for j, m, c in zip(of, key, between) if i > j and k == m and b != c and group[i] == group[j] and asks[i]}
+        got = {(i, j) for a, b in substring.met_witnesses(group, asks, of, key, between) for i, j in zip(a, b)}
+        assert got == want
