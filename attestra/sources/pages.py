@@ -71,21 +71,26 @@ def without_page_noise(lines: DataFrame, top: float = 35.0, bottom: float = 55.0
     return left.filter(~(F.col("_text").rlike(r"^\d+\s*/\s*\d+$") & low)).drop("_text", "_repeated")
 
 
-@dataclass(frozen=True)
+@dataclass(slots=True)
 class Line:
     y0: float
     y1: float
     text: str
     heading: bool
     words: list[tuple[float, str]]
+    parted: tuple[float, tuple[str, str]] | None = None
 
     def cells(self, split: float) -> tuple[str, str]:
-        """Words left of ``split``, and the others."""
-        left = " ".join(w for x, w in self.words if x < split)
-        return left.strip(), " ".join(w for x, w in self.words if x >= split).strip()
+        """Words left of ``split``, and the others; the last ones asked for are kept."""
+        if self.parted is None or self.parted[0] != split:
+            left = " ".join([w for x, w in self.words if x < split]).strip()
+            self.parted = split, (left, " ".join([w for x, w in self.words if x >= split]).strip())
+        return self.parted[1]
 
     def column(self) -> float | None:
         """Where the second column of the table begins whose header this line is."""
+        if not self.words or self.words[0][1].casefold() != HEADER_FIRST:
+            return None
         names = [w.casefold() for _, w in self.words[:2]]
         if len(names) == 2 and names[0] == HEADER_FIRST and names[1] in HEADER_SECOND:
             return self.words[1][0] - HEADER_INSET
@@ -150,6 +155,12 @@ def page_items(lines: list[Line]) -> Iterator[tuple[str, str | None, str, int, i
     yield from paragraph()
 
 
+def _parts(lists: pa.ListArray) -> tuple[list[int], pa.StructArray]:
+    """Where each list's structs begin, and the last's end, and all structs in a row."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return [0, *sizes.cumsum().tolist()], lists.flatten()
+
+
 ITEMS = "doc_key string, page int, item int, kind string, source_req_id string, raw string, top double, bottom double"
 
 
@@ -167,10 +178,15 @@ def page_blocks(lines: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, page, rows in zip(*(c.to_pylist() for c in batch.columns)):
-                of_page = [Line(r["y0"], r["y1"], r["text"], bool(r["heading"]), [(w["x"], w["word"]) for w in r["words"]]) for r in rows]
-                for k, (kind, row_id, text, first, last) in enumerate(page_items(of_page)):
-                    out.append((key, page, k, kind, row_id, text, of_page[first].y0, of_page[last].y1))
+            begins, lines = _parts(batch.column(2))
+            y0, y1, text, heading = (lines.field(name).to_pylist() for name in ("y0", "y1", "text", "heading"))
+            word_begins, words = _parts(lines.field("words"))
+            said = list(zip(words.field("x").to_pylist(), words.field("word").to_pylist()))
+            whole = [Line(*rest, bool(head), said[a:b]) for *rest, head, a, b in zip(y0, y1, text, heading, word_begins, word_begins[1:])]
+            for key, page, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), begins, begins[1:]):
+                of_page = whole[a:b]
+                for k, (kind, row_id, text_of, first, last) in enumerate(page_items(of_page)):
+                    out.append((key, page, k, kind, row_id, text_of, of_page[first].y0, of_page[last].y1))
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=[x.split()[0] for x in ITEMS.split(", ")])
 

@@ -162,3 +162,17 @@ def test_page_numbers_count_as_texts_of_edges(spark):
     words = spark.createDataFrame([(d, p, HEIGHT, 40.0, y, y + 8, w) for d in ("d", None) for p, y, w in at], WORD)
     got = pages.without_page_noise(pages.page_lines(words)).select("doc_key", "page", "y0").collect()
     assert sorted(map(str, got)) == sorted(map(str, [Row(doc_key="d", page=3, y0=100.0), Row(doc_key="d", page=None, y0=20.0), *(Row(doc_key=None, page=p, y0=y) for p, y in ((1, 20.0), (3, 100.0), (None, 20.0)))]))
+
+
+def test_a_table_reads_the_words_of_a_line_once_for_its_cells():
+    class Counted(list):
+        read = 0
+
+        def __iter__(self):
+            Counted.read += 1
+            return super().__iter__()
+
+    rows = [[(40.0, "ID"), (120.0, "Requirement")], *([(40.0, f"BR-{k}"), (120.0, "said")] for k in range(200))]
+    lines = [Line(20.0 * k, 20.0 * k + 9, " ".join(w for _, w in words), False, Counted(words)) for k, words in enumerate(rows)]
+    assert [x[:3] for x in page_items(lines)] == [("table_row", f"BR-{k}", "said") for k in range(200)]
+    assert Counted.read <= 2 * len(rows)
